@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import mixing, top_k
 from .near_dedup import near_duplicates
 
 
@@ -16,7 +18,23 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix of all documents by source weights 1, 2, 3 along the curriculum."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best integer inner products of every vector whose id is divisible by 50, against all others."""
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), top_k.quantised(F.col("embedding")).alias("v"))
+    return top_k.exact_top_k(vectors, vectors.where("id % 50 = 0"), 5)
+
+
 QUERIES = {
     "op2_near_dedup": op2_near_dedup,
+    "op9_mixing": op9_mixing,
+    "op10_top_k": op10_top_k,
+}
+ORACLES: dict[str, str] = {
+    "op9_mixing": mixing.ORACLE,
+    "op10_top_k": top_k.ORACLE,
 }
-ORACLES: dict[str, str] = {}
