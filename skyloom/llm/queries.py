@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, top_k
+from . import mixing, secrets, top_k
 from .near_dedup import near_duplicates
+from .quality import quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,18 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and likelihood-ratio verdict of every document; trusted are those labelled of good quality."""
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1")
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
+    return quality(_table(spark, sf_dir, "documents").select("doc_id", "text"), trusted).select(*names)
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, judged by who else has them."""
+    return secrets.report(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents by source weights 1, 2, 3 along the curriculum."""
     return mixing.mix(_table(spark, sf_dir, "documents"))
@@ -31,6 +44,8 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_near_dedup": op2_near_dedup,
+    "op4_quality": op4_quality,
+    "op7_secrets": op7_secrets,
     "op9_mixing": op9_mixing,
     "op10_top_k": op10_top_k,
 }
