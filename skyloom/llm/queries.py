@@ -5,20 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, top_k
+from . import html_text, mixing, secrets, top_k, warc
 from .near_dedup import near_duplicates
 from .quality import quality
+from .toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from labelled rows that are not held out."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    labelled = _table(spark, sf_dir, "labels").where(~held).select(F.col("doc_id").alias("id"), F.col("toxic").alias("y"))
+    scored = toxicity(_table(spark, sf_dir, "documents"), labelled)
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: three-word shingles, Jaccard of 0.85 or more."""
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and likelihood-ratio verdict of every document; trusted are those labelled of good quality."""
     trusted = _table(spark, sf_dir, "labels").where("quality = 1")
@@ -26,6 +40,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents").select("doc_id", "text"), trusted).select(*names)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through monolithic archives, the normaliser and the index."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, judged by who else has them."""
     return secrets.report(secrets.scan(_table(spark, sf_dir, "documents")))
@@ -43,13 +62,17 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
+    "op3_html": op3_html,
     "op4_quality": op4_quality,
+    "op6_warc": op6_warc,
     "op7_secrets": op7_secrets,
     "op9_mixing": op9_mixing,
     "op10_top_k": op10_top_k,
 }
 ORACLES: dict[str, str] = {
+    "op6_warc": warc.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op10_top_k": top_k.ORACLE,
 }
