@@ -7,8 +7,10 @@ the rest are verified on the full sets of word tuples.
 
 Exact copies (equal sets) collapse to their smallest id before any pair is made.
 A bucket of at most ``PAIR_BUCKET`` sets yields its pairs; a larger one first
-yields a star around its smallest id, and then only the pairs that lie in
-different components, so a group of thousands of copies costs thousands of pairs
+yields stars around three of its members.  Wide buckets that still hold several
+components are then searched in blocks: a task holds two blocks of bounded size,
+skips pairs that are connected already, verifies the rest and returns only the
+links that connect.  A group of thousands of copies so costs thousands of rows,
 and no link between components is lost.
 """
 
@@ -28,6 +30,8 @@ from .components import components
 REGISTERS, BANDS, BASE, TOP = 160, 32, 1.02, 65535
 #: Sets in a bucket up to which all its pairs are made at once.
 PAIR_BUCKET = 8
+#: Members of a block of a wide bucket; a task of the block search holds two.
+BLOCK = 256
 #: Natural-log likelihood by which the wanted similarity must lose before a pair is dropped unseen.
 DOUBT = 14.0
 #: Ids up to which the verified documents are picked by a broadcast of their ids.
@@ -88,7 +92,8 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), r.shape[:2]) * np.uint64(0x9E3779B97F4A7C15)
         for k in range(width):
             key = mix(key + r[:, :, k] + np.uint64(1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)), pa.array(key.ravel().view(np.int64))], ["id", "key"])
+        ids, bands = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS), np.tile(np.arange(BANDS, dtype=np.int32), len(r))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(bands), pa.array(key.ravel().view(np.int64))], ["id", "band", "key"])
 
 
 def estimate(d_up: np.ndarray, d_down: np.ndarray, d_same: np.ndarray, u: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -151,6 +156,42 @@ def _verified(percent: int, size: int):
     return run
 
 
+def _connecting(percent: int, size: int):
+    """Links between different components among the members of a bucket's two blocks (one, if they are the same)."""
+
+    def run(key, group):
+        group = group.sort_by("id")
+        ids, block, label, n, band = (group.column(x).to_numpy().copy() for x in ("id", "block", "c", "n", "band"))
+        r = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        texts, sets, u, v = group.column("text"), {}, [], []
+        apart = key[1].as_py() != key[2].as_py()
+
+        def own(i: int) -> set:
+            if i not in sets:
+                sets[i] = shingle_set(texts[i].as_py(), size)
+            return sets[i]
+
+        for a in range(1, len(ids)):
+            b = np.flatnonzero((label[:a] != label[a]) & (100 * np.minimum(n[:a], n[a]) >= percent * np.maximum(n[:a], n[a])))
+            b = b[block[b] != block[a]] if apart else b
+            # A pair is looked at only in the first band that it shares.
+            b = b[(r[b] == r[a]).reshape(-1, BANDS, REGISTERS // BANDS).all(axis=2).argmax(axis=1) == band[a]]
+            if not len(b):
+                continue
+            up, down = (r[a] > r[b]).sum(axis=1), (r[a] < r[b]).sum(axis=1)
+            _, loss = estimate(up, down, REGISTERS - up - down, n[a] / (n[a] + n[b]), percent / 100)
+            for i in b[loss < DOUBT]:
+                if label[i] != label[a]:
+                    both = len(own(a) & own(i))
+                    if 100 * both >= percent * (len(own(a)) + len(own(i)) - both):
+                        u.append(ids[a])
+                        v.append(ids[i])
+                        label[label == label[i]] = label[a]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
 def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
     """Those of ``pairs`` (u, v) whose full sets are similar enough, as a written table."""
     one, two = (sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "uv")
@@ -178,21 +219,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = every.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
     classes = durable(classes, "classes")
     sets = every.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "sketch")
-    banded = sets.select("id", "sketch").mapInArrow(_band_keys, "id long, key long")
-    size = banded.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("first")).where("members > 1")
-    banded = durable(banded.join(size, "key").select("id", "key", "members", "first"), "bands")
-    star = banded.where(f"members > {PAIR_BUCKET} AND id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
+    banded = sets.select("id", "sketch").mapInArrow(_band_keys, "id long, band int, key long")
+    order = F.xxhash64("id", "key")
+    size = banded.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("first"), F.min_by("id", order).alias("second"), F.max_by("id", order).alias("third")).where("members > 1")
+    banded = durable(banded.join(size, "key"), "bands")
+    wide = banded.where(f"members > {PAIR_BUCKET}")
+    star = wide.select(F.col("id").alias("u"), F.explode(F.array("first", "second", "third")).alias("v")).where("u <> v")
     few = banded.where(f"members <= {PAIR_BUCKET}").select("id", "key")
     pairs = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key AND x.id > y.id")).selectExpr("x.id AS u", "y.id AS v")
     links = _links(star.union(pairs).distinct(), sets, docs, percent, shingle_words)
     found = durable(components(links), "components")
-    wide = banded.where(f"members > {PAIR_BUCKET}")
     if not wide.isEmpty():
-        placed = wide.join(found, "id", "left").select("id", "key", F.coalesce("component_id", "id").alias("c"))
+        placed = wide.join(found, "id", "left").select("id", "band", "key", "members", F.coalesce("component_id", "id").alias("c"))
         mixed = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key")
         open_ = durable(placed.join(mixed, "key"), "open")
-        across = open_.alias("x").join(open_.alias("y"), F.expr("x.key = y.key AND x.id > y.id AND x.c <> y.c"))
-        more = _links(across.selectExpr("x.id AS u", "y.id AS v").distinct(), sets, docs, percent, shingle_words)
+        ids = durable(open_.select("id").distinct(), "ids")
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        held = docs.join(ids, "id", "left_semi").join(sets, "id")
+        blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
+        open_ = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        open_ = open_.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).join(held, "id")
+        open_ = open_.select("id", "band", "key", "c", "n", "block", "low", "high", "sketch", "text")
+        more = durable(open_.groupBy("key", "low", "high").applyInArrow(_connecting(percent, shingle_words), "u long, v long").distinct(), "more")
         if not more.isEmpty():
             found = durable(components(links.union(more)), "components")
     out = every.select("id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"], "left").withColumn("rep", F.coalesce("rep", "id"))
