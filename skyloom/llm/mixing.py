@@ -14,7 +14,7 @@ however large, is gathered in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, word_count
@@ -53,19 +53,11 @@ def sources_table(sizes: DataFrame) -> DataFrame:
     return by.select("source", "source_size", "weight", "slope", target.alias("target"), "total")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, position; sorted by position.
-
-    taken sums to the source's rounded target: whole passes over the source, then
-    one more pass in md5 order up to the target, whose last document is taken in
-    part.  position is the word position in the mixed stream at which the document
-    first comes, null if it is not taken.  Null texts have size 0, null sources are
-    a source of their own, and an empty table gives an empty result.  Equal inputs
-    give equal results, however they are partitioned.
-    """
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Per document: size, its source's figures, offset within the source, whole passes and words taken."""
     code = F.md5(F.col(id_col).cast("string"))
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), code.alias("code"))
-    sizes = durable(sizes, "mix-sizes").withColumns({"name": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")), "bucket": F.substring("code", 1, BUCKET_DIGITS)})
+    sizes = durable(sizes, "mix-sizes").withColumns({"name": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")), "bucket": F.coalesce(F.substring("code", 1, BUCKET_DIGITS), F.lit(""))})
     buckets = sizes.groupBy("name", "source", "bucket").agg(F.sum("size").alias("words"))
     per_source = sources_table(buckets.select("source", F.col("words").alias("size")))
     per_source = per_source.withColumn("name", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source")
@@ -77,12 +69,42 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.withColumn("passes", passes)
     rest = F.round("target").cast("long") - F.col("passes") * F.col("source_size")
     more = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("offset")))
-    rows = rows.withColumn("taken", F.when(F.col("passes") >= MOST, MOST * F.col("size")).otherwise(F.col("passes") * F.col("size") + more))
-    share = F.least(F.lit(1.0), F.col("offset") / F.col("target"))
-    c = F.col("slope")
+    return rows.withColumn("taken", F.when(F.col("passes") >= MOST, MOST * F.col("size")).otherwise(F.col("passes") * F.col("size") + more).cast("long"))
+
+
+def _position(offset: Column) -> Column:
+    """The word position in the mixed stream at which the source's demand reaches ``offset``: its schedule's integral, inverted."""
+    share, c = F.least(F.lit(1.0), offset / F.col("target")), F.col("slope")
     progress = F.when(c == 0, share).otherwise((F.sqrt((1 - c) * (1 - c) + 4 * c * share) - (1 - c)) / (2 * c))
-    rows = rows.withColumn("position", F.when(F.col("taken") > 0, F.round(progress * F.col("total"), 3)))
-    return rows.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "position").orderBy("position", "doc_id")
+    return F.when(F.col("taken") > 0, F.round(progress * F.col("total"), 3))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, position; sorted by position.
+
+    taken sums to the source's rounded target: whole passes over the source, then
+    one more pass in md5 order up to the target, whose last document is taken in
+    part.  position is the word position in the mixed stream at which the document
+    first comes, null if it is not taken.  Null texts have size 0, null sources are
+    a source of their own, and an empty table gives an empty result.  Equal inputs
+    give equal results, however they are partitioned.
+    """
+    rows = _planned(docs, id_col, text_col, source_col).withColumn("position", _position(F.col("offset")))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position", "doc_id")
+
+
+def stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` as the mix takes them: repeated by pass, whole, range-sorted by training position.
+
+    A document that is taken in part in its last pass comes whole; one that is not
+    taken goes.  Ids are unique and not null.
+    """
+    times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)
+    plan = _planned(docs, id_col, text_col, source_col).withColumn("times", times).where("times > 0")
+    plan = plan.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    plan = plan.select(F.col("doc_id").alias(id_col), "pass", _position(F.col("offset") + F.col("pass") * F.col("source_size")).alias("position"))
+    rows = docs.select(F.col(id_col), F.struct(*docs.columns).alias("row")).join(plan, id_col)
+    return rows.orderBy("position", id_col, "pass").select("row.*")
 
 
 ORACLE = r"""

@@ -12,7 +12,6 @@ words' alternatives.  Repeated words are searched once.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import math
 import re
@@ -64,29 +63,57 @@ class Segmenter:
 
     def __init__(self, vocabulary: Vocabulary, n: int):
         self.v, self.n = vocabulary, n
-        self.longest = max(map(len, vocabulary.ids), default=1)
-        self.known: dict[str, tuple] = {}
+        # Every prefix of a piece, so that a search from a place ends where no piece goes on.
+        self.open: dict[str, float] = {p[:k]: -math.inf for p in vocabulary.ids for k in range(1, len(p))}
+        self.open |= vocabulary.scores
+        self.known: dict[str, tuple[float, float, bytes]] = {}
 
     def edges(self, word: str) -> list[list[tuple[int, float]]]:
         """Of each place, (start, score) of the pieces that end there; a character without a piece is one edge of bytes."""
-        scores, longest, out = self.v.scores, self.longest, [[]]
-        for end in range(1, len(word) + 1):
-            ending = []
-            for start in range(max(0, end - longest), end):
-                score = scores.get(word[start:end])
-                if score is not None:
-                    ending.append((start, score))
-            if not ending or ending[-1][0] != end - 1:
-                ending.append((end - 1, BYTE_SCORE * len(word[end - 1].encode("utf-8", "surrogatepass"))))
-            out.append(ending)
+        out: list[list[tuple[int, float]]] = [[] for _ in range(len(word) + 1)]
+        for start, c in enumerate(word):
+            if c not in self.v.scores:
+                out[start + 1].append((start, BYTE_SCORE * len(c.encode("utf-8", "surrogatepass"))))
+            for end in range(start + 1, len(word) + 1):
+                score = self.open.get(word[start:end])
+                if score is None:
+                    break
+                if score > -math.inf:
+                    out[end].append((start, score))
         return out
 
+    def forward(self, word: str) -> tuple[list[float], list[float], list[int]]:
+        """Of each place, the Viterbi score, that of the next best last piece, and the start of the best last piece.
+
+        Ties go to the longer last piece.
+        """
+        n, known, plain, none = len(word), self.open.get, self.v.scores, -math.inf
+        best, second, back = [none] * (n + 1), [none] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        for start in range(n):
+            ahead = best[start]
+            if word[start] not in plain:
+                end, x = start + 1, ahead + BYTE_SCORE * len(word[start].encode("utf-8", "surrogatepass"))
+                if x > best[end]:
+                    best[end], second[end], back[end] = x, best[end], start
+                elif x > second[end]:
+                    second[end] = x
+            for end in range(start + 1, n + 1):
+                score = known(word[start:end])
+                if score is None:
+                    break
+                x = ahead + score
+                if x > best[end]:
+                    second[end] = best[end]
+                    best[end] = x
+                    back[end] = start
+                elif x > second[end]:
+                    second[end] = x
+        return best, second, back
+
     def best(self, word: str) -> list[tuple[float, tuple[int, ...]]]:
-        """The word's up to n best (score, ends of pieces), best first; ties to longer last pieces."""
-        edges = self.edges(word)
-        ahead = [0.0]
-        for ending in edges[1:]:
-            ahead.append(max([ahead[start] + score for start, score in ending]))
+        """The word's up to n best (score, ends of pieces), best first: A* from the end, the forward scores as heuristic."""
+        edges, (ahead, _, _) = self.edges(word), self.forward(word)
         found, turn = [], 0
         queue = [(-ahead[-1], turn, len(word), 0.0, ())]
         while queue and len(found) < self.n:
@@ -99,40 +126,46 @@ class Segmenter:
                 heapq.heappush(queue, (-(ahead[start] + behind + score), turn, start, behind + score, (end, *path)))
         return found
 
-    def ids(self, word: str, ends: tuple[int, ...]) -> list[int]:
-        out, at = [], 0
-        for end in ends:
-            piece = word[at:end]
-            got = self.v.ids.get(piece)
-            out += [got] if got is not None else [self.v.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
-            at = end
-        return out
-
-    def word(self, word: str) -> tuple[float, np.ndarray, list[tuple[float, tuple[int, ...]]]]:
-        """Best score, its ids, and the alternatives as (loss, ends)."""
-        got = self.known.get(word)
-        if got is None:
-            found = self.best(word)
-            got = found[0][0], np.array(self.ids(word, found[0][1]), np.int32).tobytes(), [(found[0][0] - s, path) for s, path in found[1:]]
-            if len(self.known) >= KEPT_WORDS:
-                self.known.clear()
-            self.known[word] = got
-        return got
+    def word(self, word: str) -> tuple[float, float, bytes]:
+        """Best score, loss of the second best, and the best ids.
+
+        This is the A* search up to its first path: that path follows the best last
+        pieces, and the least loss left in the queue is that of the second path.
+        """
+        ahead, second, back = self.forward(word)
+        ids, loss, end, known = [], math.inf, len(word), self.v.ids.get
+        while end:
+            loss = min(loss, ahead[end] - second[end])
+            got = known(word[back[end] : end])
+            if got is None:
+                ids += [self.v.byte_ids[b] for b in reversed(word[back[end] : end].encode("utf-8", "surrogatepass"))]
+            else:
+                ids.append(got)
+            end = back[end]
+        return ahead[-1], loss, np.array(ids[::-1], np.int32).tobytes()
 
     def segment(self, text: str | None) -> tuple[np.ndarray, list[float], list[list[tuple[int, str, tuple[int, ...]]]]]:
         """Ids of the best segmentation, scores of the n best, and the words in which each of these differs from the best."""
         words = split(text)
         if not words:
             return np.empty(0, np.int32), [0.0], [[]]
-        got = [self.word(w) for w in words]
-        total = math.fsum([g[0] for g in got])
+        known = self.known
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        for w in set(words):
+            if w not in known:
+                known[w] = self.word(w)
+        scores, losses, ids = zip(*[known[w] for w in words], strict=True)
+        total = math.fsum(scores)
         # The n best differ from the best only in the n - 1 words of least loss.
-        near = heapq.nsmallest(self.n - 1, [(g[2][0][0], i) for i, g in enumerate(got) if g[2]])
-        ways = [(0.0, ())]
-        for _, i in near:
-            options = [(0.0, None), *((loss, (i, words[i], ends)) for loss, ends in got[i][2])]
-            ways = heapq.nsmallest(self.n, [(w + loss, (*changes, c) if c else changes) for w, changes in ways for loss, c in options])
-        return np.frombuffer(b"".join([g[1] for g in got]), np.int32), [total - w for w, _ in ways], [list(c) for _, c in ways]
+        near = [(min(losses), losses.index(min(losses)))] if self.n == 2 else heapq.nsmallest(self.n - 1, zip(losses, range(len(words)), strict=True))
+        ways: list[tuple[float, tuple]] = [(0.0, ())]
+        for loss, i in near:
+            if loss < math.inf:
+                found = self.best(words[i])
+                options = [(0.0, None), *((found[0][0] - s, (i, words[i], ends)) for s, ends in found[1:])]
+                ways = heapq.nsmallest(self.n, [(w + x, (*changes, c) if c else changes) for w, changes in ways for x, c in options], key=lambda y: y[0])
+        return np.frombuffer(b"".join(ids), np.int32), [total - w for w, _ in ways], [list(c) for _, c in ways]
 
 
 def split(text: str | None) -> list[str]:
@@ -140,17 +173,11 @@ def split(text: str | None) -> list[str]:
     return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def decode(ids: np.ndarray, vocabulary: Vocabulary) -> str:
-    """The text of a segmentation: bytes joined, marks turned to blanks, the leading one dropped."""
+def decoder(vocabulary: Vocabulary):
+    """A function from ids to text: bytes joined, marks turned to blanks, the leading one dropped."""
     back = {i: b for b, i in vocabulary.byte_ids.items()}
-    return _decoder([bytes([back[i]]) if i in back else p.replace(MARK, " ").encode() for i, p in enumerate(vocabulary.pieces)])(ids)
-
-
-def _decoder(table: list[bytes]):
-    def run(ids: np.ndarray) -> str:
-        return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "surrogatepass")[1:]
-
-    return run
+    table = [bytes([back[i]]) if i in back else p.replace(MARK, " ").encode() for i, p in enumerate(vocabulary.pieces)]
+    return lambda ids: b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "surrogatepass")[1:]
 
 
 def encode(docs: DataFrame, n: int = 2, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
@@ -162,23 +189,18 @@ def encode(docs: DataFrame, n: int = 2, id_col: str = "doc_id", text_col: str =
     ids, one score of 0 and come back as empty.  Repeated rows get equal results; an
     empty table gives an empty one; other columns are not looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+    loaded = Vocabulary.load(model)
+    shared = docs.sparkSession.sparkContext.broadcast((loaded.pieces, loaded.ids, loaded.scores, loaded.byte_ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(shared.value, n)
-        back = {i: b for b, i in shared.value.byte_ids.items()}
-        text_of = _decoder([bytes([back[i]]) if i in back else p.replace(MARK, " ").encode() for i, p in enumerate(shared.value.pieces)])
+        vocabulary = Vocabulary(*shared.value)
+        segmenter, text_of = Segmenter(vocabulary, n), decoder(vocabulary)
         for batch in batches:
             for first in range(0, batch.num_rows, 64):
                 part = batch.slice(first, 64)
                 rows = [(segmenter.segment(t), t or "") for t in part.column(1).to_pylist()]
                 ids = pa.ListArray.from_arrays(np.cumsum([0, *(len(r[0][0]) for r in rows)]).astype(np.int32), np.concatenate([r[0][0] for r in rows]))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([r[0][1] for r in rows], pa.list_(pa.float64())), pa.array([text_of(r[0][0]) == t for r, t in rows])], ["id", "ids", "scores", "round_trip"])
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([r[0][1] for r in rows], pa.list_(pa.float64())), pa.array([text_of(r[0]) == t for r, t in rows])], ["id", "ids", "scores", "round_trip"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, ids array<int>, scores array<double>, round_trip boolean").withColumnRenamed("id", id_col)
-
-
-def ids_digest(ids: np.ndarray) -> str:
-    """SHA-256 of the ids joined by blanks."""
-    return hashlib.sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest()

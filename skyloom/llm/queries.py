@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, secrets, top_k, warc
+from . import html_text, mixing, pieces, secrets, top_k, warc
 from .near_dedup import near_duplicates
 from .quality import quality
 from .toxicity import toxicity
@@ -50,6 +50,12 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two best segmentations of every document: pieces and hash of the best, both scores, and whether decoding gives the text again."""
+    coded = pieces.encode(_table(spark, sf_dir, "documents"), 2)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.get("scores", F.lit(0)).alias("best_score"), F.get("scores", F.lit(1)).alias("second_score"), "round_trip")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents by source weights 1, 2, 3 along the curriculum."""
     return mixing.mix(_table(spark, sf_dir, "documents"))
@@ -68,6 +74,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op6_warc": op6_warc,
     "op7_secrets": op7_secrets,
+    "op8_pieces": op8_pieces,
     "op9_mixing": op9_mixing,
     "op10_top_k": op10_top_k,
 }

@@ -76,32 +76,39 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("code").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repository: Column | None = None) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repository: Column | None = None, keep: bool = False) -> DataFrame:
     """One row per row of ``docs``: its id and ``spans``, array<struct<start, kind, end, live>>.
 
     kind indexes ``KINDS``; places are code points, the end exclusive.  live says that
     fewer than ``EXAMPLE_OWNERS`` distinct owners have the value.  Owner and repository
     default to the source and to source with language; nulls count as one owner.  Null
     and empty texts have no spans, repeated rows each keep their own, an empty table
-    gives an empty result.
+    gives an empty result.  With ``keep`` the whole row comes along as a struct, ``doc``.
     """
+    doc = [F.struct(*docs.columns).alias("doc")] if keep else []
     owner = F.coalesce((F.col("source") if owner is None else owner).cast("string"), F.lit(""))
     repository = F.coalesce((F.concat_ws("/", "source", "lang") if repository is None else repository).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), owner.alias("owner"), repository.alias("repository"), candidates(F.col(text_col).cast("string")).alias("found"))
+    rows = docs.select(F.col(id_col).alias("id"), owner.alias("owner"), repository.alias("repository"), candidates(F.col(text_col).cast("string")).alias("found"), *doc)
     hashed = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.sha2(x["value"], 256).alias("code")))
-    rows = durable(rows.select(F.monotonically_increasing_id().alias("row"), "id", "owner", "repository", hashed.alias("found")), "candidates")
+    rows = durable(rows.select(F.monotonically_increasing_id().alias("row"), "id", "owner", "repository", hashed.alias("found"), *["doc"] * keep), "candidates")
     each = rows.select("row", "owner", "repository", F.explode("found").alias("x")).select("row", "owner", "repository", "x.*")
     judged = each.join(ownership(each.select("code", "owner", "repository")), "code")
     span = F.struct("start", "kind", "end", (F.col("owners") < EXAMPLE_OWNERS).alias("live"))
     spans = judged.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     none = F.array().cast("array<struct<start:long,kind:int,end:long,live:boolean>>")
-    return rows.select("row", "id").join(spans, "row", "left").select(F.col("id").alias(id_col), F.coalesce("spans", none).alias("spans"))
+    rows = rows.select("row", "id", *["doc"] * keep).join(spans, "row", "left")
+    return rows.select(F.col("id").alias(id_col), F.coalesce("spans", none).alias("spans"), *["doc"] * keep)
+
+
+def reported(spans: Column) -> Column:
+    """The spans that count as secrets: the base ones, and wider ones that look live."""
+    return F.filter(spans, lambda x: (x["kind"] < 3) | x["live"])
 
 
 def report(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The digest of :func:`scan`: counts by base kind, hash of the base spans, all reported spans."""
     base = F.filter("spans", lambda x: x["kind"] < 3)
-    shown = F.filter("spans", lambda x: (x["kind"] < 3) | x["live"])
+    shown = reported(F.col("spans"))
     names = F.array(*map(F.lit, KINDS))
     text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
     of = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
@@ -112,9 +119,15 @@ def report(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> Column:
-    """The text with every base candidate's span and provider token replaced by ``mark``."""
-    body = F.col(text_col)
-    for pattern in (ASSIGN, ACCESS, HEX):
-        body = F.regexp_replace(body, pattern, mark)
-    return body
+def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """The text with each of the sorted spans replaced by ``mark``; spans that overlap give one mark."""
+    state = "struct<at:long,out:string>"
+
+    def step(acc: Column, x: Column) -> Column:
+        before = F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
+        out = F.when(x["start"] >= acc["at"], F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out")).cast(state)
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")).cast(state)
+    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1)))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
