@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import html_text, mixing, pieces, secrets, top_k, warc
 from .near_dedup import near_duplicates
 from .quality import quality
+from .suffix_dedup import remove_repeats
 from .toxicity import toxicity
 
 
@@ -40,6 +41,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents").select("doc_id", "text"), trusted).select(*names)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of 50-byte strings that start in an earlier document, over all documents."""
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through monolithic archives, the normaliser and the index."""
     return warc.round_trip(_table(spark, sf_dir, "pages"))
@@ -72,6 +78,7 @@ QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_html": op3_html,
     "op4_quality": op4_quality,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_warc": op6_warc,
     "op7_secrets": op7_secrets,
     "op8_pieces": op8_pieces,
