@@ -220,7 +220,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = durable(classes, "classes")
     sets = every.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "sketch")
     banded = sets.select("id", "sketch").mapInArrow(_band_keys, "id long, band int, key long")
-    order = F.xxhash64("id", "key")
+    # One order for all buckets, so that buckets of one group have the same centres and yield the same pairs.
+    order = F.xxhash64("id")
     size = banded.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("first"), F.min_by("id", order).alias("second"), F.max_by("id", order).alias("third")).where("members > 1")
     banded = durable(banded.join(size, "key"), "bands")
     wide = banded.where(f"members > {PAIR_BUCKET}")
