@@ -81,3 +81,50 @@ def same_keys(a: DataFrame, b: DataFrame, key: str) -> None:
 def verdict(need: Column, supply: Column) -> Column:
     """Five-way compliance from two pass flags; unknown on either side is not assessable."""
     return F.when(need.isNull() & supply.isNull(), "no_data").when(need.isNull() | supply.isNull(), "not_assessable").when(need & supply, "both").when(need, "first_only").when(supply, "second_only").otherwise("neither")
+
+
+def geometric_weights(matrix: Sequence[Sequence[float]]) -> list[float]:
+    """Row geometric means of the judgements, normalised."""
+    means = np.exp(np.log(np.asarray(matrix, float)).mean(axis=1))
+    return (means / means.sum()).tolist()
+
+
+def effective_dimensions(correlation: Sequence[Sequence[float]]) -> float:
+    """Exponential of the entropy of the correlation matrix's eigenvalue shares."""
+    values = np.clip(np.linalg.eigvalsh(np.asarray(correlation, float)), 0, None)
+    share = values / values.sum()
+    return float(np.exp(-(share[share > 0] * np.log(share[share > 0])).sum()))
+
+
+def urgency(df: DataFrame, terms: Sequence[tuple[str, float]]) -> Column:
+    """Interim priority: weighted sum of average-tie percent ranks in which a null takes the last place, as the most urgent."""
+    n = F.count("*").over(Window.partitionBy(F.lit(0)))
+    out = F.lit(0.0)
+    for name, weight in terms:
+        order = Window.partitionBy(F.lit(0)).orderBy(F.col(name).asc_nulls_last())
+        ties = F.count("*").over(Window.partitionBy(name))
+        out = out + F.lit(float(weight)) * (F.rank().over(order) + (ties - 1) / F.lit(2.0)) / n
+    return out
+
+
+def rank_correlations(df: DataFrame, criteria: Sequence[str]) -> DataFrame:
+    """(a, b, rho): Spearman's correlation of each pair of criteria over complete rows, by average-tie ranks."""
+    ranked_ = df.na.drop(subset=list(criteria))
+    for c in criteria:
+        ties = F.count("*").over(Window.partitionBy(c))
+        ranked_ = ranked_.withColumn(f"_r_{c}", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(c)) + (ties - 1) / F.lit(2.0))
+    pairs = [(a, b) for i, a in enumerate(criteria) for b in criteria[i + 1 :]]
+    one = ranked_.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"{a}:{b}") for a, b in pairs])
+    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}:{b}`").alias("rho")) for a, b in pairs]))
+    return one.select(rows.alias("x")).select("x.*")
+
+
+def ablated(criteria: Sequence[tuple[str, float]]) -> list[tuple[str, list[tuple[str, float]]]]:
+    """Each criterion left out in turn, the others' weights scaled to the old sum."""
+    total = sum(w for _, w in criteria)
+    return [(name, [(n, w * total / (total - weight)) for n, w in criteria if n != name]) for name, weight in criteria]
+
+
+def coverage(observed: Column, land: Column) -> Column:
+    """Observed over land area, at most 1; null without land."""
+    return F.least(F.lit(1.0), observed / F.nullif(land, F.lit(0.0)))

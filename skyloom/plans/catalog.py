@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.functions import scalar
-from skyloom.operators import aggregates, agreement, graph, grids, ranking, trends, windows
+from skyloom.operators import aggregates, agreement, graph, grids, inference, landscape, ranking, trends, windows
 from skyloom.plans import models
 from skyloom.sources.tables import table
 from skyloom.streaming import windows as event_windows
@@ -623,6 +623,130 @@ def provenance_join(spark, d):
     return b.join(docs, "lead", "left").groupBy("item_id").agg(F.count("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
+@query(f"""WITH {CRITERIA}, r AS (SELECT *, rank() OVER (ORDER BY c NULLS LAST) AS kc, count(*) OVER (PARTITION BY c) AS tc, rank() OVER (ORDER BY b) AS kb, count(*) OVER (PARTITION BY b) AS tb, count(*) OVER () AS n FROM x)
+SELECT zone, round(0.6 * (kc + (tc - 1) / 2::DOUBLE) / n + 0.4 * (kb + (tb - 1) / 2::DOUBLE) / n, 6) AS urgency FROM r""")
+def interim_priority(spark, d):
+    """Interim urgency of nations; a missing criterion ranks last, as the most urgent."""
+    x = _criteria(spark, d)
+    return x.select("zone", F.round(ranking.urgency(x, [("c", 0.6), ("b", 0.4)]), 6).alias("urgency"))
+
+
+@query(f"""WITH {CRITERIA}, k AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2::DOUBLE AS a, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2::DOUBLE AS b, rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2::DOUBLE AS c FROM x WHERE c IS NOT NULL)
+SELECT 'a' AS a, 'b' AS b, round(corr(a, b), 6) AS rho FROM k UNION ALL SELECT 'a', 'c', round(corr(a, c), 6) FROM k UNION ALL SELECT 'b', 'c', round(corr(b, c), 6) FROM k""")
+def criterion_correlation(spark, d):
+    """Spearman's correlation of the criteria."""
+    return ranking.rank_correlations(_criteria(spark, d), ["a", "b", "c"]).select("a", "b", r6("rho"))
+
+
+@query()
+def criterion_ablation(spark, d):
+    """Largest rank change of each nation's overlay when a criterion is left out."""
+    x = _criteria(spark, d)
+    mm = x.select("zone", *[windows.min_max(F.col(n), []).alias(n) for n in "abc"])
+    terms = [("a", 0.3), ("b", 0.3), ("c", 0.4)]
+    score = lambda t: F.round(ranking.overlay([(F.col(n), w) for n, w in t]), 9)
+    full = ranking.ranked(mm.withColumn("score", score(terms)), "score", "zone", 10)
+    out = None
+    for left_out, rest in ranking.ablated(terms):
+        one = ranking.compared(full, ranking.ranked(mm.withColumn("score", score(rest)), "score", "zone", 10), "zone", "rank", 10).withColumn("left_out", F.lit(left_out))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT n_nationkey AS zone, round(least(1.0::DOUBLE, s.a / nullif(c.a, 0)), 6) AS coverage FROM nation LEFT JOIN (SELECT s_nationkey AS k, sum(abs(s_acctbal)) AS a FROM supplier GROUP BY 1) s ON s.k = n_nationkey LEFT JOIN (SELECT c_nationkey AS k, sum(abs(c_acctbal)) / 10 AS a FROM customer GROUP BY 1) c ON c.k = n_nationkey""")
+def land_coverage(spark, d):
+    """Observed over land area by nation, at most 1."""
+    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("zone")).agg(F.sum(F.abs("s_acctbal")).alias("seen"))
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("zone")).agg((F.sum(F.abs("c_acctbal")) / 10).alias("land"))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("zone"))
+    return n.join(s, "zone", "left").join(c, "zone", "left").select("zone", F.round(ranking.coverage(F.col("seen"), F.col("land")), 6).alias("coverage"))
+
+
+# --- patches and allocation ---------------------------------------------------
+
+@query(f"""WITH RECURSIVE {CELLS}, x AS (SELECT row * 1000000 + col AS i, row, col FROM c WHERE code = 1), e AS (SELECT a.i, b.i AS j FROM x a JOIN x b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1),
+w AS (SELECT i, i AS r FROM x UNION SELECT e.j, w.r FROM w JOIN e ON w.i = e.i), p AS (SELECT i, min(r) AS p FROM w GROUP BY i), s AS (SELECT p, count(*) AS n FROM p GROUP BY p),
+g AS (SELECT count(*) FILTER ((a.code = 1) <> (b.code = 1)) AS edges FROM c a JOIN c b ON (a.row = b.row AND a.col = b.col + 1) OR (a.col = b.col AND a.row = b.row + 1))
+SELECT round(sum(n) * 0.01::DOUBLE, 6) AS area_ha, count(*)::BIGINT AS patches, round(sum(n) / count(*)::DOUBLE * 0.01, 6) AS mean_patch_ha, round(100::DOUBLE * max(n) / (SELECT count(*) FROM c), 6) AS largest_patch_index, (SELECT edges FROM g)::BIGINT AS edges FROM s""")
+def landscape_metrics(spark, d):
+    """Area, patches, largest patch and edges of one code."""
+    c = cells(spark, d)
+    out = landscape.landscape(c, landscape.patches(c, "code", 1), "code", 1, 0.01)
+    return out.select(r6("area_ha"), "patches", r6("mean_patch_ha"), r6("largest_patch_index"), "edges")
+
+
+@query(f"""WITH RECURSIVE {CELLS}, x AS (SELECT row * 1000000 + col AS i, row, col FROM c WHERE code = 1), e AS (SELECT a.i, b.i AS j FROM x a JOIN x b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1),
+w AS (SELECT i, i AS r FROM x UNION SELECT e.j, w.r FROM w JOIN e ON w.i = e.i), p AS (SELECT i, min(r) AS p FROM w GROUP BY i), q AS (SELECT x.row, x.col FROM p JOIN x ON p.i = x.i WHERE p.p IN (SELECT p FROM p GROUP BY p HAVING count(*) >= 5)),
+n AS (SELECT c.row, c.col, min((c.row - q.row) ** 2 + (c.col - q.col) ** 2) AS s FROM c JOIN q ON abs(c.row - q.row) <= 3 AND abs(c.col - q.col) <= 3 GROUP BY ALL)
+SELECT row, col, round(sqrt(s), 6) AS distance FROM n WHERE s <= 9""")
+def service_area(spark, d):
+    """Cells within three cells of a patch of half a hectare, and how far it is."""
+    c = cells(spark, d)
+    targets = landscape.qualifying(landscape.patches(c, "code", 1), 0.1)
+    return landscape.near_cells(c, targets, 3.0).select("row", "col", r6("distance"))
+
+
+@query(f"""WITH {CELLS}, n AS (SELECT c.row, c.col, min((c.row - q.row) ** 2 + (c.col - q.col) ** 2) AS s FROM c JOIN c q ON q.code = 3 AND abs(c.row - q.row) <= 2 AND abs(c.col - q.col) <= 2 GROUP BY ALL) SELECT row, col FROM n WHERE s <= 4""")
+def shoreline_mask(spark, d):
+    """Cells within two cells of water: a circular dilation of the mask."""
+    c = cells(spark, d)
+    return landscape.near_cells(c, c.where("code = 3"), 2.0).select("row", "col")
+
+
+@query(f"""WITH {CELLS}, m AS (SELECT *, row_number() OVER (PARTITION BY code = 2 ORDER BY row + col, row, col) AS k, floor(count(*) OVER (PARTITION BY code = 2) * 0.2) AS n FROM c) SELECT row, col, CASE WHEN code = 2 AND k <= n THEN 1 ELSE code END AS code, code = 2 AND k <= n AS changed FROM m""")
+def greening_scenario(spark, d):
+    """A fifth of the cells of one code turned to another."""
+    return landscape.scenario(cells(spark, d), F.col("code") == 2, F.col("row") + F.col("col"), 0.2, 1, "code").select("row", "col", "code", "changed")
+
+
+@query()
+def ca_allocation(spark, d):
+    """Cells of each code before and after an allocation to a demand; sequential by design, so without a twin."""
+    c = cells(spark, d)
+    n = {r["code"]: r["n"] for r in c.groupBy("code").agg(F.count("*").alias("n")).collect()}
+    move = min(n.get(0, 0) // 4, 20)
+    return landscape.allocate(c, "code", {**n, 0: n.get(0, 0) - move, 1: n.get(1, 0) + move}).groupBy("code").agg(F.count("*").alias("n"), F.count_if("moved").alias("moved"))
+
+
+# --- further trends and models -------------------------------------------------
+
+@query(f"""WITH {YEARLY}, e AS (SELECT DISTINCT year - year % 5 AS epoch FROM y) SELECT y.zone, (y.year - y.year % 5)::INTEGER AS epoch, round(median(price), 4) AS median, count(price)::BIGINT AS n FROM y GROUP BY ALL""")
+def epoch_composite(spark, d):
+    """Medians pooled over five-year epochs by nation."""
+    rows = yearly_orders(spark, d).withColumn("epoch", (F.col("year") - F.col("year") % 5).cast("int"))
+    return rows.groupBy("zone", "epoch").agg(F.round(F.median("price"), 4).alias("median"), F.count("price").alias("n"))
+
+
+@query(f"""{SERIES}, m AS (SELECT max(n) AS best FROM s) SELECT year, sum(n)::BIGINT AS n, sum(n) >= 0.9 * max(sum(n)) OVER () AS usable FROM s GROUP BY year""")
+def usable_years(spark, d):
+    """Years with at least nine tenths of the best year's orders."""
+    by = series(spark, d).groupBy("year").agg(F.sum("n").alias("n"))
+    best = by.agg(F.max("n").alias("best")).withColumn("k", F.lit(1))
+    return by.withColumn("k", F.lit(1)).join(F.broadcast(best), "k").select("year", "n", (F.col("n") >= 0.9 * F.col("best")).alias("usable"))
+
+
+@query(f"""{SERIES}, p AS (SELECT a.zone, sum(sign(b.v - a.v)) AS s, count(*) AS pairs FROM s a JOIN s b ON a.zone = b.zone AND b.year > a.year GROUP BY a.zone) SELECT zone, round(s / pairs::DOUBLE, 6) AS tau FROM p""")
+def kendall_tau(spark, d):
+    """Kendall's tau of mean prices by nation."""
+    pairs = trends.year_pairs(series(spark, d), ["zone"], "year", "v")
+    return pairs.groupBy("zone").agg(F.round(F.avg(F.signum(F.col("v2") - F.col("v1"))), 6).alias("tau"))
+
+
+@query()
+def modified_trend_tests(spark, d):
+    """Original and modified Mann-Kendall tests by nation; the modified ones are numeric work without a twin."""
+    return inference.trend_tests(series(spark, d), ["zone"], "year", "v", ["original", "hamed_rao", "yue_wang", "prewhitening", "trend_free"])
+
+
+@query()
+def spatial_model_ladder(spark, d):
+    """OLS, LM tests, spatial lag, spatial error and local regression over nations."""
+    x = _criteria(spark, d)
+    near = _edges(spark, d).groupBy("i").agg(F.sort_array(F.collect_list(F.col("j").cast("long"))).alias("near"))
+    rows = x.join(near, x.zone == near.i).select(F.lit("all").alias("g"), F.col("zone").cast("long").alias("zone"), "a", "b", (F.col("zone") % 5).cast("double").alias("x"), F.floor(F.col("zone") / 5).cast("double").alias("y"), "near")
+    return inference.model_ladder(rows, "g", "zone", "a", ["b"], ["x", "y"], "near")
+
+
 # --- event time ----------------------------------------------------------------
 
 @query("""SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY ALL""")
