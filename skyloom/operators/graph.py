@@ -132,8 +132,38 @@ def hot_spot_runs(flags: DataFrame, zone: str, bin_: str, flag: str) -> DataFram
     return flags.groupBy(zone).agg(F.count("*").alias("bins")).join(runs, zone, "left").na.fill(0, ["hot_bins", "longest", "final_run"])
 
 
-def hot_spot_category(runs: DataFrame) -> DataFrame:
-    """A plain emerging-hot-spot label in a fixed order: none, new, consecutive, persistent, sporadic."""
-    share = F.col("hot_bins") / F.col("bins")
-    label = F.when(F.col("hot_bins") == 0, "none").when((F.col("hot_bins") == 1) & (F.col("final_run") == 1), "new").when((F.col("final_run") > 1) & (F.col("final_run") == F.col("hot_bins")) & (share < 0.9), "consecutive").when(share >= 0.9, "persistent").otherwise("sporadic")
-    return runs.withColumn("category", label)
+#: Fixed values of emerging hot spots: significance, final run that is new, least consecutive run, persistent share, sporadic share, recent bins.
+HOT_Z, NEW_BINS, CONSECUTIVE_BINS, PERSISTENT, SPORADIC, RECENT_BINS = 1.96, 1, 2, 0.9, 0.9, 1
+
+
+def emerging(panel: DataFrame, zone: str, bin_: str, z: str, trend: str, final_required: bool = True) -> DataFrame:
+    """(zone, bins, share, final_run, category): the emerging-hot-spot category of each zone's z series.
+
+    ``trend`` is 1 for a significant rise, -1 for a fall, 0 for none.  The final bin
+    decides the side, the majority only if it is not significant.  Rules apply in a
+    fixed order: oscillating, new, consecutive, the persistent family, sporadic,
+    then what the trend says.
+    """
+    rows = panel.groupBy(zone).agg(F.transform(F.array_sort(F.collect_list(F.struct(bin_, z))), lambda x: x[z]).alias("s"), F.max(trend).alias("t"))
+    some = lambda a: F.exists(a, lambda x: x)
+    rows = rows.withColumns({"hot": F.transform("s", lambda x: x > HOT_Z), "cold": F.transform("s", lambda x: x < -HOT_Z), "n": F.size("s")})
+    ones = lambda a: F.size(F.filter(a, lambda x: x))
+    rows = rows.withColumn("is_hot", F.when(F.element_at("hot", -1), True).when(F.element_at("cold", -1), False).otherwise(ones("hot") >= ones("cold")))
+    rows = rows.withColumns({"f": F.when(F.col("is_hot"), F.col("hot")).otherwise(F.col("cold")), "o": F.when(F.col("is_hot"), F.col("cold")).otherwise(F.col("hot")), "t": F.when(F.col("is_hot"), F.col("t")).otherwise(-F.col("t"))})
+    rows = rows.withColumns({"k": ones("f"), "run": F.col("n") - F.array_max(F.transform("f", lambda x, i: F.when(x, 0).otherwise(i + 1)))})
+    rows = rows.withColumns({"share": F.col("k") / F.col("n"), "last": F.element_at("f", -1), "recent": some(F.slice("f", -RECENT_BINS, RECENT_BINS)), "opposite": some("o")})
+    moving = F.when(F.col("t") > 0, "intensifying").when(F.col("t") < 0, "diminishing")
+    label = (
+        F.when((F.col("k") == 0) & ~F.col("opposite"), "no_pattern")
+        .when(F.col("last") & F.col("opposite"), "oscillating")
+        .when((F.col("run") > 0) & (F.col("run") <= NEW_BINS) & (F.col("k") == F.col("run")), "new")
+        .when((F.col("run") >= CONSECUTIVE_BINS) & (F.col("k") == F.col("run")) & (F.col("share") < PERSISTENT), "consecutive")
+        .when((F.col("share") >= PERSISTENT) & ~F.col("recent"), "historical")
+        .when(F.col("share") >= PERSISTENT, F.coalesce(moving, F.lit("persistent")))
+        .when((F.col("share") < SPORADIC) & ~F.col("opposite") & (F.col("last") | F.lit(not final_required)), "sporadic")
+        .when(~F.col("last") & F.lit(final_required), "no_pattern")
+        .otherwise(F.coalesce(moving, F.lit("sporadic")))
+    )
+    rows = rows.withColumn("label", label)
+    side = F.when(F.col("is_hot"), "_hot_spot").otherwise("_cold_spot")
+    return rows.select(zone, F.col("n").alias("bins"), "share", F.col("run").alias("final_run"), F.when(F.col("label") == "no_pattern", F.col("label")).otherwise(F.concat("label", side)).alias("category"))

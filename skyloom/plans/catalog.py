@@ -364,15 +364,28 @@ HOT = """b AS (SELECT event_type, (ts::DATE - DATE '2024-01-01')::INTEGER AS bin
 r AS (SELECT event_type, island, count(*) AS length, max(bin) = any_value(last) AS final FROM i WHERE hot GROUP BY ALL),
 s AS (SELECT event_type, sum(length) AS hot_bins, max(length) AS longest, max(CASE WHEN final THEN length ELSE 0 END) AS final_run FROM r GROUP BY ALL),
 a AS (SELECT f.event_type, count(*) AS bins, coalesce(any_value(s.hot_bins), 0) AS hot_bins, coalesce(any_value(s.longest), 0) AS longest, coalesce(any_value(s.final_run), 0) AS final_run FROM f LEFT JOIN s ON f.event_type = s.event_type GROUP BY f.event_type)
-SELECT event_type, bins::BIGINT AS bins, hot_bins::BIGINT AS hot_bins, longest::BIGINT AS longest, final_run::BIGINT AS final_run,
-CASE WHEN hot_bins = 0 THEN 'none' WHEN hot_bins = 1 AND final_run = 1 THEN 'new' WHEN final_run > 1 AND final_run = hot_bins AND hot_bins / bins < 0.9 THEN 'consecutive' WHEN hot_bins / bins >= 0.9 THEN 'persistent' ELSE 'sporadic' END AS category FROM a""")
+SELECT event_type, bins::BIGINT AS bins, hot_bins::BIGINT AS hot_bins, longest::BIGINT AS longest, final_run::BIGINT AS final_run FROM a""")
 def space_time_runs(spark, d):
-    """Daily panel of event values, runs of hot days and their category by type."""
+    """Daily panel of event values and runs of hot days by type."""
     from pyspark.sql import Window
 
     b = table(spark, d, "events").groupBy("event_type", F.datediff("ts", F.lit("2024-01-01").cast("date")).alias("bin")).agg(F.sum("value").alias("v"))
     flags = b.withColumn("hot", F.col("v") > F.avg("v").over(Window.partitionBy("event_type")))
-    return graph.hot_spot_category(graph.hot_spot_runs(flags, "event_type", "bin", "hot"))
+    return graph.hot_spot_runs(flags, "event_type", "bin", "hot")
+
+
+@query(f"""{SERIES}, g AS (SELECT zone, year, (v - avg(v) OVER (PARTITION BY year)) / nullif(stddev_pop(v) OVER (PARTITION BY year), 0) AS z, sum(v) OVER (PARTITION BY zone) AS t FROM s),
+p AS (SELECT zone, count(*) AS n, count(*) FILTER (z > 1.96) AS hot, count(*) FILTER (z < -1.96) AS cold, arg_max(z > 1.96, year) AS lh, arg_max(z < -1.96, year) AS lc, max(year) FILTER (NOT z > 1.96) AS eh, max(year) FILTER (NOT z < -1.96) AS ec FROM g GROUP BY zone),
+q AS (SELECT *, CASE WHEN lh THEN true WHEN lc THEN false ELSE hot >= cold END AS side FROM p),
+u AS (SELECT q.zone, n, side, CASE WHEN side THEN hot ELSE cold END AS k, CASE WHEN side THEN cold ELSE hot END AS o, CASE WHEN side THEN lh ELSE lc END AS last, (SELECT count(*) FROM g WHERE g.zone = q.zone AND g.year > coalesce(CASE WHEN side THEN eh ELSE ec END, 0)) AS run, (q.zone % 3) - 1 AS t0 FROM q),
+w AS (SELECT *, k / n AS share, CASE WHEN side THEN t0 ELSE -t0 END AS t FROM u),
+l AS (SELECT *, CASE WHEN k = 0 AND o = 0 THEN 'no_pattern' WHEN last AND o > 0 THEN 'oscillating' WHEN run > 0 AND run <= 1 AND k = run THEN 'new' WHEN run >= 2 AND k = run AND share < 0.9 THEN 'consecutive' WHEN share >= 0.9 AND NOT last THEN 'historical'
+WHEN share >= 0.9 THEN CASE WHEN t > 0 THEN 'intensifying' WHEN t < 0 THEN 'diminishing' ELSE 'persistent' END WHEN share < 0.9 AND o = 0 AND last THEN 'sporadic' WHEN NOT last THEN 'no_pattern' WHEN t > 0 THEN 'intensifying' WHEN t < 0 THEN 'diminishing' ELSE 'sporadic' END AS c FROM w)
+SELECT zone, n::INTEGER AS bins, round(share, 6) AS share, run::INTEGER AS final_run, CASE WHEN c = 'no_pattern' THEN c WHEN side THEN c || '_hot_spot' ELSE c || '_cold_spot' END AS category FROM l""")
+def emerging_hot_spots(spark, d):
+    """Emerging-hot-spot category of each nation's yearly z series."""
+    panel = series(spark, d).withColumn("z", windows.z_score(F.col("v"), ["year"])).withColumn("t", (F.col("zone") % 3) - 1)
+    return graph.emerging(panel, "zone", "year", "z", "t").select("zone", "bins", r6("share"), "final_run", "category")
 
 
 @query(f"""WITH {CELLS} SELECT a.row, a.col, round(count(*) FILTER (b.code = 1) / count(*)::DOUBLE, 6) AS share FROM c a JOIN c b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND (a.row, a.col) <> (b.row, b.col) GROUP BY ALL""")

@@ -71,6 +71,18 @@ def test_components(spark):
     assert all(c == (10 if i < 40 else 50) for i, c in got) and len(got) == 23
 
 
+@pytest.mark.parametrize(
+    ("series", "trend", "want"),
+    [
+        ([0, 0, 0], 0, "no_pattern"), ([-3, 0, 3], 0, "oscillating_hot_spot"), ([0, 0, 3], 0, "new_hot_spot"), ([0, 3, 3], 0, "consecutive_hot_spot"), ([3, 3, 3], 1, "intensifying_hot_spot"),
+        ([3, 3, 3], -1, "diminishing_hot_spot"), ([3, 3, 3], 0, "persistent_hot_spot"), ([3] * 19 + [0], 0, "historical_hot_spot"), ([3, 0, 3], 0, "sporadic_hot_spot"), ([3, 0, 0], 0, "no_pattern"), ([-3, -3, -3], -1, "intensifying_cold_spot"),
+    ],
+)
+def test_emerging(spark, series, trend, want):
+    df = spark.createDataFrame([(1, i, float(z), trend) for i, z in enumerate(series)], "zone int, b int, z double, t int")
+    assert graph.emerging(df, "zone", "b", "z", "t").first()["category"] == want
+
+
 def test_kappa(spark):
     counts = lambda m: spark.createDataFrame([(i, j, n) for i, row in enumerate(m) for j, n in enumerate(row)], "truth int, guess int, n long")
     assert agreement.agreement(counts([[20, 5], [10, 15]])).first()["kappa"] == pytest.approx(0.4)
