@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose segmentations a task keeps at hand.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 600_000
 #: Score of one byte of a character that the vocabulary lacks.
 BYTE_SCORE = -25.0
 
@@ -142,7 +143,7 @@ class Segmenter:
             else:
                 ids.append(got)
             end = back[end]
-        return ahead[-1], loss, np.array(ids[::-1], np.int32).tobytes()
+        return ahead[-1], loss, array("i", ids[::-1]).tobytes()
 
     def segment(self, text: str | None) -> tuple[np.ndarray, list[float], list[list[tuple[int, str, tuple[int, ...]]]]]:
         """Ids of the best segmentation, scores of the n best, and the words in which each of these differs from the best."""
