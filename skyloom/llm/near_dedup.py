@@ -31,7 +31,7 @@ REGISTERS, BANDS, BASE, TOP = 160, 32, 1.02, 65535
 #: Sets in a bucket up to which all its pairs are made at once.
 PAIR_BUCKET = 8
 #: Members of a block of a wide bucket; a task of the block search holds two.
-BLOCK = 256
+BLOCK = 512
 #: Natural-log likelihood by which the wanted similarity must lose before a pair is dropped unseen.
 DOUBT = 14.0
 #: Ids up to which the verified documents are picked by a broadcast of their ids.
