@@ -80,3 +80,14 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int, required: Sequence
     """The n rows of least md5(key, seed) among those complete in ``required``: exact in count and the same everywhere."""
     code = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
     return df.na.drop(subset=list(required) or [key]).withColumn("code", code).orderBy("code", key).limit(n).drop("code")
+
+
+def mentions(items: DataFrame, docs: DataFrame, item: str, doc: str, text: str) -> DataFrame:
+    """(item, documents, first_doc): how many ``docs`` hold an item's text anywhere in theirs, 0 for none.
+
+    ``items`` is broadcast and must be bounded; every item is sought in every whole text.
+    """
+    wanted = F.broadcast(items.select(item, F.col(text).alias("_wanted")))
+    found = docs.select(doc, text).join(wanted, F.contains(F.col(text), F.col("_wanted"))).groupBy(F.col(item).alias("_item"))
+    found = found.agg(F.count(doc).alias("documents"), F.min(doc).alias("first_doc"))
+    return items.select(item).distinct().join(found, F.col(item).eqNullSafe(F.col("_item")), "left").select(item, F.coalesce("documents", F.lit(0)).cast("long").alias("documents"), "first_doc")

@@ -636,6 +636,13 @@ def provenance_join(spark, d):
     return b.join(docs, "lead", "left").groupBy("item_id").agg(F.count("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
+@query("""SELECT b.item_id, count(d.doc_id)::BIGINT AS documents, min(d.doc_id) AS first_doc FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1""")
+def provenance_contains(spark, d):
+    """Documents that hold an item's whole text anywhere."""
+    b, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    return aggregates.mentions(b, docs, "item_id", "doc_id", "text")
+
+
 @query(f"""WITH {CRITERIA}, r AS (SELECT *, rank() OVER (ORDER BY c NULLS LAST) AS kc, count(*) OVER (PARTITION BY c) AS tc, rank() OVER (ORDER BY b) AS kb, count(*) OVER (PARTITION BY b) AS tb, count(*) OVER () AS n FROM x)
 SELECT zone, round(0.6 * (kc + (tc - 1) / 2::DOUBLE) / n + 0.4 * (kb + (tb - 1) / 2::DOUBLE) / n, 6) AS urgency FROM r""")
 def interim_priority(spark, d):

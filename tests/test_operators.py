@@ -148,3 +148,14 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     count = lambda df: one(df.select(F.col("start").cast("string"), "event_type", "n"), "start", "event_type")
     assert count(spark.table("tumbled")) == count(event_windows.tumbling(events, "ts", "1 day", ["event_type"], "value"))
+
+
+def test_mentions_anywhere(spark):
+    """Whole item texts are found beyond a document's opening and inside words; the two-word prefix finds none of them."""
+    items = {1: "cd ef gh", 2: "cd ef zz", 3: "q", 4: ""}
+    texts = {10: "ab cd ef gh ij", 11: "xcd ef ghx " * 3, 12: "cd ef", 13: None, 14: "w " * 5000 + "cd ef zz"}
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["item_id"]: (r["documents"], r["first_doc"]) for r in aggregates.mentions(b, docs, "item_id", "doc_id", "text").collect()}
+    found = {i: [d for d, t in texts.items() if t is not None and x in t] for i, x in items.items()}
+    assert got == {i: (len(f), min(f, default=None)) for i, f in found.items()}
