@@ -39,6 +39,43 @@ def nearest(points: DataFrame, key: str, group: str, x: str, y: str, k: int) ->
     return a.join(b, "g").where("i <> j").withColumn("distance", d).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("i", "j", "rank", "distance")
 
 
+def nearest_all(points: DataFrame, key: str, x: str, y: str, k: int) -> DataFrame:
+    """Edges (i, j, rank, distance) to the k nearest of all points, ties to the smaller key.
+
+    A point is held against the points of its grid cell and the eight around it,
+    which hold all that are nearer than a cell's width.  Points whose k-th distance
+    does not prove itself so go on to cells of twice the width, until one covers
+    the map; tables are written between rounds.  Points without coordinates have
+    no edges and are nobody's neighbour.
+    """
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    rows = written(points.where(known(x) & known(y)).select(F.col(key).alias("i"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
+    n, x0, x1, y0, y1 = rows.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if not n:
+        return rows.select("i", F.col("i").alias("j"), F.lit(0).alias("rank"), F.lit(0.0).alias("distance"))
+    wide, high = x1 - x0, y1 - y0
+    side = 2 * max((wide * high * k / n) ** 0.5, max(wide, high) * k / n) or 1.0
+    order = Window.partitionBy("i").orderBy("distance", "j")
+    d = F.sqrt((F.col("x") - F.col("xj")) * (F.col("x") - F.col("xj")) + (F.col("y") - F.col("yj")) * (F.col("y") - F.col("yj")))
+    left, out = rows, None
+    while True:
+        last = side > 2 * max(wide, high)
+        cell = lambda c, low: F.floor((F.col(c) - low) / side)  # noqa: B023, E731
+        near = F.explode(F.array(*[F.struct((cell("x", x0) + a).alias("cx"), (cell("y", y0) + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+        a = left.select("i", "x", "y", near.alias("c")).select("i", "x", "y", "c.cx", "c.cy")
+        b = rows.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), cell("x", x0).alias("cx"), cell("y", y0).alias("cy"))
+        found = a.join(b, ["cx", "cy"]).where("i <> j").withColumn("distance", d).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        found = written(found.select("i", "j", "rank", "distance"))
+        proven = found if last else found.join(found.where((F.col("rank") == k) & (F.col("distance") < side * (1 - 1e-9))).select("i"), "i", "left_semi")
+        out = proven if out is None else out.unionByName(proven)
+        if last:
+            return out
+        left = written(left.join(proven.select("i").distinct(), "i", "left_anti"))
+        if left.isEmpty():
+            return out
+        side *= 2
+
+
 def island_repair(edges: DataFrame, nearest_edges: DataFrame) -> DataFrame:
     """``edges`` plus, for keys without any, a symmetric edge to their nearest neighbour."""
     lone = nearest_edges.where("rank = 1").join(edges.select("i").distinct(), "i", "left_anti").select("i", "j")

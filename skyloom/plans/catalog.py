@@ -357,6 +357,15 @@ def knn_edges(spark, d):
     return graph.nearest(p, "s_suppkey", "s_nationkey", "s_acctbal", "y", 2).select("i", "j", "rank", r6("distance"))
 
 
+@query("""WITH p AS (SELECT s_suppkey, s_acctbal AS x, (s_suppkey % 100)::DOUBLE AS y FROM supplier),
+n AS (SELECT a.s_suppkey AS i, b.s_suppkey AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance FROM p a JOIN p b ON a.s_suppkey <> b.s_suppkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY distance, j)::INTEGER AS rank FROM n) SELECT i, j, rank, round(distance, 6) AS distance FROM r WHERE rank <= 2""")
+def knn_edges_all(spark, d):
+    """Two nearest of all suppliers."""
+    p = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", (F.col("s_suppkey") % 100).cast("double").alias("y"))
+    return graph.nearest_all(p, "s_suppkey", "s_acctbal", "y", 2).select("i", "j", "rank", r6("distance"))
+
+
 HOT = """b AS (SELECT event_type, (ts::DATE - DATE '2024-01-01')::INTEGER AS bin, sum(value) AS v FROM events GROUP BY ALL), f AS (SELECT *, v > avg(v) OVER (PARTITION BY event_type) AS hot FROM b)"""
 
 

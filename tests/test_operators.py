@@ -1,6 +1,7 @@
 """Rules that are easily got wrong, on small tables made here."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,3 +160,17 @@ def test_mentions_anywhere(spark):
     got = {r["item_id"]: (r["documents"], r["first_doc"]) for r in aggregates.mentions(b, docs, "item_id", "doc_id", "text").collect()}
     found = {i: [d for d, t in texts.items() if t is not None and x in t] for i, x in items.items()}
     assert got == {i: (len(f), min(f, default=None)) for i, f in found.items()}
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_of_all_points(spark, k):
+    """Clusters, outliers, equal places and points without coordinates against brute force; groups do not limit the search."""
+    rng = random.Random(4)
+    rows = [(i, rng.gauss(0, 1), rng.gauss(0, 50)) for i in range(150)] + [(200 + i, 1000.0, 7.0) for i in range(6)] + [(300, -9000.0, 4.0), (301, None, 1.0), (302, 1.0, float("nan"))]
+    got = {(r["i"], r["rank"]): (r["j"], r["distance"]) for r in graph.nearest_all(spark.createDataFrame(rows, "s long, x double, y double"), "s", "x", "y", k).collect()}
+    known = [r for r in rows if r[1] is not None and r[2] == r[2]]
+    want = {}
+    for i, x, y in known:
+        near = sorted((math.sqrt((x - u) * (x - u) + (y - v) * (y - v)), j) for j, u, v in known if j != i)
+        want |= {(i, n + 1): (j, pytest.approx(d)) for n, (d, j) in enumerate(near[:k])}
+    assert got == want
