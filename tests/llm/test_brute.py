@@ -173,3 +173,13 @@ def test_pipeline(spark, texts):
     last = corpus_pipeline.encode(spark, mixed, SF)
     assert last.where("round_trip").count() == mixed.count()
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "secret_scan", "source_mix", "sentencepiece"]
+
+
+def test_quality_keeps_held_out_good_documents(spark):
+    """Good documents outside the trusted sample pass as those inside it do, though few are labelled."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id")
+    inside = labels.where("pmod(hash(doc_id, 'half'), 2) = 0")
+    got = quality.quality(docs, inside).where("NOT base_failed").join(labels, "doc_id").selectExpr("kept", "pmod(hash(doc_id, 'half'), 2) = 0 AS inside").collect()
+    for side in (True, False):
+        kept = [r["kept"] for r in got if r["inside"] == side]
+        assert len(kept) >= 25 and sum(kept) >= 0.9 * len(kept)
