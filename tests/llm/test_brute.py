@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from skyloom.llm import html_text, pieces, quality, queries, suffix_dedup
+from skyloom.llm import html_text, near_dedup, pieces, quality, queries, suffix_dedup
 from skyloom.llm.common import durable
 from skyloom.llm.near_dedup import near_duplicates, shingle_set
 
@@ -183,3 +183,27 @@ def test_quality_keeps_held_out_good_documents(spark):
     for side in (True, False):
         kept = [r["kept"] for r in got if r["inside"] == side]
         assert len(kept) >= 25 and sum(kept) >= 0.9 * len(kept)
+
+
+def test_wide_groups_of_several_blocks(spark):
+    """A group of more members than one block holds, so that links are sought across blocks."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(700):
+        words = [f"w{j}" for j in range(150)]
+        for p in rng.integers(0, 150, rng.integers(1, 9)):
+            words[p] = f"x{rng.integers(0, 10**9)}"
+        rows.append((i, " ".join(words)))
+    assert len(rows) > near_dedup.BLOCK
+    want = classes({i: shingle_set(t, 3) for i, t in rows}, 85)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=3, percent=85).collect()}
+    assert got == want
+
+
+def test_pipeline_run(spark):
+    """run() gives the rows of the stages called one after the other."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = durable(stage(spark, docs, SF), "test")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(corpus_pipeline.run(spark, SF)) == rows(corpus_pipeline.encode(spark, docs, SF))
