@@ -1,19 +1,24 @@
-"""Removal of repeated passages by per-shard suffix arrays.
+"""Removal of repeated passages by per-shard suffix arrays that are merged by binary search.
 
 Every byte covered by a 50-byte string that also starts in a document of smaller
 id goes.  Each 50-byte string has an anchor, the least-hashed gram inside it, so
 equal strings have equal anchors; consecutive strings with one anchor form a
-segment.  Segments that are equal as a whole are settled by their hashes, which
-are pre-aggregated before they are shuffled.  Only the distinct segments of an
-anchor that has several go, as text, to shards by anchor.  A shard builds the
-suffix array of its segments by Larsson-Sadakane refinement, takes common
-prefixes by Kasai's recurrence (a lane per segment), and the runs of suffixes
-with 50 bytes in common are the repeated strings.
-
-Anchors place equal strings in one shard, so shards need no merging; the binary
-search of a cross-shard merge appears where a segment is looked up by its ordinal.
-An anchor with many segments is split further by the place of the anchor within
-the string, which is also equal for equal strings.
+segment of at most 80 bytes.
+
+1. The anchors' hashes are compared over all documents; only segments whose
+   anchor occurs in several documents can repeat.
+2. The texts of those segments go to shards by anchor.  Byte-equal segments of a
+   batch travel as one text with the smallest id.
+3. A shard builds suffix arrays of at most 2^20 bytes by Larsson-Sadakane
+   refinement and takes common prefixes by Kasai's recurrence (a lane per
+   segment).  Runs of suffixes with 50 bytes in common are the shard's strings,
+   each with its smallest id, in sorted order.
+4. Sorted string lists of several suffix arrays are merged by binary search:
+   inside a shard that needs more than one array, and between shards for hot
+   anchors, whose segments are dealt over many shards.
+
+Hashes only place segments and propose equal ones; every equality that removes a
+byte is read off a suffix array or compared byte by byte.
 """
 
 from __future__ import annotations
@@ -23,156 +28,346 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_chunks, durable, mix, prefix_sums, span_hash
+from .common import binary_chunks, durable, mix
 
-#: Bytes of a repeated string, of an anchor, and grams of a string.
+#: Bytes of a repeated string, of an anchor; grams of a string, and bytes of the longest segment.
 LENGTH, GRAM = 50, 20
 GRAMS = LENGTH - GRAM + 1
-#: Text bytes for each shard, and segments of an anchor from which on it is split.
-SHARD_BYTES, WIDE = 8 << 20, 512
-_PLACE = np.uint64((1 << 28) - 1)
+WIDTH = LENGTH + GRAMS - 1
+#: Text bytes for each bucket of documents and for each shard of segments, and segments dealt at once.
+BUCKET_BYTES, SHARD_BYTES, FLUSH = 8 << 20, 1 << 20, 1 << 17
+#: Segments of an anchor from which on it is dealt over several shards, at least; and the share of all text bytes
+#: (a power of two) that this count grows with, which bounds the number of such anchors.
+WIDE, WIDE_SHIFT = 4096, 20
+#: Positions of a suffix array: ranks and places are packed into one 64-bit sort key.
+ARRAY_BITS = 20
+_PLACE_BITS = 24
+#: Strings whose anchors are sought at once; a longer text is read in several steps.
+_STEP = 1 << 21
+_NOBODY = np.iinfo(np.int64).max
+_ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], np.uint64)
+
+
+def freeze(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value."""
+    parts = [np.ascontiguousarray(a).view(np.uint8).ravel() for a in arrays]
+    raw = np.concatenate([np.array([len(p) for p in parts], np.int64).view(np.uint8), *parts])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
+
+
+def thaw(value: bytes, *types: type) -> list[np.ndarray]:
+    """The arrays of :func:`freeze`, given their types."""
+    raw = np.frombuffer(pa.decompress(value[8:], int.from_bytes(value[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+    sizes = raw[: 8 * len(types)].view(np.int64)
+    ends = 8 * len(types) + np.cumsum(sizes)
+    return [np.frombuffer(raw[e - s : e].tobytes(), t) for s, e, t in zip(sizes, ends, types, strict=True)]
+
+
+def thawed(column: pa.ChunkedArray, *types: type) -> list[np.ndarray]:
+    """The arrays of all values of a column, joined."""
+    rows = [thaw(x, *types) for x in column.to_pylist()]
+    return [np.concatenate([r[k] for r in rows]) if rows else np.empty(0, t) for k, t in enumerate(types)]
+
+
+def _runs(key: np.ndarray) -> np.ndarray:
+    """Where sorted keys change."""
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return new
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as little-endian integers; zeros follow the end."""
+    return np.ndarray((len(data) + WIDTH,), "<u8", np.concatenate([data, np.zeros(WIDTH + 8, np.uint8)]), strides=(1,))
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(first string, last string, anchor, row, prefix sums) of every segment in page order, places in ``data``.
+    """(first string, strings, anchor's distance from it, anchor hash, row) of every segment, in page order.
 
     A row shorter than a string has none.
     """
-    n, empty = len(data), np.empty(0, np.int64)
-    sums = prefix_sums(data)
-    if n < LENGTH:
-        return empty, empty, empty, empty, sums
-    starts = np.arange(n - GRAM + 1)
-    least = (span_hash(sums, starts, starts + GRAM) & ~_PLACE) | starts.astype(np.uint64)
-    width = 1
-    while width * 2 <= GRAMS:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    least = np.minimum(least[: n - LENGTH + 1], least[GRAMS - width : GRAMS - width + n - LENGTH + 1])
-    anchor = (least & _PLACE).astype(np.int64)
+    found = []
     size = np.diff(offsets)
-    row = np.repeat(np.arange(len(size)), np.maximum(size - LENGTH + 1, 0))
-    # The i-th valid string of a row starts i bytes into it.
-    inside = np.arange(len(row)) - np.repeat(np.cumsum(np.maximum(size - LENGTH + 1, 0)) - np.maximum(size - LENGTH + 1, 0), np.maximum(size - LENGTH + 1, 0))
-    place = offsets[row] + inside
-    at = anchor[place]
-    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (row[1:] != row[:-1])])) if len(at) else empty
-    last = np.append(new[1:], len(at)) - 1 if len(at) else empty
-    return place[new], place[last], at[new], row[new], sums
-
-
-def ordinals(row: np.ndarray) -> np.ndarray:
-    """Of sorted row numbers, the count of equal ones before each."""
-    return np.arange(len(row)) - np.searchsorted(row, row)
-
-
-def _runs(*keys: np.ndarray) -> np.ndarray:
-    """Where, in sorted rows, any of the keys changes."""
-    new = np.zeros(len(keys[0]), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return new
-
-
-_A = pa.schema([("shard", pa.int32()), ("kind", pa.int8()), ("h", pa.binary()), ("s", pa.binary()), ("doc", pa.binary()), ("ord", pa.binary())])
-_B = pa.schema([("doc", pa.int64()), ("ord", pa.int32()), ("anchor", pa.int64()), ("wide", pa.bool_())])
-
-
-def _fingerprints(shards: int):
-    """Packed (anchor, segment, document, ordinal) rows by shard; kind 1 rows are copies of a segment in the same batch."""
+    for step in range(0, max(len(data) - LENGTH + 1, 0), _STEP):
+        part = data[step : step + _STEP + LENGTH - 1]
+        n = len(part) - LENGTH + 1
+        w = _words(part)
+        m = len(part) - GRAM + 1
+        code = w[:m] * _ODD[0]
+        code ^= code >> np.uint64(31)
+        code += w[8 : m + 8] * _ODD[1]
+        code ^= code >> np.uint64(29)
+        code += w[GRAM - 8 : m + GRAM - 8]
+        code *= _ODD[2]
+        code ^= code >> np.uint64(32)
+        least = (code & ~np.uint64((1 << _PLACE_BITS) - 1)) | np.arange(m, dtype=np.uint64)
+        width = 1
+        while width * 2 <= GRAMS:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        anchor = (np.minimum(least[:n], least[GRAMS - width : GRAMS - width + n]) & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int32)
+        valid = np.ones(n + 2, bool)
+        valid[0] = valid[-1] = False
+        first, last = np.searchsorted(offsets, [step, step + n], "right")
+        for row in range(max(first - 1, 0), min(last, len(size))):
+            if size[row]:
+                valid[max(offsets[row], offsets[row + 1] - LENGTH + 1, step) - step + 1 : max(offsets[row + 1] - step, 0) + 1] = False
+        valid[-1] = False
+        change = anchor[1:] != anchor[:-1]
+        start, stop = valid[1:-1] & ~valid[:-2], valid[1:-1] & ~valid[2:]
+        start[1:] |= valid[2:-1] & change
+        stop[:-1] |= valid[1:-2] & change
+        low, high = np.flatnonzero(start), np.flatnonzero(stop)
+        at = anchor[low]
+        found.append((low + step, high - low + 1, at - low, code[at]))
+    low, n, off, code = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
+    return low, n, off, code, np.searchsorted(offsets, low, "right") - 1
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    """Ids of a batch; a null one comes after all others."""
+    return column.fill_null(_NOBODY).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _keys(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A key of each row by its id and whole text, so that repeated ids are told apart and repeated rows are one."""
+    raw, code = memoryview(data), xxhash.xxh3_64_intdigest
+    text = np.array([code(raw[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)], np.uint64)
+    return mix(text + mix(ids.view(np.uint64)))
+
+
+def _tag(code: np.ndarray, shards: int) -> np.ndarray:
+    """What is left of an anchor's hash: 32 bits besides its shard."""
+    s = np.uint64(shards)
+    return ((code // s) & np.uint64(0xFFFFFFFF)) * s + code % s
+
+
+_SENT = "target int, kind tinyint, value binary"
+
+
+def _sent(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    to, kind, value = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(kind, pa.int8()), pa.array(value, pa.binary())], ["target", "kind", "value"])
+
+
+def _cuts(key: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, start, end) of the runs of sorted keys."""
+    at = np.append(np.flatnonzero(_runs(key)), len(key))
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield int(key[a]), a, b
+
+
+def _anchors(shards: int, buckets: int):
+    """Anchor tags by shard.  A batch sends each anchor once; one of several documents also goes to their buckets (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
             for first, last, data, offsets in binary_chunks(batch.column(1)):
-                low, high, anchor, row, sums = segments(data, offsets)
-                h = span_hash(sums, anchor, anchor + GRAM)
-                s = mix(span_hash(sums, low, high + LENGTH) + (anchor - low).astype(np.uint64))
-                ids = batch.column(0).slice(first, last - first).to_numpy(zero_copy_only=False)
-                parts.append((h, s, ids[row].astype(np.int64), ordinals(row).astype(np.int32)))
-            if not parts:
+                keys = _keys(_ids(batch.column(0).slice(first, last - first)), data, offsets)
+                _, _, _, code, row = segments(data, offsets)
+                parts.append((_tag(code, shards), keys[row]))
+            tag, key = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64),) * 2
+            if not len(tag):
                 continue
-            h, s, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((doc, s, h))
-            h, s, doc, place = h[order], s[order], doc[order], place[order]
-            new = _runs(h, s)
-            copy = doc != doc[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))] if len(h) else new
-            shard = np.where(copy, mix(doc.view(np.uint64)), h) % np.uint64(shards)
-            order = np.lexsort((doc, copy, shard))
-            h, s, doc, place, copy, shard = h[order], s[order], doc[order], place[order], copy[order], shard[order]
-            cut = np.append(np.flatnonzero(_runs(shard, copy)), len(h)) if len(h) else np.zeros(1, np.int64)
+            order = np.argsort(tag)
+            tag, key = tag[order], key[order]
+            start = np.flatnonzero(_runs(tag))
+            count = np.diff(np.append(start, len(tag)))
+            several = np.minimum.reduceat(key, start) != np.maximum.reduceat(key, start)
             rows = []
-            for a, b in zip(cut, cut[1:], strict=False):
-                whole = not copy[a]
-                rows.append((int(shard[a]), int(copy[a]), (h[a:b] // np.uint64(shards)).astype(np.uint32).tobytes() if whole else b"", s[a:b].tobytes() if whole else b"", doc[a:b].tobytes(), place[a:b].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _A.types, strict=True)] if rows else [pa.array([], t) for t in _A.types], schema=_A)
+            # The weight is the count's bits, 0 for an anchor of one document.
+            weight = np.where(several, np.frexp(count.astype(np.float64))[1], 0).astype(np.uint8)
+            one, shard, bucket = tag[start], tag[start] % np.uint64(shards), key[start] % np.uint64(buckets)
+            order = np.lexsort((bucket, shard))
+            one, shard, bucket, weight = one[order], shard[order], bucket[order].astype(np.uint32), weight[order]
+            for s, a, b in _cuts(shard):
+                new = np.append(np.flatnonzero(_runs(bucket[a:b])), b - a)
+                rows.append((s, 0, freeze((one[a:b] // np.uint64(shards)).astype(np.uint32), weight[a:b], bucket[a:b][new[:-1]], np.diff(new).astype(np.uint32))))
+            known = np.repeat(several, count)
+            tag, bucket = tag[known], key[known] % np.uint64(buckets)
+            order = np.lexsort((tag, bucket))
+            tag, bucket = tag[order], bucket[order]
+            keep = _runs(tag) | _runs(bucket)
+            tag, bucket = tag[keep], bucket[keep]
+            for b, x, y in _cuts(bucket):
+                rows.append((b % shards, 1, freeze(np.array([b], np.uint32), tag[x:y])))
+            yield _sent(rows)
+
+    return run
+
+
+def _several(shards: int, wide: int):
+    """Tags of anchors that occur in several documents, by bucket (kind 0); and those of hot anchors with their counts (kind 1)."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        kind = group.column("kind").to_numpy()
+        tags, buckets, weights = [], [], []
+        rows = []
+        for k, value in zip(kind.tolist(), group.column("value").to_pylist(), strict=True):
+            if k:
+                b, tag = thaw(value, np.uint32, np.uint64)
+                rows.append((int(b[0]), 0, freeze(tag)))
+                continue
+            tag, weight, bucket, count = thaw(value, np.uint32, np.uint8, np.uint32, np.uint32)
+            tags.append(tag)
+            weights.append(weight)
+            buckets.append(np.repeat(bucket, count))
+        if tags:
+            tag, weight, bucket = np.concatenate(tags), np.concatenate(weights), np.concatenate(buckets)
+            order = np.argsort(tag)
+            tag, weight, bucket = tag[order].astype(np.uint64) * np.uint64(shards) + np.uint64(key[0].as_py()), weight[order], bucket[order]
+            start = np.flatnonzero(_runs(tag))
+            count = np.diff(np.append(start, len(tag)))
+            total = np.add.reduceat(np.left_shift(np.int64(1), np.minimum(weight, 40).astype(np.int64)), start)
+            hot = total >= wide
+            if hot.any():
+                rows.append((-1, 1, freeze(tag[start[hot]], total[hot])))
+            wanted = np.repeat((count > 1) | (np.maximum.reduceat(weight, start) > 0), count)
+            tag, bucket = tag[wanted], bucket[wanted]
+            order = np.argsort(bucket, kind="stable")
+            tag, bucket = tag[order], bucket[order]
+            rows += [(b, 0, freeze(tag[x:y])) for b, x, y in _cuts(bucket)]
+        return pa.Table.from_batches([_sent(rows)])
 
     return run
 
 
-def _settle(key, group):
-    """Copies (anchor null) and the segments that need their text (anchor given) of one shard."""
-    kind = group.column("kind").to_numpy()
-    blob = lambda name, t, k: np.frombuffer(b"".join(group.column(name).filter(pa.array(kind == k)).to_pylist()), t)
-    h, s, doc, place = blob("h", np.uint32, 0), blob("s", np.uint64, 0), blob("doc", np.int64, 0), blob("ord", np.int32, 0)
-    order = np.lexsort((doc, s, h))
-    h, s, doc, place = h[order], s[order], doc[order], place[order]
-    if len(h):
-        new, of_h = _runs(h, s), np.cumsum(_runs(h)) - 1
-        first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        copy = doc != doc[first]
-        kinds = np.bincount(of_h[new], minlength=of_h[-1] + 1)
-        starts = np.flatnonzero(_runs(h))
-        several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
-        # All segments of the anchor in the first document stay to be compared, wherever they repeat in it.
-        text = (new | ~copy) & ((kinds > 1) & several)[of_h]
-        wide = (kinds > WIDE)[of_h[text]]
-        anchor = (h[text].astype(np.int64) << 24) | key[0].as_py()
-    else:
-        copy = text = np.zeros(0, bool)
-        wide, anchor = np.zeros(0, bool), np.zeros(0, np.int64)
-    more_doc, more_place = blob("doc", np.int64, 1), blob("ord", np.int32, 1)
-    n = int(copy.sum()) + len(more_doc)
-    return pa.table([
-        pa.array(np.concatenate([doc[copy], more_doc, doc[text]])),
-        pa.array(np.concatenate([place[copy], more_place, place[text]])),
-        pa.array(np.concatenate([np.zeros(n, np.int64), anchor]), mask=np.arange(n + len(anchor)) < n),
-        pa.array(np.concatenate([np.zeros(n, bool), wide])),
-    ], schema=_B)
-
-
-_C = pa.schema([("shard", pa.int32()), ("text", pa.binary()), ("size", pa.binary()), ("doc", pa.binary()), ("ord", pa.binary()), ("skip", pa.binary())])
-
-
-def _cut(shards: int):
-    """The text of the wanted segments, packed by shard; a wide anchor's strings go one by one."""
+def _packed(buckets: int):
+    """Whole documents by bucket, packed: ids, whether they are null, keys, sizes and texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[int, tuple[list, ...]] = {}
-            for first, last, data, offsets in binary_chunks(batch.column(1)):
-                low, high, at, row, _ = segments(data, offsets)
-                begin = np.searchsorted(row, np.arange(last - first))
-                raw = data.tobytes()
-                for i in range(last - first):
-                    doc = batch.column(0)[first + i].as_py()
-                    for x in batch.column(2)[first + i].as_py():
-                        k = begin[i] + x["ord"]
-                        if x["wide"]:
-                            pieces = [(p, p + LENGTH, int(p - low[k]), x["anchor"] * 64 + int(at[k] - p)) for p in range(low[k], high[k] + 1)]
-                        else:
-                            pieces = [(low[k], high[k] + LENGTH, 0, x["anchor"])]
-                        for a, b, skip, deal in pieces:
-                            out = rows.setdefault((deal * 0x9E3779B97F4A7C15 >> 20) % shards, ([], [], [], [], []))
-                            for values, value in zip(out, (raw[a:b], b - a, doc, x["ord"], skip), strict=True):
-                                values.append(value)
-            if rows:
-                pack = lambda x, t: np.array(x, t).tobytes()
-                yield pa.RecordBatch.from_pylist([{"shard": k, "text": b"".join(o[0]), "size": pack(o[1], np.int32), "doc": pack(o[2], np.int64), "ord": pack(o[3], np.int32), "skip": pack(o[4], np.int8)} for k, o in rows.items()], schema=_C)
+            for first, last, data, offsets in binary_chunks(batch.column(1), BUCKET_BYTES):
+                column = batch.column(0).slice(first, last - first)
+                ids = _ids(column)
+                keys = _keys(ids, data, offsets)
+                bucket = keys % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                null, size, rows = column.is_null().to_numpy(zero_copy_only=False), np.diff(offsets), []
+                for b, x, y in _cuts(bucket[order]):
+                    own = order[x:y]
+                    rows.append((b, 0, freeze(ids[own], null[own], keys[own], size[own], np.concatenate([data[offsets[i] : offsets[i + 1]] for i in own]))))
+                yield _sent(rows)
+
+    return run
+
+
+def _documents(table: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    """(ids, null, keys, offsets, bytes) of each packed value."""
+    for value in table.column("value").to_pylist():
+        ids, null, keys, size, data = thaw(value, np.int64, np.bool_, np.uint64, np.int64, np.uint8)
+        yield ids, null, keys, np.concatenate([[0], np.cumsum(size)]), data
+
+
+def _rows_of(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Texts of at most ``WIDTH`` bytes as rows of ten integers, zeros behind their ends."""
+    w = _words(data)
+    out = np.empty((len(starts), WIDTH // 8), np.uint64)
+    for k in range(WIDTH // 8):
+        left = np.clip(sizes - 8 * k, 0, 8).astype(np.uint64)
+        mask = np.where(left == 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (left * np.uint64(8))) - np.uint64(1))
+        out[:, k] = w[np.minimum(starts + 8 * k, len(data))] & mask
+    return out
+
+
+def collapsed(rows: np.ndarray, sizes: np.ndarray, off: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, class, least id of the class): equal texts with one anchor place are neighbours in ``order`` and one class.
+
+    Neighbours by hash are compared whole; a clash of hashes only leaves a class in parts.
+    """
+    code = sizes.astype(np.uint64) * np.uint64(64) + off.astype(np.uint64)
+    for k in range(rows.shape[1]):
+        code = (code ^ rows[:, k]) * _ODD[k]
+        code ^= code >> np.uint64(31)
+    order = np.argsort(code)
+    new = _runs(code[order])
+    near = np.flatnonzero(~new)
+    a, b = order[near], order[near - 1]
+    new[near] = (sizes[a] != sizes[b]) | (off[a] != off[b]) | (rows[a] != rows[b]).any(axis=1)
+    start = np.flatnonzero(new)
+    least = np.minimum.reduceat(doc[order], start) if len(start) else np.empty(0, np.int64)
+    return order, np.cumsum(new) - 1, least
+
+
+def _full(n: np.ndarray) -> np.ndarray:
+    """The mask of a segment whose n strings all go."""
+    return ((np.int64(1) << n.astype(np.int64)) - 1).astype(np.uint32)
+
+
+_TEXTS = (np.uint8, np.uint8, np.bool_, np.int64, np.uint32, np.uint64, np.uint32, np.uint8)
+_MARKS = (np.uint64, np.uint32, np.uint32)
+
+
+def _cut(shards: int, anchor_shards: int, hot_tags: np.ndarray, hot_counts: np.ndarray, wide: int):
+    """Texts of the wanted segments by shard (kind 0), and marks that are settled already (kind 1).
+
+    A text has its size, its anchor's place, whether the anchor is hot, its id, and
+    the (key, place) of its members, all of that id.
+    """
+
+    def flush(held: list, rows: list) -> None:
+        mat, n, off, tag, doc, key, low = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        size = n + LENGTH - 1
+        order, cls, least = collapsed(mat, size, off, doc)
+        done = doc[order] > least[cls]
+        gone = order[done]
+        if len(gone):
+            by = gone[np.argsort(key[gone] % np.uint64(shards), kind="stable")]
+            for s, a, b in _cuts(key[by] % np.uint64(shards)):
+                rows.append((s, 1, freeze(key[by[a:b]], low[by[a:b]].astype(np.uint32), _full(n[by[a:b]]))))
+        order, cls = order[~done], cls[~done]
+        first = np.flatnonzero(_runs(cls))
+        count = np.diff(np.append(first, len(order)))
+        rep = order[first]
+        t = tag[rep]
+        at = np.minimum(np.searchsorted(hot_tags, t), max(len(hot_tags) - 1, 0))
+        hot = hot_tags[at] == t if len(hot_tags) else np.zeros(len(t), bool)
+        # A hot anchor's segments are dealt by their documents' keys as well, so that none of its shards exceeds the rest.
+        parts = hot_counts[at] // wide + 1 if len(hot_tags) else np.ones(len(t), np.int64)
+        salt = np.where(hot, key[rep] % parts.astype(np.uint64), np.uint64(0)).astype(np.uint64)
+        shard = mix(t + mix(salt)) % np.uint64(shards)
+        by = np.argsort(shard, kind="stable")
+        for s, a, b in _cuts(shard[by]):
+            own = by[a:b]
+            member = order[np.repeat(first[own], count[own]) + np.arange(count[own].sum()) - np.repeat(np.cumsum(count[own]) - count[own], count[own])]
+            r = rep[own]
+            text = mat[r].view(np.uint8).reshape(len(r), WIDTH)[np.arange(WIDTH)[None, :] < size[r][:, None]]
+            rows.append((s, 0, freeze(size[r].astype(np.uint8), off[r].astype(np.uint8), hot[own], doc[r], count[own].astype(np.uint32), key[member], low[member].astype(np.uint32), text)))
+
+    def run(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        (tags,) = thawed(right.column("value"), np.uint64)
+        tags = np.unique(tags)
+        rows: list = []
+        held: list = []
+        seen: list = []
+        waiting = 0
+        for ids, _null, keys, offsets, data in _documents(left):
+            fresh = np.zeros(len(keys), bool)
+            fresh[np.unique(keys, return_index=True)[1]] = True
+            for x in seen:
+                fresh &= ~np.isin(keys, x)
+            seen.append(keys)
+            if not len(tags):
+                continue
+            low, n, off, code, row = segments(data, offsets)
+            tag = _tag(code, anchor_shards)
+            pick = np.flatnonzero((tags[np.minimum(np.searchsorted(tags, tag), len(tags) - 1)] == tag) & fresh[row])
+            for a in range(0, len(pick), FLUSH):
+                p = pick[a : a + FLUSH]
+                held.append((_rows_of(data, low[p], n[p] + LENGTH - 1), n[p], off[p], tag[p], ids[row[p]], keys[row[p]], low[p] - offsets[row[p]]))
+                waiting += len(p)
+                if waiting >= FLUSH:
+                    flush(held, rows)
+                    waiting = 0
+        if held:
+            flush(held, rows)
+        return pa.Table.from_batches([_sent(rows)])
 
     return run
 
@@ -180,40 +375,37 @@ def _cut(shards: int):
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of ``data`` in the order of their first ``depth`` bytes or more, by Larsson-Sadakane refinement.
 
-    Suffixes are sorted by eight bytes, then groups that are not yet single are
+    Suffixes are sorted by five bytes, then groups that are not yet single are
     refined by the rank of the suffix that lies as far ahead as is sorted already.
+    ``data`` has at most 2^ARRAY_BITS bytes, so a group, a rank and a place make one
+    sort key.
     """
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
-    rank = np.full(n + 64, -1, np.int64)
-
-    def number(places: np.ndarray, new: np.ndarray) -> None:
-        """Gives suffixes at sorted ``places`` the place of their group's first one as rank."""
-        rank[order[places]] = places[np.maximum.accumulate(np.where(new, np.arange(len(places)), 0))]
-
+    n, bits, place = len(data), np.uint64(ARRAY_BITS), np.uint64((1 << ARRAY_BITS) - 1)
+    padded = np.concatenate([data, np.zeros(5, np.uint8)]).astype(np.uint64)
+    key = np.arange(n, dtype=np.uint64)
+    for k in range(5):
+        key |= padded[k : k + n] << np.uint64(8 * (4 - k) + ARRAY_BITS)
+    key.sort()
+    order = (key & place).astype(np.int64)
+    rank = np.full(n + 1, -1, np.int64)
     places = np.arange(n)
-    number(places, _runs(key[order]))
-    done = 8
-    while done < depth:
-        r = rank[order]
-        same = np.zeros(n, bool)
-        same[1:] = r[1:] == r[:-1]
-        open_ = same.copy()
-        open_[:-1] |= same[1:]
-        places = np.flatnonzero(open_)
-        if not len(places):
-            break
+    new = _runs(key >> bits)
+    done = 5
+    while True:
+        rank[order[places]] = places[np.maximum.accumulate(np.where(new, np.arange(len(places)), 0))]
+        # A place stays open if it or the next one in its group is no group's first.
+        open_ = ~new
+        open_[:-1] |= ~new[1:]
+        places = places[open_]
+        if done >= depth or not len(places):
+            return order
         suffix = order[places]
-        one, two = rank[suffix], rank[np.minimum(suffix + done, n + 63)]
-        by = np.lexsort((two, one))
-        order[places] = suffix[by]
-        number(places, _runs(one[by], two[by]))
+        ahead = rank[np.minimum(suffix + done, n)] + 1
+        key = (((rank[suffix] << (ARRAY_BITS + 1)) | ahead) << ARRAY_BITS | suffix).astype(np.uint64)
+        key.sort()
+        order[places] = (key & place).astype(np.int64)
+        new = _runs(key >> bits)
         done *= 2
-    return order
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
@@ -222,97 +414,230 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, siz
     Kasai's recurrence: the next suffix of a text loses one byte at most.  Suffixes
     that tie to the sorted depth are in no fixed order, so after a full common prefix
     it holds only if the neighbour moves on as well; else counting begins anew.
-    Texts begin at ``starts``; each is a lane, and all lanes advance together.
+    Texts begin at ``starts``; each is a lane, and all lanes advance together, eight
+    bytes at a time.
     """
     n = len(data)
     before, out = np.full(n, -1, np.int64), np.zeros(n, np.int64)
     before[order[1:]] = order[:-1]
-    padded = np.concatenate([data.astype(np.int16), np.full(most + 1, -1, np.int16)])
+    w = _words(data)
+    by = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[by], sizes[by]
     held, neighbour = np.zeros(len(starts), np.int64), np.full(len(starts), -2, np.int64)
     for t in range(int(sizes.max(initial=0))):
-        lanes = np.flatnonzero(sizes > t)
-        i = starts[lanes] + t
+        lanes = int(np.searchsorted(-sizes, -t, "left"))
+        i = starts[:lanes] + t
         j = before[i]
-        sure = (j >= 0) & ((held[lanes] < most) | (j == neighbour[lanes] + 1))
-        have = np.where(sure, np.maximum(held[lanes] - 1, 0), 0)
-        go = np.flatnonzero(j >= 0)
+        sure = (j >= 0) & ((held[:lanes] < most) | (j == neighbour[:lanes] + 1))
+        have = np.where(sure, np.maximum(held[:lanes] - 1, 0), 0)
+        limit = np.where(j >= 0, np.minimum(most, n - np.maximum(i, j)), 0)
+        go = np.flatnonzero(have < limit)
         while len(go):
-            fits = (have[go] < most) & (padded[np.minimum(i[go] + have[go], n)] == padded[np.minimum(j[go] + have[go], n)]) & (j[go] + have[go] < n) & (i[go] + have[go] < n)
-            go = go[fits]
-            have[go] += 1
-        held[lanes], neighbour[lanes] = have, j
+            differ = w[i[go] + have[go]] ^ w[j[go] + have[go]]
+            lowest = differ & (~differ + np.uint64(1))
+            have[go] += np.where(differ == 0, 8, (np.frexp(lowest.astype(np.float64))[1] - 1) >> 3)
+            go = go[(differ == 0) & (have[go] < limit[go])]
+        have = np.minimum(have, limit)
+        held[:lanes], neighbour[:lanes] = have, j
         out[i] = have
     return out[order]
 
 
-def _compare(key, group):
-    """(doc, ord, mask): the strings of each segment that also start in a document of smaller id."""
-    blob = lambda name, t: np.frombuffer(b"".join(group.column(name).to_pylist()), t)
-    data, size, doc, place, skip = blob("text", np.uint8), blob("size", np.int32).astype(np.int64), blob("doc", np.int64), blob("ord", np.int32), blob("skip", np.int8)
-    starts = np.cumsum(size) - size
+def merge(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One sorted list of strings with their least ids from several, each sorted and without repeats.
+
+    Lists are merged in pairs: binary search finds the strings that the other has or
+    the places where they belong.
+    """
+    while len(lists) > 1:
+        paired = []
+        for (a, least_a), (b, least_b) in zip(lists[::2], lists[1::2], strict=False):
+            (a, least_a), (b, least_b) = ((a, least_a), (b, least_b)) if len(a) >= len(b) else ((b, least_b), (a, least_a))
+            at = np.searchsorted(a, b)
+            both = (a[np.minimum(at, len(a) - 1)] == b) if len(a) else np.zeros(len(b), bool)
+            least_a = least_a.copy()
+            least_a[at[both]] = np.minimum(least_a[at[both]], least_b[both])
+            paired.append((np.insert(a, at[~both], b[~both]), np.insert(least_a, at[~both], least_b[~both])))
+        lists = paired + ([lists[-1]] if len(lists) % 2 else [])
+    return lists[0]
+
+
+def _strings(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 50-byte strings at ``at`` as values that compare byte by byte."""
+    out = np.empty((len(at), 7), np.uint64)
+    w = _words(data)
+    for k in range(6):
+        out[:, k] = w[at + 8 * k]
+    out[:, 6] = w[at + LENGTH - 8]
+    raw = out.view(np.uint8).reshape(len(at), 56)
+    return np.ascontiguousarray(np.concatenate([raw[:, :48], raw[:, 54:]], axis=1)).view(f"S{LENGTH}").ravel()
+
+
+def _array(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, place in it, run, least id of the run) of all strings of one suffix array, in sorted order."""
     order = suffix_array(data, LENGTH)
-    common = common_prefixes(data, order, starts, size, LENGTH)
-    owner = np.repeat(np.arange(len(size)), size)
-    inside = np.arange(len(data)) - starts[owner]
-    string = inside + LENGTH <= size[owner]
-    run = np.flatnonzero((common < LENGTH) | (np.arange(len(order)) == 0))
-    least = np.minimum.reduceat(np.where(string[order], doc[owner[order]], np.iinfo(np.int64).max), run)
-    repeated = string[order] & (doc[owner[order]] > np.repeat(least, np.diff(np.append(run, len(order)))))
-    at = order[repeated]
-    mask = np.zeros(len(size), np.int64)
-    np.bitwise_or.at(mask, owner[at], np.int64(1) << (inside[at] + skip[owner[at]]))
-    hit = mask != 0
-    return pa.table({"doc": doc[hit], "ord": place[hit], "mask": mask[hit]})
-
-
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: bytes, removed bytes, removed runs, the kept bytes' digest and the kept bytes."""
-    for batch in batches:
-        for first, last, data, offsets in binary_chunks(batch.column(1)):
-            low, high, _, row, _ = segments(data, offsets)
-            begin = np.searchsorted(row, np.arange(last - first))
-            size, removed, spans, digest = np.diff(offsets), [], [], []
-            for i in range(last - first):
-                own = data[offsets[i] : offsets[i + 1]]
-                marks = batch.column(2)[first + i].values
-                step = np.zeros(len(own) + 1, np.int64)
-                if marks is not None and len(marks):
-                    k = begin[i] + marks.field("ord").to_numpy(zero_copy_only=False).astype(np.int64)
-                    mask = marks.field("mask").to_numpy(zero_copy_only=False)
-                    full = k[mask < 0]
-                    np.add.at(step, low[full] - offsets[i], 1)
-                    np.add.at(step, high[full] + LENGTH - offsets[i], -1)
-                    for a, m in zip(low[k[mask >= 0]] - offsets[i], mask[mask >= 0], strict=True):
-                        for p in range(GRAMS):
-                            if m >> p & 1:
-                                step[a + p] += 1
-                                step[a + p + LENGTH] -= 1
-                gone = np.cumsum(step)[:-1] > 0
-                removed.append(int(gone.sum()))
-                spans.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(gone) else 0)
-                digest.append(hashlib.sha256(own[~gone].tobytes()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    common = common_prefixes(data, order, starts, sizes, LENGTH)
+    owner = np.repeat(np.arange(len(sizes)), sizes)[order]
+    inside = order - starts[owner]
+    string = inside + LENGTH <= sizes[owner]
+    run = np.cumsum(common < LENGTH)
+    owner, inside, run = owner[string], inside[string], run[string]
+    start = np.flatnonzero(_runs(run))
+    least = np.minimum.reduceat(doc[owner], start) if len(start) else np.empty(0, np.int64)
+    return owner, inside, np.cumsum(_runs(run)) - 1, least
+
+
+_LISTS = (np.uint8, np.int64, np.uint32, np.uint64, np.uint32, np.uint8)
+
+
+def _compare(buckets: int, shards: int):
+    """Marks by bucket (kind 0) and the open strings of hot anchors by string (kind 1), of one shard."""
+
+    def run(_: tuple, group: pa.Table) -> pa.Table:
+        kind, values = group.column("kind").to_pylist(), group.column("value")
+        of = lambda k: values.filter(pa.array([x == k for x in kind]))
+        marks = [thawed(of(1), *_MARKS)]
+        size, off, hot, doc, count, key, low, text = thawed(of(0), *_TEXTS)
+        rows: list = []
+        if len(size):
+            sizes = size.astype(np.int64)
+            starts = np.cumsum(sizes) - sizes
+            order, cls, least = collapsed(_rows_of(text, starts, sizes), sizes, off, doc)
+            text_of = np.repeat(np.arange(len(size)), count)
+            behind = np.zeros(len(size), bool)
+            behind[order] = doc[order] > least[cls]
+            m = behind[text_of]
+            marks.append([key[m], low[m], _full(sizes[text_of[m]] - LENGTH + 1)])
+            key, low, text_of = key[~m], low[~m], text_of[~m]
+            # One text stands for its class; the class's members are those of its least id.
+            of_text = np.empty(len(size), np.int64)
+            of_text[order] = cls
+            rep = order[_runs(cls)]
+            sizes, starts, hot, doc = sizes[rep], starts[rep], hot[rep], least
+            member = np.argsort(of_text[text_of], kind="stable")
+            key, low = key[member], low[member]
+            members = np.bincount(of_text[text_of], minlength=len(rep))
+            first = np.cumsum(members) - members
+            parts, begin = [], 0
+            ends = np.cumsum(sizes)
+            while begin < len(sizes):
+                stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + (1 << ARRAY_BITS), "right")))
+                own = np.arange(begin, stop)
+                data = text[np.repeat(starts[own] - (np.cumsum(sizes[own]) - sizes[own]), sizes[own]) + np.arange(sizes[own].sum())]
+                at = np.cumsum(sizes[own]) - sizes[own]
+                owner, inside, turn, least = _array(data, at, sizes[own], doc[own])
+                parts.append((own[owner], inside, turn, least, data, at[owner] + inside))
+                begin = stop
+            if len(parts) > 1:
+                heads = [_strings(d, p[_runs(r)]) for _, _, r, _, d, p in parts]
+                every, best = merge([(h, p[3]) for h, p in zip(heads, parts, strict=True)])
+                parts = [(*p[:3], best[np.searchsorted(every, h)], *p[4:]) for h, p in zip(heads, parts, strict=True)]
+            mask = np.zeros(len(sizes), np.int64)
+            for owner, inside, turn, least, data, place in parts:
+                again = doc[owner] > least[turn]
+                np.bitwise_or.at(mask, owner[again], np.int64(1) << inside[again])
+                left = np.flatnonzero(~again & hot[owner])
+                if len(left):
+                    strings = _strings(data, place[left])
+                    raw = strings.view(np.uint8).reshape(len(left), LENGTH)
+                    to = mix(_rows_of(raw.ravel(), np.arange(len(left)) * LENGTH, np.full(len(left), LENGTH)) @ _ODD) % np.uint64(shards)
+                    by = np.argsort(to, kind="stable")
+                    for s, a, b in _cuts(to[by]):
+                        own = by[a:b]
+                        o = owner[left[own]]
+                        c = members[o]
+                        which = np.repeat(first[o], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                        rows.append((s, 1, freeze(raw[own], doc[o], c.astype(np.uint32), key[which], low[which], inside[left[own]].astype(np.uint8))))
+            hit = np.repeat(mask, members)
+            marks.append([key[hit != 0], low[hit != 0], hit[hit != 0].astype(np.uint32)])
+        rows += _mark_rows(marks, buckets)
+        return pa.Table.from_batches([_sent(rows)])
+
+    return run
+
+
+def _mark_rows(marks: list, buckets: int) -> list[tuple[int, int, bytes]]:
+    key, low, mask = (np.concatenate(x) for x in zip(*marks, strict=True))
+    by = np.lexsort((low, key, key % np.uint64(buckets)))
+    return [(b, 0, freeze(key[by[x:y]], low[by[x:y]], mask[by[x:y]])) for b, x, y in _cuts(key[by] % np.uint64(buckets))]
+
+
+def _between(buckets: int):
+    """Marks of the strings of several shards' sorted lists that start in a document of smaller id in another list."""
+
+    def run(_: tuple, group: pa.Table) -> pa.Table:
+        lists, opened = [], []
+        for value in group.column("value").to_pylist():
+            raw, doc, count, key, low, inside = thaw(value, *_LISTS)
+            strings = raw.view(f"S{LENGTH}")
+            start = np.flatnonzero(_runs(strings))
+            lists.append((strings[start], np.minimum.reduceat(doc, start)))
+            opened.append((strings, doc, count, key, low, inside))
+        every, least = merge(lists)
+        marks = []
+        for strings, doc, count, key, low, inside in opened:
+            again = np.repeat(doc > least[np.searchsorted(every, strings)], count)
+            marks.append([key[again], low[again], (np.int64(1) << np.repeat(inside, count)[again].astype(np.int64)).astype(np.uint32)])
+        return pa.Table.from_batches([_sent(_mark_rows(marks, buckets))])
+
+    return run
+
+
+def _remove(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """Per document: bytes, removed bytes, removed runs and the kept bytes' digest."""
+    key, low, mask = thawed(right.column("value"), *_MARKS)
+    order = np.argsort(key, kind="stable")
+    key, low, mask = key[order], low[order].astype(np.int64), mask[order]
+    out: list[list] = [[], [], [], [], []]
+    for ids, null, keys, offsets, data in _documents(left):
+        hit = np.zeros(len(data) + 1, bool)
+        a, b = np.searchsorted(key, keys, "left"), np.searchsorted(key, keys, "right")
+        n = b - a
+        which = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        base = np.repeat(offsets[:-1], n) + low[which]
+        for bit in range(GRAMS):
+            hit[base[(mask[which] >> np.uint32(bit)) & np.uint32(1) != 0] + bit] = True
+        at = np.arange(len(data))
+        last = np.maximum.accumulate(np.where(hit[:-1], at, -LENGTH))
+        gone = at - last < LENGTH
+        total = np.concatenate([[0], np.cumsum(gone)])
+        raw, marked = data.tobytes(), n > 0
+        for i, (x, y) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            own = gone[x:y] if marked[i] else None
+            out[0].append(None if null[i] else int(ids[i]))
+            out[1].append(y - x)
+            out[2].append(int(total[y] - total[x]) if marked[i] else 0)
+            out[3].append(int(own[0]) + int((own[1:] > own[:-1]).sum()) if marked[i] else 0)
+            out[4].append(hashlib.sha256(data[x:y][~own].tobytes() if marked[i] else raw[x:y]).hexdigest())
+    return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide: int | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Removed are the bytes covered by a 50-byte string that also starts in a document
-    of smaller id, judged on the input.  Null and short texts lose nothing; ids are
-    unique and not null; an empty table gives an empty result; other columns are not
-    looked at.
+    of smaller id, judged on the input.  Null texts count as empty, and these and
+    short texts lose nothing.  Rows without id are one document that comes last.
+    Rows of one id are one document: strings that only they share stay, and each row
+    is judged by its own text.  An empty table gives an empty result; other columns
+    are not looked at.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
-    packed = docs.mapInArrow(_fingerprints(shards), "shard int, kind byte, h binary, s binary, doc binary, ord binary")
-    found = durable(packed.groupBy("shard").applyInArrow(_settle, "doc long, ord int, anchor long, wide boolean"), "segments")
-    wanted = found.where("anchor IS NOT NULL").groupBy("doc").agg(F.collect_list(F.struct("ord", "anchor", "wide")).alias("wanted"))
-    texts = docs.join(wanted, "doc").select("doc", "text", "wanted")
-    shared = texts.mapInArrow(_cut(shards), "shard int, text binary, size binary, doc binary, ord binary, skip binary")
-    partly = shared.groupBy("shard").applyInArrow(_compare, "doc long, ord int, mask long")
-    marks = durable(partly.union(found.where("anchor IS NULL").select("doc", "ord", F.lit(-1).cast("long").alias("mask"))), "marks")
-    marks = marks.groupBy("doc").agg(F.collect_list(F.struct("ord", "mask")).alias("marks"))
-    rows = docs.join(marks, "doc", "left").select("doc", "text", "marks")
-    return rows.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, shards = max(least, -(-total // BUCKET_BYTES)), max(least, -(-total // SHARD_BYTES))
+    wide = wide or max(WIDE, total >> WIDE_SHIFT)
+    tags = docs.mapInArrow(_anchors(buckets, buckets), _SENT).groupBy("target").applyInArrow(_several(buckets, wide), _SENT)
+    tags = durable(tags, "anchors")
+    # At most 2^WIDE_SHIFT * 2 / 15 anchors can have so many segments; a segment has 15 bytes of its own on average.
+    hot = [thaw(r[0], np.uint64, np.int64) for r in tags.where("kind = 1").select("value").collect()]
+    hot_tags, hot_counts = (np.concatenate([h[k] for h in hot] or [np.empty(0, t)]) for k, t in enumerate((np.uint64, np.int64)))
+    by = np.argsort(hot_tags)
+    texts = docs.mapInArrow(_packed(buckets), _SENT)
+    cut = texts.groupBy("target").cogroup(tags.where("kind = 0").groupBy("target")).applyInArrow(_cut(shards, buckets, hot_tags[by], hot_counts[by], wide), _SENT)
+    found = durable(cut.groupBy("target").applyInArrow(_compare(buckets, shards), _SENT), "marks")
+    marks = found.where("kind = 0")
+    if len(hot_tags):
+        marks = marks.union(found.where("kind = 1").groupBy("target").applyInArrow(_between(buckets), _SENT))
+    return texts.groupBy("target").cogroup(marks.groupBy("target")).applyInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -74,20 +74,42 @@ def test_suffix_array():
         assert common[k] == next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
-@pytest.mark.parametrize("wide", [1, 512])
-def test_suffix_dedup(spark, texts, wide, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "WIDE", wide)
-    got = {r["doc_id"]: r for r in queries.op5_suffix_dedup(spark, SF).collect()}
+def expected_repeats(rows):
+    """(n_bytes, n_removed, n_spans, digest) of (id, text) rows by looking up every string of every text."""
     first = {}
-    for d in sorted(texts):
-        b = texts[d].encode()
+    raw = [(float("inf") if d is None else d, (t or "").encode()) for d, t in rows]
+    for d, b in sorted(raw, key=lambda x: x[0]):
+        for p in range(len(b) - 49):
+            first.setdefault(b[p : p + 50], d)
+    out = []
+    for d, b in raw:
         gone = np.zeros(len(b), bool)
         for p in range(len(b) - 49):
-            if first.setdefault(b[p : p + 50], d) < d:
+            if first[b[p : p + 50]] < d:
                 gone[p : p + 50] = True
-        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
         spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
-        assert (got[d]["n_bytes"], got[d]["n_removed"], got[d]["n_spans"], got[d]["kept_sha256"]) == (len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+        out.append((None if d == float("inf") else d, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("wide", "bits"), [(None, 20), (1, 20), (8, 20), (None, 12)])
+def test_suffix_dedup(spark, texts, wide, bits, monkeypatch):
+    """All strings of sf0.001; with every anchor hot (lists merged between shards) and with small arrays (merged inside a shard)."""
+    monkeypatch.setattr(suffix_dedup, "ARRAY_BITS", bits)
+    got = suffix_dedup.remove_repeats(spark.read.parquet(f"{SF}/documents.parquet"), wide=wide)
+    assert sorted(map(tuple, got.collect()), key=str) == expected_repeats(texts.items())
+
+
+def test_suffix_dedup_of_odd_rows(spark):
+    """Null and repeated ids, repeated rows, repeats inside a text, zero bytes, texts of 49 and 50 bytes, one common line."""
+    rng = np.random.default_rng(2)
+    line = "this line is common to very many of the documents, word by word\n"
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 4, 9))
+    rows = [(None, line), (None, line), (3, None), (4, ""), (5, "a" * 49), (6, "a" * 50), (7, "a" * 300), (8, "a" * 120 + "b"), (8, line * 5), (8, line * 5), (2, "\0" * 70), (9, "\0" * 60 + "x"), (2, line)]
+    rows += [(20 + i, f"{word()} {word()} {line}{word()} {word()}\n{line}") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for wide in (None, 4):
+        assert sorted(map(tuple, suffix_dedup.remove_repeats(df, wide=wide).collect()), key=str) == expected_repeats(rows)
 
 
 def test_quality(spark, texts):
