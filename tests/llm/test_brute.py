@@ -168,6 +168,61 @@ def test_best_segmentations():
         assert [s for s, _ in pieces.Segmenter(v, 5).best(word)] == pytest.approx(want)
 
 
+def every_segmentation(v, text):
+    """(score, ids) of every path through a whole text's lattice, best first."""
+    marked = pieces.MARK + text.replace(" ", pieces.MARK) if text else ""
+    longest = max(map(len, v.ids))
+
+    def paths(at):
+        if at == len(marked):
+            yield 0.0, ()
+        for end in range(at + 1, min(at + longest, len(marked)) + 1):
+            piece = marked[at:end]
+            step = (v.scores[piece], (v.ids[piece],)) if piece in v.ids else (pieces.BYTE_SCORE * len(piece.encode()), tuple(v.byte_ids[b] for b in piece.encode())) if len(piece) == 1 else None
+            if step:
+                for score, ids in paths(end):
+                    yield step[0] + score, step[1] + ids
+
+    return sorted(paths(0), key=lambda x: -x[0])
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5])
+def test_n_best_of_whole_texts(spark, n):
+    v = pieces.Vocabulary.load()
+    rows = ["", "hello wo", "a  b", " x", "  ", "wörld 😀", "\n\na b", "ab\ncd e", "the the", "x\u2581y", "\u2581", "aaaaaaaaaaa", "1 2 3 4", "tok\ttok"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for r in pieces.encode(df, n, every=True).collect():
+        text = rows[r["doc_id"]]
+        want = every_segmentation(v, text)
+        assert r["scores"] == pytest.approx([s for s, _ in want[:n]])
+        score_of = {ids: s for s, ids in want}
+        got = [tuple(r["ids"]), *map(tuple, r["further"])]
+        assert len(set(got)) == len(got) == len(r["scores"])
+        assert [score_of[g] for g in got] == pytest.approx(r["scores"])
+        assert r["round_trip"] == ("\u2581" not in text)
+    back = {r["doc_id"]: r["text"] for r in pieces.decode(pieces.encode(df, n)).collect()}
+    assert back == {i: t.replace("\u2581", " ") for i, t in enumerate(rows)}
+
+
+def test_best_of_documents(spark, texts):
+    """Best and second score of every whole document of sf0.001 by a plain forward pass over the whole text."""
+    v = pieces.Vocabulary.load()
+    longest = max(map(len, v.ids))
+    got = {r["doc_id"]: r for r in queries.op8_pieces(spark, SF).collect()}
+    for d, text in texts.items():
+        marked = pieces.MARK + text.replace(" ", pieces.MARK) if text else ""
+        two = [[0.0]] + [[] for _ in marked]
+        for end in range(1, len(marked) + 1):
+            for start in range(max(0, end - longest), end):
+                piece = marked[start:end]
+                score = v.scores.get(piece, pieces.BYTE_SCORE * len(piece.encode()) if len(piece) == 1 else None)
+                if score is not None:
+                    two[end] += [score + x for x in two[start]]
+            two[end] = sorted(two[end], reverse=True)[:2]
+        assert [got[d]["best_score"], got[d]["second_score"]][: len(two[-1])] == pytest.approx(two[-1])
+        assert got[d]["round_trip"]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_twin(spark, name):
     con = duckdb.connect()
