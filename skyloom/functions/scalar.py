@@ -89,3 +89,8 @@ def slug(name: Column, most: int) -> Column:
     """Lower-case name of letters, digits and underscores; null if longer than ``most``."""
     out = F.lower(F.regexp_replace(F.regexp_replace(F.trim(name), r"[^A-Za-z0-9]+", "_"), r"^_+|_+$", ""))
     return F.when(F.length(out) <= most, out)
+
+
+def variance_index(value: Column, mean: Column) -> Column:
+    """(value - mean) / mean, a thermal field's variance index; null where the mean is 0."""
+    return (value - mean) / F.nullif(mean, F.lit(0.0))

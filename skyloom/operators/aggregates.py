@@ -52,6 +52,14 @@ def shares(df: DataFrame, keys: Sequence[str], code: str, codes: Sequence[int])
     return counted.withColumn("share", F.col("n") / F.nullif(total, F.lit(0)))
 
 
+def class_percent(df: DataFrame, keys: Sequence[str], code: str, codes: Sequence[int]) -> DataFrame:
+    """Count and per cent of every one of ``codes`` per key, 0 where absent; null per cent for a key without any."""
+    counted = df.groupBy(*keys).agg(*[F.count_if(F.col(code) == c).alias(f"_{c}") for c in codes])
+    total = sum((F.col(f"_{c}") for c in codes), F.lit(0))
+    long = counted.select(*keys, total.alias("_total"), F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.col(f"_{c}").alias("n")) for c in codes])).alias("_x"))
+    return long.select(*keys, F.col("_x.code").alias(code), F.col("_x.n").alias("n"), (100 * F.col("_x.n") / F.nullif(F.col("_total"), F.lit(0))).alias("percent"))
+
+
 def modal(df: DataFrame, keys: Sequence[str], code: str) -> DataFrame:
     """The most frequent code per key, ties to the smallest."""
     counted = df.where(F.col(code).isNotNull()).groupBy(*keys, code).agg(F.count("*").alias("n"))

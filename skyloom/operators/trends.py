@@ -73,6 +73,35 @@ def sensor_offsets(df: DataFrame, sensor: str, year: str, value: str, least: int
     return out.select("sensor_a", "sensor_b", "shared", F.when(enough, F.col("offset")).alias("offset"), F.when(enough, F.col("sd")).alias("sd"))
 
 
-def count_verdict(r: Column, limit: float) -> Column:
-    """Whether a series follows its observation counts."""
-    return F.when(r.isNull(), "not_assessable").when(F.abs(r) >= limit, "suspect").otherwise("independent")
+def kendall_tau(df: DataFrame, keys: Sequence[str], year: str, value: str) -> DataFrame:
+    """Kendall's tau-b per series: S over the root of all pairs times the pairs whose values differ; null for a constant series."""
+    d = F.signum(F.col("v2") - F.col("v1"))
+    pairs = year_pairs(df, keys, year, value).where("y2 <> y1").groupBy(*keys).agg(F.sum(d).alias("s"), F.count("*").alias("n"), F.count_if(d != 0).alias("m"))
+    return pairs.select(*keys, (F.col("s") / F.nullif(F.sqrt(F.col("n").cast("double") * F.col("m")), F.lit(0.0))).alias("tau"))
+
+
+#: Fixed values of the count check: correlations that are strong and that are none.
+STRONG, NONE = 0.5, 0.3
+
+
+def count_verdict(n: Column, r: Column, slope: Column) -> Column:
+    """Whether observation counts explain a series' trend, given their correlation (null if either is constant) and the counts' slope.
+
+    Values that fall while counts rise look like an artefact of sampling; counts that
+    do not vary or do not correlate explain nothing; the rest is partial.
+    """
+    return (
+        F.when(n < MIN_YEARS, "insufficient_data").when(r.isNull(), "not_explained_by_sampling")
+        .when((r <= -STRONG) & (slope > 0), "sampling_artefact_likely").when(F.abs(r) < NONE, "not_explained_by_sampling").otherwise("partial_association")
+    )
+
+
+def count_check(df: DataFrame, keys: Sequence[str], year: str, value: str, count: str) -> DataFrame:
+    """keys, n_years, slope and obs_slope (Theil-Sen), r and verdict over the years that have both values."""
+    both = df.where(F.col(value).isNotNull() & F.col(count).isNotNull())
+    # corr() itself fails on a constant column.
+    r = F.covar_pop(value, count) / F.nullif(F.stddev_pop(value) * F.stddev_pop(count), F.lit(0.0))
+    seen = both.groupBy(*keys).agg(F.count("*").alias("n_years"), F.when(F.count("*") >= MIN_YEARS, r).alias("r"))
+    own, counts = (sen_slope(both, keys, year, v).select(*keys, F.col("slope").alias(name)) for v, name in ((value, "slope"), (count, "obs_slope")))
+    out = seen.join(own, list(keys), "left").join(counts, list(keys), "left")
+    return out.withColumn("verdict", count_verdict(F.col("n_years"), F.col("r"), F.col("obs_slope")))

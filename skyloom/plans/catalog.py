@@ -168,22 +168,23 @@ def suhii_long(spark, d):
     return out.select("year", *[F.round(c, 4).alias(c) for c in ("inside_mean", "outside_mean", "difference")], "inside_n", "outside_n")
 
 
-@query(f"""WITH {YEARLY}, u AS (SELECT year, (price - avg(price) OVER (PARTITION BY year)) / price AS x FROM y),
-c AS (SELECT year, CASE WHEN x < 0 THEN 0 WHEN x < 0.005 THEN 1 WHEN x < 0.010 THEN 2 WHEN x < 0.015 THEN 3 WHEN x < 0.020 THEN 4 ELSE 5 END AS class FROM u)
-SELECT year, class::INTEGER AS class, count(*)::BIGINT AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY year), 6) AS share FROM c GROUP BY year, class""")
+@query(f"""WITH {YEARLY}, m AS (SELECT year, avg(price) AS mean FROM y GROUP BY year), u AS (SELECT y.year, (price - mean) / nullif(mean, 0) AS x FROM y JOIN m ON y.year = m.year),
+c AS (SELECT year, CASE WHEN x < 0 THEN 0 WHEN x < 0.005 THEN 1 WHEN x < 0.010 THEN 2 WHEN x < 0.015 THEN 3 WHEN x < 0.020 THEN 4 WHEN x >= 0.020 THEN 5 END AS class FROM u),
+k AS (SELECT year, g::INTEGER AS class FROM (SELECT DISTINCT year FROM c), generate_series(0, 5) t(g))
+SELECT k.year, k.class, count(c.class)::BIGINT AS n, round(100 * count(c.class) / nullif(sum(count(c.class)) OVER (PARTITION BY k.year), 0), 6) AS percent FROM k LEFT JOIN c ON c.year = k.year AND c.class = k.class GROUP BY k.year, k.class""")
 def utfvi_shares(spark, d):
-    """Shares of the six severity classes by year, against the year's mean."""
+    """Per cent of the six severity classes by year, (x - mean) / mean against the year's mean; absent classes have 0."""
     rows = yearly_orders(spark, d)
     rows = rows.join(rows.groupBy("year").agg(F.avg("price").alias("mean")), "year")
-    rows = rows.withColumn("class", scalar.bucket((F.col("price") - F.col("mean")) / F.col("price"), (0.0, 0.005, 0.010, 0.015, 0.020)))
-    return aggregates.shares(rows, ["year"], "class", range(6)).select("year", "class", "n", r6("share"))
+    rows = rows.withColumn("class", scalar.bucket(scalar.variance_index(F.col("price"), F.col("mean")), (0.0, 0.005, 0.010, 0.015, 0.020)))
+    return aggregates.class_percent(rows, ["year"], "class", range(6)).select("year", "class", "n", r6("percent"))
 
 
-@query("""SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER w) / nullif(stddev_pop(c_acctbal) OVER w, 0), 6) AS z, coalesce((c_acctbal - avg(c_acctbal) OVER w) / nullif(stddev_pop(c_acctbal) OVER w, 0) > 1, false) AS hot FROM customer WINDOW w AS (PARTITION BY c_nationkey)""")
+@query("""SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER w) / nullif(stddev_pop(c_acctbal) OVER w, 0), 6) AS z, coalesce((c_acctbal - avg(c_acctbal) OVER w) / nullif(stddev_pop(c_acctbal) OVER w, 0) >= 1, false) AS hot FROM customer WINDOW w AS (PARTITION BY c_nationkey)""")
 def zscore_hot(spark, d):
     """Population z-score of balances within nations, and which are hot."""
     out = table(spark, d, "customer").withColumn("z", windows.z_score(F.col("c_acctbal"), ["c_nationkey"]))
-    return out.select("c_custkey", r6("z"), F.coalesce(F.col("z") > 1, F.lit(False)).alias("hot"))
+    return out.select("c_custkey", r6("z"), F.coalesce(F.col("z") >= 1, F.lit(False)).alias("hot"))
 
 
 @query("""SELECT p_brand, p_size, round(avg(p_retailprice), 4) AS mean, round(stddev_pop(p_retailprice), 4) AS sd, count(*)::BIGINT AS n_obs, count(*) < 3 AS below_floor FROM part GROUP BY ALL""")
@@ -297,13 +298,15 @@ def sensor_offsets(spark, d):
     return out.select("sensor_a", "sensor_b", "shared", F.round("offset", 4).alias("offset"), F.round("sd", 4).alias("sd"))
 
 
-@query("""WITH t AS (SELECT event_type, ts::DATE AS day, avg(value) AS v, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT event_type, corr(v, n) AS r, count(*)::BIGINT AS days FROM t GROUP BY event_type)
-SELECT event_type, round(r, 6) AS r, days, CASE WHEN r IS NULL THEN 'not_assessable' WHEN abs(r) >= 0.3 THEN 'suspect' ELSE 'independent' END AS verdict FROM r""")
+@query("""WITH t AS (SELECT event_type, datediff('day', DATE '1970-01-01', ts::DATE) AS day, avg(value) AS v, count(*)::DOUBLE AS n FROM events GROUP BY ALL HAVING avg(value) IS NOT NULL),
+p AS (SELECT a.event_type, median((b.n - a.n) / (b.day - a.day)) AS slope FROM t a JOIN t b ON a.event_type = b.event_type AND b.day > a.day GROUP BY 1),
+r AS (SELECT t.event_type, CASE WHEN count(*) >= 3 AND stddev_pop(v) > 0 AND stddev_pop(n) > 0 THEN corr(v, n) END AS r, count(*)::BIGINT AS days, any_value(slope) AS slope FROM t LEFT JOIN p ON t.event_type = p.event_type GROUP BY t.event_type)
+SELECT event_type, round(r, 6) AS r, round(slope, 6) AS obs_slope, days, CASE WHEN days < 3 THEN 'insufficient_data' WHEN r IS NULL THEN 'not_explained_by_sampling' WHEN r <= -0.5 AND slope > 0 THEN 'sampling_artefact_likely' WHEN abs(r) < 0.3 THEN 'not_explained_by_sampling' ELSE 'partial_association' END AS verdict FROM r""")
 def obs_count_verdict(spark, d):
-    """Whether daily means follow daily counts, by event type."""
-    daily = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"), F.count("*").cast("double").alias("n"))
-    out = daily.groupBy("event_type").agg(F.corr("v", "n").alias("r"), F.count("*").alias("days"))
-    return out.select("event_type", r6("r"), "days", trends.count_verdict(F.col("r"), 0.3).alias("verdict"))
+    """Whether daily means follow daily counts, by event type: correlation, the counts' slope and the verdict."""
+    daily = table(spark, d, "events").groupBy("event_type", F.datediff("ts", F.lit("1970-01-01")).alias("day")).agg(F.avg("value").alias("v"), F.count("*").cast("double").alias("n"))
+    out = trends.count_check(daily, ["event_type"], "day", "v", "n")
+    return out.select("event_type", r6("r"), r6("obs_slope"), F.col("n_years").alias("days"), "verdict")
 
 
 # --- spatial statistics -------------------------------------------------------
@@ -754,11 +757,10 @@ def usable_years(spark, d):
     return by.withColumn("k", F.lit(1)).join(F.broadcast(best), "k").select("year", "n", (F.col("n") >= 0.9 * F.col("best")).alias("usable"))
 
 
-@query(f"""{SERIES}, p AS (SELECT a.zone, sum(sign(b.v - a.v)) AS s, count(*) AS pairs FROM s a JOIN s b ON a.zone = b.zone AND b.year > a.year GROUP BY a.zone) SELECT zone, round(s / pairs::DOUBLE, 6) AS tau FROM p""")
+@query(f"""{SERIES}, p AS (SELECT a.zone, sum(sign(b.v - a.v)) AS s, count(*)::DOUBLE * count(*) FILTER (b.v <> a.v) AS pairs FROM s a JOIN s b ON a.zone = b.zone AND b.year > a.year GROUP BY a.zone) SELECT zone, round(s / nullif(sqrt(pairs), 0), 6) AS tau FROM p""")
 def kendall_tau(spark, d):
-    """Kendall's tau of mean prices by nation."""
-    pairs = trends.year_pairs(series(spark, d), ["zone"], "year", "v")
-    return pairs.groupBy("zone").agg(F.round(F.avg(F.signum(F.col("v2") - F.col("v1"))), 6).alias("tau"))
+    """Kendall's tau-b of mean prices by nation."""
+    return trends.kendall_tau(series(spark, d), ["zone"], "year", "v").select("zone", r6("tau"))
 
 
 @query()

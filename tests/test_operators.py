@@ -174,3 +174,29 @@ def test_nearest_of_all_points(spark, k):
         near = sorted((math.sqrt((x - u) * (x - u) + (y - v) * (y - v)), j) for j, u, v in known if j != i)
         want |= {(i, n + 1): (j, pytest.approx(d)) for n, (d, j) in enumerate(near[:k])}
     assert got == want
+
+
+def test_variance_index_divides_by_the_mean_and_absent_classes_stay(spark):
+    df = spark.createDataFrame([(2000, 30.0), (2000, 33.0), (2000, 27.0), (2000, None)], "y int, x double")
+    rows = df.withColumn("c", scalar.bucket(scalar.variance_index(F.col("x"), F.lit(30.0)), (0.0, 0.005, 0.010, 0.015, 0.020)))
+    got = one(aggregates.class_percent(rows, ["y"], "c", range(6)), "c")
+    third = pytest.approx(100 / 3)
+    assert got == [(2000, 0, 1, third), (2000, 1, 1, third), (2000, 2, 0, 0.0), (2000, 3, 0, 0.0), (2000, 4, 0, 0.0), (2000, 5, 1, third)]
+    assert [r[0] for r in df.select(scalar.variance_index(F.col("x"), F.lit(0.0))).collect()] == [None] * 4
+
+
+@pytest.mark.parametrize(
+    ("v", "n", "verdict"),
+    [
+        ([5.0, 4.0, 3.0, 2.0], [1.0, 2.0, 3.0, 4.0], "sampling_artefact_likely"), ([2.0, 3.0, 4.0, 5.0], [4.0, 3.0, 2.0, 1.0], "partial_association"), ([2.0, 3.0, 4.0, 5.0], [1.0, 2.0, 3.0, 4.0], "partial_association"),
+        ([2.0, 3.0, 4.0, 5.0], [7.0] * 4, "not_explained_by_sampling"), ([1.0, 2.0, 1.0, 2.0, 1.0], [1.0, 2.0, 3.0, 4.0, 5.0], "not_explained_by_sampling"), ([1.0, 2.0, None, None], [1.0, 2.0, 3.0, 4.0], "insufficient_data"),
+    ],
+)
+def test_count_check(spark, v, n, verdict):
+    df = spark.createDataFrame([("a", 2000 + i, x, c) for i, (x, c) in enumerate(zip(v, n, strict=True))], "k string, y int, v double, n double")
+    assert [r["verdict"] for r in trends.count_check(df, ["k"], "y", "v", "n").collect()] == [verdict]
+
+
+def test_tau_b_counts_ties(spark):
+    df = spark.createDataFrame([("a", y, v) for y, v in enumerate([1.0, 1.0, 2.0, 3.0])] + [("b", y, 5.0) for y in range(4)], "k string, y int, v double")
+    assert one(trends.kendall_tau(df, ["k"], "y", "v"), "k") == [("a", pytest.approx(5 / math.sqrt(6 * 5))), ("b", None)]
