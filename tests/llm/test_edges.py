@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +136,39 @@ def test_top_k(spark):
     got = [tuple(r) for r in top_k.exact_top_k(v, v.where("id % 50 = 0"), 5).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 32768), (0, 2, 2, 32768), (0, 3, 100, -16384), (100, 1, 0, -16384), (100, 2, 1, -16384), (100, 3, 2, -16384)]
     assert top_k.exact_top_k(v.limit(0), v.limit(0), 5).count() == 0
+
+
+def test_top_k_of_repeated_ids_and_large_components(spark):
+    big = 2**40
+    rows = [(1, [big, 1]), (2, [big, 2]), (3, [-big, 3]), (4, [2, 1]), (4, [1, 1]), (None, [5, 5]), (5, [])]
+    v = spark.createDataFrame(rows, "id long, v array<long>")
+    ask = lambda i: [tuple(r)[2:] for r in top_k.exact_top_k(v, v.where(f"id = {i}"), 3).orderBy("rank").collect()]
+    with pytest.raises(Exception, match="does not fit"):
+        ask(1)
+    # Of both rows with id 4, that of the least vector is asked, and neither is its own candidate.
+    assert ask(4) == [(2, big + 2), (1, big + 1), (3, 3 - big)] and ask(5) == []
+    small = spark.createDataFrame([(1, [2**30, 1]), (2, [2**30, 2]), (2, [2**30, 2])], "id long, v array<long>")
+    assert [tuple(r) for r in top_k.exact_top_k(small, small.where("id = 1"), 3).orderBy("rank").collect()] == [(1, 1, 2, 2**60 + 2), (1, 2, 2, 2**60 + 2)]
+    huge = spark.createDataFrame([(1, [1e19])], "id long, e array<double>")
+    with pytest.raises(Exception, match="too large"):
+        huge.select(top_k.quantised(F.col("e"))).collect()
+
+
+def test_phases_of_top_k_resolve_few_entries():
+    """The cutoff of the first phase leaves most entries of clustered vectors unresolved, and none of the answers."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 60, (40, 64)) * np.linspace(3, 0.2, 64)
+    every = np.rint(centres[rng.integers(0, 40, 3000)] + rng.normal(0, 12, (3000, 64))).astype(np.int64)
+    ids = np.arange(3000)
+    queries, qid = every[::50], ids[::50]
+    row, _, score = top_k.local_lists(5, qid, queries, ids, every)
+    cutoff = np.array([np.sort(score[row == i])[-5] for i in range(len(qid))]).astype(np.int64)
+    row, col, score, n = top_k.resolved(5, qid, queries, cutoff, ids, every)
+    whole = queries @ every.T
+    whole[np.arange(len(qid)), qid] = -(2**60)
+    best = top_k._best(5, qid[row], ids[col], score.astype(np.int64))
+    for i, q in enumerate(qid):
+        want = np.lexsort((ids, -whole[i]))[:5]
+        own = best[qid[row][best] == q]
+        assert ids[col][own].tolist() == want.tolist() and score[own].astype(int).tolist() == whole[i][want].tolist()
+    assert n < 0.3 * len(qid) * len(ids)
