@@ -6,6 +6,7 @@ so splitting the UTF-8 bytes and splitting the characters give the same words.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -32,25 +33,43 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset, as
-    in tests, a folder under /tmp is taken.
+    A cluster names it in ``spark.checkpoint.dir``.  Only a local session may leave that
+    unset, as in tests; a folder under /tmp is taken then.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[[^\]]*\])?$", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir("/tmp/skyloom-checkpoints")
         named = sc.getCheckpointDir()
     return named.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: a cut lineage that survives lost executors."""
+    """``df`` written to the shared folder and read back: a cut lineage that survives lost executors.
+
+    The table stays until :func:`release`, as results that are not yet computed read it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that :func:`durable` has written in this process; call it once results are stored.  Returns their number."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text column, in the JVM; null counts as no text."""
     body = F.coalesce(text, F.lit(""))

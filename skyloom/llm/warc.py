@@ -26,6 +26,8 @@ from .common import durable, shared_dir
 
 #: Payload bytes after which a new archive is begun, and bytes read at once.
 ARCHIVE_BYTES, READ_BYTES = 8 << 20, 1 << 20
+#: Tasks that archives are dealt over, at most.
+MOST_TASKS = 100_000
 #: Payload bytes from which equal payloads become revisits.
 REVISIT_BYTES = 1000
 LEVEL = 5
@@ -174,29 +176,36 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     body = F.col("html").cast("binary")
+    # Only a page with another of equal payload needs to know it; its row is told by id and digest, as ids may repeat.
     digests = durable(rows.select("id", F.sha1(body).alias("digest"), F.octet_length(body).alias("bytes")).where(f"bytes >= {REVISIT_BYTES}"), "digests")
     first = digests.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("digest", "refers_to")
-    refers = digests.join(first, "digest").where("id <> refers_to").groupBy("id").agg(F.max("refers_to").alias("refers_to"))
-    rows = rows.join(refers, "id", "left").select("id", "url", "html", "refers_to")
+    refers = digests.join(first, "digest").where("id <> refers_to").select("id", "digest", "refers_to").distinct()
+    rows = rows.withColumn("digest", F.when(F.octet_length(body) >= REVISIT_BYTES, F.sha1(body))).join(refers, ["id", "digest"], "left").select("id", "url", "html", "refers_to")
     return durable(rows.mapInArrow(_write(folder), _NAMES), "archives")
 
 
+def _each(archives: DataFrame) -> DataFrame:
+    """The archives' names, about one in a task: a name is short but its file is not, so partitions are not coalesced by size."""
+    return archives.select("archive").repartition(max(1, min(archives.count(), MOST_TASKS)), "archive")
+
+
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
     """Rewrites monolithic archives into one gzip member per record with a sidecar index; returns the new names."""
-    return durable(archives.select("archive").repartition(F.col("archive")).mapInArrow(_normalise(folder), _NAMES), "members")
+    return durable(_each(archives).mapInArrow(_normalise(folder), _NAMES), "members")
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
     """One row per record of normalised archives, found by their indexes; payloads are checked against their digests."""
-    return archives.select("archive").repartition(F.col("archive")).mapInArrow(_read(folder), _ROWS)
+    return _each(archives).mapInArrow(_read(folder), _ROWS)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Archives every page, normalises the archives and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     A null page is an empty payload and a null address about:blank; rows without id
-    are responses without id, and repeated ids are the same page.  An empty table
-    gives no archive and an empty result.
+    are responses without id.  Rows of one id are records of their own, each judged by
+    its own payload; equal ones are all responses if they are the largest id.  An empty
+    table gives no archive and an empty result.
     """
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     return read_archives(normalise(write_archives(pages, folder, id_col, url_col, html_col), folder), folder)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyloom.llm import html_text, mixing, pieces, quality, secrets, suffix_dedup, top_k, toxicity, warc
+from skyloom.llm import common, html_text, mixing, pieces, quality, secrets, suffix_dedup, top_k, toxicity, warc
 from skyloom.llm.near_dedup import near_duplicates
 
 LONG = " ".join(f"word{i % 4000} and" for i in range(30000))
@@ -130,6 +130,29 @@ def test_revisits(spark):
     assert got == {1: ("revisit", 2), 2: ("response", None), 3: ("response", None), 4: ("response", None)}
 
 
+def test_revisits_of_repeated_ids(spark):
+    big, other = "x" * 1000, "y" * 1000
+    pages = spark.createDataFrame([(1, "a", big), (1, "a", other), (2, "b", big), (2, "b", big), (None, "c", big)], "page_id long, url string, html string")
+    got = sorted((r["page_id"] or 0, r["payload_digest"][:4], r["record_type"], r["refers_to"] or 0) for r in warc.round_trip(pages).collect())
+    x, y = (hashlib.sha1(t.encode()).hexdigest()[:4] for t in (big, other))
+    assert got == sorted([(1, x, "revisit", 2), (1, y, "response", 0), (2, x, "response", 0), (2, x, "response", 0), (0, x, "response", 0)])
+
+
+def test_one_task_per_archive(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1000)
+    pages = spark.createDataFrame([(i, "u", f"{i} " * 600) for i in range(12)], "page_id long, url string, html string").coalesce(1)
+    written = warc.write_archives(pages, f"{common.shared_dir(spark)}/one-task")
+    assert written.count() == 12 and warc._each(written).rdd.getNumPartitions() == 12
+    assert warc.round_trip(pages).count() == 12
+
+
+def test_release(spark):
+    kept = common.durable(spark.range(3), "kept")
+    assert kept.count() == 3 and common.release(spark) >= 1
+    with pytest.raises(Exception, match="not exist|FileNotFound"):
+        spark.read.parquet(kept.inputFiles()[0]).count()
+
+
 def test_top_k(spark):
     rows = [(0, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (50, None), (51, [float("nan"), 0.1]), (52, [None, 0.1]), (53, [float("inf"), 0.0]), (100, [-0.5, 0.0]), (54, [0.1]), (55, [])]
     v = spark.createDataFrame(rows, "vec_id long, e array<float>").select(F.col("vec_id").alias("id"), top_k.quantised(F.col("e")).alias("v"))
