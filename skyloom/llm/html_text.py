@@ -2,10 +2,13 @@
 
 Every page becomes a tree of elements.  Scripts, styles, navigation, headers,
 footers, sidebars, notices, adverts, forms and comments are cut by element,
-role or name.  A node's density is its characters per tag, adjusted by its
-links; the node with the greatest sum of its children's densities is the main
-subtree, and the least density on its way to the body is the threshold that
-further subtrees must reach.
+role or name.  A DOM node's density is its characters per tag, adjusted by its
+links (a text node has no tags, so its density is its characters); the node with
+the greatest sum of its children's densities is the main subtree.  The least
+density on its way to the body is the threshold that further subtrees must reach;
+only elements that repeat a path element's tag and classes beside it are asked, as
+parts of one article look alike and teasers do not.  Inside an ``article`` element
+the whole element is taken; a page's only ``article`` is the main subtree.
 """
 
 from __future__ import annotations
@@ -30,41 +33,77 @@ FENCE = frozenset("table ul ol dl div article section main body html select td t
 #: Elements, roles and names that never hold the article.
 CUT = frozenset("script style noscript template head title nav header footer aside form button select input textarea iframe object embed svg canvas dialog menu noembed noframes xmp audio video map".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
-CUT_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adsense|banner|promo\w*|sponsor\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar|side|footer|header|masthead|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|comments?|commentlist|replies|respond|disqus|share|sharing|social|related|recommended|widget|pagination|pager|login)(?=$|[\s_-])", re.I)
+CUT_NAMES = frozenset("ad ads adbox adsense advert adverts advertisement advertising banner promo promotion promotions sponsor sponsored sponsors nav navbar navigation menu menus breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup comment comments commentlist replies respond disqus share sharing social related recommended widget widgets pagination pager login".split())
+#: Words that turn a name into a remark on the element's layout, as in no-sidebar, has-comments or header-fixed.
+REMARKS = frozenset("no not non with without has have hide hidden show by is layout page fixed sticky above below after before single left right".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in sorted(RAW)}
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
 class Node:
-    """An element; its children are nodes and strings in page order."""
+    """An element; its children are nodes and strings in page order.  ``cut`` is 1 if only its name says so, 2 for good."""
 
-    __slots__ = ("children", "chars", "cut", "density", "links", "link_chars", "sum", "tag", "tags", "up")
+    __slots__ = ("children", "chars", "cut", "density", "kind", "links", "link_chars", "sum", "tag", "tags", "up")
 
-    def __init__(self, tag: str, up: Node | None, cut: bool = False):
-        self.tag, self.up, self.cut, self.children = tag, up, cut, []
+    def __init__(self, tag: str, up: Node | None, cut: int = 0, kind: str = ""):
+        self.tag, self.up, self.cut, self.kind, self.children = tag, up, cut, kind, []
 
 
-def _is_cut(tag: str, attributes: str) -> bool:
-    if tag in CUT:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.strip().lower() in CUT_ROLES:
-            return True
-        if name in ("class", "id") and CUT_NAMES.search(value):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+def named(value: str) -> bool:
+    """Whether one of a class or id attribute's names says that the element is no part of the article.
+
+    A name counts if its parts between hyphens, underscores and capitals hold a cut
+    name and none of them only remarks on the layout.
+    """
+    for name in value.split():
+        parts = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower().replace("_", "-").split("-")
+        if any(p in CUT_NAMES for p in parts) and not any(p in REMARKS for p in parts):
             return True
     return False
 
 
+def _attributes(tag: str, text: str) -> tuple[int, str]:
+    """How an element is cut by its tag and attributes, and its classes."""
+    cut, kind = 2 * (tag in CUT), ""
+    for m in _ATTRIBUTE.finditer(text) if text else ():
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "class":
+            kind = " ".join(sorted(value.split()))
+        if tag in ("html", "body", "article", "main"):
+            continue
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.strip().lower() in CUT_ROLES:
+            cut = 2
+        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            cut = 2
+        elif name in ("class", "id") and named(value):
+            cut = cut or 1
+    return cut, kind
+
+
 def parse(page: str) -> Node:
-    """The page's tree; unclosed and misnested elements are closed as browsers close them, roughly."""
+    """The page's tree; unclosed and misnested elements are closed as browsers close them, roughly.
+
+    Open elements are counted by tag, anew inside each table cell, so that an end tag
+    without its start costs nothing, however deep the page is.
+    """
     root = top = Node("html", None)
     at, end = 0, len(page)
+    scopes: list[dict[str, int]] = [{}]
+
+    def leave(node: Node) -> None:
+        """Closes the open elements up to and with ``node``."""
+        nonlocal top
+        while True:
+            if top.tag in ("td", "th"):
+                scopes.pop()
+            scopes[-1][top.tag] -= 1
+            done = top is node
+            top = top.up
+            if done:
+                return
+
     while at < end:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else end]
@@ -77,19 +116,18 @@ def parse(page: str) -> Node:
         if not tag or tag == "html":
             continue
         if m[1]:
-            node = top
-            while node is not root and node.tag != tag:
-                node = None if node.tag in ("td", "th") and tag not in BLOCK else node.up
-                if node is None:
-                    break
-            if node is not None and node is not root:
-                top = node.up
+            # An inline end tag reaches no further than its table cell.
+            if scopes[-1].get(tag) or tag in BLOCK and any(s.get(tag) for s in scopes):
+                node = top
+                while node.tag != tag:
+                    node = node.up
+                leave(node)
             continue
         if tag == "body" and top.tag == "head":
-            top = top.up
-        if tag in CLOSES_P or tag in SAME:
-            close, node = ("p", *SAME.get(tag, ())) if tag in CLOSES_P else SAME[tag], top
-            reach = None
+            leave(top)
+        close = ("p", *SAME.get(tag, ())) if tag in CLOSES_P else SAME.get(tag, ())
+        if any(s.get(c) for c in close for s in scopes[-2:]):
+            node, reach = top, None
             while node is not root:
                 if node.tag in close:
                     reach = node
@@ -97,18 +135,38 @@ def parse(page: str) -> Node:
                     break
                 node = node.up
             if reach is not None:
-                top = reach.up
-        node = Node(tag, top, _is_cut(tag, m[3]))
+                leave(reach)
+        node = Node(tag, top, *_attributes(tag, m[3]))
         top.children.append(node)
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
-            node.children.append(page[at : close.start() if close else end])
-            at = close.end() if close else end
+            stop = _RAW_END[tag].search(page, at)
+            node.children.append(page[at : stop.start() if stop else end])
+            at = stop.end() if stop else end
         elif tag not in VOID and not m[3].endswith("/"):
             top = node
+            scopes[-1][tag] = scopes[-1].get(tag, 0) + 1
+            if tag in ("td", "th"):
+                scopes.append({})
     return root
 
 
+def _spare(root: Node) -> None:
+    """Lifts cuts that would take the article: by name, of an element that holds an ``article``, ``main`` or ``h1``; by tag, of a header in an ``article``."""
+    stack = [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        if node.tag == "header" and inside:
+            node.cut = 0
+        if node.tag in ("article", "main", "h1"):
+            up = node.up
+            while up is not None and up.cut == 1:
+                up.cut = 0
+                up = up.up
+        if node.cut < 2:
+            inside = inside or node.tag == "article"
+            stack.extend((c, inside) for c in node.children if isinstance(c, Node))
+
+
 def _order(root: Node) -> list[Node]:
     """Nodes that are not cut, parents first."""
     out, stack = [], [root]
@@ -137,7 +195,7 @@ def _densities(nodes: list[Node]) -> None:
                 tags += 1 + c.tags
                 links += c.links
                 link_chars += c.link_chars
-        node.chars, node.tags, node.sum = own + chars, tags, float(own) if node.tag in BLOCK else 0.0
+        node.chars, node.tags, node.sum = own + chars, tags, float(own)
         node.links, node.link_chars = (links + 1, own + chars) if node.tag == "a" else (links, link_chars)
     body = nodes[0]
     linked = body.link_chars / max(body.chars, 1)
@@ -182,30 +240,68 @@ def _blocks(node: Node, out: list[str]) -> None:
 def main_text(page: str | None) -> str:
     """The page's main text, blocks joined by an empty line; empty if there is none."""
     root = parse(page or "")
+    _spare(root)
+    text = _main(root)
+    if not text and any(n.cut == 1 for n in _every(root)):
+        # Names alone left nothing, so they did not mean what they said.
+        for node in _every(root):
+            node.cut = node.cut if node.cut == 2 else 0
+        text = _main(root)
+    return text
+
+
+def _every(root: Node) -> Iterator[Node]:
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        yield node
+        stack.extend(c for c in node.children if isinstance(c, Node))
+
+
+def _inside_article(node: Node) -> bool:
+    while node.up is not None:
+        node = node.up
+        if node.tag == "article":
+            return True
+    return False
+
+
+def _main(root: Node) -> str:
     start = next((c for c in root.children if isinstance(c, Node) and c.tag == "body"), root)
     nodes = _order(start)
     _densities(nodes)
+    outer = [n for n in nodes if n.tag == "article" and n.chars and not _inside_article(n)]
+    if len(outer) == 1:
+        _blocks(outer[0], out := [])
+        return "\n\n".join(out)
     # Only blocks are candidates: an inline element is part of a paragraph, a paragraph part of a text.
     best = max((n for n in nodes if n.tag in BLOCK and n.tag not in ("p", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6") or n is start), key=lambda n: (n.sum, n.chars))
-    path, node = [best.density], best
-    while node is not start:
-        node = node.up
-        path.append(node.density)
-    threshold = min(path)
-    chosen = {id(best)}
-    above = set()
-    node = best
-    while node is not start:
-        node = node.up
-        above.add(id(node))
-    out: list[str] = []
-    stack = [start]
-    while stack:
-        x = stack.pop()
-        if id(x) in chosen or x.density >= threshold and x.chars and id(x) not in above and x.tag in BLOCK:
-            _blocks(x, out)
-        else:
-            stack.extend(c for c in reversed(x.children) if isinstance(c, Node) and not c.cut)
+    path = [best]
+    while path[-1] is not start:
+        path.append(path[-1].up)
+    article = next((n for n in reversed(path) if n.tag == "article"), None)
+    out = []
+    if article is not None:
+        _blocks(article, out)
+        return "\n\n".join(out)
+    threshold = min(n.density for n in path)
+    on_path = {id(n): n for n in path}
+
+    def parts(node: Node) -> None:
+        """Blocks of ``best`` and of its like beside the path, in page order."""
+        stack = [node]
+        while stack:
+            x = stack.pop()
+            if x is best:
+                _blocks(x, out)
+            elif id(x) in on_path:
+                below = next(c for c in x.children if id(c) in on_path)
+                like = [c for c in x.children if isinstance(c, Node) and not c.cut and (c is below or c.tag == below.tag and c.kind == below.kind and c.tag in BLOCK and c.chars and c.density >= threshold)]
+                stack.extend(reversed(like))
+            else:
+                _blocks(x, out)
+
+    parts(start)
     return "\n\n".join(out)
 
 

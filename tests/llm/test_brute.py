@@ -144,6 +144,46 @@ def test_html_without_article_element():
     assert html_text.main_text(page) == "Title\n\nFirst long sentence of the story, with words.\n\nSecond one & more text here."
 
 
+STORY = "<h1>Title</h1><p>First long sentence of the story, with many words in it.</p><p>Second one &amp; more text here, to the end.</p>"
+TEXT = "Title\n\nFirst long sentence of the story, with many words in it.\n\nSecond one & more text here, to the end."
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "layout-with-sidebar", "side-by-side", "has-comments", "page header-fixed", "sidebar-right-layout", "related", "widget"])
+def test_html_wrapper_names(name):
+    """Names that remark on the layout, and names of wrappers around the whole article, cut nothing."""
+    assert html_text.main_text(f"<body class='{name}'><div class='{name}'><div>{STORY}</div><div class=sidebar><p>Other things to read on this page, if you like.</p></div></div>") == TEXT
+
+
+@pytest.mark.parametrize("name", ["sidebar", "cookie-notice", "site-footer", "mainNav", "comments", "comment-list", "ad", "ad-banner", "share_buttons", "newsletter-signup", "related-posts"])
+def test_html_cut_names(name):
+    junk = "<p>A rather long sentence that is no part of the story, with a good many words, to be dense.</p>" * 5
+    assert html_text.main_text(f"<body><div class='story'>{STORY}</div><div class='{name}'>{junk}</div>") == TEXT
+    assert html_text.main_text(f"<body><article>{STORY}<div id='{name}'>{junk}</div></article>") == TEXT
+
+
+def test_html_article_header_and_teaser():
+    assert html_text.main_text(f"<header><h2>Site</h2></header><article><header><h1>Title</h1><nav>a b</nav></header>{STORY[14:]}<footer>by me</footer></article>") == TEXT
+    teaser = "<div class=teaser>" + "Another article of ours is about something else and is long. " * 20 + "</div>"
+    assert html_text.main_text(f"<body><article>{STORY * 3}</article>{teaser}") == "\n\n".join([TEXT] * 3)
+    assert html_text.main_text(f"<body><div class=story>{STORY * 9}</div>{teaser[:200]}</div>") == "\n\n".join([TEXT] * 9)
+    parts = "".join(f"<div class=part><h2>Part {i}</h2><p>{'Some words of this part of the story. ' * (4 + i)}</p></div>" for i in range(3))
+    got = html_text.main_text(f"<body><div class=story>{parts}</div>{teaser[:200]}</div>")
+    assert all(f"Part {i}" in got for i in range(3)) and "Another" not in got
+
+
+def test_html_parse_is_linear():
+    """Unmatched end tags under deep nesting; the time of ten times the depth is far from a hundred times."""
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        assert html_text.main_text("<div>" * n + "deep" + "</p></b></td>" * n + "<p>x" * n).startswith("deep")
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(20_000) < 30 * max(seconds(2_000), 0.02)
+
+
 def test_toxicity_held_out(spark):
     got = queries.op1_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").toPandas()
     rank = got.score.rank()
