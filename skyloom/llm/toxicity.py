@@ -6,9 +6,11 @@ products of learned factors per pair of terms, so an insult beside a group
 mention can weigh more than both apart.
 
 The machine is fitted on at most ``TRAIN_ROWS`` labelled rows, those of least
-hash with equal room for either label; terms are chosen from these rows by how
-far their document frequency differs between the labels.  Presence, not
-frequency, is what counts, so a word in a text of 20,000 weighs as in one of 20.
+hash with equal room for either label.  A term is chosen if its presence depends
+on the label; of the most frequent other terms, those are chosen too whose
+presence together with another one does, though neither tells anything alone.
+Presence, not frequency, is what counts, so a word in a text of 20,000 weighs as
+in one of 20.
 """
 
 from __future__ import annotations
@@ -17,16 +19,17 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
 
 #: Bound of the labelled sample, of the terms kept, of the factors; and the least evidence (log-likelihood ratio) of a term.
 TRAIN_ROWS, MOST_TERMS, FACTORS, EVIDENCE = 8_000, 4_096, 8, 12.0
+#: Frequent terms whose pairs are tested, and the evidence that a pair needs, of which there are many.
+FREQUENT, PAIR_EVIDENCE = 256, 40.0
 #: Passes over the sample, step, and penalty of the fit.
 PASSES, STEP, PENALTY = 300, 0.05, 1e-4
 THRESHOLD = 0.7
@@ -91,6 +94,77 @@ class Machine:
         return cls(codes, float(params[0][0]), params[1], params[2])
 
 
+def _evidence(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Twice the log-likelihood ratio of a presence depending on the label."""
+
+    def ll(k, n):
+        p = np.clip(k / n, 1e-12, 1 - 1e-12)
+        return k * np.log(p) + (n - k) * np.log(1 - p)
+
+    return 2 * (ll(pos, n_pos) + ll(neg, n_neg) - ll(pos + neg, n_pos + n_neg))
+
+
+def _evidence_of(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
+    """The same of two columns."""
+
+    def ll(k, n):
+        p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), k / n))
+        return k * F.log(p) + (n - k) * F.log(1 - p)
+
+    return 2 * (ll(pos, n_pos) + ll(neg, n_neg) - ll(pos + neg, n_pos + n_neg))
+
+
+def paired(present: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Which columns of a presence matrix depend on the label together with another column.
+
+    A pair is tested by its common presence, and by the presence of just one of both.
+    """
+    x, y = present.astype(np.float64), labels.astype(np.float64)
+    n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
+    both_pos, both = x.T @ (x * y[:, None]), x.T @ x
+    one_pos, one = np.add.outer(np.diag(both_pos), np.diag(both_pos)) - 2 * both_pos, np.add.outer(np.diag(both), np.diag(both)) - 2 * both
+    g = np.maximum(_evidence(both_pos, both - both_pos, n_pos, n_neg), _evidence(one_pos, one - one_pos, n_pos, n_neg))
+    np.fill_diagonal(g, 0)
+    return (g >= PAIR_EVIDENCE).any(axis=1)
+
+
+def _terms_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, 256):
+            part = batch.slice(first, 256)
+            found = [sorted(terms(t)) for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int64()))], ["id", "y", "found"])
+
+
+def fit(cls, codes: np.ndarray, rows: list[list[int]], labels: np.ndarray) -> Machine:
+        """Full-batch Adam on the mean logistic loss; without both labels the score is the labels' smoothed mean."""
+        m, n = len(codes), len(rows)
+        rate = (labels.sum() + 0.5) / (n + 1) if n else 0.5 / 50
+        bias = float(np.log(rate / (1 - rate)))
+        rng = np.random.Generator(np.random.PCG64(7))
+        params = [np.array([bias]), np.zeros(m), rng.normal(0, 0.01, (m, FACTORS))]
+        if not m or not n or labels.min() == labels.max():
+            return cls(codes[:0], bias, params[1][:0], params[2][:0])
+        at = np.concatenate([np.full(len(r), i) for i, r in enumerate(rows)]).astype(np.int64)
+        col = np.concatenate([np.asarray(r, np.int64) for r in rows])
+        first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+        total = lambda x: np.bincount(at, x, n)
+        back = lambda x: np.bincount(col, x, m)
+        for turn in range(1, PASSES + 1):
+            b, w, v = params
+            vs = v[col]
+            sums = np.stack([total(vs[:, k]) for k in range(FACTORS)], axis=1)
+            z = b[0] + total(w[col]) + 0.5 * ((sums**2).sum(axis=1) - total((vs**2).sum(axis=1)))
+            miss = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) / n
+            pull = miss[at]
+            grads = [np.array([miss.sum()]), back(pull) + PENALTY * w, np.stack([back(pull * (sums[at, k] - vs[:, k])) for k in range(FACTORS)], axis=1) + PENALTY * v]
+            for i, g in enumerate(grads):
+                first[i] = 0.9 * first[i] + 0.1 * g
+                second[i] = 0.999 * second[i] + 0.001 * g * g
+                params[i] = params[i] - STEP * (first[i] / (1 - 0.9**turn)) / (np.sqrt(second[i] / (1 - 0.999**turn)) + 1e-8)
+        return cls(codes, float(params[0][0]), params[1], params[2])
+
+
 def _evidence(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
     """Twice the log-likelihood ratio of a term's presence depending on the label."""
 
@@ -120,17 +194,20 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) -> Mac
     if not n_pos or not n_neg:
         return Machine.fit(np.empty(0, np.int64), [[]] * (n_pos + n_neg), np.array([1.0] * n_pos + [0.0] * n_neg))
     least = 3 if n_pos > 100 else 2
-    counts = rows.select("y", F.explode("found").alias("code")).groupBy("code").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).where(f"pos + neg >= {least}")
-    share_p, share_n = F.col("pos") / n_pos, F.col("neg") / n_neg
-    # The commonest informative terms only: those whose frequency differs clearly between the labels.
-    counts = counts.where(F.greatest(share_p, share_n) >= 3 * F.least(share_p, share_n)).orderBy(F.desc(F.abs(share_p - share_n)), "code").limit(4 * MOST_TERMS).toPandas()
-    counts["g"] = _evidence(counts.pos.to_numpy(float), counts.neg.to_numpy(float), n_pos, n_neg)
-    counts = counts[counts.g >= EVIDENCE].sort_values(["g", "code"], ascending=[False, True]).head(MOST_TERMS)
-    codes = counts.code.to_numpy(np.int64)
-    listed = F.array_intersect("found", F.lit(codes.tolist()) if len(codes) else F.array().cast("array<long>"))
-    sample = rows.select("id", "y", listed.alias("found")).toPandas().sort_values("id")
+    counts = rows.select("y", F.explode("found").alias("code")).groupBy("code").agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg")).where(f"pos + neg >= {least}")
+    counts = durable(counts.withColumn("g", F.round(_evidence_of(F.col("pos"), F.col("neg"), n_pos, n_neg), 6)), "sample-counts")
+    alone = [r[0] for r in counts.where(F.col("g") >= EVIDENCE).orderBy(F.desc("g"), "code").limit(MOST_TERMS).select("code").collect()]
+    other = [r[0] for r in counts.where(F.col("g") < EVIDENCE).orderBy(F.desc(F.col("pos") + F.col("neg")), "code").limit(FREQUENT).select("code").collect()]
+    listed = F.array_intersect("found", F.lit(alone + other) if alone + other else F.array().cast("array<long>"))
+    sample = sorted(rows.select("id", "y", listed.alias("found")).collect(), key=lambda r: r["id"])
+    labels = np.array([r["y"] for r in sample], float)
+    place = {c: i for i, c in enumerate(other)}
+    present = np.zeros((len(sample), len(other)), bool)
+    for i, r in enumerate(sample):
+        present[i, [place[c] for c in r["found"] if c in place]] = True
+    codes = np.array(alone + [c for c, keep in zip(other, paired(present, labels), strict=True) if keep], np.int64)
     place = {int(c): i for i, c in enumerate(codes)}
-    return Machine.fit(codes, [sorted(place[int(c)] for c in r) for r in sample.found], sample.y.to_numpy(float))
+    return Machine.fit(codes, [sorted(place[c] for c in r["found"] if c in place) for r in sample], labels)
 
 
 def toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,11 +219,11 @@ def toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     """
     machine = fit(docs, labelled, id_col, text_col)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = machine.place.keys()
         for batch in batches:
-            score = [machine.score(terms(t) & known) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "score": score})
+            score = [machine.score(terms(x.as_py()) & known) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["id", "score"])
 
-    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "id long, score double")
+    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, score double")
     return scored.select(F.col("id").alias(id_col), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from skyloom.llm import html_text, near_dedup, pieces, quality, queries, suffix_dedup
+from skyloom.llm import html_text, near_dedup, pieces, quality, queries, suffix_dedup, toxicity
 from skyloom.llm.common import durable
 from skyloom.llm.near_dedup import near_duplicates, shingle_set
 
@@ -193,6 +193,22 @@ def test_toxicity_held_out(spark):
     assert all(h == (zlib.crc32(str(d).encode()) % 3 == 1) for d, h in zip(got.doc_id, got.held_out))
 
 
+@pytest.mark.parametrize("rule", ["both", "one"])
+def test_toxicity_of_pairs(spark, rule):
+    """Toxic is only a pair of words (or, harder, just one of both), each of which is common in clean texts as well."""
+    rng = np.random.default_rng(8)
+    rows, labels = [], []
+    for i in range(4000):
+        insult, group = rng.random(2) < 0.5
+        words = [f"word{k}" for k in rng.integers(0, 300, 20)] + ["insultish"] * int(insult) + ["groupish"] * int(group)
+        rows.append((i, " ".join(rng.permutation(words))))
+        labels.append((i, int(insult and group if rule == "both" else insult != group)))
+    docs, y = spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame(labels, "id long, y int")
+    got = toxicity.toxicity(docs, y.where("id % 2 = 0"), "id").join(y, "id").where("id % 2 = 1").toPandas()
+    assert ((got.score >= 0.5) == (got.y == 1)).mean() > 0.97
+    assert got[got.y == 1].predicted.mean() > 0.95 and got[got.y == 0].predicted.mean() < 0.02
+
+
 def test_best_segmentations():
     v = pieces.Vocabulary.load()
     for word in ("▁hello", "▁▁wörld", "▁\n", "▁😀b"):
