@@ -2,9 +2,10 @@
 
 Candidates are found in every whole text with their places.  Their values are
 hashed and counted by distinct repositories and owners over the whole corpus: a
-value that many owners share is a copied example, one that belongs to few owners
-looks live.  Base candidates are always reported; candidates of the wider
-pattern are reported only if they look live.
+value that many owners share, or that two spread over many repositories, is a
+copied example; one that stays with few owners looks live, in however many
+repositories one owner keeps it.  Base candidates are always reported; candidates
+of the wider patterns are reported only if they look live.
 """
 
 from __future__ import annotations
@@ -18,55 +19,83 @@ from .common import durable
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"(AKIA[A-Z0-9]{16,})"
 HEX = r"([0-9a-f]{24,})"
-#: What the method adds: provider tokens, private-key blocks, signed tokens, long mixed strings.
-WIDER = r"((?:gh[oprsu]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{16,}|AIza[A-Za-z0-9_-]{30,}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+|(?=[A-Za-z0-9+/_-]{0,200}[0-9])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])(?=[A-Za-z0-9+/_-]{0,200}[a-z])[A-Za-z0-9+/_-]{36,}))"
+#: What the method adds: provider tokens, private-key blocks, signed tokens; and long runs of letters of both cases with digits.
+PROVIDER = r"(gh[oprsu]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{16,}|AIza[A-Za-z0-9_-]{30,}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)"
+LONG = r"((?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{36,})"
 KINDS = ("assign", "access", "hex", "key")
-#: Distinct owners from which on a value is a copied example.
-EXAMPLE_OWNERS = 3
+#: Distinct owners from which on a value is a copied example; and repositories from which on it is one with two owners.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 6
 
+_SPANS = "array<struct<start:long,kind:int,end:long,value:string>>"
 
-def _found(text: Column, pattern: str, kind: int, likely: Column, least: int = 0) -> Column:
-    """array<struct<start, kind, end, value>> of the leftmost non-overlapping matches whose value has ``least`` characters.
 
-    The pieces between matches and the matches themselves alternate, so their
-    lengths add up to the places.
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, op) -> Column:
+    """The running ``op`` (a sum or a maximum, say) of an array of longs.
+
+    The array is folded in parts of the root of its size, then the parts' ends are
+    folded, so a text with very many hits does not copy its array for each of them.
     """
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    shape = "array<struct<start:long,kind:int,end:long,value:string>>"
+    none = F.array().cast("array<long>")
+    last = lambda a: F.element_at(a, -1)
 
-    def places(pair: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(pair["gaps"], i))
-            end = start + F.length(F.get(pair["hits"], i))
-            value = F.regexp_extract(F.get(pair["hits"], i), pattern, 1)
-            row = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value")).cast(shape[6:-1]))
-            return F.struct(end.alias("at"), F.when(F.length(value) >= least, F.concat(acc["out"], row)).otherwise(acc["out"]).alias("out"))
+    def fold(part: Column) -> Column:
+        return F.aggregate(part, none, lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) > 0, op(last(acc), x)).otherwise(x))))
 
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(shape).alias("out"))
-        turns = F.transform(pair["hits"], lambda _, i: i)
-        return F.aggregate(turns, start, lambda acc, i: step(acc, i).cast(f"struct<at:long,out:{shape}>"), lambda acc: acc["out"])
+    def over(x: Column) -> Column:
+        step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x["v"]))).cast("int"))
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(x["v"]) - 1) / step).cast("int")), lambda k: fold(F.slice(x["v"], k * step + 1, step)))
+        whole = lambda y: F.flatten(F.transform(y["p"], lambda part, k: F.transform(part, lambda z: F.when(k > 0, op(F.get(y["e"], k - 1), z)).otherwise(z))))
+        return let(parts, lambda p: let(F.struct(p.alias("p"), fold(F.transform(p, last)).alias("e")), whole))
 
-    made = F.element_at(F.transform(F.array(F.struct(hits.alias("hits"), gaps.alias("gaps"))), places), 1)
-    return F.when(likely, made).otherwise(F.array().cast(shape))
+    return let(F.struct(values.cast("array<long>").alias("v")), lambda x: F.when(F.size(x["v"]) > 0, over(x)).otherwise(none))
+
+
+def _found(text: Column, pattern: str, kind: int, likely: Column, least: int = 0) -> Column:
+    """struct<spans, mask> of the leftmost non-overlapping matches whose value has ``least`` characters.
+
+    The pieces between matches and the matches themselves alternate, so the running
+    sum of their lengths is the places.  The mask has a byte for each character up to
+    the last match, 1 in a span.
+    """
+
+    def places(x: Column) -> Column:
+        size = lambda i: F.length(F.get(x["gaps"], i))
+        ends = running(F.transform(x["hits"], lambda h, i: size(i) + F.length(h)), lambda a, b: a + b)
+        spans = let(ends, lambda e: F.transform(x["hits"], lambda h, i: F.struct((F.get(e, i) - F.length(h)).alias("start"), F.lit(kind).alias("kind"), F.get(e, i).alias("end"), F.regexp_extract(h, pattern, 1).alias("value"))))
+        mask = F.array_join(F.transform(x["hits"], lambda h, i: F.concat(F.repeat(F.lit("0"), size(i)), F.repeat(F.when(F.length(F.regexp_extract(h, pattern, 1)) >= least, "1").otherwise("0"), F.length(h)))), "")
+        return F.struct(F.filter(spans.cast(_SPANS), lambda s: F.length(s["value"]) >= least).alias("spans"), mask.cast("binary").alias("mask"))
+
+    none = F.struct(F.array().cast(_SPANS).alias("spans"), F.lit("").cast("binary").alias("mask"))
+    pair = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(likely, let(pair, lambda x: F.when(F.size(x["hits"]) > 0, places(x)).otherwise(none))).otherwise(none)
 
 
 def candidates(text: Column) -> Column:
-    """All candidate spans of a text, base and wider, in order of start and kind; a wider one inside a base one is left out."""
+    """All candidate spans of a text, base and wider, in order of start and kind; a wider one that meets a base one is left out."""
     body = F.coalesce(text, F.lit(""))
     low = F.lower(body)
-    base = F.concat(
-        _found(body, ASSIGN, 0, low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("apikey") | low.contains("api_key"), 6),
-        _found(body, ACCESS, 1, body.contains("AKIA")),
-        _found(body, HEX, 2, body.rlike("[0-9a-f]{24}")),
+    found = F.struct(
+        _found(body, ASSIGN, 0, low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("apikey") | low.contains("api_key"), 6).alias("assign"),
+        _found(body, ACCESS, 1, body.contains("AKIA")).alias("access"),
+        _found(body, HEX, 2, body.rlike("[0-9a-f]{24}")).alias("hex"),
+        _found(body, PROVIDER, 3, body.rlike(r"gh[oprsu]_|xox[abprs]-|AIza|-----BEGIN|eyJ")).alias("provider"),
+        _found(body, LONG, 3, body.rlike(r"[A-Za-z0-9+/_-]{36}")).alias("long"),
     )
-    long_run = r"[A-Za-z0-9+/_-]{34}|xox[abprs]-|-----BEGIN|eyJ"
-    wider = _found(body, WIDER, 3, body.rlike(long_run))
 
-    def joined(both: Column) -> Column:
-        apart = F.filter(both["w"], lambda x: ~F.exists(both["b"], lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
-        return F.array_sort(F.concat(both["b"], apart))
+    def joined(x: Column) -> Column:
+        free = lambda s, names: ~F.lit(False) if not names else ~(F.substring(x[names[0]]["mask"], (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")).cast("string").contains("1")) & free(s, names[1:])
+        mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Z]") & s["value"].rlike("[a-z]")
+        base = ("assign", "access", "hex")
+        provider = F.filter(x["provider"]["spans"], lambda s: free(s, base))
+        long = F.filter(x["long"]["spans"], lambda s: mixed(s) & free(s, (*base, "provider")))
+        return F.array_sort(F.concat(*[x[name]["spans"] for name in base], provider, long))
 
-    return F.element_at(F.transform(F.array(F.struct(base.alias("b"), wider.alias("w"))), joined), 1)
+    return let(found, joined)
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -76,13 +105,19 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("code").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
 
 
+def is_live(owners: Column, repositories: Column) -> Column:
+    """Whether a value looks like its owner's own: one owner keeps it in any number of repositories, two in a few at most."""
+    return (owners == 1) | (owners < EXAMPLE_OWNERS) & (repositories < EXAMPLE_REPOSITORIES)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repository: Column | None = None, keep: bool = False) -> DataFrame:
     """One row per row of ``docs``: its id and ``spans``, array<struct<start, kind, end, live>>.
 
     kind indexes ``KINDS``; places are code points, the end exclusive.  live says that
-    fewer than ``EXAMPLE_OWNERS`` distinct owners have the value.  Owner and repository
-    default to the source and to source with language; nulls count as one owner.  Null
-    and empty texts have no spans, repeated rows each keep their own, an empty table
+    fewer than ``EXAMPLE_OWNERS`` distinct owners have the value, and no two of them in
+    ``EXAMPLE_REPOSITORIES`` repositories or more.  Owner and repository default to the
+    source and to source with language; nulls count as one owner, or one repository of
+    their owner.  Null and empty texts have no spans, repeated rows each keep their own, an empty table
     gives an empty result.  With ``keep`` the whole row comes along as a struct, ``doc``.
     """
     doc = [F.struct(*docs.columns).alias("doc")] if keep else []
@@ -93,7 +128,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
     rows = durable(rows.select(F.monotonically_increasing_id().alias("row"), "id", "owner", "repository", hashed.alias("found"), *["doc"] * keep), "candidates")
     each = rows.select("row", "owner", "repository", F.explode("found").alias("x")).select("row", "owner", "repository", "x.*")
     judged = each.join(ownership(each.select("code", "owner", "repository")), "code")
-    span = F.struct("start", "kind", "end", (F.col("owners") < EXAMPLE_OWNERS).alias("live"))
+    span = F.struct("start", "kind", "end", is_live(F.col("owners"), F.col("repositories")).alias("live"))
     spans = judged.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     none = F.array().cast("array<struct<start:long,kind:int,end:long,live:boolean>>")
     rows = rows.select("row", "id", *["doc"] * keep).join(spans, "row", "left")
@@ -120,14 +155,18 @@ def report(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with each of the sorted spans replaced by ``mark``; spans that overlap give one mark."""
-    state = "struct<at:long,out:string>"
+    """The text with each of the sorted spans replaced by ``mark``; spans that overlap give one mark.
+
+    The pieces between the spans are cut from a form with four bytes for each
+    character, so that a place is found at once.
+    """
+    wide = F.encode(text, "UTF-32")
+    cut = lambda raw, a, b: F.decode(F.substring(raw, (4 * a + 1).cast("int"), F.greatest(F.lit(0), (4 * (b - a)).cast("int"))), "UTF-32")
 
-    def step(acc: Column, x: Column) -> Column:
-        before = F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        out = F.when(x["start"] >= acc["at"], F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out")).cast(state)
+    def parts(x: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(x["ends"], i - 1)).otherwise(F.lit(0).cast("long"))
+        pieces = F.transform(x["spans"], lambda s, i: F.when(s["start"] >= before(i), F.concat(cut(x["raw"], before(i), s["start"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), cut(x["raw"], F.element_at(x["ends"], -1), F.octet_length(x["raw"]) / 4))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")).cast(state)
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
+    ends = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    return F.when(F.size(spans) > 0, let(F.struct(spans.alias("spans"), ends.alias("ends"), wide.alias("raw")), parts)).otherwise(text)

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from skyloom.llm import html_text, near_dedup, pieces, quality, queries, suffix_dedup, toxicity
+from skyloom.llm import html_text, near_dedup, pieces, quality, queries, secrets, suffix_dedup, toxicity
 from skyloom.llm.common import durable
 from skyloom.llm.near_dedup import near_duplicates, shingle_set
 
@@ -132,6 +132,38 @@ def test_quality(spark, texts):
         assert got[d]["kept"] == (not got[d]["base_failed"] and got[d]["score"] >= quality.THRESHOLD)
 
 
+def test_secrets_of_documents(spark):
+    """Base counts, digest and all spans of every document by Python's own patterns and plain counting of owners."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    extra = [f"use ghp_{'A1b2' * 9} here", f"{'xY3/' * 12} token: {'xY3/' * 12}", "key AIza" + "aB3_" * 9]
+    docs = [(r["doc_id"], r["text"] or "", r["source"], r["lang"]) for r in rows] + [(10**6 + i, t, s, "en") for i, (t, s) in enumerate((t, s) for t in extra for s in ("p", "q"))]
+    docs += [(2 * 10**6 + i, extra[0], f"more{i}", "en") for i in range(3)]
+    base, owners, repositories = {}, {}, {}
+    for d, t, source, lang in docs:
+        spans = []
+        for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.A):
+            spans += [(m.start(), 0, m.end(), m[2])] * (len(m[2]) >= 6)
+        spans += [(m.start(), 1, m.end(), m[0]) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, m.end(), m[0]) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+        meets = lambda a, b, s: any(x < b and a < y for x, _, y, _ in s)
+        wide = [(m.start(), 3, m.end(), m[0]) for m in re.finditer(secrets.PROVIDER, t, re.A)]
+        long = [(m.start(), 3, m.end(), m[0]) for m in re.finditer(secrets.LONG, t, re.A) if all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
+        wide, long = [x for x in wide if not meets(x[0], x[2], spans)], [x for x in long if not meets(x[0], x[2], spans + wide)]
+        base[d] = sorted(spans + wide + long)
+        for *_, value in base[d]:
+            owners.setdefault(value, set()).add(source)
+            repositories.setdefault(value, set()).add((source, lang))
+    live = lambda v: len(owners[v]) == 1 or len(owners[v]) < 3 and len(repositories[v]) < 6
+    text = lambda spans: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b, _ in spans)
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: r for r in secrets.report(secrets.scan(df)).collect()}
+    assert set(got) == set(base) and sum(any(x[1] == 3 for x in v) for v in base.values()) >= 9
+    for d, spans in base.items():
+        own, shown = [x for x in spans if x[1] < 3], [x for x in spans if x[1] < 3 or live(x[3])]
+        want = (*(sum(x[1] == k for x in spans) for k in range(3)), hashlib.sha256(text(own).encode()).hexdigest(), text(shown), sum(live(x[3]) for x in shown))
+        assert tuple(got[d][c] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live")) == want
+
+
 def test_html(spark):
     for r in queries.op3_html(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
         inner = r["html"].split("<article>")[1].split("</article>")[0].split("<footer")[0]

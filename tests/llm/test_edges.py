@@ -69,6 +69,47 @@ def test_secret_places(spark):
     assert secrets.report(secrets.scan(df)).first()["base_sha256"] == digest
 
 
+def test_key_places_and_late_characters(spark):
+    """A long key whose first digit and capital come late is one span, a run of small letters is none, and base spans keep wider ones away."""
+    key = "abcdefghij" * 30 + "Z9" + "k" * 10
+    texts = [f"x {key} y", "abcdefghij" * 3000, "ghp_" + "A1b2" * 9 + " and eyJabcdefgh.eyJabcdefgh.sig-1", "token=" + key, "0123456789abcdef01234567" * 2, "a/B1" * 9]
+    df = spark.createDataFrame([(i, t, f"s{i}", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(secrets.scan(df)).collect()}
+    assert got == {0: "key:2:314", 1: "", 2: "key:0:40,key:45:74", 3: "assign:0:318", 4: "hex:0:48", 5: "key:0:36"}
+    clean = secrets.scan(df, keep=True).select("doc.doc_id", secrets.redacted(F.col("doc.text"), secrets.reported(F.col("spans"))).alias("t"))
+    assert {r["doc_id"]: r["t"] for r in clean.collect()} == {0: "x [secret] y", 1: texts[1], 2: "[secret] and [secret]", 3: "[secret]", 4: "[secret]", 5: "[secret]"}
+
+
+def test_many_hits_of_one_text(spark):
+    """Time grows in proportion to the hits, about: four times the hits take far less than sixteen times as long."""
+    import time
+
+    def seconds(n):
+        text = "".join(f"😀 token=s3cret{i:06d} ghp_{'A1b2' * 8}{i:04d} " for i in range(n))
+        df = spark.createDataFrame([(1, text, "s", "en")], "doc_id long, text string, source string, lang string")
+        began = time.time()
+        spans = secrets.scan(df, keep=True).select(secrets.redacted(F.col("doc.text"), secrets.reported(F.col("spans"))).alias("t"), F.size("spans").alias("n")).first()
+        assert spans["n"] == 2 * n and spans["t"] == "😀 [secret] [secret] " * n
+        return time.time() - began
+
+    seconds(10)
+    assert seconds(16_000) < 8 * max(seconds(4_000), 1)
+
+
+def test_ownership(spark):
+    """One owner's many repositories, two owners' few and many, three owners, null owners."""
+    key = lambda i: f"ghp_{'A1b2' * 8}{i:04d}"
+    rows = [(0, key(0), "a", f"a/{r}") for r in range(20)] + [(1, key(1), o, f"{o}/1") for o in "ab"] + [(2, key(2), o, f"{o}/{r}") for o in "ab" for r in range(3)]
+    rows += [(3, key(3), o, f"{o}/1") for o in "abc"] + [(4, key(4), None, None), (4, key(4), None, "x")] + [(5, key(5), o, "same") for o in ("a", None, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, o string, r string").withColumns({"source": F.lit("?"), "lang": F.lit("?")})
+    got = {}
+    for r in secrets.report(secrets.scan(df, owner=F.col("o"), repository=F.col("r"))).collect():
+        got.setdefault(r["doc_id"], set()).add((r["spans"] != "", r["n_live"]))
+    assert got == {0: {(True, 1)}, 1: {(True, 1)}, 2: {(False, 0)}, 3: {(False, 0)}, 4: {(True, 1)}, 5: {(False, 0)}}
+    found = secrets.ownership(spark.createDataFrame([("c", "a/1", "a"), ("c", "a/1", "a"), ("c", "a/2", "a"), ("c", "b/1", "b")], "code string, repository string, owner string"))
+    assert [tuple(r) for r in found.select("code", "repositories", "owners").collect()] == [("c", 3, 2)]
+
+
 def test_copied_examples_are_not_live(spark):
     shared, own = "ghp_" + "A1b2" * 9, "ghp_" + "Z9y8" * 9
     rows = [(i, f"use {shared} here", f"s{i}", "en") for i in range(5)] + [(9, f"use {own} here", "s9", "en")]
