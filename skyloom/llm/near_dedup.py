@@ -5,13 +5,15 @@ exponentially spaced, truncated minima.  Bands of equal registers propose pairs,
 a joint maximum-likelihood estimate over both sketches drops hopeless ones, and
 the rest are verified on the full sets of word tuples.
 
-Exact copies (equal sets) collapse to their smallest id before any pair is made.
-A bucket of at most ``PAIR_BUCKET`` sets yields its pairs; a larger one first
-yields stars around three of its members.  Wide buckets that still hold several
-components are then searched in blocks: a task holds two blocks of bounded size,
-skips pairs that are connected already, verifies the rest and returns only the
-links that connect.  A group of thousands of copies so costs thousands of rows,
-and no link between components is lost.
+Copies collapse to their smallest id before any pair is made: their sets have
+equal sizes and hashes, and are then compared whole.  A bucket of at most
+``PAIR_BUCKET`` sets yields its pairs; a larger one first yields stars around
+three of its members.  Wide buckets that still hold several components are then
+searched in blocks of sketches: a task holds two blocks of bounded size and
+proposes, for each two components, their first pairs that the estimate does not
+drop.  Only where these are not enough, texts are sent to blocks too, and all
+further pairs of components that are still apart are verified there.  No link
+between components is lost.
 """
 
 from __future__ import annotations
@@ -30,8 +32,12 @@ from .components import components
 REGISTERS, BANDS, BASE, TOP = 160, 32, 1.02, 65535
 #: Sets in a bucket up to which all its pairs are made at once.
 PAIR_BUCKET = 8
-#: Members of a block of a wide bucket; a task of the block search holds two.
-BLOCK = 512
+#: Members of a block of a wide bucket, as sketches and with texts; a task of the block search holds two.
+SKETCH_BLOCK, BLOCK = 4096, 512
+#: Pairs of two components that a task of sketches proposes.
+PROPOSED = 16
+#: Share of all band rows (one in so many) from which on a bucket is hot, so that there are at most as many such buckets.
+HOT_SHARE = 10_000
 #: Natural-log likelihood by which the wanted similarity must lose before a pair is dropped unseen.
 DOUBT = 14.0
 #: Ids up to which the verified documents are picked by a broadcast of their ids.
@@ -156,31 +162,62 @@ def _verified(percent: int, size: int):
     return run
 
 
+def _candidates(group: pa.Table, apart: bool, percent: int):
+    """(place, earlier places) of the pairs of different components in a task's blocks that the estimate does not drop, and the task's columns."""
+    ids, block, label, n, band = (group.column(x).to_numpy().copy() for x in ("id", "block", "c", "n", "band"))
+    r = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+    def pairs() -> Iterator[tuple[int, np.ndarray]]:
+        for a in range(1, len(ids)):
+            b = np.flatnonzero((label[:a] != label[a]) & (100 * np.minimum(n[:a], n[a]) >= percent * np.maximum(n[:a], n[a])))
+            b = b[block[b] != block[a]] if apart else b
+            # A pair is looked at only in the first band that it shares.
+            b = b[(r[b] == r[a]).reshape(-1, BANDS, REGISTERS // BANDS).all(axis=2).argmax(axis=1) == band[a]]
+            if len(b):
+                up, down = (r[a] > r[b]).sum(axis=1), (r[a] < r[b]).sum(axis=1)
+                _, loss = estimate(up, down, REGISTERS - up - down, n[a] / (n[a] + n[b]), percent / 100)
+                yield a, b[loss < DOUBT]
+
+    return ids, label, pairs
+
+
+def _proposing(percent: int):
+    """For each two components of a bucket's two blocks, their first likely pairs; ``more`` says that there are further ones."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        ids, label, pairs = _candidates(group.sort_by("id"), key[1].as_py() != key[2].as_py(), percent)
+        count: dict[tuple[int, int], int] = {}
+        u, v, more = [], [], False
+        for a, b in pairs():
+            for i in b:
+                two = (min(label[a], label[i]), max(label[a], label[i]))
+                count[two] = count.get(two, 0) + 1
+                if count[two] <= PROPOSED:
+                    u.append(ids[a])
+                    v.append(ids[i])
+                else:
+                    more = True
+        out = {"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "key": pa.array([key[0].as_py()] * len(u), pa.int64()), "more": pa.array([more] * len(u), pa.bool_())}
+        return pa.table(out)
+
+    return run
+
+
 def _connecting(percent: int, size: int):
     """Links between different components among the members of a bucket's two blocks (one, if they are the same)."""
 
-    def run(key, group):
+    def run(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by("id")
-        ids, block, label, n, band = (group.column(x).to_numpy().copy() for x in ("id", "block", "c", "n", "band"))
-        r = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        ids, label, pairs = _candidates(group, key[1].as_py() != key[2].as_py(), percent)
         texts, sets, u, v = group.column("text"), {}, [], []
-        apart = key[1].as_py() != key[2].as_py()
 
         def own(i: int) -> set:
             if i not in sets:
                 sets[i] = shingle_set(texts[i].as_py(), size)
             return sets[i]
 
-        for a in range(1, len(ids)):
-            b = np.flatnonzero((label[:a] != label[a]) & (100 * np.minimum(n[:a], n[a]) >= percent * np.maximum(n[:a], n[a])))
-            b = b[block[b] != block[a]] if apart else b
-            # A pair is looked at only in the first band that it shares.
-            b = b[(r[b] == r[a]).reshape(-1, BANDS, REGISTERS // BANDS).all(axis=2).argmax(axis=1) == band[a]]
-            if not len(b):
-                continue
-            up, down = (r[a] > r[b]).sum(axis=1), (r[a] < r[b]).sum(axis=1)
-            _, loss = estimate(up, down, REGISTERS - up - down, n[a] / (n[a] + n[b]), percent / 100)
-            for i in b[loss < DOUBT]:
+        for a, b in pairs():
+            for i in b:
                 if label[i] != label[a]:
                     both = len(own(a) & own(i))
                     if 100 * both >= percent * (len(own(a)) + len(own(i)) - both):
@@ -192,14 +229,54 @@ def _connecting(percent: int, size: int):
     return run
 
 
+def _blocked(placed: DataFrame, members: int) -> DataFrame:
+    """Rows of wide buckets with several components, once for each two blocks that they belong to."""
+    mixed = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key")
+    open_ = placed.join(mixed, "key")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / members)).cast("int")
+    open_ = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return open_.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks", "members")
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of ``ids``, which are broadcast only if they are counted to be few."""
+    ids = durable(ids.distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
+def _equal(size: int):
+    """Rows (id, rep, own text, class text) whose sets are equal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = pa.array([shingle_set(a.as_py(), size) == shingle_set(b.as_py(), size) for a, b in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(same), batch.column(1).filter(same)], ["id", "rep"])
+
+    return run
+
+
+def _classes(every: DataFrame, docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(n, k1, k2, rep) of each class of equal sets; (id, rep) of all but the representatives; and the ids whose whole sets are not their class's.
+
+    The last are none but for a clash of 128 bits of hash; such rows are sets of their own.
+    """
+    classes = durable(every.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "classes")
+    rows = durable(every.join(classes.where("rows > 1"), ["n", "k1", "k2"]).where("id <> rep").select("id", "rep").distinct(), "copies")
+    both = _texts(docs, rows.select("id").union(rows.select(F.col("rep").alias("id"))))
+    pairs = rows.join(both, "id").join(both.select(F.col("id").alias("rep"), F.col("text").alias("other")), "rep")
+    # Equal texts need no sets; texts that differ, in white space or case say, do.
+    confirmed = pairs.where("text = other").select("id", "rep").union(pairs.where("text <> other").select("id", "rep", "text", "other").mapInArrow(_equal(size), "id long, rep long"))
+    wrong = durable(rows.join(confirmed.distinct(), ["id", "rep"], "left_anti").select("id").distinct(), "clashes")
+    return classes, rows, wrong
+
+
 def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
     """Those of ``pairs`` (u, v) whose full sets are similar enough, as a written table."""
     one, two = (sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "uv")
     likely = pairs.join(one, "u").join(two, "v").where(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)")
     likely = durable(likely.select("u", "v", "n_u", "s_u", "n_v", "s_v").mapInArrow(_likely(percent), "u long, v long"), "likely")
-    ids = durable(likely.select(F.col("u").alias("id")).union(likely.select(F.col("v").alias("id"))).distinct(), "ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.join(ids, "id", "left_semi")
+    texts = _texts(docs, likely.select(F.col("u").alias("id")).union(likely.select(F.col("v").alias("id"))))
     full = likely.join(texts.select(F.col("id").alias("u"), F.col("text").alias("t_u")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("t_v")), "v")
     return durable(full.select("u", "v", "t_u", "t_v").mapInArrow(_verified(percent, size), "u long, v long"), "links")
 
@@ -211,41 +288,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingle sets.  component_id is the smallest id reachable over links, itself
     included; kept marks that document.  A null or wordless text has an empty set
     and stays alone; a text with fewer words than a shingle has its whole sequence
-    as its one shingle.  Ids are unique and not null.  An empty table gives an
-    empty result; other columns are not looked at.
+    as its one shingle.  Rows without id take no part and have no component.  Rows
+    of one id are one document, linked by any of their texts, each with its own
+    n_shingles.  An empty table gives an empty result; other columns are not looked at.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    every = durable(docs.mapInArrow(_sketch(shingle_words), "id long, n long, k1 long, k2 long, sketch binary"), "sketches")
-    classes = every.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
-    classes = durable(classes, "classes")
-    sets = every.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "sketch")
-    banded = sets.select("id", "sketch").mapInArrow(_band_keys, "id long, band int, key long")
+    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    every = durable(whole.mapInArrow(_sketch(shingle_words), "id long, n long, k1 long, k2 long, sketch binary"), "sketches")
+    docs, known = whole.where("id IS NOT NULL"), every.where("id IS NOT NULL")
+    classes, copies, wrong = _classes(known, docs, shingle_words)
+    if not wrong.isEmpty():
+        copies = durable(copies.join(wrong, "id", "left_anti"), "copies")
+    # A copy is not sketched again, but an id may have another row whose set is no copy.
+    alone = known.where("n > 0").join(classes.select("n", "k1", "k2", "rep"), ["n", "k1", "k2"])
+    sets = alone.where("id = rep") if wrong.isEmpty() else alone.join(wrong.select("id", F.lit(True).alias("wrong")), "id", "left").where("id = rep OR wrong")
+    sets = sets.select("id", "n", "sketch").distinct()
+    banded = sets.select("id", "sketch").mapInArrow(_band_keys, "id long, band int, key long").distinct()
     # One order for all buckets, so that buckets of one group have the same centres and yield the same pairs.
     order = F.xxhash64("id")
     size = banded.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("first"), F.min_by("id", order).alias("second"), F.max_by("id", order).alias("third")).where("members > 1")
-    banded = durable(banded.join(size, "key"), "bands")
+    size = durable(size, "buckets")
+    # Rows of hot buckets are told by a broadcast, which is bounded by HOT_SHARE, so that no task gathers such a bucket.
+    hot = (size.agg(F.sum("members")).first()[0] or 0) // HOT_SHARE + 1000
+    many = size.where(F.col("members") > hot)
+    banded = durable(banded.join(F.broadcast(many), "key").union(banded.join(F.broadcast(many.select("key")), "key", "left_anti").join(size.where(F.col("members") <= hot), "key")), "bands")
     wide = banded.where(f"members > {PAIR_BUCKET}")
     star = wide.select(F.col("id").alias("u"), F.explode(F.array("first", "second", "third")).alias("v")).where("u <> v")
     few = banded.where(f"members <= {PAIR_BUCKET}").select("id", "key")
     pairs = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key AND x.id > y.id")).selectExpr("x.id AS u", "y.id AS v")
     links = _links(star.union(pairs).distinct(), sets, docs, percent, shingle_words)
+    # Ids with several sets join them.
+    turns = copies.select("id", "rep").union(sets.select("id", F.col("id").alias("rep"))).groupBy("id").agg(F.collect_set("rep").alias("reps")).where("size(reps) > 1")
+    links = links.union(turns.select(F.explode("reps").alias("u"), F.array_min("reps").alias("v")).where("u <> v"))
     found = durable(components(links), "components")
     if not wide.isEmpty():
-        placed = wide.join(found, "id", "left").select("id", "band", "key", "members", F.coalesce("component_id", "id").alias("c"))
-        mixed = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key")
-        open_ = durable(placed.join(mixed, "key"), "open")
-        ids = durable(open_.select("id").distinct(), "ids")
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        held = docs.join(ids, "id", "left_semi").join(sets, "id")
-        blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
-        open_ = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        open_ = open_.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).join(held, "id")
-        open_ = open_.select("id", "band", "key", "c", "n", "block", "low", "high", "sketch", "text")
-        more = durable(open_.groupBy("key", "low", "high").applyInArrow(_connecting(percent, shingle_words), "u long, v long").distinct(), "more")
-        if not more.isEmpty():
-            found = durable(components(links.union(more)), "components")
-    out = every.select("id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"], "left").withColumn("rep", F.coalesce("rep", "id"))
+        place = lambda rows, found: rows.join(found, "id", "left").select("id", "band", "key", "members", F.coalesce("component_id", "id").alias("c"))
+        columns = ["id", "band", "key", "c", "n", "block", "low", "high", "sketch"]
+        open_ = _blocked(place(wide, found), SKETCH_BLOCK).join(sets, "id").select(*columns)
+        proposed = durable(open_.groupBy("key", "low", "high").applyInArrow(_proposing(percent), "u long, v long, key long, more boolean"), "proposed")
+        if not proposed.isEmpty():
+            links = durable(links.union(_links(proposed.select("u", "v").distinct(), sets, docs, percent, shingle_words)), "links")
+            found = durable(components(links), "components")
+            rest = proposed.where("more").select("key").distinct()
+            if not rest.isEmpty():
+                open_ = durable(_blocked(place(wide.join(rest, "key", "left_semi"), found), BLOCK), "open")
+                open_ = open_.join(_texts(docs, open_.select("id")), "id").join(sets, "id").select(*columns, "text")
+                more = durable(open_.groupBy("key", "low", "high").applyInArrow(_connecting(percent, shingle_words), "u long, v long").distinct(), "more")
+                found = found if more.isEmpty() else durable(components(links.union(more)), "components")
+    out = every.select("id", "n", "k1", "k2").join(classes.select("n", "k1", "k2", "rep"), ["n", "k1", "k2"], "left")
+    if not wrong.isEmpty():
+        out = out.join(wrong.select("id", F.lit(True).alias("wrong")), "id", "left").withColumn("rep", F.when(F.col("wrong"), F.col("id")).otherwise(F.col("rep")))
+    out = out.withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
     out = out.join(found.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
-    component = F.coalesce("component_id", "rep")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "rep"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
