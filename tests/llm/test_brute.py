@@ -112,24 +112,61 @@ def test_suffix_dedup_of_odd_rows(spark):
         assert sorted(map(tuple, suffix_dedup.remove_repeats(df, wide=wide).collect()), key=str) == expected_repeats(rows)
 
 
+def base_counts(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) in plain Python."""
+    space = " \t\n\x0b\x0c\r"
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if x.strip(space)]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    count = {}
+    for w in windows:
+        count[w] = count.get(w, 0) + 1
+    repeated = len({i + k for i, w in enumerate(windows) if count[w] > 1 for k in range(3)})
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), repeated, len(words) < 50 or 100 * repeated > 50 * len(words)
+
+
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def test_quality_base_counts(spark, monkeypatch):
+    """Base counts of every document of sf0.01 and of odd texts; also where windows are sorted by whole hashes or clash in the short key."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    odd = ["", None, " \n\t", "a b c " * 40, "x\n\nx\n x\n", "ab # * \u2028 \u00a0 b", "a b a b a", "one\r\ntwo\r\none\r\n", "😀 é ꙮ " * 20]
+    docs = docs.union(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    want = {r["doc_id"]: base_counts(r["text"]) for r in docs.collect()}
+    none = spark.createDataFrame([], "doc_id long")
+    assert {r["doc_id"]: tuple(r[c] for c in BASE) for r in quality.quality(docs, none).collect()} == want
+    few = docs.where("doc_id < 100")
+    for bits in (62, 2):
+        # Two bits of hash are left, so that windows clash; or two bits of position, so that texts are too long for them.
+        monkeypatch.setattr(quality, "_PLACE", bits)
+        assert {r["doc_id"]: tuple(r[c] for c in BASE) for r in quality.quality(few, none).collect()} == {k: v for k, v in want.items() if k < 100}
+
+
 def test_quality(spark, texts):
+    """Score and verdict of every document: its n-grams' log ratios under the trusted documents of the other folds, and the threshold."""
     got = {r["doc_id"]: r for r in queries.op4_quality(spark, SF).collect()}
-    trusted = {r[0] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id").collect()}
+    trusted = {r[0] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id").collect()} & set(texts)
     code = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed)
     long = lambda x, seed: code(x.to_bytes(8, "little"), seed)
+    fold = {d: code(b"fold", long(d, 42)) % quality.FOLDS for d in texts}
     grams = {}
     for d, t in texts.items():
         h = [code(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", t)]
         pairs = [long(b, long(a, 42)) for a, b in zip(h, h[1:])]
         grams[d] = np.array([(x >> 20) % quality.BUCKETS for x in h + pairs], int)
     raw = np.bincount(np.concatenate(list(grams.values())), minlength=quality.BUCKETS)
-    own = np.bincount(np.concatenate([grams[d] for d in trusted]), minlength=quality.BUCKETS)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        w = np.log((own + quality.PRIOR * raw / raw.sum()) / (own.sum() + quality.PRIOR)) - np.log(raw / raw.sum())
-    for d, g in grams.items():
-        score = w[g].mean() if len(g) else 0.0
-        assert got[d]["score"] == pytest.approx(score, abs=1e-9)
-        assert got[d]["kept"] == (not got[d]["base_failed"] and got[d]["score"] >= quality.THRESHOLD)
+    score = {}
+    for f in range(quality.FOLDS):
+        own = np.bincount(np.concatenate([grams[d] for d in trusted if fold[d] != f]), minlength=quality.BUCKETS)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            w = np.log((own + quality.PRIOR * raw / raw.sum()) / (own.sum() + quality.PRIOR)) - np.log(raw / raw.sum())
+        score |= {d: w[g].mean() if len(g) else 0.0 for d, g in grams.items() if fold[d] == f}
+    failed = {d: base_counts(t)[-1] for d, t in texts.items()}
+    threshold = min(quality.THRESHOLD, np.quantile([score[d] for d in trusted if not failed[d]], quality.REJECTED_TRUSTED))
+    for d in texts:
+        assert got[d]["score"] == pytest.approx(score[d], abs=1e-9)
+        assert got[d]["kept"] == (not failed[d] and score[d] >= threshold - 1e-12)
 
 
 def test_secrets_of_documents(spark):
@@ -350,8 +387,12 @@ def test_quality_keeps_held_out_good_documents(spark):
         assert len(kept) >= 25 and sum(kept) >= 0.9 * len(kept)
 
 
-def test_wide_groups_of_several_blocks(spark):
-    """A group of more members than one block holds, so that links are sought across blocks."""
+@pytest.mark.parametrize(("sketch_block", "block", "proposed"), [(4096, 512, 16), (100, 60, 1), (256, 600, 2)])
+def test_wide_groups_of_several_blocks(spark, monkeypatch, sketch_block, block, proposed):
+    """A group of more members than one block holds, so that links are sought across blocks; also by texts."""
+    monkeypatch.setattr(near_dedup, "SKETCH_BLOCK", sketch_block)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "PROPOSED", proposed)
     rng = np.random.default_rng(5)
     rows = []
     for i in range(700):
@@ -365,6 +406,59 @@ def test_wide_groups_of_several_blocks(spark):
     assert got == want
 
 
+def test_recall_on_all_pairs(spark):
+    """All linked pairs of sf0.01, by an inverted index over whole sets, are in one component; figures stand in the README."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {}
+    for r in docs.collect():
+        words = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")]
+        sets[r["doc_id"]] = {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
+    holders = {}
+    for d, own in sets.items():
+        for x in own:
+            holders.setdefault(x, []).append(d)
+    common = {}
+    for ids in holders.values():
+        for two in itertools.combinations(sorted(ids), 2):
+            common[two] = common.get(two, 0) + 1
+    pairs = [two for two, n in common.items() if 100 * n >= 85 * (len(sets[two[0]]) + len(sets[two[1]]) - n)]
+    got = {r["doc_id"]: r for r in near_duplicates(docs, shingle_words=3, percent=85).collect()}
+    assert len(pairs) > 50 and all(got[a]["component_id"] == got[b]["component_id"] for a, b in pairs)
+    up = {d: d for d in sets}
+
+    def top(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    for a, b in pairs:
+        x, y = top(a), top(b)
+        up[max(x, y)] = min(x, y)
+    assert {d: r["component_id"] for d, r in got.items()} == {d: top(d) for d in sets}
+    assert {d: r["n_shingles"] for d, r in got.items()} == {d: len(x) for d, x in sets.items()}
+
+
+def test_equal_hashes_are_confirmed(spark, monkeypatch):
+    """Sets that look equal by size and hashes but are not stay apart."""
+    real = near_dedup._sketch
+
+    def clashing(size):
+        import pyarrow as pa
+
+        def run(batches):
+            for batch in real(size)(batches):
+                one = pa.array([0] * batch.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), one, one, batch.column(4)], ["id", "n", "k1", "k2", "sketch"])
+
+        return run
+
+    monkeypatch.setattr(near_dedup, "_sketch", clashing)
+    texts = ["one two three four", "five six seven eight", "one  TWO three four", "nine ten eleven twelve", "one two three four"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(df, shingle_words=3, percent=85).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 3, 4: 0}
+
+
 def test_pipeline_run(spark):
     """run() gives the rows of the stages called one after the other."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -13,7 +13,7 @@ from skyloom.llm.near_dedup import near_duplicates
 LONG = " ".join(f"word{i % 4000} and" for i in range(30000))
 ROWS = [(1, None, None), (2, "", "a"), (3, " \t\n", "a"), (4, "one two", "b"), (5, LONG, "b"), (6, LONG, None), (7, "é 😀 ꙮ tok", "c"), (7, "é 😀 ꙮ tok", "c"), (8, "One TWO", "b"), (9, "password=abcdef1 " * 60, "c")]
 #: Names that operators use inside.
-CLASH = ["id", "n", "h", "key", "row", "size", "kind", "score", "spans", "_h", "_g", "sketch", "offset", "name"]
+CLASH = ["id", "n", "h", "key", "row", "size", "kind", "score", "spans", "_h", "_g", "sketch", "offset", "name", "_q", "_f", "_W", "text_", "target", "value"]
 
 
 @pytest.fixture(scope="module")
@@ -31,18 +31,30 @@ def by_id(df):
 
 def test_near_duplicates(spark, docs):
     got = by_id(near_duplicates(docs, shingle_words=3, percent=85))
-    assert {k: v[0]["n_shingles"] for k, v in got.items()} == {1: 0, 2: 0, 3: 0, 4: 1, 5: 12000 - 4000, 6: 8000, 7: 2, 8: 1, 9: 1} or got[5][0]["n_shingles"] == got[6][0]["n_shingles"]
+    words = LONG.split()
+    long = len(set(zip(words, words[1:], words[2:], strict=False)))
+    assert {k: v[0]["n_shingles"] for k, v in got.items()} == {1: 0, 2: 0, 3: 0, 4: 1, 5: long, 6: long, 7: 2, 8: 1, 9: 1}
     assert {k: v[0]["component_id"] for k, v in got.items()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7, 8: 4, 9: 9}
     assert len(got[7]) == 2 and not got[6][0]["kept"] and got[5][0]["kept"]
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """Rows without id take no part; rows of one id are one document with the links of all its texts."""
+    a, b, c = "one two three four five", "six seven eight nine ten", "quite another text than the others"
+    rows = [(None, a), (None, a), (3, a), (7, a), (7, b), (9, b), (9, b), (12, c)]
+    got = sorted((tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=3, percent=85).collect()), key=str)
+    want = [(None, 3, None, False)] * 2 + [(3, 3, 3, True), (7, 3, 3, False), (7, 3, 3, False), (9, 3, 3, False), (9, 3, 3, False), (12, 4, 12, True)]
+    assert got == sorted(want, key=str)
+
+
 def test_quality(spark, docs):
     trusted = spark.createDataFrame([(4,), (4,), (None,)], "doc_id long")
     got = by_id(quality.quality(docs, trusted))
     assert got[1][0]["n_words"] == 0 and got[1][0]["base_failed"] and not got[1][0]["kept"] and got[1][0]["score"] == 0
     assert got[5][0]["n_words"] == 60000 and got[7][0]["word_chars"] == 6 and len(got[7]) == 2
     assert got[9][0]["n_repeat_words"] == 60 and got[9][0]["base_failed"]
+    assert all(r[c] == "x" for r in got[9] for c in CLASH if c not in ("score",))
     assert quality.quality(docs.limit(0), trusted).count() == 0
     assert all(r["kept"] == (not r["base_failed"]) for r in quality.quality(docs, trusted.limit(0)).collect())
 
