@@ -35,7 +35,7 @@ PAIR_BUCKET = 8
 #: Members of a block of a wide bucket, as sketches and with texts; a task of the block search holds two.
 SKETCH_BLOCK, BLOCK = 4096, 512
 #: Pairs of two components that a task of sketches proposes.
-PROPOSED = 16
+PROPOSED = 4
 #: Share of all band rows (one in so many) from which on a bucket is hot, so that there are at most as many such buckets.
 HOT_SHARE = 10_000
 #: Natural-log likelihood by which the wanted similarity must lose before a pair is dropped unseen.
@@ -182,7 +182,11 @@ def _candidates(group: pa.Table, apart: bool, percent: int):
 
 
 def _proposing(percent: int):
-    """For each two components of a bucket's two blocks, their first likely pairs; ``more`` says that there are further ones."""
+    """For each two components of a bucket's two blocks, their first likely pairs; after ``PROPOSED`` of them both are taken for one.
+
+    A task so proposes a few pairs for each component, not for each two of them.
+    ``more`` says that components were taken for one and may have further pairs.
+    """
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         ids, label, pairs = _candidates(group.sort_by("id"), key[1].as_py() != key[2].as_py(), percent)
@@ -190,12 +194,14 @@ def _proposing(percent: int):
         u, v, more = [], [], False
         for a, b in pairs():
             for i in b:
+                if label[i] == label[a]:
+                    continue
                 two = (min(label[a], label[i]), max(label[a], label[i]))
                 count[two] = count.get(two, 0) + 1
-                if count[two] <= PROPOSED:
-                    u.append(ids[a])
-                    v.append(ids[i])
-                else:
+                u.append(ids[a])
+                v.append(ids[i])
+                if count[two] >= PROPOSED:
+                    label[label == two[1]] = two[0]
                     more = True
         out = {"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "key": pa.array([key[0].as_py()] * len(u), pa.int64()), "more": pa.array([more] * len(u), pa.bool_())}
         return pa.table(out)
@@ -231,8 +237,8 @@ def _connecting(percent: int, size: int):
 
 def _blocked(placed: DataFrame, members: int) -> DataFrame:
     """Rows of wide buckets with several components, once for each two blocks that they belong to."""
-    mixed = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key")
-    open_ = placed.join(mixed, "key")
+    mixed = durable(placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key"), "mixed")
+    open_ = placed.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "key")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / members)).cast("int")
     open_ = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
