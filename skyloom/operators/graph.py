@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -12,8 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one under /tmp only where it is unset, as in tests."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/skyloom-checkpoints").rstrip("/")
+    """The folder that spark.checkpoint.dir names; one under /tmp only where a local session leaves it unset, as in tests."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or "/tmp/skyloom-checkpoints").rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -30,15 +34,6 @@ def contiguity(zones: DataFrame, key: str, group: str) -> DataFrame:
     return a.join(b, "g").where("i <> j").select("i", "j")
 
 
-def nearest(points: DataFrame, key: str, group: str, x: str, y: str, k: int) -> DataFrame:
-    """Edges (i, j, rank, distance) to the k nearest points of the same group, ties to the smaller key."""
-    a = points.select(F.col(group).alias("g"), F.col(key).alias("i"), F.col(x).alias("xi"), F.col(y).alias("yi"))
-    b = points.select(F.col(group).alias("g"), F.col(key).alias("j"), F.col(x).alias("xj"), F.col(y).alias("yj"))
-    d = F.sqrt((F.col("xi") - F.col("xj")) * (F.col("xi") - F.col("xj")) + (F.col("yi") - F.col("yj")) * (F.col("yi") - F.col("yj")))
-    order = Window.partitionBy("i").orderBy("distance", "j")
-    return a.join(b, "g").where("i <> j").withColumn("distance", d).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("i", "j", "rank", "distance")
-
-
 def nearest_all(points: DataFrame, key: str, x: str, y: str, k: int) -> DataFrame:
     """Edges (i, j, rank, distance) to the k nearest of all points, ties to the smaller key.
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.operators import agreement
@@ -23,6 +23,70 @@ def vif(df: DataFrame, features: Sequence[str]) -> list[tuple[str, float]]:
     return out
 
 
+def forest(df: DataFrame, features: Sequence[str], target: str, trees: int, seed: int):
+    """A fitted forest and its assembler; rows with a missing value are no part of the fit."""
+    assembler = VectorAssembler(inputCols=list(features), outputCol="x", handleInvalid="keep")
+    rows = assembler.transform(df.na.drop(subset=[*features, target]))
+    return RandomForestRegressor(featuresCol="x", labelCol=target, numTrees=trees, maxDepth=5, seed=seed).fit(rows), assembler
+
+
+def predicted(model, assembler, df: DataFrame, features: Sequence[str], name: str = "prediction") -> DataFrame:
+    """``df`` with the forest's prediction, null where a feature is missing."""
+    kept = df.withColumns({f"_{c}": F.col(c) for c in features})
+    out = model.transform(assembler.transform(kept.na.fill(0.0, list(features))))
+    known = F.lit(True)
+    for c in features:
+        known = known & F.col(f"_{c}").isNotNull()
+    return out.select(*[F.col(f"_{c}").alias(c) if c in features else F.col(c) for c in df.columns], F.when(known, F.col("prediction")).alias(name))
+
+
+def split_strategies(df: DataFrame, features: Sequence[str], target: str, block: str, keys: Sequence[str], share: float, repeats: int, trees: int, seed: int) -> DataFrame:
+    """(method, n_repeats, r2_mean, r2_least, r2_most, rmse_mean): held-out scores of splits by whole blocks and by rows, ``repeats`` of each."""
+    rows = df.na.drop(subset=[*features, target])
+    out = None
+    for method in ("block", "row"):
+        for turn in range(repeats):
+            if method == "block":
+                dealt = agreement.blocked_split(rows, block, share, seed + turn)
+            else:
+                code = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed + turn))))
+                dealt = rows.withColumn("held_out", F.conv(F.substring(code, 1, 8), 16, 10).cast("double") < share * 2.0**32)
+            model, assembler = forest(dealt.where("NOT held_out"), features, target, trees, seed)
+            one = agreement.fit_measures(predicted(model, assembler, dealt.where("held_out"), features), target, "prediction").withColumn("method", F.lit(method))
+            out = one if out is None else out.unionByName(one)
+    return out.groupBy("method").agg(F.count("*").alias("n_repeats"), F.avg("r2").alias("r2_mean"), F.min("r2").alias("r2_least"), F.max("r2").alias("r2_most"), F.avg("rmse").alias("rmse_mean"))
+
+
+def permutation_importance(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], trees: int, repeats: int, seed: int) -> DataFrame:
+    """(predictor, importance, sd, rank): mean loss of R2 over ``repeats`` when a feature's values are dealt anew among the rows.
+
+    Dealing anew joins the rows in the order of one hash with those in the order of
+    another by their row numbers, made in parts that are offset by their counts.
+    """
+    rows = df.na.drop(subset=[*features, target]).select(*keys, *features, target)
+    model, assembler = forest(rows, features, target, trees, seed)
+    r2 = lambda t: agreement.fit_measures(predicted(model, assembler, t, features), target, "prediction").first()["r2"]
+    base, out = r2(rows), []
+
+    def numbered(t: DataFrame, salt: str) -> DataFrame:
+        code = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(salt)))
+        t = t.withColumn("_code", code).withColumn("_part", F.substring("_code", 1, 2))
+        ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = t.groupBy("_part").agg(F.count("*").alias("_m")).select("_part", F.coalesce(F.sum("_m").over(ahead), F.lit(0)).alias("_first"))
+        place = F.row_number().over(Window.partitionBy("_part").orderBy("_code", *keys))
+        return t.join(F.broadcast(parts), "_part").withColumn("_n", F.col("_first") + place).drop("_code", "_part", "_first")
+
+    for name in features:
+        losses = []
+        for turn in range(repeats):
+            left, right = numbered(rows.drop(name), f"{seed}:{turn}:a"), numbered(rows.select(*keys, name), f"{seed}:{turn}:{name}").select("_n", name)
+            losses.append(base - r2(left.join(right, "_n")))
+        mean = sum(losses) / repeats
+        out.append((name, mean, (sum((x - mean) ** 2 for x in losses) / repeats) ** 0.5))
+    out.sort(key=lambda x: (-x[1], x[0]))
+    return df.sparkSession.createDataFrame([(*x, i) for i, x in enumerate(out, 1)], "predictor string, importance double, sd double, rank int")
+
+
 def forest_cv(df: DataFrame, features: Sequence[str], target: str, block: str, folds: int, trees: int, seed: int) -> DataFrame:
     """(fold, rmse, r2, n) of a random forest, each fold of whole blocks held out in turn."""
     rows = VectorAssembler(inputCols=list(features), outputCol="x").transform(agreement.blocked_folds(df.na.drop(subset=[*features, target]), block, folds, seed)).persist()
@@ -31,4 +95,6 @@ def forest_cv(df: DataFrame, features: Sequence[str], target: str, block: str, f
         model = RandomForestRegressor(featuresCol="x", labelCol=target, numTrees=trees, maxDepth=5, seed=seed).fit(rows.where(F.col("fold") != fold))
         one = agreement.fit_measures(model.transform(rows.where(F.col("fold") == fold)), target, "prediction").select(F.lit(fold).alias("fold"), "rmse", "r2", "n")
         out = one if out is None else out.union(one)
-    return out
+    scores = df.sparkSession.createDataFrame(out.collect(), out.schema)
+    rows.unpersist()
+    return scores
