@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skyloom.operators import windows
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; one under /tmp only where a local session leaves it unset, as in tests."""
@@ -79,8 +81,7 @@ def island_repair(edges: DataFrame, nearest_edges: DataFrame) -> DataFrame:
 
 def _centred(values: DataFrame, key: str, value: str) -> DataFrame:
     v = values.where(F.col(value).isNotNull()).select(F.col(key).alias("i"), F.col(value).cast("double").alias("v"))
-    whole = Window.partitionBy(F.lit(0))
-    return v.withColumns({"z": F.col("v") - F.avg("v").over(whole), "m2": F.var_pop("v").over(whole), "n": F.count("*").over(whole).cast("double")})
+    return windows.with_totals(v, {"mean": F.avg("v"), "m2": F.var_pop("v"), "n": F.count("*").cast("double")}).withColumn("z", F.col("v") - F.col("mean"))
 
 
 def _lagged(values: DataFrame, edges: DataFrame) -> DataFrame:
@@ -105,7 +106,7 @@ def local_moran(values: DataFrame, edges: DataFrame, key: str, value: str) -> Da
 
 def gi_star(values: DataFrame, edges: DataFrame, key: str, value: str) -> DataFrame:
     """Gi* z-score under binary weights with the zone itself; values are not negative."""
-    rows = _centred(values, key, value).withColumn("mean", F.avg("v").over(Window.partitionBy(F.lit(0))))
+    rows = _centred(values, key, value)
     with_self = edges.select("i", "j").union(rows.select("i", F.col("i").alias("j"))).distinct()
     near = with_self.join(rows.select(F.col("i").alias("j"), F.col("v").alias("vj")), "j").groupBy("i").agg(F.sum("vj").alias("local"), F.count("*").cast("double").alias("w"))
     joined = rows.join(near, "i")

@@ -27,6 +27,12 @@ def _autocorrelation(x: np.ndarray, lag: int) -> float:
     return float((c[lag:] * c[: len(c) - lag]).sum() / max((c * c).sum(), 1e-300))
 
 
+def _ranks(v: np.ndarray) -> np.ndarray:
+    """Ranks from 1, ties sharing their mean."""
+    _, which, count = np.unique(v, return_inverse=True, return_counts=True)
+    return (np.cumsum(count) - (count - 1) / 2)[which]
+
+
 def _sen(v: np.ndarray) -> float:
     i, j = np.triu_indices(len(v), 1)
     return float(np.median((v[j] - v[i]) / (j - i)))
@@ -54,8 +60,9 @@ def trend_test(values: np.ndarray, method: str = "original") -> tuple[str, float
             return ("degenerate", *none)
     s, var = _kendall(v)
     if method in ("hamed_rao", "yue_wang"):
-        flat = v - _sen(v) * np.arange(n)
-        base = flat.argsort().argsort().astype(float) if method == "hamed_rao" else flat
+        # Two values on the median slope's line tie but for rounding, so places count from 1 as in the published procedure.
+        flat = v - _sen(v) * np.arange(1, n + 1)
+        base = _ranks(flat) if method == "hamed_rao" else flat
         rho = np.array([_autocorrelation(base, k) for k in range(1, n - 1)])
         k = np.arange(1, n - 1)
         if method == "hamed_rao":

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.operators import windows
+
 #: Saaty's random consistency index by matrix size.
 RANDOM_INDEX = {1: 0.0, 2: 0.0, 3: 0.58, 4: 0.90, 5: 1.12, 6: 1.24, 7: 1.32, 8: 1.41, 9: 1.45, 10: 1.49}
 
@@ -49,18 +51,16 @@ def ranked(df: DataFrame, score: str, key: str, n: int) -> DataFrame:
 
 def topsis(df: DataFrame, key: str, criteria: Sequence[tuple[str, float, bool]]) -> DataFrame:
     """(key, closeness) from (column, weight, benefit); costs are negated, negative floors shifted to 0, nulls add nothing."""
-    whole = Window.partitionBy(F.lit(0))
-    best, worst, out = F.lit(0.0), F.lit(0.0), df
-    for name, weight, benefit in criteria:
-        raw = F.col(name) if benefit else -F.col(name)
-        floor = F.min(raw).over(whole)
-        shifted = raw - F.least(floor, F.lit(0.0))
-        out = out.withColumn(f"_s_{name}", shifted)
-        s = F.col(f"_s_{name}")
-        out = out.withColumn(f"_w_{name}", F.lit(float(weight)) * s / F.nullif(F.sqrt(F.sum(s * s).over(whole)), F.lit(0.0)))
-        w = F.col(f"_w_{name}")
-        out = out.withColumns({f"_b_{name}": F.coalesce((w - F.max(w).over(whole)) * (w - F.max(w).over(whole)), F.lit(0.0)), f"_l_{name}": F.coalesce((w - F.min(w).over(whole)) * (w - F.min(w).over(whole)), F.lit(0.0))})
-        best, worst = best + F.col(f"_b_{name}"), worst + F.col(f"_l_{name}")
+    turned = {n: F.col(n) if benefit else -F.col(n) for n, _, benefit in criteria}
+    out = windows.with_totals(df, {f"_m_{n}": F.min(c) for n, c in turned.items()})
+    out = out.withColumns({f"_s_{n}": c - F.least(F.col(f"_m_{n}"), F.lit(0.0)) for n, c in turned.items()})
+    square = lambda c: c * c
+    out = windows.with_totals(out, {f"_{k}_{n}": f(F.col(f"_s_{n}")) for n in turned for k, f in (("q", lambda s: F.sqrt(F.sum(square(s)))), ("hi", F.max), ("lo", F.min))})
+    best, worst = F.lit(0.0), F.lit(0.0)
+    for n, weight, _ in criteria:
+        scale = F.lit(float(weight)) / F.nullif(F.col(f"_q_{n}"), F.lit(0.0))
+        best = best + F.coalesce(square((F.col(f"_s_{n}") - F.col(f"_hi_{n}")) * scale), F.lit(0.0))
+        worst = worst + F.coalesce(square((F.col(f"_s_{n}") - F.col(f"_lo_{n}")) * scale), F.lit(0.0))
     near, far = F.sqrt(best), F.sqrt(worst)
     return out.select(key, F.when(near + far == 0, 0.5).otherwise(far / (near + far)).alias("closeness"))
 

@@ -17,6 +17,12 @@ def _over(keys: Sequence[str]):
     return Window.partitionBy(*keys)
 
 
+def with_totals(df: DataFrame, figures: dict[str, Column]) -> DataFrame:
+    """``df`` with figures of the whole table beside each row, from one aggregate that is joined back as a single broadcast row."""
+    one = df.agg(*[c.alias(n) for n, c in figures.items()]).withColumn("_one", F.lit(1))
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
+
+
 def z_score(value: Column, keys: Sequence[str], flat: float | None = None) -> Column:
     """Population z-score within ``keys``; ``flat`` where there is no spread."""
     w = _over(keys)
