@@ -82,12 +82,11 @@ def is_monotonic(values: Sequence[float]) -> bool:
 
 
 def is_diverging(values: Sequence[float]) -> bool:
-    """Whether values rise to their middle and fall from it, or the other way round."""
-    middle = len(values) // 2
-    first, second = values[: middle + 1], values[middle if len(values) % 2 else middle - 1 :]
+    """Whether values rise to their middle and fall from it, or the other way round; an even number has two middle ones."""
     up = lambda v: all(b > a for a, b in zip(v, v[1:], strict=False))
     down = lambda v: all(b < a for a, b in zip(v, v[1:], strict=False))
-    return up(first[: middle + 1]) and down(second) or down(first) and up(second)
+    middle = {(len(values) - 1) // 2, len(values) // 2}
+    return len(values) > 2 and any(f(values[: m + 1]) and g(values[m:]) for m in middle for f, g in ((up, down), (down, up)))
 
 
 def closest(colours: Sequence[str], vision: str | None = None) -> float:

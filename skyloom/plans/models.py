@@ -79,7 +79,7 @@ def permutation_importance(df: DataFrame, features: Sequence[str], target: str,
     for name in features:
         losses = []
         for turn in range(repeats):
-            left, right = numbered(rows.drop(name), f"{seed}:{turn}:a"), numbered(rows.select(*keys, name), f"{seed}:{turn}:{name}").select("_n", name)
+            left, right = numbered(rows.drop(name), f"{seed}:{turn}:rows"), numbered(rows.select(*keys, name), f"{seed}:{turn}:values of {name}").select("_n", name)
             losses.append(base - r2(left.join(right, "_n")))
         mean = sum(losses) / repeats
         out.append((name, mean, (sum((x - mean) ** 2 for x in losses) / repeats) ** 0.5))
