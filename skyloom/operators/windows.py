@@ -48,21 +48,39 @@ def sequence_rank(value: Column, tie: Column) -> Column:
     return F.row_number().over(Window.orderBy(value.desc_nulls_last(), tie))
 
 
+def _harmonic(m: Column) -> Column:
+    """1 + 1/2 + ... + 1/m; from 256 on by its expansion, which is exact to a double there."""
+    x = m.cast("double")
+    far = F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x)
+    near = F.aggregate(F.sequence(F.lit(1), F.least(F.greatest(m, F.lit(1)), F.lit(256)).cast("int")), F.lit(0.0), lambda acc, k: acc + 1.0 / k)
+    return F.when(m > 256, far).otherwise(near)
+
+
 def step_up(df: DataFrame, p: str, key: str, alpha: float, dependent: bool = False) -> DataFrame:
     """``df`` with ``q`` and ``reject`` by Benjamini-Hochberg, or Benjamini-Yekutieli if ``dependent``.
 
     m counts the finite p only; q is the running minimum from the largest p of
-    p * m / rank, at most 1; untested rows have null in both.
+    p * m / rank, at most 1; untested rows have null in both.  Equal p have equal q,
+    that of their last rank, so distinct p are ordered, not rows: in buckets of p, a
+    step of 1/512 or, below that, of a power of two, with the buckets' counts and
+    minima carried from one to the other.  No task orders the whole table.
     """
-    tested = F.col(p).isNotNull() & ~F.isnan(p)
-    order = Window.partitionBy("_tested").orderBy(p, key)
-    down = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    m = F.count("*").over(Window.partitionBy("_tested"))
-    out = df.withColumn("_tested", tested).withColumn("_rank", F.row_number().over(order)).withColumn("_m", m.cast("double"))
-    if dependent:
-        out = out.withColumn("_m", F.col("_m") * F.sum(F.lit(1.0) / F.col("_rank")).over(Window.partitionBy("_tested")))
-    q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(down))
-    return out.withColumn("q", F.when(F.col("_tested"), q)).withColumn("reject", F.col("q") <= alpha).drop("_tested", "_rank", "_m")
+    x = F.col(p).cast("double")
+    tested = x.isNotNull() & ~F.isnan(x)
+    bucket = F.when(x >= 1 / 512, F.floor(F.least(x, F.lit(1.0)) * 512)).when(x > 0, -F.floor(-F.log2(x))).otherwise(-2000).cast("int")
+    each = df.where(tested).select(x.alias("_p"), bucket.alias("_b")).groupBy("_p", "_b").agg(F.count("*").alias("_n"))
+    inside = Window.partitionBy("_b").orderBy("_p")
+    each = each.withColumn("_k", F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    line, later = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    sizes = each.groupBy("_b").agg(F.sum("_n").alias("_s"))
+    sizes = with_totals(sizes, {"_m": F.sum("_s")}).withColumn("_before", F.coalesce(F.sum("_s").over(line), F.lit(0)))
+    m = F.col("_m") * _harmonic(F.col("_m")) if dependent else F.col("_m").cast("double")
+    each = each.join(F.broadcast(sizes.drop("_s")), "_b").withColumn("_v", F.col("_p") * m / (F.col("_before") + F.col("_k")))
+    least = each.groupBy("_b").agg(F.min("_v").alias("_l")).select("_b", F.min("_l").over(later).alias("_l"))
+    q = F.least(F.lit(1.0), F.min("_v").over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)), F.coalesce("_l", F.lit(1.0)))
+    found = each.join(F.broadcast(least), "_b").select("_p", q.alias("q"))
+    out = df.withColumn("_x", x).join(found, F.col("_x") == F.col("_p"), "left").drop("_x", "_p")
+    return out.withColumn("reject", F.col("q") <= alpha)
 
 
 def fdr_summary(df: DataFrame, q: str, alpha: float, direction: Column) -> DataFrame:

@@ -200,3 +200,26 @@ def test_count_check(spark, v, n, verdict):
 def test_tau_b_counts_ties(spark):
     df = spark.createDataFrame([("a", y, v) for y, v in enumerate([1.0, 1.0, 2.0, 3.0])] + [("b", y, 5.0) for y in range(4)], "k string, y int, v double")
     assert one(trends.kendall_tau(df, ["k"], "y", "v"), "k") == [("a", pytest.approx(5 / math.sqrt(6 * 5))), ("b", None)]
+
+
+@pytest.mark.parametrize("dependent", [False, True])
+def test_step_up_of_many_and_tied_tests(spark, dependent):
+    """Against the plain procedure, with ties, zeros, ones, tiny values and untested rows."""
+    random.seed(4)
+    p = [random.choice([0.0, 1.0, 0.5, 1e-9, 1e-300, random.random(), random.random() ** 6]) for _ in range(700)] + [None, float("nan")]
+    df = spark.createDataFrame(list(enumerate(p)), "k int, p double")
+    known = sorted(x for x in p if x is not None and x == x)
+    m = len(known)
+    c = sum(1 / k for k in range(1, m + 1)) if dependent else 1.0
+    want, least = {}, 1.0
+    for k in range(m, 0, -1):
+        least = min(least, known[k - 1] * m * c / k)
+        want.setdefault(known[k - 1], least)
+        want[known[k - 1]] = min(want[known[k - 1]], least) if known[k - 1] not in known[k:] else want[known[k - 1]]
+    got = windows.step_up(df, "p", "k", 0.05, dependent).collect()
+    assert len(got) == len(p)
+    for r in got:
+        if r["p"] is None or r["p"] != r["p"]:
+            assert r["q"] is None and r["reject"] is None
+        else:
+            assert r["q"] == pytest.approx(want[r["p"]], rel=1e-9, abs=0) and r["reject"] == (want[r["p"]] <= 0.05)
