@@ -9,11 +9,11 @@ Copies collapse to their smallest id before any pair is made: their sets have
 equal sizes and hashes, and are then compared whole.  A bucket of at most
 ``PAIR_BUCKET`` sets yields its pairs; a larger one first yields stars around
 three of its members.  Wide buckets that still hold several components are then
-searched in blocks of sketches: a task holds two blocks of bounded size and
-proposes, for each two components, their first pairs that the estimate does not
-drop.  Only where these are not enough, texts are sent to blocks too, and all
-further pairs of components that are still apart are verified there.  No link
-between components is lost.
+searched in blocks: a task holds two blocks of bounded size, skips pairs that are
+connected already, verifies the rest and returns only the links that connect.
+First a few members stand for each component, each in its widest bucket only; then
+all members of the buckets that still hold several components are searched.  No
+link between components is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import binary_chunks, durable, lower, mix, prefix_sums, span_hash, word_spans
@@ -32,10 +32,10 @@ from .components import components
 REGISTERS, BANDS, BASE, TOP = 160, 32, 1.02, 65535
 #: Sets in a bucket up to which all its pairs are made at once.
 PAIR_BUCKET = 8
-#: Members of a block of a wide bucket, as sketches and with texts; a task of the block search holds two.
-SKETCH_BLOCK, BLOCK = 4096, 512
-#: Pairs of two components that a task of sketches proposes.
-PROPOSED = 4
+#: Members of a block of a wide bucket; a task of the block search holds two.
+BLOCK = 512
+#: Members that stand for a component in the first search of wide buckets.
+STAND_INS = 8
 #: Share of all band rows (one in so many) from which on a bucket is hot, so that there are at most as many such buckets.
 HOT_SHARE = 10_000
 #: Natural-log likelihood by which the wanted similarity must lose before a pair is dropped unseen.
@@ -162,8 +162,11 @@ def _verified(percent: int, size: int):
     return run
 
 
-def _candidates(group: pa.Table, apart: bool, percent: int):
-    """(place, earlier places) of the pairs of different components in a task's blocks that the estimate does not drop, and the task's columns."""
+def _candidates(group: pa.Table, apart: bool, percent: int, first: bool):
+    """(place, earlier places) of the pairs of different components in a task's blocks that the estimate does not drop, and the task's columns.
+
+    With ``first``, a pair is looked at only in the first band that it shares.
+    """
     ids, block, label, n, band = (group.column(x).to_numpy().copy() for x in ("id", "block", "c", "n", "band"))
     r = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
@@ -171,8 +174,8 @@ def _candidates(group: pa.Table, apart: bool, percent: int):
         for a in range(1, len(ids)):
             b = np.flatnonzero((label[:a] != label[a]) & (100 * np.minimum(n[:a], n[a]) >= percent * np.maximum(n[:a], n[a])))
             b = b[block[b] != block[a]] if apart else b
-            # A pair is looked at only in the first band that it shares.
-            b = b[(r[b] == r[a]).reshape(-1, BANDS, REGISTERS // BANDS).all(axis=2).argmax(axis=1) == band[a]]
+            if first:
+                b = b[(r[b] == r[a]).reshape(-1, BANDS, REGISTERS // BANDS).all(axis=2).argmax(axis=1) == band[a]]
             if len(b):
                 up, down = (r[a] > r[b]).sum(axis=1), (r[a] < r[b]).sum(axis=1)
                 _, loss = estimate(up, down, REGISTERS - up - down, n[a] / (n[a] + n[b]), percent / 100)
@@ -181,40 +184,12 @@ def _candidates(group: pa.Table, apart: bool, percent: int):
     return ids, label, pairs
 
 
-def _proposing(percent: int):
-    """For each two components of a bucket's two blocks, their first likely pairs; after ``PROPOSED`` of them both are taken for one.
-
-    A task so proposes a few pairs for each component, not for each two of them.
-    ``more`` says that components were taken for one and may have further pairs.
-    """
-
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        ids, label, pairs = _candidates(group.sort_by("id"), key[1].as_py() != key[2].as_py(), percent)
-        count: dict[tuple[int, int], int] = {}
-        u, v, more = [], [], False
-        for a, b in pairs():
-            for i in b:
-                if label[i] == label[a]:
-                    continue
-                two = (min(label[a], label[i]), max(label[a], label[i]))
-                count[two] = count.get(two, 0) + 1
-                u.append(ids[a])
-                v.append(ids[i])
-                if count[two] >= PROPOSED:
-                    label[label == two[1]] = two[0]
-                    more = True
-        out = {"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "key": pa.array([key[0].as_py()] * len(u), pa.int64()), "more": pa.array([more] * len(u), pa.bool_())}
-        return pa.table(out)
-
-    return run
-
-
-def _connecting(percent: int, size: int):
+def _connecting(percent: int, size: int, first: bool):
     """Links between different components among the members of a bucket's two blocks (one, if they are the same)."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by("id")
-        ids, label, pairs = _candidates(group, key[1].as_py() != key[2].as_py(), percent)
+        ids, label, pairs = _candidates(group, key[1].as_py() != key[2].as_py(), percent, first)
         texts, sets, u, v = group.column("text"), {}, [], []
 
         def own(i: int) -> set:
@@ -235,14 +210,30 @@ def _connecting(percent: int, size: int):
     return run
 
 
-def _blocked(placed: DataFrame, members: int) -> DataFrame:
-    """Rows of wide buckets with several components, once for each two blocks that they belong to."""
-    mixed = durable(placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key"), "mixed")
-    open_ = placed.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "key")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / members)).cast("int")
-    open_ = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return open_.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks", "members")
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Rows of the wide buckets that hold several components."""
+    keys = durable(placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key"), "mixed")
+    return placed.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "key")
+
+
+def _standing(placed: DataFrame) -> DataFrame:
+    """Each member in its widest bucket only, and of each component there at most ``STAND_INS`` members."""
+    one = placed.groupBy("id").agg(F.max(F.struct("members", "key", "band", "c")).alias("x")).select("id", "x.band", "x.key", "x.c")
+    turn = F.row_number().over(Window.partitionBy("key", "c").orderBy(F.xxhash64("id"), "id"))
+    few = durable(one.withColumn("turn", turn).where(F.col("turn") <= STAND_INS).drop("turn"), "stand-ins")
+    return few.join(few.groupBy("key").agg(F.count("*").alias("members")), "key").select("id", "band", "key", "members", "c")
+
+
+def _searched(rows: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, size: int, first: bool) -> DataFrame:
+    """Links between different components of the rows' buckets, which are searched two blocks at a time, as a written table."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks", "members")
+    rows = durable(rows, "open")
+    held = _texts(docs, rows.select("id")).join(sets, "id")
+    rows = rows.join(held, "id").select("id", "band", "key", "c", "n", "block", "low", "high", "sketch", "text")
+    return durable(rows.groupBy("key", "low", "high").applyInArrow(_connecting(percent, size, first), "u long, v long").distinct(), "more")
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -327,19 +318,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.union(turns.select(F.explode("reps").alias("u"), F.array_min("reps").alias("v")).where("u <> v"))
     found = durable(components(links), "components")
     if not wide.isEmpty():
-        place = lambda rows, found: rows.join(found, "id", "left").select("id", "band", "key", "members", F.coalesce("component_id", "id").alias("c"))
-        columns = ["id", "band", "key", "c", "n", "block", "low", "high", "sketch"]
-        open_ = _blocked(place(wide, found), SKETCH_BLOCK).join(sets, "id").select(*columns)
-        proposed = durable(open_.groupBy("key", "low", "high").applyInArrow(_proposing(percent), "u long, v long, key long, more boolean"), "proposed")
-        if not proposed.isEmpty():
-            links = durable(links.union(_links(proposed.select("u", "v").distinct(), sets, docs, percent, shingle_words)), "links")
-            found = durable(components(links), "components")
-            rest = proposed.where("more").select("key").distinct()
-            if not rest.isEmpty():
-                open_ = durable(_blocked(place(wide.join(rest, "key", "left_semi"), found), BLOCK), "open")
-                open_ = open_.join(_texts(docs, open_.select("id")), "id").join(sets, "id").select(*columns, "text")
-                more = durable(open_.groupBy("key", "low", "high").applyInArrow(_connecting(percent, shingle_words), "u long, v long").distinct(), "more")
-                found = found if more.isEmpty() else durable(components(links.union(more)), "components")
+        place = lambda found: _mixed(wide.join(found, "id", "left").select("id", "band", "key", "members", F.coalesce("component_id", "id").alias("c")))
+        for rows, first in ((lambda: _standing(place(found)), False), (lambda: place(found), True)):
+            more = _searched(rows(), docs, sets, percent, shingle_words, first)
+            if not more.isEmpty():
+                links = links.union(more)
+                found = durable(components(links), "components")
     out = every.select("id", "n", "k1", "k2").join(classes.select("n", "k1", "k2", "rep"), ["n", "k1", "k2"], "left")
     if not wrong.isEmpty():
         out = out.join(wrong.select("id", F.lit(True).alias("wrong")), "id", "left").withColumn("rep", F.when(F.col("wrong"), F.col("id")).otherwise(F.col("rep")))

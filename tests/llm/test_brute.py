@@ -387,12 +387,11 @@ def test_quality_keeps_held_out_good_documents(spark):
         assert len(kept) >= 25 and sum(kept) >= 0.9 * len(kept)
 
 
-@pytest.mark.parametrize(("sketch_block", "block", "proposed"), [(4096, 512, 16), (100, 60, 1), (256, 600, 2)])
-def test_wide_groups_of_several_blocks(spark, monkeypatch, sketch_block, block, proposed):
-    """A group of more members than one block holds, so that links are sought across blocks; also by texts."""
-    monkeypatch.setattr(near_dedup, "SKETCH_BLOCK", sketch_block)
+@pytest.mark.parametrize(("block", "stand_ins"), [(512, 8), (60, 1), (600, 0)])
+def test_wide_groups_of_several_blocks(spark, monkeypatch, block, stand_ins):
+    """A group of more members than one block holds, so that links are sought across blocks; also with one stand-in or none."""
     monkeypatch.setattr(near_dedup, "BLOCK", block)
-    monkeypatch.setattr(near_dedup, "PROPOSED", proposed)
+    monkeypatch.setattr(near_dedup, "STAND_INS", stand_ins)
     rng = np.random.default_rng(5)
     rows = []
     for i in range(700):
