@@ -53,17 +53,22 @@ def sources_table(sizes: DataFrame) -> DataFrame:
     return by.select("source", "source_size", "weight", "slope", target.alias("target"), "total")
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns that have one, which tells rows of one id apart."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map" not in t and "variant" not in t])
+
+
 def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """Per document: size, its source's figures, offset within the source, whole passes and words taken."""
     code = F.md5(F.col(id_col).cast("string"))
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), code.alias("code"))
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), code.alias("code"), _row_hash(docs).alias("row"))
     sizes = durable(sizes, "mix-sizes").withColumns({"name": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")), "bucket": F.coalesce(F.substring("code", 1, BUCKET_DIGITS), F.lit(""))})
     buckets = sizes.groupBy("name", "source", "bucket").agg(F.sum("size").alias("words"))
     per_source = sources_table(buckets.select("source", F.col("words").alias("size")))
     per_source = per_source.withColumn("name", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source")
     ahead = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("ahead", F.coalesce(F.sum("words").over(ahead), F.lit(0))).drop("words", "source").join(per_source, "name")
-    inside = Window.partitionBy("name", "bucket").orderBy("code", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("name", "bucket").orderBy("code", "doc_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = sizes.drop("source").join(buckets, ["name", "bucket"]).withColumn("offset", F.col("ahead") + F.sum("size").over(inside) - F.col("size"))
     passes = F.when(F.col("source_size") > 0, F.least(F.lit(MOST).cast("long"), F.floor(F.col("target") / F.col("source_size")))).otherwise(0)
     rows = rows.withColumn("passes", passes)
@@ -97,14 +102,18 @@ def stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """The rows of ``docs`` as the mix takes them: repeated by pass, whole, range-sorted by training position.
 
     A document that is taken in part in its last pass comes whole; one that is not
-    taken goes.  Ids are unique and not null.
+    taken goes, as do all without words.  Rows of one id are taken one by one; equal
+    rows each have their turn.  Rows without id are rows like others; a null source is
+    a source of its own; an empty table gives an empty one.
     """
     times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)
     plan = _planned(docs, id_col, text_col, source_col).withColumn("times", times).where("times > 0")
     plan = plan.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
-    plan = plan.select(F.col("doc_id").alias(id_col), "pass", _position(F.col("offset") + F.col("pass") * F.col("source_size")).alias("position"))
-    rows = docs.select(F.col(id_col), F.struct(*docs.columns).alias("row")).join(plan, id_col)
-    return rows.orderBy("position", id_col, "pass").select("row.*")
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "pass", _position(F.col("offset") + F.col("pass") * F.col("source_size")).alias("position"))
+    # Equal rows stand in the plan once each, so one of them is enough on the other side.
+    rows = docs.select(_row_hash(docs).alias("_row"), F.struct(*docs.columns).alias("row")).groupBy("_row", F.col("row")[id_col].alias("_id")).agg(F.first("row").alias("row"))
+    taken = rows.join(plan, (rows["_row"] == plan["_row"]) & rows["_id"].eqNullSafe(plan["_id"])).select("row", rows["_id"].alias("_id"), rows["_row"].alias("_row"), "pass", "position")
+    return taken.orderBy("position", "_id", "_row", "pass").select("row.*")
 
 
 ORACLE = r"""
