@@ -150,13 +150,14 @@ def _verified(percent: int, size: int):
         for batch in batches:
             u, v = [], []
             for a, b, s, t in zip(*(batch.column(i) for i in range(4)), strict=True):
-                if last != b.as_py():
-                    last, own = b.as_py(), shingle_set(t.as_py(), size)
+                # An id may have several texts.
+                if last != (b, t):
+                    last, own = (b, t), shingle_set(t.as_py(), size)
                 other = shingle_set(s.as_py(), size)
                 both = len(own & other)
                 if 100 * both >= percent * (len(own) + len(other) - both):
                     u.append(a.as_py())
-                    v.append(last)
+                    v.append(b.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return run

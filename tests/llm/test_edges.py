@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from skyloom.llm import common, html_text, mixing, pieces, quality, secrets, suffix_dedup, top_k, toxicity, warc
 from skyloom.llm.near_dedup import near_duplicates
 
@@ -248,3 +249,40 @@ def test_phases_of_top_k_resolve_few_entries():
         own = best[qid[row][best] == q]
         assert ids[col][own].tolist() == want.tolist() and score[own].astype(int).tolist() == whole[i][want].tolist()
     assert n < 0.3 * len(qid) * len(ids)
+
+
+def test_pipeline_stages(spark):
+    """Null and repeated ids, null and empty texts, repeated rows, extra columns with clashing names, and empty tables, at every stage."""
+    sf = "/root/testdata/sf0.001"
+    prose = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id").where("length(text) > 800").orderBy("doc_id").limit(4).collect()]
+    a, b, c, d = prose
+    rows = [(1, a, "s", "en"), (1, a, "s", "en"), (2, a, "t", "en"), (None, b, "s", "en"), (3, None, "s", "en"), (4, "", None, None), (5, " \n", "s", "en"), (6, c, None, None), (6, d, "s", "en"), (7, c + " token=abcdef123 end", "u", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    wide = docs.withColumns({x: F.lit("x") for x in CLASH})
+    names = corpus_pipeline.COLUMNS
+    got = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, sf)
+        got[name] = out.collect()
+        assert out.columns == names or name == "sentencepiece"
+        assert stage(spark, wide.limit(0), sf).count() == 0
+    ids = lambda name: sorted((r["doc_id"] for r in got[name]), key=str)
+    assert not {3, 4, 5} & set(ids("quality_rules")) and ids("quality_rules").count(1) in (0, 2)
+    assert ids("near_dedup") == [1, 3, 4, 5, 6]
+    assert len(got["secret_scan"]) == len(rows) and {r["doc_id"]: r["text"] for r in got["secret_scan"]}[7] == c + " [secret] end"
+    assert {r["n_chars"] for r in got["secret_scan"] if r["doc_id"] == 7} == {len(c) + len(" [secret] end")}
+    taken = {}
+    for r in got["source_mix"]:
+        taken[r["doc_id"], r["text"]] = taken.get((r["doc_id"], r["text"]), 0) + 1
+    plan = mixing.mix(docs).collect()
+    assert sum(taken.values()) == sum(-(-r["taken"] // r["size"]) for r in plan if r["taken"]) and not {3, 4, 5} & {i for i, _ in taken}
+    assert len(got["sentencepiece"]) == len(rows) and all(r["round_trip"] for r in got["sentencepiece"])
+    assert {(r["n_pieces"], r["best_score"], r["second_score"]) for r in got["sentencepiece"] if r["doc_id"] in (3, 4)} == {(0, 0.0, None)}
+
+
+def test_mixing_takes_rows_of_one_id_one_by_one(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "d e", "s"), (None, "f g h i", "s"), (None, "f g h i", "t"), (2, "j " * 50, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.mix(docs).collect()
+    want = sum(-(-r["taken"] // r["size"]) for r in plan if r["taken"])
+    assert mixing.stream(docs).count() == want and sorted(map(str, mixing.stream(docs).collect())) == sorted(map(str, mixing.stream(docs.repartition(3)).collect()))
