@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyloom.functions import rules
-from skyloom.operators import aggregates, graph, prediction, ranking, significance, spatial, trends, zones
+from skyloom.operators import aggregates, graph, masks, prediction, ranking, significance, spatial, trends, zones
 from skyloom.plans.catalog import CELLS, QUERIES, SERIES, YEARLY, cells, query, r6, series, yearly_orders  # noqa: F401
 from skyloom.sources.tables import table
 
@@ -391,3 +391,40 @@ def compared_importance(spark, d):
 def projected_map(spark, d):
     """A map two intervals on: shares of change, projected areas, allocation by neighbourhood; an iterative method."""
     return prediction.projected(_changed(spark, d), "before", "truth", [0, 1, 2, 3], 2).groupBy("code").agg(F.count("*").alias("n"), F.count_if("moved").alias("moved"))
+
+
+# --- masks -----------------------------------------------------------------------
+
+SIDES = f"""{CELLS}, t AS (SELECT a.row, a.col, sqrt(min((a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col))) AS dist FROM c a JOIN c b ON b.code = 3 AND b.col % 9 = 0 GROUP BY a.row, a.col),
+m AS (SELECT c.row, c.col, c.code = 3 AND c.col % 9 = 0 AS zone, dist, 1 + (c.row * 7 + c.col * 3) % 17 AS lcz, (c.row + c.col) % 13 = 0 AS wet, (c.row * 5 + c.col) % 100 AS height FROM c JOIN t ON c.row = t.row AND c.col = t.col)"""
+
+
+@query(f"""WITH {SIDES} SELECT row, col, zone AND NOT wet AS ring_urban, dist > 1.5::DOUBLE AND dist <= 5 AND NOT wet AND NOT lcz BETWEEN 1 AND 10 AND height <= 60 AS ring_rural, lcz BETWEEN 1 AND 10 AND NOT wet AS climate_urban, lcz BETWEEN 11 AND 14 AND NOT wet AND height <= 60 AS climate_rural FROM m""")
+def contrast_masks(spark, d):
+    """Both sides of two definitions of the surroundings, by cell."""
+    c = cells(spark, d)
+    base = (F.col("code") == 3) & (F.col("col") % 9 == 0)
+    far = spatial.nearest_target(c, c.where(base))
+    m = c.join(far, ["row", "col"]).select("row", "col", base.alias("zone"), "distance", (1 + (F.col("row") * 7 + F.col("col") * 3) % 17).alias("lcz"), ((F.col("row") + F.col("col")) % 13 == 0).alias("wet"), ((F.col("row") * 5 + F.col("col")) % 100).alias("height"))
+    out = {}
+    for method in ("ring", "climate"):
+        urban, rural = masks.contrast_sides(method, F.col("zone"), F.col("distance"), F.col("lcz"), F.col("wet"), F.col("height"), (1.5, 5.0), range(1, 11), range(11, 15), 60)
+        out |= {f"{method}_urban": urban, f"{method}_rural": rural}
+    return m.select("row", "col", *[v.alias(k) for k, v in out.items()])
+
+
+@query("""WITH s AS (SELECT l_partkey AS cell, median(l_extendedprice) AS g, median(l_quantity * 1000) AS i, avg((l_linenumber = 1)::INTEGER) AS f FROM lineitem GROUP BY 1), o AS (SELECT p_partkey AS cell, p_size * 2 AS occurrence FROM part WHERE p_size > 5)
+SELECT s.cell, coalesce((g - i) / nullif(g + i, 0) > 0.28::DOUBLE, false) OR coalesce(f > 0.4::DOUBLE, false) OR coalesce(occurrence >= 95, false) AS water FROM s LEFT JOIN o ON s.cell = o.cell""")
+def water_cells(spark, d):
+    """Water by an index of medians, a share of wet looks, or long-run occurrence."""
+    scenes = table(spark, d, "lineitem").select(F.col("l_partkey").alias("cell"), "l_extendedprice", (F.col("l_quantity") * 1000).alias("infrared"), (F.col("l_linenumber") == 1).cast("int").alias("flag"))
+    seen = table(spark, d, "part").where("p_size > 5").select(F.col("p_partkey").alias("cell"), (F.col("p_size") * 2).alias("occurrence"))
+    return masks.watered(scenes, ["cell"], "l_extendedprice", "infrared", "flag", seen, (0.28, 0.4, 95))
+
+
+@query(f"""WITH {CELLS}, h AS (SELECT row, col, col // 10 AS zone FROM c WHERE code = 1), n AS (SELECT h.row, h.col, h.zone, count(t.row) AS trees FROM h LEFT JOIN c t ON t.code = 2 AND (h.row - t.row) * (h.row - t.row) + (h.col - t.col) * (h.col - t.col) <= 4 GROUP BY ALL)
+SELECT zone, count(*)::BIGINT AS homes, count(*) FILTER (trees >= 3)::BIGINT AS seen, round(100 * count(*) FILTER (trees >= 3) / count(*)::DOUBLE, 6) AS percent FROM n GROUP BY zone""")
+def trees_in_sight(spark, d):
+    """Homes with three trees or more within two cells, by zone."""
+    rows = cells(spark, d).withColumn("zone", F.floor(F.col("col") / 10))
+    return masks.trees_in_sight(rows, F.col("code") == 2, F.col("code") == 1, 2, 3).select("zone", "homes", "seen", r6("percent"))

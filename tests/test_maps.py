@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyloom.functions import colour, rules
-from skyloom.operators import prediction, ranking, significance, spatial, windows, zones
+from skyloom.functions import colour, rules, settings
+from skyloom.operators import guards, masks, prediction, ranking, significance, spatial, windows, zones
 from skyloom.plans import models
 from skyloom.sources import products, tables
 
@@ -308,3 +308,50 @@ def test_colours():
     assert colour.failures(["#d62728", "#2ca02c"], 60) and colour.failures(["#000000", "#ffffff"], 60) == []
     with pytest.raises(ValueError, match="no colour"):
         colour.channels("#12345")
+
+
+# --- masks, settings, guards ---------------------------------------------------------
+
+def test_masks(spark):
+    df = spark.createDataFrame([(0.5, 0.0, None), (None, 0.6, None), (None, None, 90.0), (None, None, None), (0.1, 0.1, 10.0)], "i double, f double, o double")
+    assert [r[0] for r in df.select(masks.water(F.col("i"), F.col("f"), F.col("o"), (0.2, 0.5, 80))).collect()] == [True, True, True, False, False]
+    months = spark.range(1, 13).select("id", masks.months_between(F.col("id"), 11, 2).alias("m"))
+    assert [r["id"] for r in months.where("m").collect()] == [1, 2, 11, 12]
+    for bad in (([], [11]), ([11], [12]), ([1], [10])):
+        with pytest.raises(ValueError, match="classes"):
+            masks.checked_classes(*bad)
+    with pytest.raises(ValueError, match="ring"):
+        masks.checked_ring(5, 5)
+    side = spark.createDataFrame([(True, 0.0, 2, False, 5.0), (False, 3.0, 12, False, 5.0), (False, 3.0, 12, False, 500.0), (False, 3.0, 12, True, 5.0), (False, 9.0, None, None, None)], "z boolean, d double, c int, w boolean, h double")
+    cols = lambda method: masks.contrast_sides(method, F.col("z"), F.col("d"), F.col("c"), F.col("w"), F.col("h"), (1, 5), [2], [12], 100)
+    assert rows(side.select(*cols("ring"))) == [(True, False), (False, True), (False, False), (False, False), (False, False)]
+    assert rows(side.select(*cols("climate"))) == [(True, False), (False, True), (False, False), (False, False), (False, False)]
+
+
+def test_settings():
+    config = {"trends": {"alpha": 0.05, "years": 10, "decades": {"b": [2010, 2019], "a": [2000, 2009]}}, "rf": {"trees": 500, "predictors": ["x", "y", "x"]}}
+    assert settings.setting(config, "trends.alpha", kind=float, above=0, below=1) == 0.05 and settings.setting(config, "trends.years", 12, least=3) == 12
+    assert settings.names(config, "rf.predictors") == ["x", "y"] and settings.spans(config, "trends.decades") == [("a", 2000, 2009), ("b", 2010, 2019)]
+    assert settings.overridden(config, "rf", trees=10)["trees"] == 10 and settings.increasing([0, 1], ["a", "b", "c"]) == [0.0, 1.0]
+    assert [c["name"] for c in settings.criteria([{"name": "a", "direction": "cost"}, {"name": "b", "direction": "benefit"}], ["b"])] == ["b"]
+    for call in (
+        lambda: settings.setting(config, "trends.alpha", 1.0, below=1), lambda: settings.setting(config, "trends.years", 2, least=3), lambda: settings.names(config, "rf.predictors", []), lambda: settings.names(config, "rf.predictors", response="x"),
+        lambda: settings.increasing([1, 1]), lambda: settings.increasing([1], ["a"]), lambda: settings.spans(config, "x", {"a": [2, 1]}), lambda: settings.split_method(config, "x", "random"), lambda: settings.overridden(config, "rf", leaves=1), lambda: settings.criteria([{"name": "a", "direction": "up"}]),
+    ):
+        with pytest.raises(ValueError):
+            call()
+    with pytest.raises(KeyError, match="trends.beta"):
+        settings.at(config, "trends.beta")
+
+
+def test_guards(spark):
+    df = spark.createDataFrame([("a", 2000, 0.5), ("a", 2001, 0.7), ("b", 2000, 0.1), ("b", 2001, 0.2)], "k string, y int, p double")
+    assert guards.enough_blocks(df, "k", 2) == {"rows": 4, "blocks": 2, "median": 2.0} and guards.within_ranges(df, {"p": (0, 1)}) == {"p": (0.1, 0.7)}
+    assert guards.annual_series(df, ["k"], "y", 2000, 2001) is df and guards.consistent(0.05) == 0.05 and guards.refinement([20, 10], [4, 2], 5) == 5
+    assert guards.expected_area(1100, 1000, 1000) == pytest.approx(0.1) and guards.scored_share(df.withColumn("s", F.lit("scored")), "s", "insufficient", 0.5) == 1.0
+    for call in (
+        lambda: guards.enough_blocks(df, "k", 3), lambda: guards.within_ranges(df, {"p": (0, 0.6)}), lambda: guards.annual_series(df.where("p < 0.7"), ["k"], "y", 2000, 2001), lambda: guards.annual_series(df.union(df), ["k"], "y", 2000, 2001), lambda: guards.consistent(float("nan")),
+        lambda: guards.refinement([21, 10], [4, 2], 5), lambda: guards.expected_area(2000, 1000, 1000), lambda: guards.scored_share(df.limit(0).withColumn("s", F.lit("x")), "s", "y", 0.0),
+    ):
+        with pytest.raises(ValueError):
+            call()
