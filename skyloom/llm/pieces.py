@@ -33,7 +33,7 @@ from .common import binary_chunks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Text bytes that are put together at once, and bytes of the words' segmentations that a task keeps at hand (about).
-CHUNK, KEPT_BYTES = 1 << 20, 40 << 20
+CHUNK, KEPT_BYTES = 2 << 20, 80 << 20
 #: Score of one byte of a character that the vocabulary lacks.
 BYTE_SCORE = -25.0
 
