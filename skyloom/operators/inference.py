@@ -101,16 +101,19 @@ def ols(y: np.ndarray, x: np.ndarray) -> dict:
 
 
 def lagrange(y: np.ndarray, x: np.ndarray, w: np.ndarray) -> dict[str, float]:
-    """LM lag and error tests of the OLS residuals under weights w."""
+    """Lagrange-multiplier tests of the OLS residuals under weights w: for a lag, for an error, each robust to the other, both together, with p; and the residuals' Moran."""
     fit = ols(y, x)
     e, s2 = fit["e"], fit["s2"]
     t = np.trace(w @ w + w.T @ w)
     m = np.eye(len(y)) - x @ np.linalg.inv(x.T @ x) @ x.T
     wxb = w @ x @ fit["b"]
-    lag = (e @ w @ y / s2) ** 2 / (wxb @ m @ wxb / s2 + t)
-    error = (e @ w @ e / s2) ** 2 / t
+    j = wxb @ m @ wxb / s2 + t
+    lagged, errors = e @ w @ y / s2, e @ w @ e / s2
+    one = {"lag": lagged**2 / j, "error": errors**2 / t, "robust_lag": (lagged - errors) ** 2 / max(j - t, 1e-300), "robust_error": (errors - t / j * lagged) ** 2 / max(t * (1 - t / j), 1e-300)}
     p = lambda q: math.erfc(math.sqrt(max(q, 0) / 2))
-    return {"lm_lag": lag, "p_lag": p(lag), "lm_error": error, "p_error": p(error)}
+    both = one["error"] + one["robust_lag"]
+    out = {f"lm_{k}": v for k, v in one.items()} | {f"p_{k}": p(v) for k, v in one.items()}
+    return out | {"lm_both": both, "p_both": math.exp(-both / 2), "residual_moran": float(e @ w @ e / (e @ e)) * len(y) / w.sum() if w.sum() else math.nan}
 
 
 def _golden(f, low: float, high: float) -> float:

@@ -535,7 +535,7 @@ def vif_table(spark, d):
     return spark.createDataFrame(models.vif(table(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"]), "feature string, vif double").select("feature", r6("vif"))
 
 
-#: Predictors of the forests and their trees; the reference's 500 trees are a parameter away.
+#: Predictors of the forests and their trees; more trees are a parameter away.
 FEATURES, TREES = ["l_quantity", "l_discount", "l_tax"], 40
 
 

@@ -76,6 +76,9 @@ def test_spatial_models_find_planted_dependence():
     assert lam == pytest.approx(0.6, abs=0.12) and b == pytest.approx([1.0, 2.0], abs=0.15) and like > inference.ols(error, x)["like"]
     tests = inference.lagrange(lagged, x, w)
     assert tests["p_lag"] < 1e-6
+    assert tests["p_robust_lag"] < 1e-6 and tests["lm_both"] == pytest.approx(tests["lm_lag"] + tests["lm_robust_error"])
+    choice = {k: (tests[n], tests[f"p_{n.removeprefix('lm_')}"]) for k, n in (("lm_lag", "lm_lag"), ("lm_error", "lm_error"), ("rlm_lag", "lm_robust_lag"), ("rlm_error", "lm_robust_error"))}
+    assert significance.model_choice(choice) == "lag"
     clean = inference.lagrange(x @ [1.0, 2.0] + e, x, w)
     assert clean["p_lag"] > 0.01 and clean["p_error"] > 0.01
     # The error test is the residuals' Moran, squared and scaled.
