@@ -47,17 +47,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[str] = []
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+def durable(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: a cut lineage that survives lost executors.
 
     The table stays until :func:`release`, as results that are not yet computed read it.
+    With ``batch_rows``, rows pass between the JVM and Python so many at a time while it
+    is written, which bounds the memory of both where a row holds whole texts.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    try:
+        if batch_rows:
+            spark.conf.set(_BATCH, batch_rows)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

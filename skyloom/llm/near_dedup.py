@@ -19,15 +19,20 @@ link between components is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_chunks, durable, lower, mix, prefix_sums, span_hash, word_spans
+from .common import binary_chunks, lower, mix, prefix_sums, span_hash, word_spans
+from . import common
 from .components import components
 
+#: Tables are written with few rows at a time, as rows hold one or two whole texts.
+durable = partial(common.durable, batch_rows=1000)
+
 #: Registers, bands of registers, the registers' base and their truncation.
 REGISTERS, BANDS, BASE, TOP = 160, 32, 1.02, 65535
 #: Sets in a bucket up to which all its pairs are made at once.
