@@ -109,11 +109,12 @@ def stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)
     plan = _planned(docs, id_col, text_col, source_col).withColumn("times", times).where("times > 0")
     plan = plan.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "pass", _position(F.col("offset") + F.col("pass") * F.col("source_size")).alias("position"))
+    # Both sides are dealt by the same two keys, neither of which is null, so that texts are shuffled once for them.
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    plan = plan.select(F.col("doc_id").alias("_id"), key("doc_id").alias("_key"), F.col("row").alias("_row"), "pass", _position(F.col("offset") + F.col("pass") * F.col("source_size")).alias("position"))
     # Equal rows stand in the plan once each, so one of them is enough on the other side.
-    rows = docs.select(_row_hash(docs).alias("_row"), F.struct(*docs.columns).alias("row")).groupBy("_row", F.col("row")[id_col].alias("_id")).agg(F.first("row").alias("row"))
-    taken = rows.join(plan, (rows["_row"] == plan["_row"]) & rows["_id"].eqNullSafe(plan["_id"])).select("row", rows["_id"].alias("_id"), rows["_row"].alias("_row"), "pass", "position")
-    return taken.orderBy("position", "_id", "_row", "pass").select("row.*")
+    rows = docs.select(_row_hash(docs).alias("_row"), key(id_col).alias("_key"), F.struct(*docs.columns).alias("row")).groupBy("_row", "_key").agg(F.first("row").alias("row"))
+    return rows.join(plan, ["_row", "_key"]).orderBy("position", "_id", "_row", "pass").select("row.*")
 
 
 ORACLE = r"""
