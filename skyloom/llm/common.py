@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step handles; a longer document is a step of its own.
@@ -79,6 +79,20 @@ def release(spark: SparkSession) -> int:
     return n
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with the long column ``name``: each row's place from 1 in the whole table's ``order``.
+
+    Rows are range-partitioned, sorted and written; the partitions' counts, one row a
+    partition, give the offsets.  Rows that tie in ``order`` are numbered in any order.
+    """
+    mark = [F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_mark")]
+    placed = durable(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", *mark), "numbered")
+    parts = placed.groupBy("_part").agg(F.count("*").alias("_rows"), F.min("_mark").alias("_first"))
+    before = F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")
+    parts = parts.select("_part", (before - F.col("_first") + 1).alias("_shift"))
+    return placed.join(F.broadcast(parts), "_part").withColumn(name, F.col("_mark") + F.col("_shift")).drop("_part", "_mark", "_shift")
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text column, in the JVM; null counts as no text."""
     body = F.coalesce(text, F.lit(""))

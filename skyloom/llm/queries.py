@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, pieces, secrets, top_k, warc
+from . import fingerprints, html_text, mixing, pieces, secrets, top_k, warc
 from .near_dedup import near_duplicates
 from .quality import quality
 from .suffix_dedup import remove_repeats
@@ -73,6 +73,13 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.exact_top_k(vectors, vectors.where("id % 50 = 0"), 5)
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowed fingerprints of every document and of its edited text, and their likenesses."""
+    rows = fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+    printed = {"fingerprint": fingerprints.printed(F.col("print")), "edited_fingerprint": fingerprints.printed(F.col("edited_print"))}
+    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[c.alias(n) for n, c in printed.items()], "near_edited", "near_next")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
@@ -84,6 +91,7 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_mixing": op9_mixing,
     "op10_top_k": op10_top_k,
+    "op13_fingerprints": op13_fingerprints,
 }
 ORACLES: dict[str, str] = {
     "op6_warc": warc.ORACLE,
