@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_text, mixing, pieces, secrets, top_k, warc
+from . import fingerprints, html_text, mixing, pieces, resampling, secrets, top_k, warc
 from .near_dedup import near_duplicates
 from .quality import quality
 from .suffix_dedup import remove_repeats
@@ -73,6 +73,11 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.exact_top_k(vectors, vectors.where("id % 50 = 0"), 5)
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all documents towards the benchmark's texts, and the ranked draw of five percent."""
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winnowed fingerprints of every document and of its edited text, and their likenesses."""
     rows = fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
@@ -91,10 +96,12 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_mixing": op9_mixing,
     "op10_top_k": op10_top_k,
+    "op12_resampling": op12_resampling,
     "op13_fingerprints": op13_fingerprints,
 }
 ORACLES: dict[str, str] = {
     "op6_warc": warc.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op10_top_k": top_k.ORACLE,
+    "op12_resampling": resampling.ORACLE,
 }
