@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_text, mixing, pieces, resampling, secrets, top_k, warc
+from . import fingerprints, html_text, mixing, phrases, pieces, resampling, secrets, top_k, warc
 from .near_dedup import near_duplicates
 from .quality import quality
 from .suffix_dedup import remove_repeats
@@ -73,6 +73,11 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.exact_top_k(vectors, vectors.where("id % 50 = 0"), 5)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first collocations of every language over all documents."""
+    return phrases.ranked(phrases.phrases(_table(spark, sf_dir, "documents")))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of all documents towards the benchmark's texts, and the ranked draw of five percent."""
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -96,6 +101,7 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_mixing": op9_mixing,
     "op10_top_k": op10_top_k,
+    "op11_phrases": op11_phrases,
     "op12_resampling": op12_resampling,
     "op13_fingerprints": op13_fingerprints,
 }
@@ -103,5 +109,6 @@ ORACLES: dict[str, str] = {
     "op6_warc": warc.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op10_top_k": top_k.ORACLE,
+    "op11_phrases": phrases.ORACLE,
     "op12_resampling": resampling.ORACLE,
 }

@@ -227,8 +227,7 @@ WITH RECURSIVE k(i, step, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL S
 tab AS (SELECT i, c FROM k WHERE step = 8),
 texts AS (SELECT 1 AS raw, doc_id AS id, text FROM documents UNION ALL SELECT 0, item_id, text FROM benchmark),
 w AS (SELECT raw, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
-p AS (SELECT raw, id, words, unnest(range(1, len(words) + 1)) AS i FROM w),
-f AS (SELECT raw, id, array_to_string(words[i : i + n - 1], ' ') AS feature FROM p, (VALUES (1), (2), (3)) v(n) WHERE i + n - 1 <= len(words)),
+f AS (SELECT raw, id, unnest([array_to_string(words[i : i + n - 1], ' ') FOR i IN range(1, len(words) - n + 2)]) AS feature FROM w, (VALUES (1), (2), (3)) v(n) WHERE len(words) >= n),
 d AS (SELECT feature, hex(encode(feature)) AS bytes FROM (SELECT DISTINCT feature FROM f)),
 r(feature, bytes, pos, c) AS (SELECT feature, bytes, 0, 4294967295 FROM d
   UNION ALL SELECT feature, bytes, pos + 1, xor(tab.c, r.c >> 8) FROM r JOIN tab ON tab.i = xor(r.c & 255, ('0x' || substr(bytes, 2 * pos + 1, 2))::BIGINT) WHERE 2 * pos < len(bytes)),
