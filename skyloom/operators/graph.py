@@ -4,10 +4,6 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Sequence
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -114,32 +110,6 @@ def gi_star(values: DataFrame, edges: DataFrame, key: str, value: str) -> DataFr
     return joined.select("i", ((F.col("local") - F.col("mean") * F.col("w")) / F.nullif(spread, F.lit(0.0))).alias("gi_z"), F.col("w").cast("long").alias("members"))
 
 
-def permutation_p(groups: DataFrame, keys: Sequence[str], draws: int = 999, seed: int = 42) -> DataFrame:
-    """Pseudo p of Moran's I per group of (keys, i, v, neighbours array<long>): (min(larger, P - larger) + 1) / (P + 1).
-
-    One group is one task; a group is a set of zones, bounded by the map.
-    """
-    key_types = [f"{k} {t}" for k, t in groups.select(*keys).dtypes]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        place = {i: k for k, i in enumerate(pdf["i"])}
-        z = pdf["v"].to_numpy(float) - pdf["v"].mean()
-        near = [[place[j] for j in row if j in place] for row in pdf["neighbours"]]
-        rng = np.random.default_rng(seed)
-
-        def index(x: np.ndarray) -> float:
-            return sum(x[k] * x[n].mean() for k, n in enumerate(near) if n)
-
-        seen = index(z)
-        larger = sum(index(rng.permutation(z)) >= seen for _ in range(draws))
-        out = pdf[list(keys)].head(1).copy()
-        out["p_sim"] = (min(larger, draws - larger) + 1) / (draws + 1)
-        return out
-
-    return groups.groupBy(*keys).applyInPandas(run, ", ".join([*key_types, "p_sim double"]))
-
-
 def connected(edges: DataFrame) -> DataFrame:
     """(i, component) with the smallest key reachable: labels spread and jump until none changes; tables written between rounds."""
     both = written(edges.select("i", "j").union(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct())

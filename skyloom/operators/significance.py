@@ -1,79 +1,17 @@
 """Significance of single zones: conditional permutations of local Moran and Gi*, false discovery, classes, panels.
 
-Zones of one group (a year, a bin) are one task: a group is a map's zones, which are
-few.  The permutations are those of one generator and the same wherever they run.
+Permutations are hashed draws (:mod:`skyloom.operators.draws`), so no group of zones is
+gathered in one task and every engine gives the same p.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.operators import windows, zones
-
-
-def draws(n: int, most: int, permutations: int, seed: int) -> np.ndarray:
-    """For each permutation, ``most`` distinct places among the n - 1 other zones."""
-    rng = np.random.default_rng(seed)
-    return np.stack([rng.permutation(n - 1)[: max(most, 1)] for _ in range(permutations)])
-
-
-def pseudo_p(seen: np.ndarray, simulated: np.ndarray) -> np.ndarray:
-    """(min(larger, P - larger) + 1) / (P + 1) of each column's simulated values."""
-    larger = (simulated >= seen[None, :]).sum(axis=0)
-    return (np.minimum(larger, len(simulated) - larger) + 1) / (len(simulated) + 1)
-
-
-def local_statistics(v: np.ndarray, near: Sequence[Sequence[int]], permutations: int, seed: int, star: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(statistic, pseudo p) of each zone: Gi* with the zone itself if ``star``, else local Moran, under weights of one over the neighbours.
-
-    Other zones' values are dealt to a zone's neighbours while its own stays.  A zone
-    without neighbours has Moran 0 and p 1; a constant attribute has no statistic.
-    """
-    n = len(v)
-    z, spread = v - v.mean(), v.var()
-    if n < 3 or spread <= 0:
-        return np.full(n, np.nan), np.full(n, np.nan)
-    picked = draws(n, max(map(len, near)), permutations, seed)
-    out, p = np.zeros(n), np.ones(n)
-    for i, own in enumerate(near):
-        k = len(own)
-        others = np.delete(np.arange(n), i)[picked[:, :k]]
-        if star:
-            w = k + 1
-            scale = np.sqrt(spread) * np.sqrt((n * w - w * w) / (n - 1))
-            value = lambda total: (total + v[i] - v.mean() * w) / scale if scale > 0 else total * np.nan  # noqa: B023, E731
-            out[i], simulated = value(v[list(own)].sum()), value(v[others].sum(axis=1))
-        elif k:
-            out[i], simulated = z[i] * z[list(own)].mean() / spread, z[i] * z[others].mean(axis=1) / spread
-        else:
-            continue
-        p[i] = pseudo_p(out[i : i + 1], simulated[:, None])[0] if np.isfinite(out[i]) else np.nan
-    return out, p
-
-
-def _grouped(df: DataFrame, keys: Sequence[str], zone: str, value: str, near: str, permutations: int, seed: int, star: bool) -> DataFrame:
-    types = [f"{n} {t}" for n, t in df.select(*keys, zone).dtypes]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(zone).reset_index(drop=True)
-        place = {i: k for k, i in enumerate(pdf[zone])}
-        v = pdf[value].to_numpy(float)
-        if np.isnan(v).any() or star and (v < 0).any():
-            raise ValueError(f"{'Gi*' if star else 'local Moran'} needs values of all zones" + ", none of them negative" * star)
-        rows = [[place[j] for j in (own if own is not None else []) if j in place and j != i] for i, own in zip(pdf[zone], pdf[near], strict=True)]
-        out = pdf[[*keys, zone]].copy()
-        out["statistic"], out["p_sim"] = local_statistics(v, rows, permutations, seed, star)
-        out["lag"] = [float((v[r] - v.mean()).mean()) if r else 0.0 for r in rows]
-        out["z"] = v - v.mean()
-        return out
-
-    names = ", ".join([*types, "statistic double", "p_sim double", "lag double", "z double"])
-    return df.select(*keys, zone, F.col(value).cast("double").alias(value), near).groupBy(*keys).applyInPandas(run, names)
+from skyloom.operators import draws, windows, zones
 
 
 def _adjusted(df: DataFrame, keys: Sequence[str], zone: str, alpha: float) -> DataFrame:
@@ -92,7 +30,7 @@ CLUSTERS = ("high_high", "low_high", "low_low", "high_low")
 
 def local_moran(df: DataFrame, keys: Sequence[str], zone: str, value: str, near: str, permutations: int = 999, seed: int = 42, alpha: float = 0.05) -> DataFrame:
     """Per group and zone: local_i, lag, p_sim, p_adjusted, significant, quadrant and cluster (not_significant where it is not)."""
-    out = _adjusted(_grouped(df, keys, zone, value, near, permutations, seed, False), keys, zone, alpha)
+    out = _adjusted(draws.local(df, keys, zone, value, near, permutations, seed, False), keys, zone, alpha)
     quadrant = F.when((F.col("z") > 0) & (F.col("lag") > 0), 1).when((F.col("z") <= 0) & (F.col("lag") > 0), 2).when((F.col("z") <= 0) & (F.col("lag") <= 0), 3).otherwise(4)
     names = F.element_at(F.array(*map(F.lit, CLUSTERS)), F.col("quadrant"))
     out = out.withColumn("quadrant", quadrant).withColumn("cluster", F.when(F.col("significant"), names).otherwise("not_significant"))
@@ -101,7 +39,7 @@ def local_moran(df: DataFrame, keys: Sequence[str], zone: str, value: str, near:
 
 def gi_star(df: DataFrame, keys: Sequence[str], zone: str, value: str, near: str, permutations: int = 999, seed: int = 42, alpha: float = 0.05) -> DataFrame:
     """Per group and zone: gi_z, p_sim, p_adjusted, significant and confidence class; negative or missing values are refused."""
-    out = _adjusted(_grouped(df, keys, zone, value, near, permutations, seed, True), keys, zone, alpha)
+    out = _adjusted(draws.local(df, keys, zone, value, near, permutations, seed, True), keys, zone, alpha)
     return out.select(*keys, zone, F.col("statistic").alias("gi_z"), "p_sim", "p_adjusted", "significant", zones.confidence_class(F.col("p_adjusted"), F.col("statistic")).alias("confidence"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.functions import scalar
-from skyloom.operators import aggregates, agreement, graph, grids, inference, landscape, ranking, trends, windows
+from skyloom.operators import aggregates, agreement, draws, graph, grids, inference, landscape, ranking, trends, windows
 from skyloom.plans import models
 from skyloom.sources.tables import table
 from skyloom.streaming import windows as event_windows
@@ -343,12 +343,17 @@ def gi_star(spark, d):
     return graph.gi_star(_zone_values(spark, d), _edges(spark, d), "c_nationkey", "v").select("i", r6("gi_z"), "members")
 
 
-@query()
+@query(f"""WITH {ZONES}, t AS (SELECT i, z / sqrt(m2) AS z FROM z WHERE i IN (SELECT i FROM e)), o AS (SELECT i, row_number() OVER (ORDER BY i) AS r, z FROM t),
+d AS (SELECT d, row_number() OVER (PARTITION BY d ORDER BY md5('42:' || d || ':' || i), i) AS r, z FROM t, range(1, 1000) x(d)),
+w AS (SELECT a.r AS ir, b.r AS jr, a.z AS iz, b.z AS jz, 1 / count(*) OVER (PARTITION BY e.i)::DOUBLE AS w FROM e JOIN o a ON a.i = e.i JOIN o b ON b.i = e.j),
+s AS (SELECT sum(w * iz * jz) AS seen, sum(w) AS s0 FROM w), p AS (SELECT a.d, sum(w * a.z * b.z) AS v FROM w JOIN d a ON a.r = ir JOIN d b ON b.d = a.d AND b.r = jr GROUP BY a.d),
+m AS (SELECT count(*) FILTER (round(v, 9) >= round(seen, 9)) AS l FROM p, s)
+SELECT 'all' AS g, round(seen / s0, 6) AS moran_i, (least(l, 999 - l) + 1) / 1000.0::DOUBLE AS p_sim FROM s, m""")
 def moran_permutation(spark, d):
-    """Permutation p of Moran's I by region of customers' nations; the draws are those of one generator."""
-    near = _edges(spark, d).groupBy("i").agg(F.sort_array(F.collect_list(F.col("j").cast("long"))).alias("neighbours"))
-    rows = _zone_values(spark, d).select(F.lit("all").alias("g"), F.col("c_nationkey").cast("long").alias("i"), "v").join(near, "i")
-    return graph.permutation_p(rows.select("g", "i", "v", "neighbours"), ["g"])
+    """Moran's I of customers' balances over nations of one region, and its p by 999 hashed permutations."""
+    near = _edges(spark, d).groupBy("i").agg(F.collect_list("j").alias("near"))
+    rows = _zone_values(spark, d).select(F.lit("all").alias("g"), F.col("c_nationkey").alias("i"), "v").join(near, "i")
+    return draws.moran(rows, ["g"], "i", "v", "near").select("g", r6("moran_i"), "p_sim")
 
 
 @query("""WITH p AS (SELECT s_suppkey, s_acctbal AS x, (s_suppkey % 100)::DOUBLE AS y FROM supplier),

@@ -302,16 +302,38 @@ def _near(spark, d):
     return graph.contiguity(table(spark, d, "nation"), "n_nationkey", "n_regionkey").groupBy("i").agg(F.sort_array(F.collect_list("j")).alias("near")).withColumnRenamed("i", "zone")
 
 
-@query()
+#: Draws of the zones of a year (s: zone, year, v) and what both permutation queries take from them.
+DRAWS = """e AS (SELECT a.n_nationkey AS i, b.n_nationkey AS j FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey),
+z AS (SELECT zone, year, v - avg(v) OVER y AS dev, CASE WHEN count(*) OVER y >= 3 THEN (v - avg(v) OVER y) / nullif(stddev_pop(v) OVER y, 0) END AS z, stddev_pop(v) OVER y AS sd, count(*) OVER y AS n FROM s WINDOW y AS (PARTITION BY year)),
+k AS (SELECT z.*, coalesce(q.total, CASE WHEN z.z IS NOT NULL THEN 0 END) AS total, coalesce(q.k, 0) AS k FROM z LEFT JOIN (SELECT a.year, e.i, sum(b.z) AS total, count(*) AS k FROM e JOIN z a ON a.zone = e.i JOIN z b ON b.zone = e.j AND b.year = a.year GROUP BY ALL) q ON q.year = z.year AND q.i = z.zone),
+d AS (SELECT k.*, d, row_number() OVER (PARTITION BY year, d ORDER BY md5('42:' || d || ':' || zone), zone) AS r FROM k, range(1, 100) x(d)),
+p AS (SELECT year, d, r, sum(z) OVER (PARTITION BY year, d ORDER BY r ROWS UNBOUNDED PRECEDING) AS p FROM d),
+c AS (SELECT d.year, d.zone, d.z, d.total, p.p - CASE WHEN d.r <= k THEN d.z ELSE 0 END AS drawn FROM d JOIN p ON p.year = d.year AND p.d = d.d AND p.r = k + (d.r <= k)::INTEGER WHERE k > 0 AND z IS NOT NULL)"""
+#: Benjamini-Hochberg over the zones of a year (f: zone, year, p_sim and others).
+ADJUSTED = """o AS (SELECT *, p_sim * count(*) OVER (PARTITION BY year, p_sim IS NULL) / row_number() OVER (PARTITION BY year, p_sim IS NULL ORDER BY p_sim, zone) AS step FROM f),
+a AS (SELECT *, CASE WHEN p_sim IS NOT NULL THEN least(1::DOUBLE, min(step) OVER (PARTITION BY year, p_sim IS NULL ORDER BY p_sim, zone ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END AS q FROM o)"""
+
+
+@query(f"""{SERIES}, {DRAWS}, l AS (SELECT year, zone, count(*) FILTER (round(z * drawn, 9) >= round(z * total, 9)) AS l FROM c GROUP BY ALL),
+f AS (SELECT k.*, CASE WHEN k > 0 THEN z * total / k WHEN z IS NOT NULL THEN 0 END AS local_i, CASE WHEN z IS NULL THEN NULL WHEN k = 0 THEN 1 ELSE (least(l, 99 - l) + 1) / 100.0::DOUBLE END AS p_sim, coalesce(CASE WHEN k > 0 THEN total / k * sd END, 0) AS lag FROM k LEFT JOIN l ON l.year = k.year AND l.zone = k.zone),
+{ADJUSTED}, b AS (SELECT *, coalesce(q <= 0.05, false) AS significant, CASE WHEN dev > 0 AND lag > 0 THEN 1 WHEN dev <= 0 AND lag > 0 THEN 2 WHEN dev <= 0 AND lag <= 0 THEN 3 ELSE 4 END AS quadrant FROM a)
+SELECT year, zone, round(local_i, 6) AS local_i, round(lag, 6) AS lag, p_sim, round(q, 6) AS p_adjusted, significant, quadrant::INTEGER AS quadrant, CASE WHEN significant THEN ['high_high', 'low_high', 'low_low', 'high_low'][quadrant] ELSE 'not_significant' END AS cluster FROM b""")
 def local_significance(spark, d):
-    """Local Moran of yearly mean prices with conditional permutations, adjusted p and clusters; draws of one generator."""
-    return significance.local_moran(series(spark, d).join(_near(spark, d), "zone"), ["year"], "zone", "v", "near", 99)
+    """Local Moran of yearly mean prices with conditional permutations, adjusted p and clusters."""
+    out = significance.local_moran(series(spark, d).join(_near(spark, d), "zone"), ["year"], "zone", "v", "near", 99)
+    return out.select("year", "zone", r6("local_i"), r6("lag"), "p_sim", r6("p_adjusted"), "significant", "quadrant", "cluster")
 
 
-@query()
+@query(f"""WITH {YEARLY}, s0 AS (SELECT zone, year, avg(price) AS v FROM y GROUP BY zone, year), s AS (SELECT * FROM s0 WHERE year IN (SELECT year FROM s0 GROUP BY year HAVING count(v) = (SELECT count(DISTINCT zone) FROM s0))), {DRAWS},
+l AS (SELECT year, zone, count(*) FILTER (round(drawn, 9) >= round(total, 9)) AS l FROM c GROUP BY ALL),
+g AS (SELECT k.*, (total + z) / nullif(sqrt((n * (k + 1) - (k + 1) * (k + 1)) / (n - 1)::DOUBLE), 0) AS gi_z, l FROM k LEFT JOIN l ON l.year = k.year AND l.zone = k.zone),
+f AS (SELECT *, CASE WHEN gi_z IS NULL THEN NULL WHEN k = 0 THEN 1 ELSE (least(l, 99 - l) + 1) / 100.0::DOUBLE END AS p_sim FROM g), {ADJUSTED}
+SELECT year, zone, round(gi_z, 6) AS gi_z, p_sim, round(q, 6) AS p_adjusted, coalesce(q <= 0.05, false) AS significant,
+CASE WHEN gi_z > 0 AND q <= 0.01 THEN 'hot_99' WHEN gi_z > 0 AND q <= 0.05 THEN 'hot_95' WHEN gi_z > 0 AND q <= 0.10 THEN 'hot_90' WHEN gi_z < 0 AND q <= 0.01 THEN 'cold_99' WHEN gi_z < 0 AND q <= 0.05 THEN 'cold_95' WHEN gi_z < 0 AND q <= 0.10 THEN 'cold_90' ELSE 'not_significant' END AS confidence FROM a""")
 def gi_panel(spark, d):
     """Gi* of every year in which all nations have a price, with significance and classes."""
-    return significance.gi_star_panel(series(spark, d), "zone", "year", "v", _near(spark, d))
+    out = significance.gi_star_panel(series(spark, d), "zone", "year", "v", _near(spark, d))
+    return out.select("year", "zone", r6("gi_z"), "p_sim", r6("p_adjusted"), "significant", "confidence")
 
 
 # --- land change -----------------------------------------------------------------

@@ -93,20 +93,6 @@ def test_clusters_are_found_and_reproducible(spark):
         significance.gi_star(df.withColumn("v", -F.col("v")), ["bin"], "k", "v", "near", 9).collect()
 
 
-def test_local_statistics_closed_form():
-    v, near = np.array([1.0, 2.0, 3.0, 10.0]), [[1], [0, 2], [1, 3], [2]]
-    local, _ = significance.local_statistics(v, near, 9, 0, False)
-    z = v - v.mean()
-    assert local == pytest.approx([z[i] * z[n].mean() / v.var() for i, n in enumerate(near)])
-    star, _ = significance.local_statistics(v, near, 9, 0, True)
-    w = np.array([len(n) + 1 for n in near])
-    total = np.array([v[i] + v[n].sum() for i, n in enumerate(near)])
-    assert star == pytest.approx((total - v.mean() * w) / (v.std() * np.sqrt((4 * w - w * w) / 3)))
-    assert np.isnan(significance.local_statistics(np.ones(5), [[1]] * 5, 9, 0, True)[0]).all()
-    alone = significance.local_statistics(v, [[1], [0], [], []], 9, 0, False)
-    assert alone[0][2] == 0 and alone[1][2] == 1
-
-
 def test_panel_drops_bins_with_gaps(spark):
     df = spark.createDataFrame([(b, k, None if (b, k) == (2, 1) else float(k * b)) for b in (1, 2, 3) for k in range(4)], "bin int, zone long, v double")
     near = spark.createDataFrame([(k, [(k + 1) % 4, (k + 3) % 4]) for k in range(4)], "zone long, near array<long>")
