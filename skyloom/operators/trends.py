@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from skyloom.functions import scalar
 
 MIN_YEARS = 3
 
@@ -42,10 +41,9 @@ def mann_kendall(df: DataFrame, keys: Sequence[str], year: str, value: str) -> D
     return out.withColumn("z", F.when(F.col("s") == 0, 0.0).otherwise((F.col("s") - F.signum("s")) / F.sqrt("var_s")))
 
 
-@F.pandas_udf(T.DoubleType())
-def two_sided_p(z: pd.Series) -> pd.Series:
-    """Two-sided normal p of z; vectorised by Arrow batches, as neither engine has an error function."""
-    return z.map(lambda x: None if x is None or x != x else math.erfc(abs(x) / math.sqrt(2.0)))
+def two_sided_p(z: str) -> Column:
+    """Two-sided normal p of the column z."""
+    return scalar.two_sided_p(F.col(z))
 
 
 def decades(df: DataFrame, windows: Sequence[tuple[str, int, int]], year: str, value: str, keys: Sequence[str]) -> DataFrame:

@@ -79,7 +79,8 @@ def step_up(df: DataFrame, p: str, key: str, alpha: float, dependent: bool = Fal
     least = each.groupBy("_b").agg(F.min("_v").alias("_l")).select("_b", F.min("_l").over(later).alias("_l"))
     q = F.least(F.lit(1.0), F.min("_v").over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)), F.coalesce("_l", F.lit(1.0)))
     found = each.join(F.broadcast(least), "_b").select("_p", q.alias("q"))
-    out = df.withColumn("_x", x).join(found, F.col("_x") == F.col("_p"), "left").drop("_x", "_p")
+    # Untested rows look for a p that is none, each its own, so that they do not meet in one task.
+    out = df.withColumn("_x", F.when(tested, x).otherwise(-2.0 - F.pmod(F.xxhash64(key), F.lit(1 << 20)))).join(found, F.col("_x") == F.col("_p"), "left").drop("_x", "_p")
     return out.withColumn("reject", F.col("q") <= alpha)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.functions import scalar
-from skyloom.operators import aggregates, agreement, draws, graph, grids, inference, landscape, ranking, trends, windows
+from skyloom.operators import aggregates, agreement, draws, graph, grids, inference, landscape, ranking, spacetime, trends, windows
 from skyloom.plans import models
 from skyloom.sources.tables import table
 from skyloom.streaming import windows as event_windows
@@ -242,10 +242,17 @@ def mann_kendall(spark, d):
     return trends.mann_kendall(series(spark, d), ["zone"], "year", "v").select("zone", "n", "s", r6("var_s"), r6("z"))
 
 
-@query()
+#: A macro's worth of SQL: the two-sided normal p of ``{z}``, by the same expansions.
+NORMAL_P = """(CASE WHEN abs({z}) / sqrt(2::DOUBLE) < 2.5 THEN 1 - exp(-{z} * {z} / 2) / sqrt(pi()) * list_sum(list_transform(range(1, 61), lambda n: exp((2 * n - 1) * ln(greatest(abs({z}), 1e-300) / sqrt(2::DOUBLE)) + n * ln(2::DOUBLE) - coalesce(list_sum(list_transform(range(1, n), lambda k: ln(2 * k + 1::DOUBLE))), 0))))
+ELSE exp(-{z} * {z} / 2) / sqrt(pi()) / list_reduce([abs({z}) / sqrt(2::DOUBLE)] || list_transform(range(60, 0, -1), lambda k: k::DOUBLE), lambda f, k: abs({z}) / sqrt(2::DOUBLE) + k / 2 / f) END)"""
+MK = f"""{SERIES}, p AS (SELECT a.zone, sum(sign(b.v - a.v))::DOUBLE AS s FROM s a JOIN s b ON a.zone = b.zone AND b.year > a.year GROUP BY a.zone), k AS (SELECT zone, count(v)::DOUBLE AS n FROM s GROUP BY zone),
+m AS (SELECT k.zone, n, CASE WHEN n >= 3 THEN coalesce(s, 0) END AS s, CASE WHEN n >= 3 THEN CASE WHEN coalesce(s, 0) = 0 THEN 0 ELSE (s - sign(s)) / sqrt(n * (n - 1) * (2 * n + 5) / 18) END END AS z FROM k LEFT JOIN p ON p.zone = k.zone)"""
+
+
+@query(f"{MK} SELECT zone, round(z, 6) AS z, round({NORMAL_P.format(z='z')}, 9) AS p FROM m")
 def mann_kendall_p(spark, d):
-    """The same with the two-sided p; no engine here has an error function in SQL."""
-    return trends.mann_kendall(series(spark, d), ["zone"], "year", "v").withColumn("p", trends.two_sided_p("z")).select("zone", "z", "p")
+    """The same with the two-sided p."""
+    return trends.mann_kendall(series(spark, d), ["zone"], "year", "v").withColumn("p", trends.two_sided_p("z")).select("zone", r6("z"), F.round("p", 9).alias("p"))
 
 
 def _p_values(spark, d):
@@ -382,18 +389,29 @@ def space_time_runs(spark, d):
     return graph.hot_spot_runs(flags, "event_type", "bin", "hot")
 
 
-@query(f"""{SERIES}, g AS (SELECT zone, year, (v - avg(v) OVER (PARTITION BY year)) / nullif(stddev_pop(v) OVER (PARTITION BY year), 0) AS z, sum(v) OVER (PARTITION BY zone) AS t FROM s),
-p AS (SELECT zone, count(*) AS n, count(*) FILTER (z > 1.96) AS hot, count(*) FILTER (z < -1.96) AS cold, arg_max(z > 1.96, year) AS lh, arg_max(z < -1.96, year) AS lc, max(year) FILTER (NOT z > 1.96) AS eh, max(year) FILTER (NOT z < -1.96) AS ec FROM g GROUP BY zone),
-q AS (SELECT *, CASE WHEN lh THEN true WHEN lc THEN false ELSE hot >= cold END AS side FROM p),
-u AS (SELECT q.zone, n, side, CASE WHEN side THEN hot ELSE cold END AS k, CASE WHEN side THEN cold ELSE hot END AS o, CASE WHEN side THEN lh ELSE lc END AS last, (SELECT count(*) FROM g WHERE g.zone = q.zone AND g.year > coalesce(CASE WHEN side THEN eh ELSE ec END, 0)) AS run, (q.zone % 3) - 1 AS t0 FROM q),
+#: Gi* of each nation's year among the nations of its region in this year and the one before; the trend of its z and the step-up across nations.
+CUBE = f"""{SERIES}, e AS (SELECT a.n_nationkey AS i, b.n_nationkey AS j FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey),
+h AS (SELECT avg(v) AS mean, stddev_pop(v) AS sd, count(*)::DOUBLE AS n FROM s), b AS (SELECT e.i AS zone, s.year, sum(s.v) AS v, count(*)::DOUBLE AS w FROM s JOIN e ON e.j = s.zone GROUP BY ALL),
+r AS (SELECT s.zone, s.year, sum(b.v) AS v, sum(b.w) AS w FROM s JOIN b ON b.zone = s.zone AND b.year IN (s.year, s.year - 1) GROUP BY ALL),
+g AS (SELECT zone, year, (v - mean * w) / (sd * sqrt((n * w - w * w) / (n - 1))) AS z FROM r, h),
+p AS (SELECT a.zone, sum(sign(b.z - a.z))::DOUBLE AS s FROM g a JOIN g b ON a.zone = b.zone AND b.year > a.year GROUP BY a.zone), k AS (SELECT zone, count(*)::DOUBLE AS n FROM g GROUP BY zone),
+m AS (SELECT k.zone, coalesce(s, 0) AS s, CASE WHEN coalesce(s, 0) = 0 THEN 0 ELSE (s - sign(s)) / sqrt(n * (n - 1) * (2 * n + 5) / 18) END AS z FROM k LEFT JOIN p ON p.zone = k.zone WHERE n >= 3),
+v AS (SELECT zone, s, z, {NORMAL_P.format(z='z')} AS p FROM m), o AS (SELECT *, p * count(*) OVER () / rank() OVER (ORDER BY p DESC) AS x, count(*) OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM v),
+t AS (SELECT zone, s, z, least(1::DOUBLE, min(p * m / k) OVER (ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q, CASE WHEN least(1::DOUBLE, min(p * m / k) OVER (ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) <= 0.05 THEN sign(s) ELSE 0 END AS t0 FROM o),
+"""
+
+
+@query(CUBE + """c AS (SELECT zone, count(*) AS n, count(*) FILTER (z > 1.96) AS hot, count(*) FILTER (z < -1.96) AS cold, arg_max(z > 1.96, year) AS lh, arg_max(z < -1.96, year) AS lc, max(year) FILTER (NOT z > 1.96) AS eh, max(year) FILTER (NOT z < -1.96) AS ec FROM g GROUP BY zone),
+q AS (SELECT *, CASE WHEN lh THEN true WHEN lc THEN false ELSE hot >= cold END AS side FROM c),
+u AS (SELECT q.zone, q.n, side, CASE WHEN side THEN hot ELSE cold END AS k, CASE WHEN side THEN cold ELSE hot END AS o, CASE WHEN side THEN lh ELSE lc END AS last, (SELECT count(*) FROM g WHERE g.zone = q.zone AND g.year > coalesce(CASE WHEN side THEN eh ELSE ec END, 0)) AS run, t.t0 FROM q JOIN t ON t.zone = q.zone),
 w AS (SELECT *, k / n AS share, CASE WHEN side THEN t0 ELSE -t0 END AS t FROM u),
 l AS (SELECT *, CASE WHEN k = 0 AND o = 0 THEN 'no_pattern' WHEN last AND o > 0 THEN 'oscillating' WHEN run > 0 AND run <= 1 AND k = run THEN 'new' WHEN run >= 2 AND k = run AND share < 0.9 THEN 'consecutive' WHEN share >= 0.9 AND NOT last THEN 'historical'
 WHEN share >= 0.9 THEN CASE WHEN t > 0 THEN 'intensifying' WHEN t < 0 THEN 'diminishing' ELSE 'persistent' END WHEN share < 0.9 AND o = 0 AND last THEN 'sporadic' WHEN NOT last THEN 'no_pattern' WHEN t > 0 THEN 'intensifying' WHEN t < 0 THEN 'diminishing' ELSE 'sporadic' END AS c FROM w)
-SELECT zone, n::INTEGER AS bins, round(share, 6) AS share, run::INTEGER AS final_run, CASE WHEN c = 'no_pattern' THEN c WHEN side THEN c || '_hot_spot' ELSE c || '_cold_spot' END AS category FROM l""")
+SELECT l.zone, l.n::INTEGER AS bins, round(share, 6) AS share, run::INTEGER AS final_run, CASE WHEN c = 'no_pattern' THEN c WHEN side THEN c || '_hot_spot' ELSE c || '_cold_spot' END AS category, (SELECT round(arg_max(z, year), 6) FROM g WHERE g.zone = l.zone) AS last_z, t.s, round(t.z, 6) AS trend_z, round(q, 6) AS p_adjusted FROM l JOIN t ON t.zone = l.zone""")
 def emerging_hot_spots(spark, d):
-    """Emerging-hot-spot category of each nation's yearly z series."""
-    panel = series(spark, d).withColumn("z", windows.z_score(F.col("v"), ["year"])).withColumn("t", (F.col("zone") % 3) - 1)
-    return graph.emerging(panel, "zone", "year", "z", "t").select("zone", "bins", r6("share"), "final_run", "category")
+    """Emerging-hot-spot category of every nation from the cube of its yearly mean prices."""
+    out = spacetime.emerging_hot_spots(series(spark, d), _edges(spark, d), "zone", "year", "v")
+    return out.select("zone", "bins", r6("share"), "final_run", "category", r6("last_z"), "s", r6("trend_z"), r6("p_adjusted"))
 
 
 @query(f"""WITH {CELLS} SELECT a.row, a.col, round(count(*) FILTER (b.code = 1) / count(*)::DOUBLE, 6) AS share FROM c a JOIN c b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND (a.row, a.col) <> (b.row, b.col) GROUP BY ALL""")

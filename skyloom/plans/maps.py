@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import rules
 from skyloom.operators import aggregates, graph, masks, prediction, ranking, significance, spatial, trends, zones
-from skyloom.plans.catalog import CELLS, QUERIES, SERIES, YEARLY, cells, query, r6, series, yearly_orders  # noqa: F401
+from skyloom.plans.catalog import CELLS, MK, NORMAL_P, QUERIES, SERIES, YEARLY, cells, query, r6, series, yearly_orders  # noqa: F401
 from skyloom.sources.tables import table
 
 # --- spatial joins and weights ---------------------------------------------------
@@ -291,11 +291,13 @@ def trend_by_class(spark, d):
     return out.select("n_regionkey", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), "n_obs", "below_floor")
 
 
-@query()
+@query(f"""{MK}, v AS (SELECT *, {NORMAL_P.format(z='z')} AS p FROM m), o AS (SELECT *, count(p) OVER (ORDER BY p) AS k, count(p) OVER () AS c FROM v),
+q AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1::DOUBLE, min(p * c / k) OVER (ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END AS q FROM o)
+SELECT zone, n, s, round(z, 6) AS z, round(p, 9) AS p, round(q, 6) AS p_adjusted, coalesce(q <= 0.05, false) AS significant FROM q""")
 def zonal_trends(spark, d):
-    """Mann-Kendall of nations with p adjusted across them; no error function in SQL."""
+    """Mann-Kendall of nations with p adjusted across them."""
     tests = trends.mann_kendall(series(spark, d), ["zone"], "year", "v").withColumn("p", trends.two_sided_p("z"))
-    return significance.trend_table(tests, "zone", "p").select("zone", "n", "s", "z", "p", "p_adjusted", "significant")
+    return significance.trend_table(tests, "zone", "p").select("zone", "n", "s", r6("z"), F.round("p", 9).alias("p"), r6("p_adjusted"), "significant")
 
 
 def _near(spark, d):

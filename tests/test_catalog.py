@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from skyloom.plans import catalog, maps
+from skyloom.plans import catalog, maps, regional
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,7 +26,7 @@ def rows(df: pd.DataFrame) -> list:
     return sorted(([plain(x) for x in r] for r in df.itertuples(index=False)), key=str)
 
 
-assert maps.QUERIES is catalog.QUERIES
+assert maps.QUERIES is regional.QUERIES is catalog.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
