@@ -18,8 +18,9 @@ everywhere is one row a batch.
 
 from __future__ import annotations
 
-import uuid
+import os
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ SUBSUMED = 50
 BATCH_BYTES = 1 << 23
 #: Frequent units that are broadcast to the batches; more are joined by shuffle.
 BROADCAST_UNITS = 200_000
+#: Units that Python hands over at a time.
+UNIT_ROWS = 1 << 16
 
 _CLASS = np.zeros(256, np.int8)
 _CLASS[[0x20, 0x09]] = 1
@@ -60,35 +63,35 @@ def word_sequence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa
 
 
 def _batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) rows as batches of one language each: batch, lang, units (word, n), seq."""
+    """(lang, text) rows as batches of one language each: a row for each distinct word, and one for the sequence."""
     for part in parts:
         for lang in pc.unique(part.column(0)).to_pylist():
             texts = part.column(1).filter(pc.equal(part.column(0), lang))
             for _, _, data, offsets in binary_chunks(texts, BATCH_BYTES):
                 codes, words = word_sequence(data, offsets)
-                if not len(words):
-                    continue
-                n = np.bincount(codes[codes >= 0], minlength=len(words))
-                units = pa.StructArray.from_arrays([words.cast(pa.large_string()), pa.array(n, pa.int64())], ["word", "n"])
-                yield _row([pa.array([uuid.uuid4().hex]), pa.array([lang], pa.large_string()), _listed(units), pa.array([codes.tobytes()], pa.binary())], ["batch", "lang", "units", "seq"])
+                if len(words):
+                    yield from _rows(lang, {"word": words.cast(pa.string())}, np.bincount(codes[codes >= 0], minlength=len(words)), codes)
 
 
-def _listed(values: pa.Array) -> pa.Array:
-    """One row that is the list of ``values``."""
-    return pa.LargeListArray.from_arrays(pa.array([0, len(values)], pa.int64()), values)
+def _rows(lang: str, units: dict[str, pa.Array], n: np.ndarray, seq: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """A batch's units with their places and counts, some at a time, and its sequence: batch, lang, place, unit, n, seq."""
+    batch, rows = int.from_bytes(os.urandom(8), "big") >> 1, len(n)
+    same = lambda value, k, type_: pa.array([value], type_).take(pa.array(np.zeros(k, np.int64)))
+    names = ["batch", "lang", "place", *units, "n", "seq"]
+    for first in range(0, rows, UNIT_ROWS):
+        k = min(UNIT_ROWS, rows - first)
+        place = pa.array(np.arange(first, first + k, dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([same(batch, k, pa.int64()), same(lang, k, pa.string()), place, *[u.slice(first, k) for u in units.values()], pa.array(n[first : first + k], pa.int64()), pa.nulls(k, pa.binary())], names)
+    if seq is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([lang], pa.string()), pa.nulls(1, pa.int32()), *[pa.nulls(1, u.type) for u in units.values()], pa.nulls(1, pa.int64()), pa.array([seq.tobytes()], pa.binary())], names)
 
 
-def _row(columns: list[pa.Array], names: list[str]) -> pa.RecordBatch:
-    types = {"units": pa.list_(pa.struct([(f.name, pa.string() if pa.types.is_large_string(f.type) else f.type) for f in columns[2].type.value_type])), "lang": pa.string()}
-    return pa.RecordBatch.from_arrays([c.cast(types[n]) if n in types else c for c, n in zip(columns, names, strict=True)], names)
-
-
-def _pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(batch, lang, seq, ids (place, id)) rows with each two adjacent named units as one: batch, lang, units (left, right, n), seq."""
+def _pairs(parts: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+    """(lang, seq, ids (place, id)) rows with each two adjacent named units as one, in the same form; without sequence at the ``last`` level."""
     for part in parts:
         for i in range(part.num_rows):
-            seq = np.frombuffer(part.column(2)[i].as_py(), np.int32)
-            named = part.column(3)[i].values
+            seq = np.frombuffer(part.column(1)[i].as_buffer(), np.int32)
+            named = part.column(2)[i].values
             v = int(seq.max(initial=0)) + 1
             ids = np.full(v + 1, -1, np.int64)
             ids[named.field("place").to_numpy()] = named.field("id").to_numpy()
@@ -97,15 +100,16 @@ def _pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(at):
                 continue
             key, code, n = np.unique(seq[at].astype(np.int64) * v + seq[at + 1], return_inverse=True, return_counts=True)
-            out = np.full(len(seq) - 1, -1, np.int32)
-            out[at] = code
-            units = pa.StructArray.from_arrays([pa.array(ids[key // v]), pa.array(ids[key % v]), pa.array(n, pa.int64())], ["left", "right", "n"])
-            yield _row([part.column(0).slice(i, 1), part.column(1).slice(i, 1), _listed(units), pa.array([out.tobytes()], pa.binary())], ["batch", "lang", "units", "seq"])
+            out = None
+            if not last:
+                out = np.full(len(seq) - 1, -1, np.int32)
+                out[at] = code
+            yield from _rows(part.column(0)[i].as_py(), {"left": pa.array(ids[key // v]), "right": pa.array(ids[key % v])}, n, out)
 
 
 def _counts(batches: DataFrame, keys: list[str]) -> DataFrame:
     """Counts f of all units of the batches by ``keys``."""
-    return batches.select("lang", F.explode("units").alias("u")).select("lang", "u.*").groupBy(*keys).agg(F.sum("n").alias("f"))
+    return batches.where("seq IS NULL").groupBy(*keys).agg(F.sum("n").alias("f"))
 
 
 def _named(units: DataFrame, name: str) -> DataFrame:
@@ -113,13 +117,13 @@ def _named(units: DataFrame, name: str) -> DataFrame:
     return durable(units.withColumn("id", F.monotonically_increasing_id()), name)
 
 
-def _renamed(batches: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
+def _renamed(batches: DataFrame, names: DataFrame, keys: list[str], last: bool) -> DataFrame:
     """The next level's batches: ids joined to their units by ``keys``, adjacent named units made pairs."""
-    places = batches.select("batch", "lang", F.posexplode("units").alias("place", "u")).select("batch", "place", *[c if c == "lang" else f"u.{c}" for c in keys])
-    known = names.select(*keys, "id")
+    places, known = batches.where("seq IS NULL").select("batch", "place", *keys), names.select(*keys, "id")
     ids = places.join(F.broadcast(known) if names.count() <= BROADCAST_UNITS else known, keys)
     ids = ids.groupBy("batch").agg(F.collect_list(F.struct("place", "id")).alias("ids"))
-    return batches.select("batch", "lang", "seq").join(ids, "batch").select("batch", "lang", "seq", "ids").mapInArrow(_pairs, "batch string, lang string, units array<struct<left: bigint, right: bigint, n: bigint>>, seq binary")
+    rows = batches.where("seq IS NOT NULL").select("batch", "lang", "seq").join(ids, "batch").select("lang", "seq", "ids")
+    return durable(rows.mapInArrow(partial(_pairs, last=last), "batch long, lang string, place int, left long, right long, n long, seq binary"), "phrase-pairs", 1)
 
 
 def _joined(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -147,14 +151,14 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", mos
     table gives an empty result; other columns are not looked at.
     """
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    batches = durable(rows.mapInArrow(_batches, "batch string, lang string, units array<struct<word: string, n: bigint>>, seq binary"), "phrase-words")
+    batches = durable(rows.mapInArrow(_batches, "batch long, lang string, place int, word string, n long, seq binary"), "phrase-words", 4_000)
     words = durable(_counts(batches, ["lang", "word"]), "phrase-counts")
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
     none = F.array().cast("array<bigint>")
     level = _named(words.where(F.col("f") >= least).select("lang", "word", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("firsts"), none.alias("lasts")), "phrase-names")
     levels, keys = [], ["lang", "word"]
-    for _ in range(2, most_words + 1):
-        batches = durable(_renamed(batches, level, keys), "phrase-pairs")
+    for m in range(2, most_words + 1):
+        batches = _renamed(batches, level, keys, m == most_words)
         keys = ["left", "right"]
         level = _named(_joined(_counts(batches, keys).where(F.col("f") >= least), level), "phrase-names")
         levels.append(level)
