@@ -67,15 +67,27 @@ def durable(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFram
         df.write.parquet(path)
     finally:
         spark.conf.set(_BATCH, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table of :func:`durable` before :func:`release` does, once all that reads it is written itself."""
+    _delete(table.sparkSession, table.durable_path)
+    _written.remove(table.durable_path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> int:
     """Deletes the tables that :func:`durable` has written in this process; call it once results are stored.  Returns their number."""
     n = len(_written)
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
     return n
 
 

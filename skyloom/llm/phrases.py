@@ -25,17 +25,18 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_chunks, durable, lower
+from .common import binary_chunks, discard, durable, lower
 
 #: Longest phrase, least count of a candidate, rows of the report for each language.
 MOST_WORDS, LEAST, REPORTED = 3, 10, 2_000
 #: Percent of a phrase's count that a longer one around it needs to stand for it.
 SUBSUMED = 50
 #: Text bytes of a batch; a longer document is a batch of its own.
-BATCH_BYTES = 1 << 23
+BATCH_BYTES = 1 << 24
 #: Frequent units that are broadcast to the batches; more are joined by shuffle.
 BROADCAST_UNITS = 200_000
 #: Units that Python hands over at a time.
@@ -83,14 +84,14 @@ def _rows(lang: str, units: dict[str, pa.Array], n: np.ndarray, seq: np.ndarray
         place = pa.array(np.arange(first, first + k, dtype=np.int32))
         yield pa.RecordBatch.from_arrays([same(batch, k, pa.int64()), same(lang, k, pa.string()), place, *[u.slice(first, k) for u in units.values()], pa.array(n[first : first + k], pa.int64()), pa.nulls(k, pa.binary())], names)
     if seq is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([lang], pa.string()), pa.nulls(1, pa.int32()), *[pa.nulls(1, u.type) for u in units.values()], pa.nulls(1, pa.int64()), pa.array([seq.tobytes()], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([lang], pa.string()), pa.nulls(1, pa.int32()), *[pa.nulls(1, u.type) for u in units.values()], pa.nulls(1, pa.int64()), pa.array([zstandard.compress(seq.tobytes(), 1)], pa.binary())], names)
 
 
 def _pairs(parts: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
     """(lang, seq, ids (place, id)) rows with each two adjacent named units as one, in the same form; without sequence at the ``last`` level."""
     for part in parts:
         for i in range(part.num_rows):
-            seq = np.frombuffer(part.column(1)[i].as_buffer(), np.int32)
+            seq = np.frombuffer(zstandard.decompress(part.column(1)[i].as_py()), np.int32)
             named = part.column(2)[i].values
             v = int(seq.max(initial=0)) + 1
             ids = np.full(v + 1, -1, np.int64)
@@ -151,14 +152,15 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", mos
     table gives an empty result; other columns are not looked at.
     """
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    batches = durable(rows.mapInArrow(_batches, "batch long, lang string, place int, word string, n long, seq binary"), "phrase-words", 4_000)
+    batches = durable(rows.mapInArrow(_batches, "batch long, lang string, place int, word string, n long, seq binary"), "phrase-words", 8_000)
     words = durable(_counts(batches, ["lang", "word"]), "phrase-counts")
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
     none = F.array().cast("array<bigint>")
     level = _named(words.where(F.col("f") >= least).select("lang", "word", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("firsts"), none.alias("lasts")), "phrase-names")
     levels, keys = [], ["lang", "word"]
     for m in range(2, most_words + 1):
-        batches = _renamed(batches, level, keys, m == most_words)
+        before, batches = batches, _renamed(batches, level, keys, m == most_words)
+        discard(before)
         keys = ["left", "right"]
         level = _named(_joined(_counts(batches, keys).where(F.col("f") >= least), level), "phrase-names")
         levels.append(level)
