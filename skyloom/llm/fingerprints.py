@@ -30,19 +30,17 @@ _NEAR = 9
 BROADCAST_HEADS = 200_000
 
 
-def winnow(text: Column, k: int = K, window: int = WINDOW, skip: Column | int = 0) -> Column:
-    """The text's fingerprint, array<struct<hash: long, place: int>> by place (in bytes from 0).
+def winnow(text: Column, k: int = K, window: int = WINDOW) -> Column:
+    """The fingerprint of a text (or of bytes), array<struct<hash: long, place: int>> by place (in bytes from 0).
 
-    Of the windows, the first ``skip`` are left out, as if the text began so many bytes later.
     A text of fewer than ``k`` bytes is one gram, one of fewer than ``window`` grams one
     window; null and empty texts have no fingerprint (an empty array).
     """
     if window % STRIDE or window < 3 * STRIDE:
         raise ValueError(f"window must be a multiple of {STRIDE}, three times that at least")
-    skip = F.lit(skip) if isinstance(skip, int) else skip
-    body = F.substring(F.coalesce(text, F.lit("")).cast("binary"), skip + 1, F.lit((1 << 31) - 1))
+    body = F.coalesce(text.cast("binary"), F.lit(b""))
 
-    def block(b: Column, first: Column, n: Column, skip: Column) -> Column:
+    def block(b: Column, first: Column, n: Column) -> Column:
         # A gram's turn counts down from _MASK in the low bits, so the least key is the rightmost least hash.
         key = lambda t: F.shiftleft(F.xxhash64(F.substring(b, first - t, F.lit(k))), _PLACE).bitwiseOR(t.cast("long"))
         runs = F.transform(F.sequence(F.lit(_MASK), F.lit(_MASK + 1) - n, F.lit(-STRIDE)), lambda t: F.transform(F.sequence(t, F.greatest(t - (STRIDE - 1), F.lit(_MASK + 1) - n), F.lit(-1)), key))
@@ -64,16 +62,51 @@ def winnow(text: Column, k: int = K, window: int = WINDOW, skip: Column | int =
 
         lows = lambda r: F.transform(r, lambda x: F.array_min(x))
         least = let(runs, lambda r: let(lows(r), lambda low: F.when(n <= window, F.array(F.array_min(low))).otherwise(of_windows(r, low))))
-        return F.transform(least, lambda x: F.struct(F.shiftrightunsigned(x, _PLACE).alias("hash"), (skip + first - 1 - x.bitwiseAND(F.lit(_MASK).cast("long")).cast("int")).alias("place")))
+        return F.transform(least, lambda x: F.struct(F.shiftrightunsigned(x, _PLACE).alias("hash"), (first - 1 - x.bitwiseAND(F.lit(_MASK).cast("long")).cast("int")).alias("place")))
 
-    def whole(b: Column, grams: Column, skip: Column) -> Column:
+    def whole(b: Column, grams: Column) -> Column:
         firsts = F.sequence(F.lit(0), F.greatest(grams - window, F.lit(0)), F.lit(BLOCK))
-        of = lambda first: let(F.least(F.lit(BLOCK + window - 1), grams - first), lambda n: let(first + (_MASK + 1), lambda f: block(b, f, n, skip)))
+        of = lambda first: let(F.least(F.lit(BLOCK + window - 1), grams - first), lambda n: let(first + (_MASK + 1), lambda f: block(b, f, n)))
         blocks = F.flatten(F.transform(firsts, of))
         return F.when(grams - window >= BLOCK, F.array_distinct(blocks)).otherwise(blocks)
 
     none = F.array().cast("array<struct<hash: bigint, place: int>>")
-    return let(body, lambda b: F.when(F.octet_length(b) == 0, none).otherwise(let(F.greatest(F.octet_length(b) - k + 1, F.lit(1)), lambda grams: let(skip, lambda s: whole(b, grams, s)))))
+    return let(body, lambda b: F.when(F.octet_length(b) == 0, none).otherwise(let(F.greatest(F.octet_length(b) - k + 1, F.lit(1)), lambda grams: whole(b, grams))))
+
+
+def of_first_windows(fingerprint: Column, n: Column, window: int = WINDOW) -> Column:
+    """What the first ``n`` windows have chosen, as if the text ended with them.
+
+    A choice begins with the window that the gram comes into, if its hash is not above the
+    choice before it, and else with the window that the latter has left.
+    """
+    high = lambda x: F.shiftleft(x["hash"], _PLACE)
+
+    def begins(x: Column, i: Column) -> Column:
+        before = F.get(fingerprint, i - 1)
+        return F.when(i == 0, 0).when(high(x) <= high(before), x["place"] - (window - 1)).otherwise(before["place"] + 1)
+
+    return F.filter(fingerprint, lambda x, i: begins(x, i) < n)
+
+
+def moved(fingerprint: Column, by: Column) -> Column:
+    """The fingerprint with all places so many bytes further on."""
+    return F.transform(fingerprint, lambda x: F.struct(x["hash"].alias("hash"), (x["place"] + by).alias("place")))
+
+
+def joined(left_bytes: Column, left_print: Column, right_bytes: Column, right_print: Column, text: Column, k: int = K, window: int = WINDOW) -> Column:
+    """The fingerprint of ``text``, of which the first ``left_bytes`` begin one text and all others, ``right_bytes``, another one, whose prints are known.
+
+    Only windows across the joint are looked at anew; those before it and behind it have
+    chosen in their own texts.
+    """
+    reach = k + window - 2
+    own = F.greatest(left_bytes - reach, F.lit(0))
+    other = F.greatest(right_bytes - reach, F.lit(0))
+    end = F.when(other > 0, left_bytes + reach).otherwise(left_bytes + right_bytes)
+    across = F.when((own > 0) & (right_bytes == 0), None).otherwise(F.substring(text.cast("binary"), own + 1, end - own))
+    parts = [of_first_windows(left_print, own, window), moved(winnow(across, k, window), own), moved(of_first_windows(right_print, other, window), left_bytes)]
+    return F.array_distinct(F.concat(*parts))
 
 
 def hashes(fingerprint: Column) -> Column:
@@ -128,22 +161,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     edited is the text with its last third (rounded down, in code points) replaced by as
     many of the first ones of the next document by descending id; prints are fingerprints.
-    The windows of a text that lie before its last third are those of the edited one as
-    well and are looked at once.  Null texts are empty ones, whose likeness to each other
-    is 1 and to others 0.  Repeated rows and ids are documents one by one, rows without id
-    come last; an only document is its own next one.  An empty table gives an empty result;
-    other columns are not looked at.
+    Windows on one side of the joint have chosen in their own texts and are not looked at
+    again.  Null texts are empty ones, whose likeness to each other is 1 and to others 0.
+    Repeated rows and ids are documents one by one, rows without id come last; an only
+    document is its own next one.  An empty table gives an empty result; other columns are
+    not looked at.
     """
     third = F.floor(F.length("text") / 3).cast("int")
-    stays = F.left(F.col("text"), F.length("text") - third)
-    shared = F.greatest(F.octet_length(stays) - (k + window - 2), F.lit(0))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("shared", shared)
-    prints = lambda first: F.struct(F.size(first).alias("n_first"), F.array_distinct(F.concat(first, winnow(F.col("text"), k, window, F.col("shared")))).alias("print"))
-    first = winnow(F.when(F.col("shared") > 0, stays), k, window)
-    rows = with_next(rows.withColumn("p", let(first, prints)).select("id", "text", "shared", "p.*"), ["text", "print"])
-    edited = F.concat(F.left(F.col("text"), F.length("text") - third), F.left(F.col("next_text"), third))
-    rows = rows.withColumn("edited", edited)
-    again = F.array_distinct(F.concat(F.slice("print", F.lit(1), F.col("n_first")), winnow(F.col("edited"), k, window, F.col("shared"))))
+    left, right = F.left(F.col("text"), F.length("text") - third), F.left(F.col("next_text"), third)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = with_next(rows.withColumn("print", winnow(F.col("text"), k, window)), ["text", "print"])
+    rows = rows.withColumns({"edited": F.concat(left, right), "left": F.octet_length(left), "right": F.octet_length(right)})
+    again = joined(F.col("left"), F.col("print"), F.col("right"), F.col("next_print"), F.col("edited"), k, window)
     figures = lambda own, e: F.struct(e.alias("edited_print"), likeness(own, hashes(e)).alias("near_edited"), likeness(own, hashes(F.col("next_print"))).alias("near_next"))
     rows = rows.withColumn("both", let(hashes(F.col("print")), lambda own: let(again, lambda e: figures(own, e))))
     return rows.select(F.col("id").alias("doc_id"), "text", "edited", "print", "both.*")
