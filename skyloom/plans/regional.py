@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyloom.operators import levels, patches
+from skyloom.operators import levels, patches, polygons
 from skyloom.plans.catalog import QUERIES, query, r6  # noqa: F401
 from skyloom.sources.tables import table
 
@@ -60,3 +60,40 @@ def level_comparison(spark, d):
     rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     out = levels.comparison(rows, {"nation": ["n_regionkey", "n_nationkey"], "region": ["n_regionkey"], "all": []}, "o_totalprice", "c_acctbal")
     return out.select("statistic", "level", "n_units", "status", F.round("value", 4).alias("value"), "reason")
+
+
+# --- polygons ------------------------------------------------------------------
+
+BRICKS = "b AS (SELECT p_partkey AS k, p_partkey // 50 AS row, p_partkey % 50 + CASE WHEN p_partkey // 50 % 3 = 0 THEN 0.5 ELSE 0 END AS x FROM part)"
+
+
+def _bricks(spark, d):
+    """Cells as polygons, every third row half a cell aside, so that borders meet at corners of one side only."""
+    k = F.col("p_partkey")
+    at = table(spark, d, "part").select(k.alias("k"), F.floor(k / 50).cast("double").alias("y"), (k % 50 + F.when(F.floor(k / 50) % 3 == 0, 0.5).otherwise(0.0)).alias("x"))
+    corner = lambda a, b: F.struct((F.col("x") + a).alias("x"), (F.col("y") + b).alias("y"))
+    return at.select("k", F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1))).alias("rings"))
+
+
+@query(f"WITH {BRICKS} SELECT a.k AS i, b.k AS j, round(CASE WHEN a.row = b.row THEN 1 ELSE 1 - abs(a.x - b.x) END, 6)::DOUBLE AS length FROM b a JOIN b ON (a.row = b.row AND abs(a.x - b.x) = 1) OR (abs(a.row - b.row) = 1 AND abs(a.x - b.x) < 1)")
+def border_lengths(spark, d):
+    """Pairs of all cells' polygons with a common border, and how long it is."""
+    return polygons.shared_borders(_bricks(spark, d), "k", "rings", 0.001).select("i", "j", r6("length"))
+
+
+@query(f"WITH {BRICKS} SELECT a.k AS i, b.k AS j FROM b a JOIN b ON a.k <> b.k AND abs(a.row - b.row) <= 1 AND abs(a.x - b.x) <= 1")
+def border_meetings(spark, d):
+    """Pairs of all cells' polygons whose borders meet, in a point at least."""
+    return polygons.touching(_bricks(spark, d), "k", "rings", 0.001, 8.0, 2_000)
+
+
+@query("""WITH p AS (SELECT c_custkey, c_acctbal / 100 AS x, (c_custkey % 100)::DOUBLE AS y FROM customer), z AS (SELECT n_nationkey AS zone, n_nationkey * 3 + 0.00303::DOUBLE AS x, n_nationkey % 5 * 15 + 0.5::DOUBLE AS y FROM nation)
+SELECT c_custkey, zone FROM p JOIN z ON (p.x > z.x AND p.x < z.x + 20 AND p.y > z.y AND p.y < z.y + 20 AND NOT (p.x > z.x + 5 AND p.x < z.x + 15 AND p.y > z.y + 5 AND p.y < z.y + 15)) OR (p.x > z.x + 30 AND p.x < z.x + 34 AND p.y > z.y AND p.y < z.y + 4)""")
+def points_in_parts(spark, d):
+    """Customers in nations' areas, which have a hole and a second part, by buckets that split where many are."""
+    k = F.col("n_nationkey")
+    x, y = k * 3 + 0.00303, k % 5 * 15 + 0.5
+    box = lambda a, b, c, e: F.array(*[F.struct((x + p).alias("x"), (y + q).alias("y")) for p, q in ((a, b), (c, b), (c, e), (a, e))])
+    areas = table(spark, d, "nation").select(k.alias("zone"), F.array(box(0.0, 0.0, 20.0, 20.0), box(5.0, 5.0, 15.0, 15.0), box(30.0, 0.0, 34.0, 4.0)).alias("rings"))
+    points = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 100).alias("x"), (F.col("c_custkey") % 100).cast("double").alias("y"))
+    return polygons.points_in_polygons(points, areas, "x", "y", "rings", 20.0, 5_000).select("c_custkey", "zone")
