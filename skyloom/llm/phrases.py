@@ -37,8 +37,6 @@ MOST_WORDS, LEAST, REPORTED = 3, 10, 2_000
 SUBSUMED = 50
 #: Text bytes of a batch; a longer document is a batch of its own.
 BATCH_BYTES = 1 << 24
-#: Frequent units that are broadcast to the batches; more are joined by shuffle.
-BROADCAST_UNITS = 200_000
 #: Units that Python hands over at a time.
 UNIT_ROWS = 1 << 16
 
@@ -121,7 +119,7 @@ def _named(units: DataFrame, name: str) -> DataFrame:
 def _renamed(batches: DataFrame, names: DataFrame, keys: list[str], last: bool) -> DataFrame:
     """The next level's batches: ids joined to their units by ``keys``, adjacent named units made pairs."""
     places, known = batches.where("seq IS NULL").select("batch", "place", *keys), names.select(*keys, "id")
-    ids = places.join(F.broadcast(known) if names.count() <= BROADCAST_UNITS else known, keys)
+    ids = places.join(known.hint("shuffle_hash"), keys)
     ids = ids.groupBy("batch").agg(F.collect_list(F.struct("place", "id")).alias("ids"))
     rows = batches.where("seq IS NOT NULL").select("batch", "lang", "seq").join(ids, "batch").select("lang", "seq", "ids")
     return durable(rows.mapInArrow(partial(_pairs, last=last), "batch long, lang string, place int, left long, right long, n long, seq binary"), "phrase-pairs", 1)

@@ -51,10 +51,9 @@ def test_documents(spark):
     assert sorted(map(tuple, phrases.ranked(phrases.phrases(docs)).collect())) == sorted(plain(rows))
 
 
-@pytest.mark.parametrize(("most_words", "broadcast", "size"), [(3, 200_000, 1 << 23), (5, 0, 300)])
-def test_odd_rows(spark, monkeypatch, most_words, broadcast, size):
-    """Few words in every order, overlaps, null rows and languages, pieces, separators, one long text; small batches joined by shuffle."""
-    monkeypatch.setattr(phrases, "BROADCAST_UNITS", broadcast)
+@pytest.mark.parametrize(("most_words", "size"), [(3, 1 << 23), (5, 300)])
+def test_odd_rows(spark, monkeypatch, most_words, size):
+    """Few words in every order, overlaps, null rows and languages, pieces, separators, one long text; small batches."""
     monkeypatch.setattr(phrases, "BATCH_BYTES", size)
     rng = random.Random(4)
     rows = [(None, "Ab ab"), ("und", "ab AB ab"), (None, None), ("x", ""), ("x", " . \t,"), ("x", "a a a a a a a a a a a a a"), ("", "é b é b\x0bé b"), ("x", None)]
