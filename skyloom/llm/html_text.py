@@ -7,8 +7,8 @@ links (a text node has no tags, so its density is its characters); the node with
 the greatest sum of its children's densities is the main subtree.  The least
 density on its way to the body is the threshold that further subtrees must reach;
 only elements that repeat a path element's tag and classes beside it are asked, as
-parts of one article look alike and teasers do not.  Inside an ``article`` element
-the whole element is taken; a page's only ``article`` is the main subtree.
+parts of one article look alike and teasers do not.  Where the main subtree lies in an
+``article`` element, the whole element is taken.
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ FENCE = frozenset("table ul ol dl div article section main body html select td t
 #: Elements, roles and names that never hold the article.
 CUT = frozenset("script style noscript template head title nav header footer aside form button select input textarea iframe object embed svg canvas dialog menu noembed noframes xmp audio video map".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
-CUT_NAMES = frozenset("ad ads adbox adsense advert adverts advertisement advertising banner promo promotion promotions sponsor sponsored sponsors nav navbar navigation menu menus breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup comment comments commentlist replies respond disqus share sharing social related recommended widget widgets pagination pager login".split())
+CUT_NAMES = frozenset("ad ads adbox adsense advert adverts advertisement advertising banner promo promotion promotions sponsor sponsored sponsors nav navbar navigation menu menus breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup comment comments commentlist replies respond disqus share sharing social related recommended teaser teasers widget widgets pagination pager login".split())
+#: Names of what others wrote or of other articles; what bears one is not the article, though it holds articles.
+OTHERS = frozenset("comment comments commentlist replies respond disqus related recommended teaser teasers".split())
 #: Words that turn a name into a remark on the element's layout, as in no-sidebar, has-comments or header-fixed.
 REMARKS = frozenset("no not non with without has have hide hidden show by is layout page fixed sticky above below after before single left right".split())
 
@@ -43,7 +45,7 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 
 class Node:
-    """An element; its children are nodes and strings in page order.  ``cut`` is 1 if only its name says so, 2 for good."""
+    """An element; its children are nodes and strings in page order.  ``cut`` is 1 if only its name says so, 2 for good, 3 if it is named as what others wrote."""
 
     __slots__ = ("children", "chars", "cut", "density", "kind", "links", "link_chars", "sum", "tag", "tags", "up")
 
@@ -51,15 +53,15 @@ class Node:
         self.tag, self.up, self.cut, self.kind, self.children = tag, up, cut, kind, []
 
 
-def named(value: str) -> bool:
+def named(value: str, names: frozenset[str] = CUT_NAMES) -> bool:
     """Whether one of a class or id attribute's names says that the element is no part of the article.
 
-    A name counts if its parts between hyphens, underscores and capitals hold a cut
-    name and none of them only remarks on the layout.
+    A name counts if its parts between hyphens, underscores and capitals hold one of
+    ``names`` and none of them only remarks on the layout.
     """
     for name in value.split():
         parts = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower().replace("_", "-").split("-")
-        if any(p in CUT_NAMES for p in parts) and not any(p in REMARKS for p in parts):
+        if any(p in names for p in parts) and not any(p in REMARKS for p in parts):
             return True
     return False
 
@@ -71,14 +73,14 @@ def _attributes(tag: str, text: str) -> tuple[int, str]:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "class":
             kind = " ".join(sorted(value.split()))
-        if tag in ("html", "body", "article", "main"):
+        if tag in ("html", "body", "main"):
             continue
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.strip().lower() in CUT_ROLES:
             cut = 2
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             cut = 2
         elif name in ("class", "id") and named(value):
-            cut = cut or 1
+            cut = cut or (3 if named(value, OTHERS) else 1)
     return cut, kind
 
 
@@ -151,13 +153,17 @@ def parse(page: str) -> Node:
 
 
 def _spare(root: Node) -> None:
-    """Lifts cuts that would take the article: by name, of an element that holds an ``article``, ``main`` or ``h1``; by tag, of a header in an ``article``."""
+    """Lifts cuts that would take the article: by name, of an element that holds an ``article``, ``main`` or ``h1``; by tag, of a header in an ``article``.
+
+    An ``article`` that is cut by its own name lifts nothing, and names of comments and
+    of other articles stand, whatever they hold.
+    """
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
         if node.tag == "header" and inside:
             node.cut = 0
-        if node.tag in ("article", "main", "h1"):
+        if node.tag in ("article", "main", "h1") and not node.cut:
             up = node.up
             while up is not None and up.cut == 1:
                 up.cut = 0
@@ -242,11 +248,12 @@ def main_text(page: str | None) -> str:
     root = parse(page or "")
     _spare(root)
     text = _main(root)
-    if not text and any(n.cut == 1 for n in _every(root)):
-        # Names alone left nothing, so they did not mean what they said.
-        for node in _every(root):
-            node.cut = node.cut if node.cut == 2 else 0
-        text = _main(root)
+    for level in (1, 3):
+        if not text and any(n.cut == level for n in _every(root)):
+            # Names alone left nothing, so they did not mean what they said.
+            for node in _every(root):
+                node.cut = 0 if node.cut == level else node.cut
+            text = _main(root)
     return text
 
 
@@ -258,22 +265,10 @@ def _every(root: Node) -> Iterator[Node]:
         stack.extend(c for c in node.children if isinstance(c, Node))
 
 
-def _inside_article(node: Node) -> bool:
-    while node.up is not None:
-        node = node.up
-        if node.tag == "article":
-            return True
-    return False
-
-
 def _main(root: Node) -> str:
     start = next((c for c in root.children if isinstance(c, Node) and c.tag == "body"), root)
     nodes = _order(start)
     _densities(nodes)
-    outer = [n for n in nodes if n.tag == "article" and n.chars and not _inside_article(n)]
-    if len(outer) == 1:
-        _blocks(outer[0], out := [])
-        return "\n\n".join(out)
     # Only blocks are candidates: an inline element is part of a paragraph, a paragraph part of a text.
     best = max((n for n in nodes if n.tag in BLOCK and n.tag not in ("p", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6") or n is start), key=lambda n: (n.sum, n.chars))
     path = [best]
