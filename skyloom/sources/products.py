@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.functions import rules
@@ -42,12 +42,21 @@ def as_features(df: DataFrame, key: str, geometry: Column | None, properties: Se
     return df.select(F.to_json(feature, {"ignoreNullFields": "false"}).alias("value"))
 
 
+#: How CSV products are written and read: nulls and empty strings apart, quotes doubled, line ends inside strings.
+CSV = {"header": True, "nullValue": r"\N", "quote": '"', "escape": '"', "quoteAll": True}
+
+
+def _marked(df: DataFrame, pattern: str, by: str) -> DataFrame:
+    """``df`` with ``pattern`` replaced in its strings: one that reads like the mark of nulls has a backslash more in the file."""
+    return df.select(*[F.regexp_replace(c, pattern, by).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
+
+
 def write_product(df: DataFrame, folder: str, name: str, kind: str, columns: Sequence[str], keys: Sequence[str], geometry: Column | None = None, notes: dict | None = None, complete: bool = False) -> str:
     """Writes the chosen columns under ``folder/name`` and returns the path.
 
     Refused are missing columns, repeated keys, and with ``complete`` nulls in any
     chosen column.  An existing product is not overwritten.  The notes get the format,
-    the columns and the number of rows.
+    the columns and the number of rows, which is counted while they are written.
     """
     kind = resolved_format(kind)
     if missing := missing_columns(df, columns):
@@ -57,13 +66,15 @@ def write_product(df: DataFrame, folder: str, name: str, kind: str, columns: Seq
     if complete:
         guards.complete(chosen, columns)
     path = f"{folder.rstrip('/')}/{name}"
+    seen = Observation()
+    counted = lambda rows: rows.observe(seen, F.count(F.lit(1)).alias("rows"))
     if kind == "geojson":
-        as_features(df, keys[0], geometry, columns).write.mode("errorifexists").text(path)
+        as_features(counted(df), keys[0], geometry, columns).write.mode("errorifexists").text(path)
     elif kind == "csv":
-        chosen.write.mode("errorifexists").option("header", True).option("nullValue", "").csv(path)
+        counted(_marked(chosen, r"^(\\*\\N)$", r"\\$1")).write.mode("errorifexists").options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue='""', **CSV).csv(path)
     else:
-        chosen.write.mode("errorifexists").option("ignoreNullFields", False).format(kind).save(path)
-    told = {"format": kind, "columns": list(columns), "rows": df.count(), **(notes or {})}
+        counted(chosen).write.mode("errorifexists").option("ignoreNullFields", False).format(kind).save(path)
+    told = {"format": kind, "columns": list(columns), "rows": seen.get["rows"], **(notes or {})}
     df.sparkSession.createDataFrame([(json.dumps(told, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}.notes")
     return path
 
@@ -79,7 +90,7 @@ def read_product(spark: SparkSession, path: str, schema: str) -> DataFrame:
     if kind == "geojson":
         return tables.features(spark.read.text(path))
     if kind == "csv":
-        return tables.read(spark, path, "csv", schema, header=True)
+        return _marked(tables.read(spark, path, "csv", schema, multiLine=True, **CSV), r"^\\(\\*\\N)$", "$1")
     return tables.read(spark, path, kind, schema if kind == "json" else None)
 
 

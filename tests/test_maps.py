@@ -234,14 +234,22 @@ def test_products_come_back(spark, tmp_path, kind):
     if kind == "geojson":
         got = {r["id"]: (r["properties"], json.loads(r["geometry"])) for r in back.collect()}
         assert got["a"][0]["v"] == "1.5" and got["a"][0]["note"] is None and got["a"][1]["coordinates"] == [[[0, 0], [1, 0], [0, 1], [0, 0]]] and len(got["b"][1]["coordinates"][0]) == 3
-    elif kind != "csv":
-        assert rows(back, "zone") == [("a", 1.5, None), ("b", None, "x, \"y\"\n")]
     else:
-        assert rows(back.select("zone", "v"), "zone")[0] == ("a", 1.5)
+        assert rows(back, "zone") == [("a", 1.5, None), ("b", None, "x, \"y\"\n")]
     with pytest.raises(Exception, match="(?i)exist"):
         products.write_product(df, str(tmp_path), path.rsplit("/", 1)[1], kind, ["zone"], ["zone"])
 
 
+def test_csv_products_come_back_whole(spark, tmp_path):
+    """Line ends, quotes, separators, blanks at the ends, empty strings, nulls and strings that look like the mark of nulls."""
+    texts = ["plain", "", None, "two\nlines", "a \"quoted\" word", "x, y;z", "  blanks  ", r"\N", r"\\N", "\\", "ends with \\", "\"", "\n", "é 😀"]
+    df = spark.createDataFrame([(i, t, None if i % 3 else float(i)) for i, t in enumerate(texts)], "k long, note string, v double")
+    path = products.write_product(df.repartition(3), str(tmp_path), "notes", "csv", ["k", "note", "v"], ["k"])
+    assert products.read_notes(spark, path)["rows"] == len(texts)
+    back = products.read_product(spark, path, "k long, note string, v double")
+    assert rows(back, "k") == [(i, t, None if i % 3 else float(i)) for i, t in enumerate(texts)]
+
+
 def test_products_are_refused(spark, tmp_path):
     df = spark.createDataFrame([("a", None), ("a", 1.0)], "zone string, v double")
     for match, args, more in (("no \\['w'\\]", (["zone", "w"], ["zone"]), {}), ("not unique", (["zone"], ["zone"]), {})):
