@@ -119,8 +119,9 @@ def _named(units: DataFrame, name: str) -> DataFrame:
 def _renamed(batches: DataFrame, names: DataFrame, keys: list[str], last: bool) -> DataFrame:
     """The next level's batches: ids joined to their units by ``keys``, adjacent named units made pairs."""
     places, known = batches.where("seq IS NULL").select("batch", "place", *keys), names.select(*keys, "id")
-    ids = places.join(known.hint("shuffle_hash"), keys)
-    ids = ids.groupBy("batch").agg(F.collect_list(F.struct("place", "id")).alias("ids"))
+    # Every unit is looked up, so the join's size is that of the batches, however many units the corpus makes frequent.
+    ids = places.join(known.hint("shuffle_hash"), keys, "left")
+    ids = ids.groupBy("batch").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("place", "id"))).alias("ids"))
     rows = batches.where("seq IS NOT NULL").select("batch", "lang", "seq").join(ids, "batch").select("lang", "seq", "ids")
     return durable(rows.mapInArrow(partial(_pairs, last=last), "batch long, lang string, place int, left long, right long, n long, seq binary"), "phrase-pairs", 1)
 
