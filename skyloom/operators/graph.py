@@ -18,9 +18,22 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or "/tmp/skyloom-checkpoints").rstrip("/")
 
 
+_steps: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that :func:`written` has written in this process; call it once results are stored.  Returns their number."""
+    n = len(_steps)
+    while _steps:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_steps.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a table in the shared folder."""
+    """``df`` cut from its lineage by a table in the shared folder, which stays until :func:`release`."""
     path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    _steps.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

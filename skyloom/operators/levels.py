@@ -43,7 +43,7 @@ def _figures() -> dict[str, Column]:
     sd = F.stddev_pop(v)
     return {
         "mean": F.avg(v), "weighted_mean": F.sum(v * F.col("n")) / F.nullif(F.sum(F.when(v.isNotNull(), F.col("n"))).cast("double"), F.lit(0.0)), "sd": sd, "variation": sd / F.nullif(F.abs(F.avg(v)), F.lit(0.0)),
-        "correlation": F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y)), "slope": F.covar_pop(x, y) / F.nullif(F.var_pop(x), F.lit(0.0)),
+        "correlation": F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)), "slope": F.covar_pop(x, y) / F.nullif(F.var_pop(x), F.lit(0.0)),
     }
 
 

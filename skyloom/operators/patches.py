@@ -61,7 +61,7 @@ def by_zone(cells: DataFrame, zone: str, class_: str, classes: list[int], cell_m
     if least_cells > 1:
         big = cells_of.groupBy("patch").count().where(F.col("count") >= least_cells).select("patch")
         left = cells_of.join(big, "patch", "left_semi").select("row", "col", F.lit(True).alias("_left"))
-        rows = graph.written(rows.join(left, ["row", "col"], "left").withColumn("class", F.when("_left", F.col("class"))).drop("_left"))
+        rows = graph.written(rows.join(left, ["row", "col"], "left").withColumn("class", F.when(F.col("_left"), F.col("class"))).drop("_left"))
         beside = graph.written(_beside(rows))
         cells_of = _labelled(rows, beside, corners)
     side = F.col("down") * F.col("right") == 0

@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyloom.operators import levels, patches, polygons
-from skyloom.plans.catalog import QUERIES, query, r6  # noqa: F401
+from skyloom.operators import graph, levels, patches, polygons, regression
+from skyloom.plans.catalog import NORMAL_P, QUERIES, query, r6  # noqa: F401
 from skyloom.sources.tables import table
 
 # --- landscape -----------------------------------------------------------------
@@ -97,3 +97,22 @@ def points_in_parts(spark, d):
     areas = table(spark, d, "nation").select(k.alias("zone"), F.array(box(0.0, 0.0, 20.0, 20.0), box(5.0, 5.0, 15.0, 15.0), box(30.0, 0.0, 34.0, 4.0)).alias("rings"))
     points = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 100).alias("x"), (F.col("c_custkey") % 100).cast("double").alias("y"))
     return polygons.points_in_polygons(points, areas, "x", "y", "rings", 20.0, 5_000).select("c_custkey", "zone")
+
+
+# --- spatial regression -----------------------------------------------------------
+
+@query(f"""WITH e AS (SELECT a.n_nationkey AS i, b.n_nationkey AS j FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey),
+v AS (SELECT c_nationkey AS i, avg(c_acctbal) AS x, avg(o_totalprice) AS y FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+b AS (SELECT count(*)::DOUBLE AS n, covar_pop(x, y) / var_pop(x) AS b1, avg(y) - covar_pop(x, y) / var_pop(x) * avg(x) AS b0, avg(x) AS mx, var_pop(x) * count(*) AS sxx, var_pop(y) * count(*) AS yy FROM v),
+f AS (SELECT i, x, y, b0 + b1 * x AS f, y - b0 - b1 * x AS r FROM v, b), l AS (SELECT e.i, avg(f.r) AS wr, avg(f.y) AS wy, avg(f.f) AS wf, count(*)::DOUBLE AS k FROM e JOIN f ON f.i = e.j WHERE e.i IN (SELECT i FROM v) GROUP BY e.i),
+t AS (SELECT sum(1 / (a.k * a.k) + 1 / (a.k * c.k)) AS t FROM e JOIN l a ON a.i = e.i JOIN l c ON c.i = e.j),
+s AS (SELECT sum(r * r) AS ee, sum(r * coalesce(wr, 0)) AS ewe, sum(r * coalesce(wy, 0)) AS ewy, sum(coalesce(wf, 0) * coalesce(wf, 0)) AS ff, sum(coalesce(wf, 0)) AS f0, sum((x - mx) * coalesce(wf, 0)) AS f1, count(k) AS s0 FROM f LEFT JOIN l ON l.i = f.i, b),
+q AS (SELECT n, b0, b1, 1 - ee / yy AS r2, ee / n AS s2, ewe / ee * n / s0 AS moran, t, (ff - f0 * f0 / n - f1 * f1 / sxx) / (ee / n) AS d, ewy / (ee / n) AS a, ewe / (ee / n) AS c FROM s, b, t),
+z AS (SELECT *, a * a / (d + t) AS lm_lag, c * c / t AS lm_error, (a - c) * (a - c) / d AS lm_robust_lag, (c - t / (d + t) * a) * (c - t / (d + t) * a) / (t * d / (d + t)) AS lm_robust_error FROM q)
+SELECT n::BIGINT AS n, round(b0, 3) AS b0, round(b1, 6) AS b1, round(r2, 6) AS r2, round(moran, 6) AS residual_moran, round(lm_lag, 6) AS lm_lag, round(lm_error, 6) AS lm_error, round(lm_robust_lag, 5) AS lm_robust_lag, round(lm_robust_error, 5) AS lm_robust_error, round({NORMAL_P.format(z='sqrt(lm_lag)')}, 6) AS p_lag, round({NORMAL_P.format(z='sqrt(lm_error)')}, 6) AS p_error FROM z""")
+def spatial_dependence(spark, d):
+    """Least squares of nations' mean prices on balances, with Lagrange-multiplier tests under weights within regions."""
+    v = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("i")).agg(F.avg("c_acctbal").alias("x"), F.avg("o_totalprice").alias("y"))
+    out = regression.spatial_tests(v, graph.contiguity(table(spark, d, "nation"), "n_nationkey", "n_regionkey"), "i", "y", ["x"])
+    beta = [F.round(F.get("coefficients", F.lit(k)), n).alias(f"b{k}") for k, n in ((0, 3), (1, 6))]
+    return out.select("n", *beta, r6("r2"), r6("residual_moran"), r6("lm_lag"), r6("lm_error"), F.round("lm_robust_lag", 5).alias("lm_robust_lag"), F.round("lm_robust_error", 5).alias("lm_robust_error"), r6("p_lag"), r6("p_error"))

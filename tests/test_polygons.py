@@ -8,7 +8,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from skyloom.operators import buckets, polygons, spatial
+from skyloom.operators import buckets, graph, polygons, spatial
 
 RINGS = "rings array<array<struct<x: double, y: double>>>"
 
@@ -99,3 +99,11 @@ def test_borders(spark, stretch):
     for most in (100_000, 4):
         assert {tuple(r) for r in polygons.touching(df, "k", "rings", 0.01, 3.0, most).collect()} == queen
     assert (100, 104) in queen and (100, 104) not in length and (100, 101) in length and (100, 103) in queen - set(length)
+
+
+def test_steps_are_released(spark):
+    from pathlib import Path
+
+    graph.written(spark.range(3))
+    folder = Path(graph.shared_folder(spark))
+    assert list(folder.glob("step-*")) and graph.release(spark) > 0 and not list(folder.glob("step-*"))
