@@ -5,11 +5,14 @@ Cells are parts on a grid of fifty columns, zones nations or blocks of cells.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skyloom.operators import graph, levels, patches, polygons, regression
 from skyloom.plans.catalog import NORMAL_P, QUERIES, query, r6  # noqa: F401
 from skyloom.sources.tables import table
+from skyloom.streaming import merges
 
 # --- landscape -----------------------------------------------------------------
 
@@ -116,3 +119,16 @@ def spatial_dependence(spark, d):
     out = regression.spatial_tests(v, graph.contiguity(table(spark, d, "nation"), "n_nationkey", "n_regionkey"), "i", "y", ["x"])
     beta = [F.round(F.get("coefficients", F.lit(k)), n).alias(f"b{k}") for k, n in ((0, 3), (1, 6))]
     return out.select("n", *beta, r6("r2"), r6("residual_moran"), r6("lm_lag"), r6("lm_error"), F.round("lm_robust_lag", 5).alias("lm_robust_lag"), F.round("lm_robust_error", 5).alias("lm_robust_error"), r6("p_lag"), r6("p_error"))
+
+
+# --- growing series ------------------------------------------------------------------
+
+@query("SELECT o_orderpriority AS sensor, year(o_orderdate)::INTEGER AS year, count(o_totalprice)::BIGINT AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 3) AS sd FROM orders GROUP BY ALL")
+def incremental_means(spark, d):
+    """Yearly means by sensor from a stream over the table's files, a file at a time, merged from stored sums."""
+    orders = table(spark, d, "orders")
+    stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/orders.parquet*")
+    rows = stream.select(F.col("o_orderpriority").alias("sensor"), F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("price"))
+    folder = f"{graph.shared_folder(spark)}/series-{uuid.uuid4().hex}"
+    merges.run(rows, folder, ["sensor", "year"], "price")
+    return merges.merged(spark, folder, ["sensor", "year"]).select("sensor", "year", "n", F.round("mean", 4).alias("mean"), F.round("sd", 3).alias("sd"))
