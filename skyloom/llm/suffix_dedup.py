@@ -39,7 +39,10 @@ LENGTH, GRAM = 50, 20
 GRAMS = LENGTH - GRAM + 1
 WIDTH = LENGTH + GRAMS - 1
 #: Text bytes for each bucket of documents and for each shard of segments, and segments dealt at once.
-BUCKET_BYTES, SHARD_BYTES, FLUSH = 8 << 20, 1 << 20, 1 << 17
+BUCKET_BYTES, SHARD_BYTES, FLUSH = 8 << 20, 1 << 20, 1 << 19
+#: Shards that travel as one group; text bytes packed at once and for each part of the anchors.  A piece is what one
+#: sender has for one receiver, so pieces grow with the square of the input, and these keep them few and large.
+GROUP, PACK_BYTES, ANCHOR_BYTES = 16, 32 << 20, 32 << 20
 #: Segments of an anchor from which on it is dealt over several shards, at least; and the share of all text bytes
 #: (a power of two) that this count grows with, which bounds the number of such anchors.
 WIDE, WIDE_SHIFT = 4096, 20
@@ -240,28 +243,53 @@ def _several(shards: int, wide: int):
 def _packed(buckets: int):
     """Whole documents by bucket, packed: ids, whether they are null, keys, sizes and texts."""
 
+    def dealt(held: list) -> pa.RecordBatch:
+        ids, null, keys, offsets, data = _joined(held)
+        held.clear()
+        bucket, size, rows = keys % np.uint64(buckets), np.diff(offsets), []
+        order = np.argsort(bucket, kind="stable")
+        for b, x, y in _cuts(bucket[order]):
+            own = order[x:y]
+            rows.append((b, 0, freeze(ids[own], null[own], keys[own], size[own], np.concatenate([data[offsets[i] : offsets[i + 1]] for i in own]))))
+        return _sent(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        waiting = 0
         for batch in batches:
-            for first, last, data, offsets in binary_chunks(batch.column(1), BUCKET_BYTES):
+            for first, last, data, offsets in binary_chunks(batch.column(1), PACK_BYTES):
                 column = batch.column(0).slice(first, last - first)
                 ids = _ids(column)
-                keys = _keys(ids, data, offsets)
-                bucket = keys % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                null, size, rows = column.is_null().to_numpy(zero_copy_only=False), np.diff(offsets), []
-                for b, x, y in _cuts(bucket[order]):
-                    own = order[x:y]
-                    rows.append((b, 0, freeze(ids[own], null[own], keys[own], size[own], np.concatenate([data[offsets[i] : offsets[i + 1]] for i in own]))))
-                yield _sent(rows)
+                held.append((ids, column.is_null().to_numpy(zero_copy_only=False), _keys(ids, data, offsets), np.diff(offsets), data))
+                waiting += len(data)
+                if waiting >= PACK_BYTES:
+                    yield dealt(held)
+                    waiting = 0
+        if held:
+            yield dealt(held)
 
     return run
 
 
+def _joined(held: list) -> tuple[np.ndarray, ...]:
+    """(ids, null, keys, offsets, bytes) of several packed values as one."""
+    ids, null, keys, size, data = (np.concatenate(x) for x in zip(*held, strict=True)) if len(held) > 1 else held[0]
+    return ids, null, keys, np.concatenate([[0], np.cumsum(size)]), data
+
+
 def _documents(table: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
-    """(ids, null, keys, offsets, bytes) of each packed value."""
-    for value in table.column("value").to_pylist():
-        ids, null, keys, size, data = thaw(value, np.int64, np.bool_, np.uint64, np.int64, np.uint8)
-        yield ids, null, keys, np.concatenate([[0], np.cumsum(size)]), data
+    """(ids, null, keys, offsets, bytes) of the packed values, joined to about two buckets' bytes."""
+    held: list = []
+    waiting = 0
+    for value in table.column("value"):
+        held.append(thaw(value.as_py(), np.int64, np.bool_, np.uint64, np.int64, np.uint8))
+        waiting += len(held[-1][4])
+        if waiting >= 2 * BUCKET_BYTES:
+            yield _joined(held)
+            held.clear()
+            waiting = 0
+    if held:
+        yield _joined(held)
 
 
 def _rows_of(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -299,16 +327,17 @@ def _full(n: np.ndarray) -> np.ndarray:
     return ((np.int64(1) << n.astype(np.int64)) - 1).astype(np.uint32)
 
 
-_TEXTS = (np.uint8, np.uint8, np.bool_, np.int64, np.uint32, np.uint64, np.uint32, np.uint8)
+_TEXTS = (np.uint8, np.uint8, np.uint8, np.bool_, np.int64, np.uint32, np.uint64, np.uint32, np.uint8)
 _MARKS = (np.uint64, np.uint32, np.uint32)
 
 
-def _cut(shards: int, anchor_shards: int, hot_tags: np.ndarray, hot_counts: np.ndarray, wide: int):
-    """Texts of the wanted segments by shard (kind 0), and marks that are settled already (kind 1).
+def _cut(groups: int, per: int, anchor_shards: int, hot_tags: np.ndarray, hot_counts: np.ndarray, wide: int):
+    """Texts of the wanted segments by group of shards (kind 0), and marks that are settled already (kind 1).
 
-    A text has its size, its anchor's place, whether the anchor is hot, its id, and
-    the (key, place) of its members, all of that id.
+    A text has its shard in the group, its size, its anchor's place, whether the anchor is
+    hot, its id, and the (key, place) of its members, all of that id.
     """
+    shards = groups * per
 
     def flush(held: list, rows: list) -> None:
         mat, n, off, tag, doc, key, low = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -318,8 +347,8 @@ def _cut(shards: int, anchor_shards: int, hot_tags: np.ndarray, hot_counts: np.n
         done = doc[order] > least[cls]
         gone = order[done]
         if len(gone):
-            by = gone[np.argsort(key[gone] % np.uint64(shards), kind="stable")]
-            for s, a, b in _cuts(key[by] % np.uint64(shards)):
+            by = gone[np.argsort(key[gone] % np.uint64(groups), kind="stable")]
+            for s, a, b in _cuts(key[by] % np.uint64(groups)):
                 rows.append((s, 1, freeze(key[by[a:b]], low[by[a:b]].astype(np.uint32), _full(n[by[a:b]]))))
         order, cls = order[~done], cls[~done]
         first = np.flatnonzero(_runs(cls))
@@ -333,12 +362,12 @@ def _cut(shards: int, anchor_shards: int, hot_tags: np.ndarray, hot_counts: np.n
         salt = np.where(hot, key[rep] % parts.astype(np.uint64), np.uint64(0)).astype(np.uint64)
         shard = mix(t + mix(salt)) % np.uint64(shards)
         by = np.argsort(shard, kind="stable")
-        for s, a, b in _cuts(shard[by]):
+        for s, a, b in _cuts(shard[by] // np.uint64(per)):
             own = by[a:b]
             member = order[np.repeat(first[own], count[own]) + np.arange(count[own].sum()) - np.repeat(np.cumsum(count[own]) - count[own], count[own])]
             r = rep[own]
             text = mat[r].view(np.uint8).reshape(len(r), WIDTH)[np.arange(WIDTH)[None, :] < size[r][:, None]]
-            rows.append((s, 0, freeze(size[r].astype(np.uint8), off[r].astype(np.uint8), hot[own], doc[r], count[own].astype(np.uint32), key[member], low[member].astype(np.uint32), text)))
+            rows.append((s, 0, freeze((shard[own] % np.uint64(per)).astype(np.uint8), size[r].astype(np.uint8), off[r].astype(np.uint8), hot[own], doc[r], count[own].astype(np.uint32), key[member], low[member].astype(np.uint32), text)))
 
     def run(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         (tags,) = thawed(right.column("value"), np.uint64)
@@ -490,72 +519,97 @@ def _array(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, doc: np.ndar
 _LISTS = (np.uint8, np.int64, np.uint32, np.uint64, np.uint32, np.uint8)
 
 
-def _compare(buckets: int, shards: int):
-    """Marks by bucket (kind 0) and the open strings of hot anchors by string (kind 1), of one shard."""
+def _chosen(pick: np.ndarray, size: np.ndarray, off: np.ndarray, hot: np.ndarray, doc: np.ndarray, count: np.ndarray, key: np.ndarray, low: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The texts at ``pick`` with their members and bytes."""
+
+    def of(lengths: np.ndarray) -> np.ndarray:
+        n = lengths[pick].astype(np.int64)
+        return np.repeat((np.cumsum(lengths, dtype=np.int64) - lengths)[pick] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+    member = of(count)
+    return size[pick], off[pick], hot[pick], doc[pick], count[pick], key[member], low[member], text[of(size)]
+
+
+def _compare(buckets: int, groups: int):
+    """Marks by bucket (kind 0) and the open strings of hot anchors by string (kind 1), of the shards of one group."""
+
+    def compared(size, off, hot, doc, count, key, low, text, marks: list, opened: list) -> None:
+        sizes = size.astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        order, cls, least = collapsed(_rows_of(text, starts, sizes), sizes, off, doc)
+        text_of = np.repeat(np.arange(len(size)), count)
+        behind = np.zeros(len(size), bool)
+        behind[order] = doc[order] > least[cls]
+        m = behind[text_of]
+        marks.append([key[m], low[m], _full(sizes[text_of[m]] - LENGTH + 1)])
+        key, low, text_of = key[~m], low[~m], text_of[~m]
+        # One text stands for its class; the class's members are those of its least id.
+        of_text = np.empty(len(size), np.int64)
+        of_text[order] = cls
+        rep = order[_runs(cls)]
+        sizes, starts, hot, doc = sizes[rep], starts[rep], hot[rep], least
+        member = np.argsort(of_text[text_of], kind="stable")
+        key, low = key[member], low[member]
+        members = np.bincount(of_text[text_of], minlength=len(rep))
+        first = np.cumsum(members) - members
+        parts, begin = [], 0
+        ends = np.cumsum(sizes)
+        while begin < len(sizes):
+            stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + (1 << ARRAY_BITS), "right")))
+            own = np.arange(begin, stop)
+            data = text[np.repeat(starts[own] - (np.cumsum(sizes[own]) - sizes[own]), sizes[own]) + np.arange(sizes[own].sum())]
+            at = np.cumsum(sizes[own]) - sizes[own]
+            owner, inside, turn, least = _array(data, at, sizes[own], doc[own])
+            parts.append((own[owner], inside, turn, least, data, at[owner] + inside))
+            begin = stop
+        if len(parts) > 1:
+            heads = [_strings(d, p[_runs(r)]) for _, _, r, _, d, p in parts]
+            every, best = merge([(h, p[3]) for h, p in zip(heads, parts, strict=True)])
+            parts = [(*p[:3], best[np.searchsorted(every, h)], *p[4:]) for h, p in zip(heads, parts, strict=True)]
+        mask = np.zeros(len(sizes), np.int64)
+        for owner, inside, turn, least, data, place in parts:
+            again = doc[owner] > least[turn]
+            np.bitwise_or.at(mask, owner[again], np.int64(1) << inside[again])
+            left = np.flatnonzero(~again & hot[owner])
+            if len(left):
+                o = owner[left]
+                c = members[o]
+                which = np.repeat(first[o], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                opened.append((_strings(data, place[left]), doc[o], c.astype(np.uint32), inside[left].astype(np.uint8), key[which], low[which]))
+        hit = np.repeat(mask, members)
+        marks.append([key[hit != 0], low[hit != 0], hit[hit != 0].astype(np.uint32)])
 
     def run(_: tuple, group: pa.Table) -> pa.Table:
         kind, values = group.column("kind").to_pylist(), group.column("value")
         of = lambda k: values.filter(pa.array([x == k for x in kind]))
-        marks = [thawed(of(1), *_MARKS)]
-        size, off, hot, doc, count, key, low, text = thawed(of(0), *_TEXTS)
-        rows: list = []
-        if len(size):
-            sizes = size.astype(np.int64)
-            starts = np.cumsum(sizes) - sizes
-            order, cls, least = collapsed(_rows_of(text, starts, sizes), sizes, off, doc)
-            text_of = np.repeat(np.arange(len(size)), count)
-            behind = np.zeros(len(size), bool)
-            behind[order] = doc[order] > least[cls]
-            m = behind[text_of]
-            marks.append([key[m], low[m], _full(sizes[text_of[m]] - LENGTH + 1)])
-            key, low, text_of = key[~m], low[~m], text_of[~m]
-            # One text stands for its class; the class's members are those of its least id.
-            of_text = np.empty(len(size), np.int64)
-            of_text[order] = cls
-            rep = order[_runs(cls)]
-            sizes, starts, hot, doc = sizes[rep], starts[rep], hot[rep], least
-            member = np.argsort(of_text[text_of], kind="stable")
-            key, low = key[member], low[member]
-            members = np.bincount(of_text[text_of], minlength=len(rep))
-            first = np.cumsum(members) - members
-            parts, begin = [], 0
-            ends = np.cumsum(sizes)
-            while begin < len(sizes):
-                stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + (1 << ARRAY_BITS), "right")))
-                own = np.arange(begin, stop)
-                data = text[np.repeat(starts[own] - (np.cumsum(sizes[own]) - sizes[own]), sizes[own]) + np.arange(sizes[own].sum())]
-                at = np.cumsum(sizes[own]) - sizes[own]
-                owner, inside, turn, least = _array(data, at, sizes[own], doc[own])
-                parts.append((own[owner], inside, turn, least, data, at[owner] + inside))
-                begin = stop
-            if len(parts) > 1:
-                heads = [_strings(d, p[_runs(r)]) for _, _, r, _, d, p in parts]
-                every, best = merge([(h, p[3]) for h, p in zip(heads, parts, strict=True)])
-                parts = [(*p[:3], best[np.searchsorted(every, h)], *p[4:]) for h, p in zip(heads, parts, strict=True)]
-            mask = np.zeros(len(sizes), np.int64)
-            for owner, inside, turn, least, data, place in parts:
-                again = doc[owner] > least[turn]
-                np.bitwise_or.at(mask, owner[again], np.int64(1) << inside[again])
-                left = np.flatnonzero(~again & hot[owner])
-                if len(left):
-                    strings = _strings(data, place[left])
-                    raw = strings.view(np.uint8).reshape(len(left), LENGTH)
-                    to = mix(_rows_of(raw.ravel(), np.arange(len(left)) * LENGTH, np.full(len(left), LENGTH)) @ _ODD) % np.uint64(shards)
-                    by = np.argsort(to, kind="stable")
-                    for s, a, b in _cuts(to[by]):
-                        own = by[a:b]
-                        o = owner[left[own]]
-                        c = members[o]
-                        which = np.repeat(first[o], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                        rows.append((s, 1, freeze(raw[own], doc[o], c.astype(np.uint32), key[which], low[which], inside[left[own]].astype(np.uint8))))
-            hit = np.repeat(mask, members)
-            marks.append([key[hit != 0], low[hit != 0], hit[hit != 0].astype(np.uint32)])
-        rows += _mark_rows(marks, buckets)
-        return pa.Table.from_batches([_sent(rows)])
+        marks, opened = [thawed(of(1), *_MARKS)], []
+        shard, *texts = thawed(of(0), *_TEXTS)
+        by = np.argsort(shard, kind="stable")
+        for _shard, a, b in _cuts(shard[by]) if len(shard) else ():
+            compared(*_chosen(by[a:b], *texts), marks, opened)
+        return pa.Table.from_batches([_sent(_open_rows(opened, groups) + _mark_rows(marks, buckets))])
 
     return run
 
 
+def _open_rows(opened: list, groups: int) -> list[tuple[int, int, bytes]]:
+    """Strings whose anchor is hot, by string; those of one value are in sorted order."""
+    if not opened:
+        return []
+    strings, doc, count, inside, key, low = (np.concatenate(x) for x in zip(*opened, strict=True))
+    raw = strings.view(np.uint8).reshape(len(strings), LENGTH)
+    to = mix(_rows_of(raw.ravel(), np.arange(len(strings)) * LENGTH, np.full(len(strings), LENGTH)) @ _ODD) % np.uint64(groups)
+    first = np.cumsum(count, dtype=np.int64) - count
+    by = np.lexsort((strings, to))
+    rows = []
+    for s, a, b in _cuts(to[by]):
+        own = by[a:b]
+        c = count[own].astype(np.int64)
+        which = np.repeat(first[own], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        rows.append((s, 1, freeze(raw[own], doc[own], count[own], key[which], low[which], inside[own])))
+    return rows
+
+
 def _mark_rows(marks: list, buckets: int) -> list[tuple[int, int, bytes]]:
     key, low, mask = (np.concatenate(x) for x in zip(*marks, strict=True))
     by = np.lexsort((low, key, key % np.uint64(buckets)))
@@ -626,17 +680,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, shards = max(least, -(-total // BUCKET_BYTES)), max(least, -(-total // SHARD_BYTES))
+    buckets, groups, parts = (max(least, -(-total // size)) for size in (BUCKET_BYTES, GROUP * SHARD_BYTES, ANCHOR_BYTES))
+    per = -(-max(least, -(-total // SHARD_BYTES)) // groups)
     wide = wide or max(WIDE, total >> WIDE_SHIFT)
-    tags = docs.mapInArrow(_anchors(buckets, buckets), _SENT).groupBy("target").applyInArrow(_several(buckets, wide), _SENT)
+    tags = docs.mapInArrow(_anchors(parts, buckets), _SENT).groupBy("target").applyInArrow(_several(parts, wide), _SENT)
     tags = durable(tags, "anchors")
     # At most 2^WIDE_SHIFT * 2 / 15 anchors can have so many segments; a segment has 15 bytes of its own on average.
     hot = [thaw(r[0], np.uint64, np.int64) for r in tags.where("kind = 1").select("value").collect()]
     hot_tags, hot_counts = (np.concatenate([h[k] for h in hot] or [np.empty(0, t)]) for k, t in enumerate((np.uint64, np.int64)))
     by = np.argsort(hot_tags)
     texts = docs.mapInArrow(_packed(buckets), _SENT)
-    cut = texts.groupBy("target").cogroup(tags.where("kind = 0").groupBy("target")).applyInArrow(_cut(shards, buckets, hot_tags[by], hot_counts[by], wide), _SENT)
-    found = durable(cut.groupBy("target").applyInArrow(_compare(buckets, shards), _SENT), "marks")
+    cut = texts.groupBy("target").cogroup(tags.where("kind = 0").groupBy("target")).applyInArrow(_cut(groups, per, parts, hot_tags[by], hot_counts[by], wide), _SENT)
+    found = durable(cut.groupBy("target").applyInArrow(_compare(buckets, groups), _SENT), "marks")
     marks = found.where("kind = 0")
     if len(hot_tags):
         marks = marks.union(found.where("kind = 1").groupBy("target").applyInArrow(_between(buckets), _SENT))

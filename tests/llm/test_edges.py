@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,3 +287,21 @@ def test_mixing_takes_rows_of_one_id_one_by_one(spark):
     plan = mixing.mix(docs).collect()
     want = sum(-(-r["taken"] // r["size"]) for r in plan if r["taken"])
     assert mixing.stream(docs).count() == want and sorted(map(str, mixing.stream(docs).collect())) == sorted(map(str, mixing.stream(docs.repartition(3)).collect()))
+
+
+def test_suffix_dedup_pieces_are_few():
+    """What many senders have for one bucket is taken together, and a bucket sends one piece to a group of shards, not one to a shard."""
+    texts = [f"{i} the same passage of more than fifty bytes stands in all of these documents {i}".encode() for i in range(40)]
+    pieces = []
+    for i, t in enumerate(texts):
+        data = np.frombuffer(t, np.uint8)
+        ids = np.array([i], np.int64)
+        pieces.append((0, 0, suffix_dedup.freeze(ids, np.zeros(1, bool), suffix_dedup._keys(ids, data, np.array([0, len(t)])), np.array([len(t)], np.int64), data)))
+    left = pa.Table.from_batches([suffix_dedup._sent(pieces)])
+    assert len(list(suffix_dedup._documents(left))) == 1
+    (ids, _, _, offsets, data) = next(suffix_dedup._documents(left))
+    assert ids.tolist() == list(range(40)) and [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == texts
+    code = suffix_dedup.segments(data, offsets)[3]
+    right = pa.Table.from_batches([suffix_dedup._sent([(0, 0, suffix_dedup.freeze(suffix_dedup._tag(np.unique(code), 1)))])])
+    cut = suffix_dedup._cut(2, 16, 1, np.empty(0, np.uint64), np.empty(0, np.int64), 4096)(None, left, right)
+    assert 0 < cut.num_rows <= 4 and set(cut.column("target").to_pylist()) <= {0, 1}
