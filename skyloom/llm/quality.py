@@ -1,9 +1,8 @@
 """Quality rules in DataFrame operations only: hashed n-gram likelihood ratios on top of base counts.
 
 Words and word pairs are hashed into ``BUCKETS`` buckets.  The raw multinomial
-counts every document of the corpus.  The trusted multinomial counts a bounded,
-documented sample of trusted documents (``TRUSTED_ROWS``, those of least hash)
-and is smoothed towards the raw one, so a bucket without evidence weighs
+counts every document of the corpus.  The trusted multinomial counts every trusted
+document and is smoothed towards the raw one, so a bucket without evidence weighs
 nothing.  Documents are dealt into ``FOLDS`` by their ids, and each is scored by
 the trusted documents of the other folds, so none is judged by a model that
 counted it.  A document's score is the mean log ratio of its n-grams.  The
@@ -16,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, durable
+from .common import SPACE, durable, numbered
 
 BUCKETS = 1 << 14
-#: Trusted documents that fit the target model; the raw counts have no bound.
-TRUSTED_ROWS = 20_000
+#: Trusted ids that are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 200_000
 #: Pseudo-count of the raw distribution in the trusted one.
 PRIOR = 16_384.0
 #: Mean log ratio (nats per n-gram) below which a document is rejected.
@@ -99,9 +98,25 @@ def fold(key: Column) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("fold")), F.lit(FOLDS)).cast("int")
 
 
-def sample(trusted: DataFrame, id_col: str) -> DataFrame:
-    """The trusted ids (_id) that fit the model, with a mark (_t)."""
-    return trusted.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct().orderBy(F.xxhash64("_id"), "_id").limit(TRUSTED_ROWS).withColumn("_t", F.lit(1))
+def marks(trusted: DataFrame, id_col: str) -> DataFrame:
+    """The trusted ids (_id), all of them and each once, with a mark (_t); broadcast up to ``BROADCAST_IDS``."""
+    ids = durable(trusted.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct(), "trusted").withColumn("_t", F.lit(1))
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+
+
+def quantile(scores: DataFrame, share: float) -> float | None:
+    """The ``share`` quantile, between neighbouring ranks, of a column of doubles; None if there are none.
+
+    Rows are numbered over range partitions, so no task holds them all.
+    """
+    placed = numbered(scores.toDF("s"), [F.col("s")], "k")
+    n = placed.count()
+    if not n:
+        return None
+    at = (n - 1) * share
+    k = int(at)
+    ends = [r["s"] for r in placed.where(F.col("k").isin(k + 1, k + 2)).orderBy("k").collect()]
+    return ends[0] if len(ends) == 1 or at == k else ends[0] * (k + 1 - at) + ends[1] * (at - k)
 
 
 def weights(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -109,8 +124,8 @@ def weights(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> D
 
     The ``BUCKETS`` counts meet in one row; nothing of them reaches the driver or a plan.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.transform(words_of(F.col(text_col)), lambda w: F.xxhash64(w)).alias("_h"))
-    rows = rows.join(F.broadcast(chosen), "_id", "left").select(F.when(F.col("_t") == 1, fold(F.col("_id"))).alias("_f"), "_h")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id", "left")
+    rows = rows.select(F.when(F.col("_t") == 1, fold(F.col("_id"))).alias("_f"), F.transform(words_of(F.col("_text")), lambda w: F.xxhash64(w)).alias("_h"))
     own = [f"own{f}" for f in range(FOLDS)]
     counts = rows.select("_f", F.explode(let(F.col("_h"), n_grams)).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), *[F.count_if(F.col("_f") == f).alias(own[f]) for f in range(FOLDS)])
     spine = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
@@ -138,7 +153,7 @@ def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     fails the base; repeated rows each get their own equal result; an empty table
     gives an empty result.  Columns of ``docs`` with the names of results are replaced.
     """
-    chosen = sample(trusted, id_col)
+    chosen = marks(trusted, id_col)
     f, w, q = (unused(name, docs.columns) for name in ("_f", "_w", "_q"))
     table = F.broadcast(weights(docs, chosen, id_col, text_col).toDF(f, w))
     total = lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(F.col(w), b))
@@ -146,9 +161,10 @@ def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     figures = let(F.transform(words_of(F.col(text_col)), lambda w: F.xxhash64(w)), lambda h: F.struct(F.size(h).cast("long").alias("n_words"), repeated_words(h).cast("long").alias("n_repeat_words"), let(n_grams(h), score).alias("score")))
     failed = (F.col(f"{q}.n_words") < MIN_WORDS) | (100 * F.col(f"{q}.n_repeat_words") > MOST_REPEATED_PERCENT * F.col(f"{q}.n_words"))
     weighed = lambda rows: rows.withColumn(f, fold(F.col(id_col))).join(table, f).withColumn(q, figures).drop(f, w)
-    own = weighed(docs.select(id_col, text_col).join(F.broadcast(chosen.select(F.col("_id").alias(id_col))), id_col, "left_semi")).select(q)
-    # no filter on ``failed``: it would be moved below the join and score every document
-    least = own.agg(F.percentile(F.when(~failed, F.col(f"{q}.score")), F.lit(REJECTED_TRUSTED))).first()[0]
+    of_trusted = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id", "left_semi").toDF(id_col, text_col)
+    # written before the rows that fail go: a filter on ``failed`` would be moved below the join and score every document
+    own = durable(weighed(of_trusted).select(q).select(F.when(~failed, F.col(f"{q}.score")).alias("s")), "trusted-scores")
+    least = quantile(own.where("s IS NOT NULL"), REJECTED_TRUSTED)
     threshold = THRESHOLD if least is None else min(THRESHOLD, least)
 
     body = F.coalesce(F.col(text_col), F.lit(""))

@@ -305,3 +305,27 @@ def test_suffix_dedup_pieces_are_few():
     right = pa.Table.from_batches([suffix_dedup._sent([(0, 0, suffix_dedup.freeze(suffix_dedup._tag(np.unique(code), 1)))])])
     cut = suffix_dedup._cut(2, 16, 1, np.empty(0, np.uint64), np.empty(0, np.int64), 4096)(None, left, right)
     assert 0 < cut.num_rows <= 4 and set(cut.column("target").to_pylist()) <= {0, 1}
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_quality_counts_every_trusted_document(spark, monkeypatch, broadcast):
+    """More than 20,000 trusted documents all fit the model, with their ids broadcast or joined by shuffle."""
+    monkeypatch.setattr(quality, "BROADCAST_IDS", broadcast)
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 7).alias("text"))
+    trusted = docs.where("doc_id % 7 <> 3 OR doc_id < 700").select("doc_id")
+    rows = docs.select("doc_id", quality.fold(F.col("doc_id")).alias("f")).collect()
+    inside = [r for r in rows if r["doc_id"] % 7 != 3 or r["doc_id"] < 700]
+    assert len(inside) > 20_000
+    got = {r["doc_id"]: r["score"] for r in quality.quality(docs, trusted).collect()}
+    for d, f in rows[:50]:
+        own = [r["doc_id"] % 7 == d % 7 for r in inside if r["f"] != f]
+        share = sum(r["doc_id"] % 7 == d % 7 for r in rows) / len(rows)
+        assert got[d] == pytest.approx(np.log((sum(own) + quality.PRIOR * share) / (len(own) + quality.PRIOR)) - np.log(share), abs=1e-9)
+
+
+def test_quality_quantile_is_exact(spark):
+    scores = np.random.default_rng(3).normal(size=1001)
+    df = spark.createDataFrame([(float(x),) for x in scores], "s double")
+    for n, share in ((1001, 0.02), (1001, 0.5), (137, 0.02), (1, 0.02)):
+        assert quality.quantile(df.limit(n), share) == pytest.approx(np.quantile(scores[:n], share), abs=1e-12)
+    assert quality.quantile(df.limit(0), 0.02) is None
