@@ -23,9 +23,17 @@ def neighbours(cells: DataFrame, window: Sequence[tuple[int, int]], value: str)
 
 
 def focal_share(cells: DataFrame, value: str, code: int, reach: int) -> DataFrame:
-    """Share of in-grid neighbours that have ``code``, the centre left out."""
-    near = neighbours(cells, offsets(reach), value)
-    return near.groupBy("row", "col").agg((F.count_if(F.col("near") == code) / F.count("*")).alias("share"))
+    """Share of in-grid neighbours that have ``code``, the centre left out.
+
+    A cell sends its mark to the places around it; these are summed where they arise and
+    again by place, so no table of all pairs of neighbours is sorted.
+    """
+    shifts = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(True).alias("own")), *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(False).alias("own")) for a, b in offsets(reach)])
+    sent = cells.where("row IS NOT NULL AND col IS NOT NULL").select("row", "col", (F.col(value) == code).alias("hit"), F.explode(shifts).alias("s"))
+    sent = sent.select((F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"), "s.own", "hit")
+    near = ~F.col("own")
+    sums = sent.groupBy("row", "col").agg(F.max("own").alias("own"), F.count_if(near).alias("n"), F.count_if(near & F.col("hit")).alias("hits"))
+    return sums.where("own AND n > 0").select("row", "col", (F.col("hits") / F.col("n")).alias("share"))
 
 
 def aggregation_index(cells: DataFrame, value: str) -> DataFrame:
