@@ -38,6 +38,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a part that :func:`dealt` makes.
+PART_ROWS = 200_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over parts of about ``PART_ROWS`` of its ``rows``, which are not merged again.
+
+    Rows of few bytes shrink so well that many of them would end up in one task.
+    """
+    return df.repartition(max(1, -(-rows // PART_ROWS)), *keys)
+
+
 def contiguity(zones: DataFrame, key: str, group: str) -> DataFrame:
     """Edges (i, j), both ways, between zones of one group."""
     a = zones.select(F.col(key).alias("i"), F.col(group).alias("g"))
@@ -45,8 +57,8 @@ def contiguity(zones: DataFrame, key: str, group: str) -> DataFrame:
     return a.join(b, "g").where("i <> j").select("i", "j")
 
 
-def nearest_all(points: DataFrame, key: str, x: str, y: str, k: int) -> DataFrame:
-    """Edges (i, j, rank, distance) to the k nearest of all points, ties to the smaller key.
+def nearest_all(points: DataFrame, key: str, x: str, y: str, k: int, of: DataFrame | None = None) -> DataFrame:
+    """Edges (i, j, rank, distance) to the k nearest of all points, ties to the smaller key; with ``of`` (i), from its points only.
 
     A point is held against the points of its grid cell and the eight around it,
     which hold all that are nearer than a cell's width.  Points whose k-th distance
@@ -63,13 +75,14 @@ def nearest_all(points: DataFrame, key: str, x: str, y: str, k: int) -> DataFram
     side = 2 * max((wide * high * k / n) ** 0.5, max(wide, high) * k / n) or 1.0
     order = Window.partitionBy("i").orderBy("distance", "j")
     d = F.sqrt((F.col("x") - F.col("xj")) * (F.col("x") - F.col("xj")) + (F.col("y") - F.col("yj")) * (F.col("y") - F.col("yj")))
-    left, out = rows, None
+    left, out = rows if of is None else written(rows.join(of.select("i").distinct(), "i", "left_semi")), None
     while True:
         last = side > 2 * max(wide, high)
         cell = lambda c, low: F.floor((F.col(c) - low) / side)  # noqa: B023, E731
         near = F.explode(F.array(*[F.struct((cell("x", x0) + a).alias("cx"), (cell("y", y0) + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
         a = left.select("i", "x", "y", near.alias("c")).select("i", "x", "y", "c.cx", "c.cy")
         b = rows.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), cell("x", x0).alias("cx"), cell("y", y0).alias("cy"))
+        a, b = (dealt(t, m, "cx", "cy") for t, m in ((a, 9 * n), (b, 9 * n)))
         found = a.join(b, ["cx", "cy"]).where("i <> j").withColumn("distance", d).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         found = written(found.select("i", "j", "rank", "distance"))
         proven = found if last else found.join(found.where((F.col("rank") == k) & (F.col("distance") < side * (1 - 1e-9))).select("i"), "i", "left_semi")

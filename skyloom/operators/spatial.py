@@ -46,6 +46,7 @@ def touching(boxes: DataFrame, key: str, side: float, rook: bool = False, slack:
     """
     low, high = lambda c: F.floor((F.col(c) - slack) / side), lambda c: F.floor((F.col(c) + slack) / side)
     sent = boxes.withColumn("_bx", F.explode(F.sequence(low("x0"), high("x1")))).withColumn("_by", F.explode(F.sequence(low("y0"), high("y1"))))
+    sent = graph.dealt(sent, boxes.count(), "_bx", "_by")
     a, b = sent.alias("a"), sent.alias("b")
     wide = F.least("a.x1", "b.x1") - F.greatest("a.x0", "b.x0")
     tall = F.least("a.y1", "b.y1") - F.greatest("a.y0", "b.y0")

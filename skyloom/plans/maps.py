@@ -44,7 +44,7 @@ def weights_repaired(spark, d):
     """Row-standardised rook weights; a box without neighbour gets its nearest one, both ways."""
     b = _boxes(spark, d)
     edges = graph.written(spatial.touching(b, "k", 8.0, rook=True))
-    return spatial.weights(b, "k", edges, graph.nearest_all(b, "k", "x0", "y0", 1)).select("i", "j", r6("w"))
+    return spatial.weights(b, "k", edges, graph.nearest_all(b, "k", "x0", "y0", 1, spatial.islands(b, "k", edges))).select("i", "j", r6("w"))
 
 
 @query(f"""WITH {BOXES}, {ROOK}, m AS (SELECT b.k, count(e.j) AS n FROM b LEFT JOIN e ON e.i = b.k GROUP BY b.k)
