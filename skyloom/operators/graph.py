@@ -137,14 +137,17 @@ def gi_star(values: DataFrame, edges: DataFrame, key: str, value: str) -> DataFr
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(i, component) with the smallest key reachable: labels spread and jump until none changes; tables written between rounds."""
+    """(i, component) with the smallest key reachable: labels spread and jump until none changes; tables written between rounds.
+
+    The tables are small as files but not in memory, so none is broadcast: the driver has nothing of them.
+    """
     both = written(edges.select("i", "j").union(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct())
     labels = written(both.groupBy("i").agg(F.least(F.min("j"), F.col("i")).alias("component")))
     while True:
-        near = both.join(labels.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.min("component").alias("c"))
-        spread = labels.join(near, "i").select("i", F.least("component", "c").alias("component"), F.col("component").alias("old"))
+        near = both.join(labels.withColumnRenamed("i", "j").hint("merge"), "j").groupBy("i").agg(F.min("component").alias("c"))
+        spread = labels.join(near.hint("merge"), "i").select("i", F.least("component", "c").alias("component"), F.col("component").alias("old"))
         jump = spread.select(F.col("i").alias("component"), F.col("component").alias("far"))
-        moved = written(spread.join(jump, "component", "left").select("i", F.least("component", F.coalesce("far", "component")).alias("component"), "old"))
+        moved = written(spread.join(jump.hint("merge"), "component", "left").select("i", F.least("component", F.coalesce("far", "component")).alias("component"), "old"))
         labels = moved.select("i", "component")
         if moved.where("component <> old").isEmpty():
             return labels

@@ -223,3 +223,29 @@ def test_step_up_of_many_and_tied_tests(spark, dependent):
             assert r["q"] is None and r["reject"] is None
         else:
             assert r["q"] == pytest.approx(want[r["p"]], rel=1e-9, abs=0) and r["reject"] == (want[r["p"]] <= 0.05)
+
+
+def test_focal_share_sorts_no_pairs(spark):
+    """Neighbours' marks are summed by place: no join of all pairs of neighbours; lone, null and repeated places as before."""
+    cells = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (1, 1, 1), (5, 5, 1), (None, 3, 1), (0, 2, None), (0, 1, 2)], "row long, col long, code int")
+    out = grids.focal_share(cells, "code", 1, 1)
+    assert {(r["row"], r["col"]): round(r["share"], 6) for r in out.collect()} == {(0, 0): round(1 / 3, 6), (0, 1): round(2 / 3, 6), (1, 1): 0.25, (0, 2): round(1 / 3, 6)}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_components_send_no_tables_to_the_driver(spark):
+    """Joins of the labelling are never broadcast, and nearest points can be sought from some points only."""
+    edges = spark.range(200).where("id % 10 <> 9").select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"))
+    jobs = []
+    real = graph.written
+    graph.written = lambda df: (jobs.append(df), real(df))[1]
+    try:
+        got = {r["i"]: r["component"] for r in graph.connected(edges).collect()}
+    finally:
+        graph.written = real
+    assert got == {i: i - i % 10 for i in range(200)}
+    assert all("BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString() for df in jobs)
+    points = spark.createDataFrame([(i, float(i * i), 0.0) for i in range(30)], "k long, x double, y double")
+    every = {tuple(r) for r in graph.nearest_all(points, "k", "x", "y", 2).collect()}
+    some = {tuple(r) for r in graph.nearest_all(points, "k", "x", "y", 2, spark.createDataFrame([(3,), (17,)], "i long")).collect()}
+    assert some == {r for r in every if r[0] in (3, 17)}
