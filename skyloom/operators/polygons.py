@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.operators import buckets
+from skyloom.operators import buckets, graph
 
 
 def is_within(x: Column, y: Column, rings: Column) -> Column:
@@ -48,7 +48,8 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str, r
 def _gcd(a: Column, b: Column) -> Column:
     """Greatest common divisor of two longs that are not both 0; 91 steps do for any."""
     step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] != 0, s["b"])).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(91)), F.struct(F.abs(a).alias("a"), F.abs(b).alias("b")), step)["a"]
+    steps = F.aggregate(F.sequence(F.lit(1), F.lit(91)), F.struct(F.abs(a).alias("a"), F.abs(b).alias("b")), step)["a"]
+    return F.when(a == 0, F.abs(b)).when(b == 0, F.abs(a)).otherwise(steps)
 
 
 def segments(polygons: DataFrame, key: str, rings: str, snap: float) -> DataFrame:
@@ -60,28 +61,32 @@ def segments(polygons: DataFrame, key: str, rings: str, snap: float) -> DataFram
     return ends.select("key", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
 
 
-def shared_borders(polygons: DataFrame, key: str, rings: str, snap: float = 1e-6, stretch: int = 1 << 20) -> DataFrame:
+def shared_borders(polygons: DataFrame, key: str, rings: str, snap: float = 1e-6, stretch: int | None = None) -> DataFrame:
     """(i, j, length), both ways: pairs of polygons whose borders run together, and how far (rook contiguity).
 
     Corners are snapped to multiples of ``snap``; coordinates are below 2^31 of them.  A
     segment lies on a line, which whole numbers name exactly, and takes an interval on it;
     only segments of one line whose intervals overlap count, so borders with corners at
     different places are found as well.  Lines are cut into stretches of so many multiples,
-    so a line that many segments lie on is not one task.  Overlapping polygons share what
+    by default four mean segments, so a long line is not one task and a segment meets only those
+    near it, while the cuts add a quarter to the segments and at most one more to each.  Overlapping polygons share what
     their borders share; a border that runs to and fro counts each time.
     """
     s = segments(polygons, key, rings, snap).withColumns({"dx": F.col("bx") - F.col("ax"), "dy": F.col("by") - F.col("ay")})
+    n, mean = s.agg(F.count("*"), F.avg(F.when(F.col("dx") != 0, F.col("dx")).otherwise(F.col("dy")))).first()
+    stretch = stretch or max(1, round(4 * (mean or 0)))
     s = s.withColumn("g", F.greatest(_gcd(F.col("dx"), F.col("dy")), F.lit(1).cast("long"))).withColumns({"dx": F.expr("dx div g"), "dy": F.expr("dy div g")})
     # The line is the direction (lower end first, so it has one sign) and its distance from the origin; along it, x counts, or y where x stands.
     s = s.withColumns({"c": F.col("dx") * F.col("ay") - F.col("dy") * F.col("ax"), "lo": F.when(F.col("dx") != 0, F.col("ax")).otherwise(F.col("ay")), "hi": F.when(F.col("dx") != 0, F.col("bx")).otherwise(F.col("by"))})
     s = s.withColumn("at", F.explode(F.sequence(F.floor(F.col("lo") / stretch), F.floor((F.col("hi") - 1) / stretch))))
     s = s.select("dx", "dy", "c", "at", "key", F.greatest("lo", F.col("at") * stretch).alias("lo"), F.least("hi", (F.col("at") + 1) * stretch).alias("hi"))
     line = ["dx", "dy", "c", "at"]
+    s = graph.dealt(s, 2 * n, *line)
     a, b = s.select(*line, F.col("key").alias("i"), "lo", "hi"), s.select(*line, F.col("key").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     run = F.least("hi", "hi2") - F.greatest("lo", "lo2")
     unit = F.sqrt((F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).cast("double")) / F.when(F.col("dx") != 0, F.col("dx")).otherwise(F.col("dy")) * snap
     both = a.join(b, line).where((F.col("i") != F.col("j")) & (run > 0))
-    return both.groupBy("i", "j").agg(F.sum(run * unit).alias("length"))
+    return graph.dealt(both.select("i", "j", (run * unit).alias("length")), 2 * n, "i", "j").groupBy("i", "j").agg(F.sum("length").alias("length"))
 
 
 def touching(polygons: DataFrame, key: str, rings: str, snap: float = 1e-6, side: float = 1.0, most: int = 100_000) -> DataFrame:

@@ -107,3 +107,18 @@ def test_steps_are_released(spark):
     graph.written(spark.range(3))
     folder = Path(graph.shared_folder(spark))
     assert list(folder.glob("step-*")) and graph.release(spark) > 0 and not list(folder.glob("step-*"))
+
+
+def test_long_lines_are_many_small_meetings(spark):
+    """Segments of one long line meet only those near them, whatever the snap is, and are not one task's."""
+    df = spark.range(3000).select(F.col("id").alias("k"), F.expr("array(array(struct(0.0D AS x, id * 1.0D AS y), struct(1.0D AS x, id * 1.0D AS y), struct(1.0D AS x, id + 1.0D AS y), struct(0.0D AS x, id + 1.0D AS y)))").alias("rings"))
+    out = polygons.shared_borders(df, "k", "rings", 0.01)
+    assert sorted(map(tuple, out.where("i < j").collect())) == [(k, k + 1, pytest.approx(1.0)) for k in range(2999)]
+    before = graph.PART_ROWS
+    try:
+        graph.PART_ROWS = 1000
+        plan = polygons.shared_borders(df, "k", "rings", 0.01)
+        counts = plan.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    finally:
+        graph.PART_ROWS = before
+    assert len(counts) > 4 and max(r["count"] for r in counts) < 1000
