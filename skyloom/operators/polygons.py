@@ -97,10 +97,13 @@ def touching(polygons: DataFrame, key: str, rings: str, snap: float = 1e-6, side
     there are more than ``most`` corners.
     """
     s = segments(polygons, key, rings, snap)
-    corners = s.select(F.col("key").alias("i"), F.col("ax").alias("x"), F.col("ay").alias("y")).union(s.select("key", "bx", "by")).distinct()
+    corners = graph.written(s.select(F.col("key").alias("i"), F.col("ax").alias("x"), F.col("ay").alias("y")).union(s.select("key", "bx", "by")).distinct())
+    n = corners.count()
     tree = buckets.Buckets(corners, "x", "y", max(side / snap, 1.0), most)
     sent = tree.sent(s.withColumnRenamed("key", "j"), F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"))
     on = ((F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) == (F.col("by") - F.col("ay")) * (F.col("x") - F.col("ax"))) & F.col("x").between(F.least("ax", "bx"), F.greatest("ax", "bx")) & F.col("y").between(F.least("ay", "by"), F.greatest("ay", "by"))
     # The tree's own columns _bx and _by are numbers of buckets, ax to by are segments.
-    met = tree.placed(corners, "x", "y").join(sent, buckets.KEYS).where((F.col("i") != F.col("j")) & on)
-    return met.select("i", "j").union(met.select("j", "i")).distinct()
+    placed, sent = (graph.dealt(t, n, *buckets.KEYS) for t in (tree.placed(corners, "x", "y"), sent))
+    met = placed.join(sent, buckets.KEYS).where((F.col("i") != F.col("j")) & on)
+    both = F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("e")
+    return graph.dealt(met.select("i", "j").distinct().select(both).select("e.*"), 2 * n, "i", "j").distinct()
