@@ -88,10 +88,16 @@ def projected_areas(areas: DataFrame, p: DataFrame) -> DataFrame:
     return raw.select("code", (F.col("low") + F.when(F.col("order") == 1, rest).otherwise(0)).alias("cells"))
 
 
+def r_squared(truth: Column, guess: Column) -> Column:
+    """R2 about the mean of the rows, as an aggregate; null without spread."""
+    e = truth - guess
+    return 1 - F.sum(e * e) / F.nullif(F.var_pop(truth) * F.count(truth), F.lit(0.0))
+
+
 def fit_measures(df: DataFrame, truth: str, guess: str) -> DataFrame:
     """RMSE, and R2 about the mean of the given rows; it may be negative, and is null without spread."""
     t, e = F.col(truth), F.col(truth) - F.col(guess)
-    return df.agg(F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.sum(e * e) / F.nullif(F.var_pop(t) * F.count(t), F.lit(0.0))).alias("r2"), F.count(e).alias("n"))
+    return df.agg(F.sqrt(F.avg(e * e)).alias("rmse"), r_squared(t, F.col(guess)).alias("r2"), F.count(e).alias("n"))
 
 
 def extrapolated(df: DataFrame, train: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.operators import agreement
+from skyloom.operators import agreement, graph
 
 
 def vif(df: DataFrame, features: Sequence[str]) -> list[tuple[str, float]]:
@@ -40,61 +40,82 @@ def predicted(model, assembler, df: DataFrame, features: Sequence[str], name: st
     return out.select(*[F.col(f"_{c}").alias(c) if c in features else F.col(c) for c in df.columns], F.when(known, F.col("prediction")).alias(name))
 
 
+#: Rows of a part that forests are fitted on; a row is held against all trees at every level, so parts are small.
+FIT_ROWS = 25_000
+
+
+def _dealt(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """``rows`` in equal parts and in a fixed order, so that every core has its share of a fit and reruns draw alike."""
+    return rows.repartition(max(1, -(-rows.count() // FIT_ROWS)), key).sortWithinPartitions(key, *order)
+
+
 def split_strategies(df: DataFrame, features: Sequence[str], target: str, block: str, keys: Sequence[str], share: float, repeats: int, trees: int, seed: int) -> DataFrame:
     """(method, n_repeats, r2_mean, r2_least, r2_most, rmse_mean): held-out scores of splits by whole blocks and by rows, ``repeats`` of each."""
-    rows = df.na.drop(subset=[*features, target])
-    out = None
+    rows, marks = _dealt(df.select(*dict.fromkeys([block, *keys, *features, target])).na.drop(subset=[*features, target]), block, [*keys]), []
     for method in ("block", "row"):
         for turn in range(repeats):
             if method == "block":
-                dealt = agreement.blocked_split(rows, block, share, seed + turn)
+                rows = agreement.blocked_split(rows, block, share, seed + turn)
             else:
                 code = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed + turn))))
-                dealt = rows.withColumn("held_out", F.conv(F.substring(code, 1, 8), 16, 10).cast("double") < share * 2.0**32)
-            model, assembler = forest(dealt.where("NOT held_out"), features, target, trees, seed)
-            one = agreement.fit_measures(predicted(model, assembler, dealt.where("held_out"), features), target, "prediction").withColumn("method", F.lit(method))
-            out = one if out is None else out.unionByName(one)
+                rows = rows.withColumn("held_out", F.conv(F.substring(code, 1, 8), 16, 10).cast("double") < share * 2.0**32)
+            marks.append((method, f"_held_{method}_{turn}"))
+            rows = rows.withColumnRenamed("held_out", marks[-1][1])
+    rows, out = graph.written(rows.select(*features, target, *[m for _, m in marks])), None
+    for method, mark in marks:
+        model, assembler = forest(rows.where(~F.col(mark)), features, target, trees, seed)
+        one = agreement.fit_measures(predicted(model, assembler, rows.where(mark), features), target, "prediction").withColumn("method", F.lit(method))
+        out = one if out is None else out.unionByName(one)
     return out.groupBy("method").agg(F.count("*").alias("n_repeats"), F.avg("r2").alias("r2_mean"), F.min("r2").alias("r2_least"), F.max("r2").alias("r2_most"), F.avg("rmse").alias("rmse_mean"))
 
 
 def permutation_importance(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], trees: int, repeats: int, seed: int) -> DataFrame:
     """(predictor, importance, sd, rank): mean loss of R2 over ``repeats`` when a feature's values are dealt anew among the rows.
 
-    Dealing anew joins the rows in the order of one hash with those in the order of
-    another by their row numbers, made in parts that are offset by their counts.
+    Dealing anew joins the rows in the order of one hash with a feature's values in the
+    order of another by their row numbers, made in parts that are offset by their counts.
+    A turn numbers its rows once for all features and scores them in one pass; only
+    hashes and what is dealt are shuffled, the keys are not.
     """
-    rows = df.na.drop(subset=[*features, target]).select(*keys, *features, target)
+    rows = graph.written(_dealt(df.select(*keys, *features, target).na.drop(subset=[*features, target]), keys[0], keys[1:]))
     model, assembler = forest(rows, features, target, trees, seed)
-    r2 = lambda t: agreement.fit_measures(predicted(model, assembler, t, features), target, "prediction").first()["r2"]
-    base, out = r2(rows), []
+    base = agreement.fit_measures(predicted(model, assembler, rows, features), target, "prediction").first()["r2"]
+    losses: dict[str, list[float]] = {name: [] for name in features}
 
-    def numbered(t: DataFrame, salt: str) -> DataFrame:
+    def numbered(columns: Sequence[str], salt: str) -> DataFrame:
         code = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(salt)))
-        t = t.withColumn("_code", code).withColumn("_part", F.substring("_code", 1, 2))
+        t = rows.select(*columns, F.unhex(code).alias("_code")).withColumn("_part", F.substring("_code", 1, 1))
         ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         parts = t.groupBy("_part").agg(F.count("*").alias("_m")).select("_part", F.coalesce(F.sum("_m").over(ahead), F.lit(0)).alias("_first"))
-        place = F.row_number().over(Window.partitionBy("_part").orderBy("_code", *keys))
-        return t.join(F.broadcast(parts), "_part").withColumn("_n", F.col("_first") + place).drop("_code", "_part", "_first")
-
-    for name in features:
-        losses = []
-        for turn in range(repeats):
-            left, right = numbered(rows.drop(name), f"{seed}:{turn}:rows"), numbered(rows.select(*keys, name), f"{seed}:{turn}:values of {name}").select("_n", name)
-            losses.append(base - r2(left.join(right, "_n")))
-        mean = sum(losses) / repeats
-        out.append((name, mean, (sum((x - mean) ** 2 for x in losses) / repeats) ** 0.5))
+        place = F.row_number().over(Window.partitionBy("_part").orderBy("_code"))
+        return t.withColumn("_place", place).join(F.broadcast(parts), "_part").select((F.col("_first") + F.col("_place")).alias("_n"), *columns)
+
+    for turn in range(repeats):
+        t = numbered([*features, target], f"{seed}:{turn}:rows")
+        for i, name in enumerate(features):
+            t = t.join(numbered([name], f"{seed}:{turn}:values of {name}").withColumnRenamed(name, f"_new{i}"), "_n")
+        for i, name in enumerate(features):
+            anew = t.withColumns({f"_old{i}": F.col(name), name: F.col(f"_new{i}")})
+            t = predicted(model, assembler, anew, features, f"_guess{i}").withColumn(name, F.col(f"_old{i}"))
+        scores = t.agg(*[agreement.r_squared(F.col(target), F.col(f"_guess{i}")).alias(f"r{i}") for i in range(len(features))]).first()
+        for i, name in enumerate(features):
+            losses[name].append(base - scores[i])
+    out = []
+    for name, x in losses.items():
+        mean = sum(x) / repeats
+        out.append((name, mean, (sum((v - mean) ** 2 for v in x) / repeats) ** 0.5))
     out.sort(key=lambda x: (-x[1], x[0]))
     return df.sparkSession.createDataFrame([(*x, i) for i, x in enumerate(out, 1)], "predictor string, importance double, sd double, rank int")
 
 
 def forest_cv(df: DataFrame, features: Sequence[str], target: str, block: str, folds: int, trees: int, seed: int) -> DataFrame:
     """(fold, rmse, r2, n) of a random forest, each fold of whole blocks held out in turn."""
-    rows = VectorAssembler(inputCols=list(features), outputCol="x").transform(agreement.blocked_folds(df.na.drop(subset=[*features, target]), block, folds, seed)).persist()
+    narrow = _dealt(df.select(*dict.fromkeys([block, *features, target])).na.drop(subset=[*features, target]), block, [*features, target])
+    rows = graph.written(agreement.blocked_folds(narrow, block, folds, seed).select(*features, target, "fold"))
+    rows = VectorAssembler(inputCols=list(features), outputCol="x").transform(rows)
     out = None
     for fold in range(1, folds + 1):
         model = RandomForestRegressor(featuresCol="x", labelCol=target, numTrees=trees, maxDepth=5, seed=seed).fit(rows.where(F.col("fold") != fold))
         one = agreement.fit_measures(model.transform(rows.where(F.col("fold") == fold)), target, "prediction").select(F.lit(fold).alias("fold"), "rmse", "r2", "n")
         out = one if out is None else out.union(one)
-    scores = df.sparkSession.createDataFrame(out.collect(), out.schema)
-    rows.unpersist()
-    return scores
+    return df.sparkSession.createDataFrame(out.collect(), out.schema)

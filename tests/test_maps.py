@@ -221,6 +221,20 @@ def test_forest_helpers(spark):
     assert set(split) == {"block", "row"} and all(r["r2_mean"] > 0.9 for r in split.values())
 
 
+def test_forest_plans_read_narrow_equal_parts(spark, monkeypatch):
+    """Forests are fitted on a stored table of the needed columns in many parts, not on one task's wide rows."""
+    stored, real = [], models.graph.written
+    monkeypatch.setattr(models.graph, "written", lambda df: (stored.append((set(df.columns), df.rdd.getNumPartitions())), real(df))[1])
+    monkeypatch.setattr(models, "FIT_ROWS", 100)
+    df = spark.range(600).coalesce(1).select(F.col("id").alias("k"), F.floor(F.col("id") / 20).alias("block"), F.rand(3).alias("a"), F.rand(4).alias("b"), F.lit("a long remark").alias("remark")).withColumn("y", 5 * F.col("a"))
+    scores = models.forest_cv(df, ["a", "b"], "y", "block", 3, 5, 1).collect()
+    assert sorted(r["fold"] for r in scores) == [1, 2, 3] and sum(r["n"] for r in scores) == 600 and all(r["r2"] > 0.8 for r in scores)
+    models.split_strategies(df, ["a", "b"], "y", "block", ["k"], 0.3, 1, 5, 1).collect()
+    imp = models.permutation_importance(df, ["a", "b"], "y", ["k"], 5, 2, 1).collect()
+    assert imp[0]["predictor"] == "a" and imp[0]["importance"] > 0.5 > abs(imp[1]["importance"])
+    assert len(stored) == 3 and all("remark" not in c for c, _ in stored) and stored[2][1] == 6
+
+
 # --- products ------------------------------------------------------------------------
 
 @pytest.mark.parametrize("kind", products.FORMATS)
