@@ -169,15 +169,15 @@ def _verified(percent: int, size: int):
 
 
 def _candidates(group: pa.Table, apart: bool, percent: int, first: bool):
-    """(place, earlier places) of the pairs of different components in a task's blocks that the estimate does not drop, and the task's columns.
+    """(place, earlier places) of the pairs of different components in a task's blocks that the estimate does not drop, and the members' components.
 
     With ``first``, a pair is looked at only in the first band that it shares.
     """
-    ids, block, label, n, band = (group.column(x).to_numpy().copy() for x in ("id", "block", "c", "n", "band"))
+    block, label, n, band = (group.column(x).to_numpy().copy() for x in ("block", "c", "n", "band"))
     r = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
     def pairs() -> Iterator[tuple[int, np.ndarray]]:
-        for a in range(1, len(ids)):
+        for a in range(1, len(label)):
             b = np.flatnonzero((label[:a] != label[a]) & (100 * np.minimum(n[:a], n[a]) >= percent * np.maximum(n[:a], n[a])))
             b = b[block[b] != block[a]] if apart else b
             if first:
@@ -187,16 +187,16 @@ def _candidates(group: pa.Table, apart: bool, percent: int, first: bool):
                 _, loss = estimate(up, down, REGISTERS - up - down, n[a] / (n[a] + n[b]), percent / 100)
                 yield a, b[loss < DOUBT]
 
-    return ids, label, pairs
+    return label, pairs
 
 
 def _connecting(percent: int, size: int, first: bool):
-    """Links between different components among the members of a bucket's two blocks (one, if they are the same)."""
+    """Components that are linked by members of a bucket's two blocks (one, if they are the same)."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by("id")
-        ids, label, pairs = _candidates(group, key[1].as_py() != key[2].as_py(), percent, first)
-        texts, sets, u, v = group.column("text"), {}, [], []
+        label, pairs = _candidates(group, key[1].as_py() != key[2].as_py(), percent, first)
+        texts, sets, was, u, v = group.column("text"), {}, label.copy(), [], []
 
         def own(i: int) -> set:
             if i not in sets:
@@ -208,8 +208,8 @@ def _connecting(percent: int, size: int, first: bool):
                 if label[i] != label[a]:
                     both = len(own(a) & own(i))
                     if 100 * both >= percent * (len(own(a)) + len(own(i)) - both):
-                        u.append(ids[a])
-                        v.append(ids[i])
+                        u.append(was[a])
+                        v.append(was[i])
                         label[label == label[i]] = label[a]
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
@@ -231,55 +231,66 @@ def _standing(placed: DataFrame) -> DataFrame:
 
 
 def _searched(rows: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, size: int, first: bool) -> DataFrame:
-    """Links between different components of the rows' buckets, which are searched two blocks at a time, as a written table."""
+    """Linked components (u, v) of the rows' buckets, which are searched two blocks at a time, as a written table."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks", "members")
     rows = durable(rows, "open")
-    held = _texts(docs, rows.select("id")).join(sets, "id")
+    held = _texts(docs, rows.select("id").distinct()).join(sets, "id")
     rows = rows.join(held, "id").select("id", "band", "key", "c", "n", "block", "low", "high", "sketch", "text")
-    return durable(rows.groupBy("key", "low", "high").applyInArrow(_connecting(percent, size, first), "u long, v long").distinct(), "more")
+    return durable(rows.groupBy("key", "low", "high").applyInArrow(_connecting(percent, size, first), "u long, v long"), "more")
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents of ``ids``, which are broadcast only if they are counted to be few."""
-    ids = durable(ids.distinct(), "ids")
+    ids = durable(ids, "ids")
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
 def _equal(size: int):
-    """Rows (id, rep, own text, class text) whose sets are equal."""
+    """Rows (id, rep, whether own and class text have equal sets); null stands for texts that are equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = pa.array([shingle_set(a.as_py(), size) == shingle_set(b.as_py(), size) for a, b in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(same), batch.column(1).filter(same)], ["id", "rep"])
+            same = [not a.is_valid or shingle_set(a.as_py(), size) == shingle_set(b.as_py(), size) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], ["id", "rep", "same"])
 
     return run
 
 
-def _classes(every: DataFrame, docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(n, k1, k2, rep) of each class of equal sets; (id, rep) of all but the representatives; and the ids whose whole sets are not their class's.
+def _classes(every: DataFrame, docs: DataFrame, size: int, repeated: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``every`` with the representative of each row's class of equal sets, and sketches of those only; (id, rep) of all others; and the ids whose whole sets are not their class's.
 
     The last are none but for a clash of 128 bits of hash; such rows are sets of their own.
     """
-    classes = durable(every.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "classes")
-    rows = durable(every.join(classes.where("rows > 1"), ["n", "k1", "k2"]).where("id <> rep").select("id", "rep").distinct(), "copies")
-    both = _texts(docs, rows.select("id").union(rows.select(F.col("rep").alias("id"))))
-    pairs = rows.join(both, "id").join(both.select(F.col("id").alias("rep"), F.col("text").alias("other")), "rep")
+    classes = every.where("id IS NOT NULL AND n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("rows"))
+    classes = durable(classes.where("rows > 1").drop("rows"), "classes")
+    rows = every.join(F.broadcast(classes) if classes.count() <= BROADCAST_IDS else classes, ["n", "k1", "k2"], "left")
+    rows = rows.withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
+    rows = durable(rows.select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("sketch")).alias("sketch")), "classed")
+    copies = _once(rows.where("id <> rep").select("id", "rep"), repeated)
+    both = _texts(docs, copies.select("id").union(classes.select(F.col("rep").alias("id"))))
+    pairs = copies.join(both.select(F.col("id").alias("rep"), F.col("text").alias("other")), "rep").join(both, "id").where("text IS NOT NULL AND other IS NOT NULL")
     # Equal texts need no sets; texts that differ, in white space or case say, do.
-    confirmed = pairs.where("text = other").select("id", "rep").union(pairs.where("text <> other").select("id", "rep", "text", "other").mapInArrow(_equal(size), "id long, rep long"))
-    wrong = durable(rows.join(confirmed.distinct(), ["id", "rep"], "left_anti").select("id").distinct(), "clashes")
-    return classes, rows, wrong
+    pairs = pairs.select("id", "rep", *[F.when(F.col("text") != F.col("other"), F.col(x)).alias(x) for x in ("text", "other")])
+    same = pairs.mapInArrow(_equal(size), "id long, rep long, same boolean")
+    same = same.groupBy("id", "rep").agg(F.max("same").alias("same")) if repeated else same
+    return rows, copies, durable(_once(same.where("NOT same").select("id"), repeated), "clashes")
+
+
+def _once(rows: DataFrame, repeated: bool) -> DataFrame:
+    """``rows`` without repeats, as a written table; as they are, if no id is repeated."""
+    return durable(rows.distinct(), "once") if repeated else rows
 
 
 def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
     """Those of ``pairs`` (u, v) whose full sets are similar enough, as a written table."""
     one, two = (sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "uv")
-    likely = pairs.join(one, "u").join(two, "v").where(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)")
+    # No u is in more pairs than its bands' small buckets and centres give, so pairs may be told apart where they meet u.
+    likely = pairs.repartition("u").distinct().join(one, "u").join(two, "v").where(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)")
     likely = durable(likely.select("u", "v", "n_u", "s_u", "n_v", "s_v").mapInArrow(_likely(percent), "u long, v long"), "likely")
-    texts = _texts(docs, likely.select(F.col("u").alias("id")).union(likely.select(F.col("v").alias("id"))))
+    texts = _texts(docs, likely.select(F.explode(F.array("u", "v")).alias("id")).distinct())
     full = likely.join(texts.select(F.col("id").alias("u"), F.col("text").alias("t_u")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("t_v")), "v")
     return durable(full.select("u", "v", "t_u", "t_v").mapInArrow(_verified(percent, size), "u long, v long"), "links")
 
@@ -298,14 +309,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     every = durable(whole.mapInArrow(_sketch(shingle_words), "id long, n long, k1 long, k2 long, sketch binary"), "sketches")
     docs, known = whole.where("id IS NOT NULL"), every.where("id IS NOT NULL")
-    classes, copies, wrong = _classes(known, docs, shingle_words)
-    if not wrong.isEmpty():
+    # With each id on one row, as usual, no step has repeats to drop, which saves it a shuffle.
+    repeated = (known.groupBy("id").count().agg(F.max("count")).first()[0] or 0) > 1
+    classed, copies, wrong = _classes(every, docs, shingle_words, repeated)
+    clash = not wrong.isEmpty()
+    sets = classed.where("n > 0 AND id = rep").select("id", "n", "sketch")
+    if clash:
         copies = durable(copies.join(wrong, "id", "left_anti"), "copies")
+        sets = sets.union(known.where("n > 0").join(wrong, "id", "left_semi").select("id", "n", "sketch"))
     # A copy is not sketched again, but an id may have another row whose set is no copy.
-    alone = known.where("n > 0").join(classes.select("n", "k1", "k2", "rep"), ["n", "k1", "k2"])
-    sets = alone.where("id = rep") if wrong.isEmpty() else alone.join(wrong.select("id", F.lit(True).alias("wrong")), "id", "left").where("id = rep OR wrong")
-    sets = sets.select("id", "n", "sketch").distinct()
-    banded = sets.select("id", "sketch").mapInArrow(_band_keys, "id long, band int, key long").distinct()
+    sets = _once(sets, repeated)
+    banded = sets.select("id", "sketch").mapInArrow(_band_keys, "id long, band int, key long")
+    banded = banded.distinct() if repeated else banded
     # One order for all buckets, so that buckets of one group have the same centres and yield the same pairs.
     order = F.xxhash64("id")
     size = banded.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("first"), F.min_by("id", order).alias("second"), F.max_by("id", order).alias("third")).where("members > 1")
@@ -318,22 +333,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = wide.select(F.col("id").alias("u"), F.explode(F.array("first", "second", "third")).alias("v")).where("u <> v")
     few = banded.where(f"members <= {PAIR_BUCKET}").select("id", "key")
     pairs = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key AND x.id > y.id")).selectExpr("x.id AS u", "y.id AS v")
-    links = _links(star.union(pairs).distinct(), sets, docs, percent, shingle_words)
-    # Ids with several sets join them.
-    turns = copies.select("id", "rep").union(sets.select("id", F.col("id").alias("rep"))).groupBy("id").agg(F.collect_set("rep").alias("reps")).where("size(reps) > 1")
-    links = links.union(turns.select(F.explode("reps").alias("u"), F.array_min("reps").alias("v")).where("u <> v"))
+    links = _links(star.union(pairs), sets, docs, percent, shingle_words)
+    if repeated:
+        # Ids with several sets join them.
+        turns = copies.select("id", "rep").union(sets.select("id", F.col("id").alias("rep"))).groupBy("id").agg(F.collect_set("rep").alias("reps")).where("size(reps) > 1")
+        links = links.union(turns.select(F.explode("reps").alias("u"), F.array_min("reps").alias("v")).where("u <> v"))
     found = durable(components(links), "components")
     if not wide.isEmpty():
         place = lambda found: _mixed(wide.join(found, "id", "left").select("id", "band", "key", "members", F.coalesce("component_id", "id").alias("c")))
         for rows, first in ((lambda: _standing(place(found)), False), (lambda: place(found), True)):
             more = _searched(rows(), docs, sets, percent, shingle_words, first)
             if not more.isEmpty():
-                links = links.union(more)
-                found = durable(components(links), "components")
-    out = every.select("id", "n", "k1", "k2").join(classes.select("n", "k1", "k2", "rep"), ["n", "k1", "k2"], "left")
-    if not wrong.isEmpty():
+                found = durable(components(found.select(F.col("id").alias("u"), F.col("component_id").alias("v")).union(more)), "components")
+    out = classed.select("id", "n", "rep")
+    if clash:
         out = out.join(wrong.select("id", F.lit(True).alias("wrong")), "id", "left").withColumn("rep", F.when(F.col("wrong"), F.col("id")).otherwise(F.col("rep")))
-    out = out.withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
     out = out.join(found.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "rep"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
