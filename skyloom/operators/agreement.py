@@ -29,12 +29,17 @@ def blocked_folds(df: DataFrame, block: str, folds: int, seed: int) -> DataFrame
     return df.join(dealt, block)
 
 
+def held_blocks(sizes: DataFrame, block: str, share: float, seed: int) -> DataFrame:
+    """``sizes``, a row a block with its rows ``n``, with ``held_out``: blocks in seeded order until the share of rows is reached."""
+    order = Window.orderBy(shuffled(F.col(block), seed), block).rowsBetween(Window.unboundedPreceding, -1)
+    before, total = F.coalesce(F.sum("n").over(order), F.lit(0)), F.sum("n").over(Window.partitionBy(F.lit(0)))
+    return sizes.withColumn("held_out", before < share * total)
+
+
 def blocked_split(df: DataFrame, block: str, share: float, seed: int) -> DataFrame:
     """``df`` with ``held_out``: whole blocks in seeded order until the share of rows is reached."""
     sizes = df.groupBy(block).agg(F.count("*").alias("n"))
-    order = Window.orderBy(shuffled(F.col(block), seed), block).rowsBetween(Window.unboundedPreceding, -1)
-    before, total = F.coalesce(F.sum("n").over(order), F.lit(0)), F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return df.join(sizes.select(block, (before < share * total).alias("held_out")), block)
+    return df.join(held_blocks(sizes, block, share, seed).select(block, "held_out"), block)
 
 
 def confusion(df: DataFrame, truth: str, guess: str) -> DataFrame:
